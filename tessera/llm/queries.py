@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, token_count, toxicity
+from . import chat, decontaminate, extract, fingerprint, mixing, quality, simhash, token_count, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "pass", "block", "place")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,15 +30,32 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok"[1:])
+    spoken = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.summarise(chat.expand(rows.unionByName(spoken)))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) whose passage the document holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder, then read back from there."""
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,5 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_token_counts, op4_quality_classifier, op6_benchmark_decontamination, op8_simhash_components, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_document_fingerprints, op3_token_counts, op4_quality_classifier, op5_chat_formatting, op6_benchmark_decontamination, op7_warc_archive, op8_simhash_components, op9_html_extraction, op10_toxicity, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
