@@ -42,11 +42,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
         shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, seed) for s in shingles], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 4096):  # bounded memory for long texts
-        part = h[i : i + 4096]
-        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+    return int.from_bytes(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)), "big")
+
+
+def majority(rows: np.ndarray) -> bytes:
+    """The bits that are set in over half of the rows of bytes."""
+    ones = np.zeros(rows.shape[1] * 8, np.int64)
+    for i in range(0, len(rows), 255):  # so many fit a byte's sum
+        ones += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(rows)).tobytes()
 
 
 class BkTree:
@@ -87,9 +91,18 @@ class BkTree:
         return found
 
 
-def links_in_shard(members: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among (fingerprint, node): at most one row a member."""
-    tree, parent = BkTree(), list(range(len(members)))
+def links_in_shard(members: list[tuple[int, int]], radius: int, hubs: int = 8) -> list[tuple[int, int]]:
+    """A spanning forest of the links among (fingerprint, node): at most one row a member.
+
+    First a few hubs take all members within the radius, which settles groups of many
+    copies in one step each.  A link that is still missing has an end outside the
+    largest part, so only those members search the tree of all.
+    """
+    n = len(members)
+    if n < 2:
+        return []
+    parent, size = list(range(n)), [1] * n
+    out = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -97,14 +110,36 @@ def links_in_shard(members: list[tuple[int, int]], radius: int) -> list[tuple[in
             i = parent[i]
         return i
 
-    out = []
-    for i, (value, node) in enumerate(members):
-        for j in tree.near(value, radius):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((members[j][1], node))
-        tree.add(value)
+    def join(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            if size[a] < size[b]:
+                a, b = b, a
+            parent[b] = a
+            size[a] += size[b]
+            out.append((members[i][1], members[j][1]))
+
+    free = list(range(n))
+    for _ in range(hubs):
+        hub, rest = free[0], []
+        value = members[hub][0]
+        for i in free[1:]:
+            if (members[i][0] ^ value).bit_count() <= radius:
+                join(hub, i)
+            else:
+                rest.append(i)
+        free = rest
+        if not free:
+            break
+    largest = max((root(i) for i in range(n)), key=size.__getitem__)
+    outside = [i for i in range(n) if root(i) != largest]
+    if outside:
+        tree = BkTree()
+        for value, _ in members:
+            tree.add(value)
+        for i in outside:
+            for j in tree.near(members[i][0], radius):
+                join(i, j)
     return out
 
 
@@ -150,7 +185,7 @@ def _search(shards: DataFrame, keys: list[str], radius: int) -> DataFrame:
                     if len(out) > 50_000:
                         yield made(out)
                         out = []
-                members.append((value & (2**64 - 1), node))
+                members.append((int.from_bytes(value, "big") if isinstance(value, bytes) else value & (2**64 - 1), node))
         yield made(out + links_in_shard(members, radius))
 
     return shards.select(*keys, "bits", "node").mapInArrow(run, "src long, dst long")
@@ -233,11 +268,99 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, shard_l
     return joined.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, radius: int = 2, words: int = 5, shard_limit: int = 20_000) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id; same columns.
+class WidePrints:
+    """Long fingerprints of texts: keys from their distinct words, bits from their distinct shingles."""
+
+    def __init__(self, words: int = 5, tables: int = 32) -> None:
+        self.words, self.tables = words, tables
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.lanes = (2 * np.arange(1, 9, dtype=np.uint64) + 1) * np.uint64(0x9E3779B97F4A7C15)
+        self.key_lanes = (2 * np.arange(101, 101 + tables * 3 // 8 + 1, dtype=np.uint64) + 1) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    @staticmethod
+    def _mixed(h: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """Rows of independent bits from 64-bit hashes."""
+        x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * lanes
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return x.view(np.uint8).reshape(len(h), -1)
+
+    def __call__(self, text: str) -> tuple[list[int], bytes]:
+        w = text.encode().lower().split()
+        if not w:
+            return [0] * self.tables, bytes(64)
+        if len(self.known) > 400_000:
+            self.known.clear()
+        known = self.known
+        fresh = set(w).difference(known)
+        if len(known) + len(fresh) > len(self.hashes):
+            grown = np.zeros(2 * (len(known) + len(fresh)), np.uint64)
+            grown[: len(known)] = self.hashes[: len(known)]
+            self.hashes = grown
+        for x in fresh:
+            self.hashes[len(known)] = xxhash.xxh64_intdigest(x, 5)
+            known[x] = len(known)
+        at = list(map(known.__getitem__, w))
+        keys = majority(self._mixed(self.hashes[sorted(set(at))], self.key_lanes))
+        h = self.hashes[at]
+        size = min(self.words, len(h))
+        shingles = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            shingles = (shingles ^ h[i : i + len(shingles)]) * np.uint64(0x9E3779B97F4A7C15)
+            shingles ^= shingles >> np.uint64(32)
+        return [int.from_bytes(keys[3 * i : 3 * i + 3], "big") for i in range(self.tables)], majority(self._mixed(np.unique(shingles), self.lanes))
+
+
+def wide_prints(docs: DataFrame, words: int, tables: int) -> DataFrame:
+    """doc_id, ``keys`` (``tables`` numbers of 24 bits), ``bits`` (64 bytes) of each whole text."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
 
-    Rows that repeat an id stay or go together; rows without an id stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.simhash import WidePrints
+
+        made = WidePrints(words, tables)
+        for b in batches:
+            got = [made(v.as_py() or "") for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.binary())], names=["doc_id", "keys", "bits"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("keys", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def wide_links(nodes: DataFrame, radius: int, shard_limit: int) -> DataFrame:
+    """(src, dst): spanning forests of the links among nodes that share a key.
+
+    Keys are dealt out without the long bits; only nodes that share one with another get
+    theirs.  A key with more than ``shard_limit`` nodes is cut into blocks, and each pair
+    of blocks is a shard: memory stays bounded and no link is lost.
+    """
+    dealt = nodes.select("node", F.posexplode("keys").alias("t", "key")).withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
+    blocks = F.ceil(F.col("n") / shard_limit).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    shards = dealt.select("node", "t", "key", F.inline(pairs)).join(nodes.select("node", "bits"), "node")
+    keys = ["t", "key", "i", "j"]
+    return _search(shards.repartition(*keys).sortWithinPartitions(*keys), keys, radius)
+
+
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tables: int = 32, slack: float = 0.013, shard_limit: int = 20_000) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that with the smallest doc_id; same columns.
+
+    Two texts are linked when the 512-bit fingerprints of their distinct ``words``-word
+    shingles differ in no more bits than a Jaccard ``similarity`` gives on average, plus
+    ``slack`` (one standard error of that share), and one of ``tables`` 24-bit keys of
+    their distinct words is equal; pairs of 0.8 miss all keys less than once in a hundred.
+    Null and empty texts are equal to each other; a text of fewer words is one shingle.
+    Rows that repeat an id stay or go together; rows without an id stay.  An empty table
+    gives none.
     """
-    found = near_duplicates(docs, radius=radius, words=words, shard_limit=shard_limit)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    prints = materialise(wide_prints(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), words, tables), "prints")
+    classes = materialise(prints.groupBy("bits", "keys").agg(F.min("doc_id").alias("node")), "classes")
+    parts = components(wide_links(classes, int((angle + slack) * 512), shard_limit))
+    stays = classes.join(parts, "node", "left").where("component IS NULL OR component = node").select("node")
+    return docs.join(stays, docs["doc_id"] == stays["node"], "left").where("doc_id IS NULL OR node IS NOT NULL").select(*[docs[c] for c in docs.columns])
