@@ -328,10 +328,10 @@ def test_peeling_recovers_digests(spark):
     from tessera.llm import fingerprint as f
 
     for n in (0, 3, 40, 400):
-        row = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n + 5)), lambda i: F.xxhash64(i)).alias("a"), F.transform(F.sequence(F.lit(n), F.lit(n + 8)), lambda i: F.xxhash64(i)).alias("b"))
+        texts = spark.createDataFrame([("\n".join(map(str, range(n + 6))), "\n".join(map(str, range(n, n + 9))))], "a string, b string")
+        row = texts.select(f.paragraphs(F.col("a")).alias("a"), f.paragraphs(F.col("b")).alias("b"))
         found = row.select("a", "b", f.difference(F.col("a"), F.col("b"), f.sketch(F.col("a")), f.sketch(F.col("b"))).alias("d")).first()
-        assert {c.key for c in found.d if c.n == 1} == set(found.a) - set(found.b)
-        assert {c.key for c in found.d if c.n == -1} == set(found.b) - set(found.a)
+        assert len(found.d) == len(set(found.d)) and set(found.d) == set(found.a) ^ set(found.b)
 
 
 PAGES = "page_id long, url string, html string"
