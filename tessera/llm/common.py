@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from ..shipping import ship
+
+__all__ = ["crc_mod", "materialise", "shared_dir", "ship", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,19 +41,6 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera_pkg.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, os.path.join("tessera", p.relative_to(PACKAGE)))
-    sc.addPyFile(str(target))
-    sc._tessera_shipped = True
-
-
 def text_or_empty(col: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
