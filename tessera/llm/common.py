@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["crc_mod", "materialise", "shared_dir", "ship", "table", "text_or_empty"]
+__all__ = ["crc_mod", "materialise", "pieces", "shared_dir", "ship", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,13 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in slices of at most ``rows`` rows, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -22,7 +22,7 @@ from .common import ship
 
 WINDOW = 8
 LEAST_LITERAL = 4
-MEMO = 400_000
+MEMO = 200_000
 BROADCAST_WINDOWS = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?;:\n]")
 WORD, NAME, NUMBER, UNIT, STOP = range(5)

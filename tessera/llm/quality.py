@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, ship, text_or_empty
+from .common import crc_mod, pieces, ship, text_or_empty
 
 NAMES = ("log_words", "word_length", "distinct_words", "top_word", "same_as_last", "symbols", "symbol_ends", "capitals", "digits", "bars", "stops", "repeated_lines", "line_words", "repeated_pairs")
 _SYMBOL_END = re.compile(r"[^\w\s.,;:?'\")\]-](?:\s|$)")
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, modulus: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.quality import describe
 
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([describe(x.as_py()) for x in b.column(1)], pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     got = sorted((r["doc_id"], r["label"], r["x"]) for r in rows.mapInArrow(run, "doc_id long, label int, x array<double>").collect())
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: AdditiveModel, *, text: str = "text", name: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.quality import describe
 
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([describe(v.as_py() or "") for v in b.column(column)]).reshape(b.num_rows, -1)
             out = sent.value.score(x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, ship
+from .common import materialise, pieces, ship
 
 BANDS = 4
 
@@ -291,7 +291,7 @@ class WidePrints:
         w = text.encode().lower().split()
         if not w:
             return [0] * self.tables, bytes(64)
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
         fresh = set(w).difference(known)
@@ -323,7 +323,7 @@ def wide_prints(docs: DataFrame, words: int, tables: int) -> DataFrame:
         from tessera.llm.simhash import WidePrints
 
         made = WidePrints(words, tables)
-        for b in batches:
+        for b in pieces(batches):
             got = [made(v.as_py() or "") for v in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.binary())], names=["doc_id", "keys", "bits"])
 

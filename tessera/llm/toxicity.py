@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, ship, text_or_empty
+from .common import crc_mod, pieces, ship, text_or_empty
 
 BITS = 20
-MEMO = 400_000
+MEMO = 200_000
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -118,14 +118,19 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits: int
         from tessera.llm.toxicity import features
 
         made = features(bits)
-        for b in batches:
-            sets = [np.unique(made(x.as_py())).astype(np.int64).tolist() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "__label", "at"])
+        for b in pieces(batches):
+            sets = [np.unique(made(x.as_py())).astype(np.int32) for x in b.column(1)]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at], names=["doc_id", "__label", "at"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.toxicity import Ftrl
 
-        data = [(i, int(y), np.array(a, np.int64)) for b in batches for i, y, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        data = []
+        for b in batches:
+            sets, ends = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
+            data += [(i, int(y), sets[ends[k] : ends[k + 1]].copy()) for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))]
         data.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], r[1], len(r[2])))
         model = Ftrl(bits)
         for _ in range(epochs):
@@ -136,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits: int
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w[at].tolist(), model.bias], pa.float64())], names=["at", "weight"])
 
-    sets = rows.mapInArrow(hashed, "doc_id long, __label int, at array<long>")
+    sets = rows.mapInArrow(hashed, "doc_id long, __label int, at array<int>")
     return {r["at"]: r["weight"] for r in sets.repartition(1).mapInArrow(fit, MODEL).collect()}
 
 
@@ -162,7 +167,7 @@ def score(docs: DataFrame, weights: dict[int, float], *, bits: int = BITS, text:
         dense = np.zeros(1 << bits)
         dense[at] = values
         made = features(bits)
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for x in b.column(column):
                 total = bias or 0.0
