@@ -73,13 +73,16 @@ def candidate_forms(name: str, limit: int = 64, depth: int = 4) -> list[str]:
     return list(found)[:limit]
 
 
-@F.pandas_udf("array<string>")
-def candidates(names: pd.Series) -> pd.Series:
-    """:func:`candidate_forms` of a column; work is done once for each distinct name of a batch."""
+def _candidate_series(names: pd.Series) -> pd.Series:
     made = {n: candidate_forms(n) for n in names.dropna().unique()}
     return names.map(lambda n: made.get(n, []))
 
 
+def candidates(c: Column | str) -> Column:
+    """:func:`candidate_forms` of a column; work is done once for each distinct name of a batch."""
+    return F.pandas_udf(_candidate_series, "array<string>")(c)
+
+
 def url_part(c: Column) -> Column:
     """Percent encoding of one path segment."""
     out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))

@@ -8,30 +8,58 @@ from pyspark.sql import functions as F
 from .versions import trim_all
 
 
-def shape(v: Column) -> Column:
-    """STRING, ARRAY<...>, OBJECT<...>, VOID (null), BIGINT and so on; NULL for a missing value."""
-    return F.schema_of_variant(v)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def text(v: Column) -> Column:
-    """The string of a variant that is a string, else NULL."""
-    return F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string"))
+def listed(v: Column) -> Column:
+    """The elements of a variant that is an array, else NULL."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def mapped(v: Column) -> Column:
+    """The keys and values of a variant that is an object, else NULL."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def items(v: Column) -> Column:
     """The elements of a variant that is an array, else an empty array."""
-    return F.coalesce(F.when(F.startswith(shape(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(listed(v), F.array().cast("array<variant>"))
+
+
+def is_list(v: Column) -> Column:
+    return listed(v).isNotNull()
+
+
+def is_object(v: Column) -> Column:
+    return mapped(v).isNotNull()
 
 
 def members(v: Column) -> Column:
     """The values of a variant that is an object, else an empty array."""
-    return F.coalesce(F.when(F.startswith(shape(v), F.lit("OBJECT")), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))), F.array().cast("array<variant>"))
+    return F.coalesce(F.map_values(mapped(v)), F.array().cast("array<variant>"))
+
+
+def _scalar_type(v: Column) -> Column:
+    """STRING, VOID (null), BIGINT and so on of a scalar; the whole of a container is not looked at."""
+    return F.when(is_list(v), "ARRAY").when(is_object(v), "OBJECT").otherwise(F.schema_of_variant(v))
+
+
+def is_null(v: Column) -> Column:
+    """Is it there, with a null?"""
+    return F.is_variant_null(v)
+
+
+def text(v: Column) -> Column:
+    """The string of a variant that is a string, else NULL."""
+    return let(v, lambda x: F.when(_scalar_type(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def child(v: Column, key: str) -> Column:
-    """The value of a key: NULL if the key is missing, a null variant if it is null."""
+    """The value of a key: NULL if the key is missing or ``v`` is no object, a null variant if it is null."""
     quoted = key.replace("'", "\\'")
-    return F.when(F.startswith(shape(v), F.lit("OBJECT")), F.try_variant_get(v, f"$['{quoted}']", "variant"))
+    return F.try_variant_get(v, f"$['{quoted}']", "variant")
 
 
 def clean(c: Column) -> Column:
@@ -42,8 +70,10 @@ def clean(c: Column) -> Column:
 
 def truthy(v: Column) -> Column:
     """Does a variant count as present? Null, blank, NOASSERTION in any case and empty containers do not; 0 and false do."""
-    kind, said = shape(v), trim_all(text(v))
-    return F.coalesce(
-        F.when(kind == "VOID", False).when(kind == "STRING", (said != "") & (F.upper(said) != "NOASSERTION")).when(F.startswith(kind, F.lit("ARRAY")), F.size(items(v)) > 0).when(F.startswith(kind, F.lit("OBJECT")), kind != "OBJECT<>").otherwise(v.isNotNull()),
-        F.lit(False),
-    )
+
+    def scalar(x: Column) -> Column:
+        said = trim_all(F.try_variant_get(x, "$", "string"))
+        return let(F.schema_of_variant(x), lambda kind: F.when(kind == "VOID", False).when(kind == "STRING", (said != "") & (F.upper(said) != "NOASSERTION")).otherwise(True))
+
+    whole = lambda x: F.when(x.isNull(), False).when(is_list(x), F.size(listed(x)) > 0).when(is_object(x), F.size(mapped(x)) > 0).otherwise(scalar(x))
+    return F.coalesce(let(v, whole), F.lit(False))

@@ -43,35 +43,42 @@ def semver_compare(a: Column, b: Column) -> Column:
     return F.when(x.isNull() | y.isNull(), None).when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
-def affected_by(version: Column, kind: Column, events: Column) -> Column:
-    """Is ``version`` inside a range of (introduced, fixed, last_affected, limit) events?
+def prepare_range(kind: Column, events: Column) -> Column:
+    """struct(usable, marks) of a range of (introduced, fixed, last_affected, limit) events, to be asked many times.
 
-    NULL, not False, where the range cannot be understood: it is not SEMVER, has no
-    events, none of them opens it, holds an event of another kind, or has a bound or
-    the version itself that is no semantic version.
+    A range is not usable if it is not SEMVER, has no events, none of them opens it,
+    holds an event of another kind, or has a bound that is no semantic version.
     """
-    zero = lambda e: e["introduced"] == "0"
+    zero = lambda e: F.coalesce(e["introduced"] == "0", F.lit(False))
     bound = lambda e: F.coalesce(e["introduced"], e["fixed"], e["last_affected"])
     marked = F.transform(
         events,
         lambda e: F.struct(
             F.when(zero(e), 0).otherwise(1).alias("after_zero"),
-            F.when(~F.coalesce(zero(e), F.lit(False)), semver_key(bound(e))).alias("at"),
+            F.when(~zero(e), semver_key(bound(e))).alias("at"),
             F.when(e["introduced"].isNotNull(), 0).when(e["fixed"].isNotNull(), 1).when(e["last_affected"].isNotNull(), 2).otherwise(3).alias("what"),
         ),
     )
     unclear = F.exists(marked, lambda m: (m["what"] == 3) | ((m["after_zero"] == 1) & m["at"].isNull()))
     opened = F.exists(marked, lambda m: m["what"] == 0)
-    key = semver_key(version)
+    usable = F.coalesce((kind == "SEMVER") & (F.size(events) > 0) & ~unclear & opened, F.lit(False))
+    return F.struct(usable.alias("usable"), F.array_sort(marked).alias("marks"))
+
+
+def in_range(key: Column, prepared: Column) -> Column:
+    """Is a version (its :func:`semver_key`) inside a prepared range? NULL, not False, where that cannot be said."""
 
     def walk(state: Column, m: Column) -> Column:
         reached = (m["after_zero"] == 0) | (m["at"] <= key)
         after = F.when(m["what"] == 0, True).when(m["what"] == 1, False).otherwise(state & (key <= m["at"]))
         return F.when(reached, after).otherwise(state)
 
-    inside = F.aggregate(F.array_sort(marked), F.lit(False), walk)
-    usable = (kind == "SEMVER") & key.isNotNull() & (F.size(events) > 0) & ~unclear & opened
-    return F.when(F.coalesce(usable, F.lit(False)), inside)
+    return F.when(prepared["usable"] & key.isNotNull(), F.aggregate(prepared["marks"], F.lit(False), walk))
+
+
+def affected_by(version: Column, kind: Column, events: Column) -> Column:
+    """:func:`in_range` of a version and a range as they are written."""
+    return in_range(semver_key(version), prepare_range(kind, events))
 
 
 def dotted(version: Column) -> Column:

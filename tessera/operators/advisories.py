@@ -16,7 +16,7 @@ AFFECTED = "array<struct<name:string,ecosystem:string,versions:array<string>,ran
 
 
 def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
-    """(ecosystem, name, vulnerabilities, malicious): advisories by the key they are looked up by.
+    """(ecosystem, name, vulnerabilities, malicious): advisories by the key they are looked up by, ranges prepared.
 
     ``advisories``: kind (vulnerability or malicious), ecosystem, name, id, aliases,
     summary, affected; an id counts once for each key.  ``kev``: id of every advisory
@@ -26,13 +26,14 @@ def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
     ids = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))
     exploited = once.select("id", F.explode(ids).alias("any_id")).join(kev.select(F.col("id").alias("any_id")).distinct(), "any_id", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
     marked = once.join(exploited, "id", "left").withColumn("ids", ids)
-    entry = F.struct("id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), "affected")
+    ready = F.transform("affected", lambda a: F.struct(a["name"].alias("name"), a["ecosystem"].alias("ecosystem"), a["versions"].alias("versions"), F.transform(a["ranges"], lambda r: versions.prepare_range(r["type"], r["events"])).alias("ranges")))
+    entry = F.struct("id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), ready.alias("affected"))
     pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     return marked.groupBy("ecosystem", "name").agg(pick("vulnerability").alias("vulnerabilities"), pick("malicious").alias("malicious"))
 
 
-def outcome(affected: Column, ecosystem: Column, name: Column, version: Column) -> Column:
-    """struct(outcome, method) of one advisory for a version: affected, clear or indeterminate.
+def outcome(affected: Column, ecosystem: Column, name: Column, version: Column, key: Column) -> Column:
+    """struct(outcome, method) of one advisory (ranges prepared) for a version and its key: affected, clear or indeterminate.
 
     A list of versions answers a hit; ranges are asked even where there is a list.  An
     entry that nothing could be compared with cannot clear anything.
@@ -40,7 +41,7 @@ def outcome(affected: Column, ecosystem: Column, name: Column, version: Column)
 
     def entry(a: Column) -> Column:
         none = F.array().cast("array<boolean>")
-        answers = F.coalesce(F.transform(a["ranges"], lambda r: versions.affected_by(version, r["type"], r["events"])), none)
+        answers = F.coalesce(F.transform(a["ranges"], lambda r: versions.in_range(key, r)), none)
         listed = F.coalesce(F.size(a["versions"]) > 0, F.lit(False))
         return F.struct(
             (listed & F.coalesce(F.array_contains(a["versions"], version), F.lit(False))).alias("in_list"),
@@ -71,6 +72,7 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
     """
     keyed = components.withColumn("__k", purl.purl_key(purl.purl_parts(F.col("purl"))))
     keyed = keyed.withColumn("ecosystem", F.col("__k.ecosystem")).withColumn("matched_name", F.col("__k.name")).withColumn("__v", F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("version", F.lit(""))))
+    keyed = keyed.withColumn("__key", versions.semver_key(F.col("__v")))
     keyed = keyed.join(F.broadcast(shards.select(F.col("ecosystem").alias("__e"), "loaded")), F.col("ecosystem") == F.col("__e"), "left").drop("__e")
     exact = keyed.join(indexed.withColumnRenamed("name", "matched_name"), ["ecosystem", "matched_name"], "left")
     none = F.coalesce(F.size("vulnerabilities"), F.lit(0)) <= 0
@@ -82,7 +84,7 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
     empty = lambda c: F.coalesce(c, F.array().cast(indexed.schema["vulnerabilities"].dataType))
     both = both.withColumn("matched_name", F.coalesce("via", "matched_name")).withColumn("__a", empty(F.coalesce("found.vulnerabilities", "vulnerabilities"))).withColumn("__m", empty(F.when(F.col("via").isNotNull(), F.col("found.malicious")).otherwise(F.col("malicious"))))
     declared = F.coalesce("declared", F.array().cast("array<string>"))
-    both = both.withColumn("__o", F.transform("__a", lambda a: F.struct(a.alias("a"), outcome(a["affected"], F.col("ecosystem"), F.col("matched_name"), F.col("__v")).alias("o"))))
+    both = both.withColumn("__o", F.transform("__a", lambda a: F.struct(a.alias("a"), outcome(a["affected"], F.col("ecosystem"), F.col("matched_name"), F.col("__v"), F.col("__key")).alias("o"))))
     hits = F.transform(F.filter("__o", lambda x: x["o"]["outcome"] == "affected"), lambda x: _hit(x["a"], x["o"]["method"], F.col("matched_name"), declared))
     malicious = F.transform("__m", lambda a: _hit(a, F.lit("enumerated-version"), F.col("matched_name"), declared))
     unclear = F.size(F.filter("__o", lambda x: x["o"]["outcome"] == "indeterminate"))

@@ -11,8 +11,12 @@ from . import selectors
 
 def _follow(value: Column, key: str) -> Column:
     """A key of an object, or the list of that key's values over the objects of a list; NULL if there is none."""
-    spread = F.filter(F.transform(values.items(value), lambda x: values.child(x, key)), lambda x: x.isNotNull())
-    return F.coalesce(values.child(value, key), F.when(F.size(spread) > 0, F.to_variant_object(spread)))
+
+    def step(v: Column) -> Column:
+        spread = F.filter(F.transform(values.items(v), lambda x: values.child(x, key)), lambda x: x.isNotNull())
+        return F.coalesce(values.child(v, key), values.let(spread, lambda s: F.when(F.size(s) > 0, F.to_variant_object(s))))
+
+    return values.let(value, step)
 
 
 def exists(node: Column, expression: str) -> Column:
@@ -33,7 +37,7 @@ def exists(node: Column, expression: str) -> Column:
 
 def _as_text(v: Column) -> Column:
     """A value as the text that comparisons see: None for null, otherwise its own text."""
-    return F.when(values.shape(v) == "VOID", "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    return F.when(values.is_null(v), "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
 
 def _literal(v: object) -> str:
@@ -68,13 +72,12 @@ def holds(assertion: dict, node: Column, doc: Column) -> Column:
         for key, want in pairs.items():
             got = F.coalesce(_as_text(values.child(node, key)), F.lit(""))
             out = out | (F.lower(got) == _literal(want).lower())
-        return out & F.startswith(F.coalesce(values.shape(node), F.lit("")), F.lit("OBJECT"))
+        return out & values.is_object(node)
     if (rule := assertion.get("minLength")) is not None:
         out = F.lit(False)
         for alternative in rule.get("field", "").split("|"):
             path = alternative if alternative.startswith("$") else f"$.{alternative}"
             first = F.try_element_at(selectors.matches(doc, path), F.lit(1))
-            is_list = F.coalesce(F.startswith(values.shape(first), F.lit("ARRAY")), F.lit(False))
-            out = out | (is_list & (F.size(values.items(first)) >= rule.get("min", 1)))
+            out = out | F.coalesce(F.size(values.listed(first)) >= rule.get("min", 1), F.lit(False))
         return out
     return F.lit(True)

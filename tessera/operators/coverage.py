@@ -18,15 +18,15 @@ def component_tree(docs: DataFrame, depth: int = 64) -> DataFrame:
     """
     spark = docs.sparkSession
     docs.select("doc_id", "doc").createOrReplaceTempView("__tree_docs")
-    is_object = "schema_of_variant(c.value) LIKE 'OBJECT%'"
+    is_object = "try_variant_get(c.value, '$', 'map<string,variant>') IS NOT NULL"
     return spark.sql(f"""
         WITH RECURSIVE tree(doc_id, level, path, component) MAX RECURSION LEVEL {depth} AS (
             SELECT d.doc_id, 0, concat('$.components[', c.pos, ']'), c.value
-            FROM __tree_docs d, LATERAL variant_explode_outer(CASE WHEN schema_of_variant(try_variant_get(d.doc, '$.components', 'variant')) LIKE 'ARRAY%' THEN try_variant_get(d.doc, '$.components', 'variant') END) c
+            FROM __tree_docs d, LATERAL posexplode(try_variant_get(d.doc, '$.components', 'array<variant>')) c(pos, value)
             WHERE {is_object}
             UNION ALL
             SELECT t.doc_id, t.level + 1, concat(t.path, '.components[', c.pos, ']'), c.value
-            FROM tree t, LATERAL variant_explode_outer(CASE WHEN schema_of_variant(try_variant_get(t.component, '$.components', 'variant')) LIKE 'ARRAY%' THEN try_variant_get(t.component, '$.components', 'variant') END) c
+            FROM tree t, LATERAL posexplode(try_variant_get(t.component, '$.components', 'array<variant>')) c(pos, value)
             WHERE {is_object}
         )
         SELECT doc_id, level, path, component FROM tree""")
@@ -77,7 +77,7 @@ def coverage(docs: DataFrame) -> DataFrame:
     tree = component_tree(docs.where(nested))
     c = F.col("component")
     rows = tree.select("doc_id", (F.col("level") == 0).alias("top"), *[v.alias(k) for k, v in nested_elements(c).items()])
-    packages = docs.where(~F.coalesce(nested, F.lit(False))).select("doc_id", F.explode(F.filter(values.items(values.child(F.col("doc"), "packages")), lambda p: F.startswith(values.shape(p), F.lit("OBJECT")))).alias("p"))
+    packages = docs.where(~F.coalesce(nested, F.lit(False))).select("doc_id", F.explode(F.filter(values.items(values.child(F.col("doc"), "packages")), values.is_object)).alias("p"))
     rows = rows.unionByName(packages.select("doc_id", F.lit(True).alias("top"), *[v.alias(k) for k, v in flat_elements(F.col("p")).items()]))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("top").alias("top_level"), F.count_if(F.col("purl") | F.col("cpe")).alias("identified"), *[F.count_if(k).alias(k) for k in ELEMENTS])
     has = lambda k: F.size(values.items(values.child(F.col("doc"), k))) > 0

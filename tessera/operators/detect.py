@@ -19,9 +19,9 @@ def element_type(e: Column) -> Column:
 def elements(doc: Column) -> Column:
     """The elements of a graph document; a typed document without a graph is its own element."""
     graph = values.child(doc, "@graph")
-    listed = F.filter(values.items(graph), lambda e: F.startswith(values.shape(e), F.lit("OBJECT")))
+    listed = F.filter(values.items(graph), values.is_object)
     alone = F.when(element_type(doc) != "", F.array(doc)).otherwise(F.array().cast("array<variant>"))
-    return F.when(F.startswith(values.shape(graph), F.lit("ARRAY")), listed).otherwise(alone)
+    return F.when(values.is_list(graph), listed).otherwise(alone)
 
 
 def _context(doc: Column) -> Column:
@@ -54,7 +54,7 @@ def detect(doc: Column) -> Column:
     nothing = F.lit(None).cast("string")
     return (
         F.when(doc.isNull(), answer(None, nothing, "not JSON"))
-        .when(~F.startswith(values.shape(doc), F.lit("OBJECT")), answer(None, nothing, "not an object"))
+        .when(~values.is_object(doc), answer(None, nothing, "not an object"))
         .when(stated.isNotNull(), answer("spdx", F.regexp_replace(stated, "^SPDX-", "")))
         .when(is_graph(doc), answer("spdx", graph_version(doc)))
         .when(has("SPDXID"), answer("spdx", F.lit("unknown")))

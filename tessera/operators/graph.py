@@ -21,10 +21,6 @@ REACHED = ("licenseexpression", "anylicenseinfo", "customlicense", "listedlicens
 READ_KEYS = ("type @type spdxId @id creationInfo name summary description software_packageVersion packageVersion software_packageUrl packageUrl suppliedBy originatedBy builtBy verifiedUsing externalIdentifier externalRef software_additionalPurpose software_primaryPurpose software_downloadLocation software_homePage software_copyrightText comment extension").split()
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _first(options: Column) -> Column:
     """The first element that is neither NULL nor empty."""
     return F.get(F.filter(options, lambda x: x.isNotNull() & (x != "")), F.lit(0))
@@ -36,8 +32,8 @@ def _said(v: Column, *keys: str) -> Column:
 
 def _list(v: Column) -> Column:
     """A list as it is; anything else that is there as a list of one."""
-    alone = F.when(v.isNull() | (values.shape(v) == "VOID"), F.array().cast("array<variant>")).otherwise(F.array(v))
-    return F.when(F.coalesce(F.startswith(values.shape(v), F.lit("ARRAY")), F.lit(False)), values.items(v)).otherwise(alone)
+    none = F.array().cast("array<variant>")
+    return values.let(v, lambda x: F.when(x.isNull() | values.is_null(x), none).otherwise(F.coalesce(values.listed(x), F.array(x))))
 
 
 def _identity(e: Column) -> Column:
@@ -52,19 +48,18 @@ def index(found: Column) -> Column:
         kept = F.filter(k, lambda x, i: ~F.get(k, i + 1)["id"].eqNullSafe(x["id"]))
         return F.map_from_arrays(F.transform(kept, lambda x: x["id"]), F.transform(kept, lambda x: F.get(found, x["at"])))
 
-    return _let(keyed, last_only)
+    return values.let(keyed, last_only)
 
 
 def _resolve(ref: Column, by_id: Column) -> Column:
-    inline = F.coalesce(F.startswith(values.shape(ref), F.lit("OBJECT")), F.lit(False))
-    return F.when(inline, ref).otherwise(F.try_element_at(by_id, values.text(ref)))
+    return values.let(ref, lambda r: F.when(values.is_object(r), r).otherwise(F.try_element_at(by_id, values.text(r))))
 
 
 def _agent(ref: Column, by_id: Column) -> Column:
     """Display name of an agent or of the first named one of a list; an id that leads nowhere stands for itself."""
 
     def one(r: Column) -> Column:
-        return _let(
+        return values.let(
             _resolve(r, by_id),
             lambda a: F.when(a.isNull(), values.text(r)).otherwise(F.concat(F.when(element_type(a) == "organization", "Organization: ").when(element_type(a) == "person", "Person: ").when(element_type(a).isin("tool", "softwareagent"), "Tool: ").otherwise(""), _said(a, "name"))),
         )
@@ -73,7 +68,7 @@ def _agent(ref: Column, by_id: Column) -> Column:
 
 
 def _licence(ref: Column, by_id: Column) -> Column:
-    return _let(
+    return values.let(
         _resolve(ref, by_id),
         lambda a: F.when(a.isNull(), values.text(ref)).otherwise(F.coalesce(_said(a, "simplelicensing_licenseExpression", "licenseExpression", "name"), F.when(element_type(a) == "noassertionlicense", "NOASSERTION"), F.when(element_type(a) == "nonelicense", "NONE"))),
     )
@@ -105,7 +100,7 @@ def _package(p: Column, by_id: Column, relations: Column, notes: Column) -> Colu
         return F.try_element_at(named, F.lit(-1))
 
     def checksum(h: Column) -> Column:
-        return _let(_resolve(h, by_id), lambda x: F.when((element_type(x) == "hash") & (_said(x, "hashValue") != ""), F.struct(F.coalesce(F.regexp_replace(F.upper(_said(x, "algorithm")), "[^A-Z0-9]", ""), F.lit("NOASSERTION")).alias("algorithm"), _said(x, "hashValue").alias("checksumValue"))))
+        return values.let(_resolve(h, by_id), lambda x: F.when((element_type(x) == "hash") & (_said(x, "hashValue") != ""), F.struct(F.coalesce(F.regexp_replace(F.upper(_said(x, "algorithm")), "[^A-Z0-9]", ""), F.lit("NOASSERTION")).alias("algorithm"), _said(x, "hashValue").alias("checksumValue"))))
 
     purl = F.nullif(_said(p, "software_packageUrl", "packageUrl"), F.lit(""))
     ref = lambda category, kind, locator: F.struct(category.alias("referenceCategory"), kind.alias("referenceType"), locator.alias("referenceLocator"))
@@ -116,7 +111,7 @@ def _package(p: Column, by_id: Column, relations: Column, notes: Column) -> Colu
             usable = (locator != "") & ~((kind == "packageurl") & purl.isNotNull())
             return F.when(usable, ref(F.when(kind.isin("cpe22", "cpe23"), "SECURITY").otherwise("OTHER"), F.when(kind == "packageurl", "purl").when(kind == "", "other").otherwise(kind), locator))
 
-        return _let(_resolve(r, by_id), made)
+        return values.let(_resolve(r, by_id), made)
 
     own = F.when(purl.isNotNull(), F.array(ref(F.lit("PACKAGE-MANAGER"), F.lit("purl"), purl))).otherwise(F.array().cast("array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>"))
     known = lambda a: F.filter(a, lambda x: x.isNotNull())
@@ -166,7 +161,7 @@ def _view(doc: Column, found: Column, by_id: Column) -> Column:
 
 def as_flat(doc: Column) -> Column:
     """The flat view of a graph document, as VARIANT; absent facts are absent keys."""
-    return F.parse_json(F.to_json(_let(elements(doc), lambda found: _let(index(found), lambda by_id: _view(doc, found, by_id)))))
+    return F.parse_json(F.to_json(values.let(elements(doc), lambda found: values.let(index(found), lambda by_id: _view(doc, found, by_id)))))
 
 
 def accounting(doc: Column) -> Column:
@@ -179,4 +174,4 @@ def accounting(doc: Column) -> Column:
         structural = F.filter(_of(found, RELATIONS), lambda r: ~_kind(r).isin("hasdeclaredlicense", "hasconcludedlicense"))
         return F.struct(F.size(_of(found, PACKAGES)).alias("packages"), F.size(structural).alias("relationships"), F.size(_of(found, AGENTS)).alias("agents"), F.array_sort(F.array_distinct(other)).alias("unmapped_types"), F.array_sort(F.array_distinct(F.filter(keys, lambda k: ~k.isin(*READ_KEYS)))).alias("unmapped_package_keys"))
 
-    return _let(elements(doc), count)
+    return values.let(elements(doc), count)

@@ -7,7 +7,6 @@ of the document; only the findings are exploded.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -110,29 +109,27 @@ def label(node: Column) -> Column:
     return F.when(name.isNotNull(), F.concat_ws(" ", name, version))
 
 
-def _results(pack: Pack, kind: str, doc: Column) -> Column:
-    """array of (rule_id, ran, failures: array of (path, component)) for a document of one format."""
-    groups: dict[str, list[Rule]] = defaultdict(list)
-    out = []
-    for r in pack.rules:
-        if kind in r.applies_to and r.selector_of(kind) and r.assertion_of(kind) is not None:
-            groups[r.selector_of(kind)].append(r)
-        else:
-            status = "not-applicable" if kind not in r.applies_to else "no-path"
-            out.append((r, F.lit(status), None))
-    at = {s: F.element_at(F.col("__nodes"), s) for s in groups}
-    for selector, rules in groups.items():
-        found = at[selector]
-        for r in rules:
-            bad = _failing(found, r, kind, doc)
-            empty = F.size(found) == 0
-            here = F.array(F.struct(F.lit(selector).alias("path"), F.lit(None).cast("string").alias("component")))
-            none = F.array().cast("array<struct<path:string,component:string>>")
-            failures = F.when(~empty, bad).when(F.lit(r.on_empty == "fire"), here).otherwise(none)
-            status = F.when(empty & F.lit(r.on_empty == "skip"), "no-path").otherwise("ran")
-            out.append((r, status, failures))
-    none = F.array().cast("array<struct<path:string,component:string>>")
-    return F.array(*[F.struct(F.lit(r.id).alias("rule_id"), s.alias("status"), (none if f is None else f).alias("failures")) for r, s, f in out])
+NONE = "array<struct<path:string,component:string>>"
+
+
+def _selectors(pack: Pack, kind: str) -> list[str]:
+    return sorted({r.selector_of(kind) for r in pack.rules if kind in r.applies_to and r.selector_of(kind) and r.assertion_of(kind) is not None})
+
+
+def _result(rule: Rule, kind: str, doc: Column, found: dict[str, Column]) -> Column:
+    """(rule_id, status, failures) of one rule for a document of one format."""
+    none, selector = F.array().cast(NONE), rule.selector_of(kind)
+    if kind not in rule.applies_to:
+        status, failures = F.lit("not-applicable"), none
+    elif not selector or rule.assertion_of(kind) is None:
+        status, failures = F.lit("no-path"), none
+    else:
+        reached = found[selector]
+        here = F.array(F.struct(F.lit(selector).alias("path"), F.lit(None).cast("string").alias("component")))
+        empty = F.size(reached) == 0
+        status = F.when(empty & F.lit(rule.on_empty == "skip"), "no-path").otherwise("ran")
+        failures = F.when(~empty, _failing(reached, rule, kind, doc)).otherwise(here if rule.on_empty == "fire" else none)
+    return F.struct(F.lit(rule.id).alias("rule_id"), status.alias("status"), failures.alias("failures"))
 
 
 def _failing(found: Column, rule: Rule, kind: str, doc: Column) -> Column:
@@ -149,17 +146,19 @@ def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
     from .graph import as_flat
 
     seen = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"))
-    seen = seen.select("doc_id", F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(F.col("doc")), as_flat(F.col("doc"))).otherwise(F.col("doc")).alias("doc"), F.col("__d.format").alias("format"), F.col("__d.spec").alias("spec"), F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem")).alias("problem"))
-    parts = []
+    flat = F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(F.col("doc")), as_flat(F.col("doc"))).otherwise(F.col("doc"))
+    problem = F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem"))
+    seen = seen.select("doc_id", flat.alias("doc"), F.col("__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"))
+    results, names = F.array().cast(f"array<struct<rule_id:string,status:string,failures:{NONE}>>"), {}
+    for kind in ("cyclonedx", "spdx"):
+        for k, s in enumerate(_selectors(pack, kind)):
+            names[kind, s] = f"__{kind}_{k}"
+    here = lambda kind: (F.col("format") == kind) & F.col("problem").isNull()
+    seen = seen.select("*", *[F.when(here(kind), selectors.nodes(F.col("doc"), s)).alias(n) for (kind, s), n in names.items()])
     for kind in ("cyclonedx", "spdx"):
-        picked = sorted({r.selector_of(kind) for r in pack.rules if kind in r.applies_to and r.selector_of(kind)})
-        mine = seen.where((F.col("format") == kind) & F.col("problem").isNull())
-        if picked:
-            mine = mine.withColumn("__nodes", F.map_from_arrays(F.array(*[F.lit(s) for s in picked]), F.array(*[selectors.nodes(F.col("doc"), s) for s in picked])))
-        parts.append(mine.select("doc_id", "format", "spec", "problem", _results(pack, kind, F.col("doc")).alias("results")))
-    empty = F.array().cast("array<struct<rule_id:string,status:string,failures:array<struct<path:string,component:string>>>>")
-    parts.append(seen.where(F.col("problem").isNotNull()).select("doc_id", "format", "spec", "problem", empty.alias("results")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        found = {s: F.col(n) for (k, s), n in names.items() if k == kind}
+        results = F.when(here(kind), F.array(*[_result(r, kind, F.col("doc"), found) for r in pack.rules])).otherwise(results)
+    return seen.select("doc_id", "format", "spec", "problem", results.alias("results"))
 
 
 def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> DataFrame:
@@ -171,7 +170,8 @@ def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> D
 
 def rule_runs(results: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per document and rule: status, failures, severity in force, and what became of an override."""
-    each = results.select("doc_id", "format", F.inline("results")).join(F.broadcast(rules), "rule_id")
+    # The outer form keeps the optimiser from adding a filter that works the results out once more.
+    each = results.select("doc_id", "format", F.inline_outer("results")).join(F.broadcast(rules), "rule_id")
     n = F.size("failures")
     inert = (
         F.when(F.col("override_to").isNull(), None)
@@ -186,7 +186,7 @@ def rule_runs(results: DataFrame, rules: DataFrame) -> DataFrame:
 
 def findings(runs: DataFrame) -> DataFrame:
     """One row per failing node, in rule and document order by (rule_order, position)."""
-    out = runs.select("doc_id", "rule_id", "rule_order", "title", "severity", F.when(F.col("overridden"), F.col("pack_severity")).alias("overridden_from"), "fix", "source", F.posexplode("failures").alias("position", "f"))
+    out = runs.select("doc_id", "rule_id", "rule_order", "title", "severity", F.when(F.col("overridden"), F.col("pack_severity")).alias("overridden_from"), "fix", "source", F.posexplode_outer("failures").alias("position", "f")).where("f IS NOT NULL")
     return out.select("doc_id", "rule_id", "rule_order", "position", "title", "severity", "overridden_from", F.col("f.path").alias("path"), F.col("f.component").alias("component"), "fix", "source", F.concat(F.lit("RULE-"), "rule_id").alias("code"))
 
 
