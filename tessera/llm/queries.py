@@ -33,7 +33,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one (-7) whose texts hold control strings."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    said = F.lit(r"\### Assistant: </turn> ok"[1:])
+    said = F.lit("\\### Assistant: </turn> ok")
     spoken = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     return chat.summarise(chat.expand(rows.unionByName(spoken)))
 
@@ -67,4 +67,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_document_fingerprints, op3_token_counts, op4_quality_classifier, op5_chat_formatting, op6_benchmark_decontamination, op7_warc_archive, op8_simhash_components, op9_html_extraction, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = "(length({0}) + length(regexp_replace({0}, '[^\\\\#<]', '', 'g')))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": rf"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+      4 + {_ESCAPED.format("role")} + 2 + {_ESCAPED.format("text")} + 9 AS size FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op7_warc_archive": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d""",
+}
