@@ -35,6 +35,14 @@ def exists(node: Column, expression: str) -> Column:
     return out
 
 
+def property_named(node: Column, where: str, suffix: str) -> Column:
+    """Does a list of properties have one whose name ends in ``suffix``, with a value that says something?"""
+    value = node
+    for key in where.split("."):
+        value = values.child(value, key)
+    return F.exists(values.items(value), lambda p: F.coalesce(F.endswith(values.text(values.child(p, "name")), F.lit(suffix)), F.lit(False)) & values.truthy(values.child(p, "value")))
+
+
 def _as_text(v: Column) -> Column:
     """A value as the text that comparisons see: None for null, otherwise its own text."""
     return F.when(values.is_null(v), "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
@@ -64,6 +72,8 @@ def holds(assertion: dict, node: Column, doc: Column) -> Column:
             for alternative in wanted.split("|")[:1]:
                 out = out | F.exists(selectors.matches(doc, alternative), values.truthy)
         return out
+    if named := assertion.get("_property"):
+        return property_named(node, *named)
     if (pattern := assertion.get("matches")) is not None:
         said = F.concat(F.array(values.text(node)), F.transform(values.members(node), values.text))
         return F.exists(said, lambda s: F.coalesce(F.regexp_like(s, F.lit(pattern)), F.lit(False)))
