@@ -353,7 +353,7 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tables
     Two texts are linked when the 512-bit fingerprints of their distinct ``words``-word
     shingles differ in no more bits than a Jaccard ``similarity`` gives on average, plus
     ``slack`` (one standard error of that share), and one of ``tables`` 24-bit keys of
-    their distinct words is equal; pairs of 0.8 miss all keys less than once in a hundred.
+    their distinct words is equal (the README has measured recall).
     Null and empty texts are equal to each other; a text of fewer words is one shingle.
     Rows that repeat an id stay or go together; rows without an id stay.  An empty table
     gives none.
