@@ -83,11 +83,12 @@ def mix(docs: DataFrame, *, entropy: float | None = 0.97, repeats: float | None
     slim = materialise(base.select(source.alias("s"), token_weight().alias("t"), key.alias("h")), "mix")
     sources = materialise(slim.groupBy("s").agg(F.sum("t").alias("tokens")), "sources")
     plan = materialise(passes(slim, sources, entropy=entropy, repeats=repeats, budget=budget, block_tokens=block_tokens, seed=seed), "plan")
-    joined = base.withColumn("__s", source).withColumn("__h", key).join(plan, F.col("__s") == plan["s"])
-    block = F.pmod("__h", "n_blocks")
-    turn, place = _order("__s", block, "full", seed), _place("__h", seed)
-    more = (turn < F.col("edge_turn")) | ((turn == F.col("edge_turn")) & (place <= F.col("edge_place")))
-    out = joined.withColumn("__n", F.col("full") + F.when(more, 1).otherwise(0)).where("__n > 0")
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])  # clashes with no column of the documents
+    joined = base.withColumn("__source", source).withColumn("__h", key).join(plan, F.col("__source") == F.col("__s"))
+    block = F.pmod("__h", "__n_blocks")
+    turn, place = _order("__s", block, "__full", seed), _place("__h", seed)
+    more = (turn < F.col("__edge_turn")) | ((turn == F.col("__edge_turn")) & (place <= F.col("__edge_place")))
+    out = joined.withColumn("__n", F.col("__full") + F.when(more, 1).otherwise(0)).where("__n > 0")
     out = out.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return out.select(*base.columns, "pass", _order("__s", block, "pass", seed).alias("block"), place.alias("place"))
 

@@ -362,5 +362,5 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tables
     prints = materialise(wide_prints(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), words, tables), "prints")
     classes = materialise(prints.groupBy("bits", "keys").agg(F.min("doc_id").alias("node")), "classes")
     parts = components(wide_links(classes, int((angle + slack) * 512), shard_limit))
-    stays = classes.join(parts, "node", "left").where("component IS NULL OR component = node").select("node")
-    return docs.join(stays, docs["doc_id"] == stays["node"], "left").where("doc_id IS NULL OR node IS NOT NULL").select(*[docs[c] for c in docs.columns])
+    stays = classes.join(parts, "node", "left").where("component IS NULL OR component = node").select(F.col("node").alias("__node"))
+    return docs.join(stays, docs["doc_id"] == stays["__node"], "left").where(docs["doc_id"].isNull() | F.col("__node").isNotNull()).select(*[docs[c] for c in docs.columns])

@@ -440,3 +440,28 @@ def test_every_operator_is_registered():
 
     names = list(entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import chat, decontaminate, extract, fingerprint, mixing, quality, simhash, token_count, toxicity, warc
+
+    more = ["s", "t", "h", "full", "block", "pass", "node", "component", "component_id", "score", "bits", "keys", "h", "at", "slots", "item_id", "turns", "a", "b", "sa", "next_text", "n_tokens", "edge_turn", "tokens", "size", "predicted"]
+    d = docs(spark, ODD).select("*", *[F.lit("x").alias(c) for c in dict.fromkeys(more)])
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("score", F.lit("x"))
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("h", F.lit(1))
+    import public_tokenizers
+
+    n = len(ODD)
+    assert mixing.mix(d, entropy=None, repeats=None).count() == n
+    assert token_count.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")).count() == n
+    assert fingerprint.edited_fingerprints(d).count() == simhash.near_duplicates(d).count() == n
+    assert toxicity.toxicity(d, labels).count() == quality.quality(d, labels).count() == n
+    for kept in (simhash.keep_one(d), decontaminate.drop_contaminated(d, bench), toxicity.reject_toxic(d, labels), quality.keep_quality(d, labels)):
+        assert kept.columns == d.columns and kept.count() <= n
+    assert decontaminate.contaminated(d, bench).count() == 0
+    turns = spark.createDataFrame([(1, 0, "assistant", "x")], "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("target", F.lit(1))
+    assert chat.summarise(chat.expand(turns)).count() == 1
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>")], PAGES).withColumn("digest", F.lit(1)).withColumn("first", F.lit(1)).withColumn("payload", F.lit(1)).withColumn("text", F.lit(1)).withColumn("h", F.lit(1))
+    assert extract.extract(pages).count() == warc.archive(pages, tmp_path.as_uri()).count() == 1
