@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import names, purl, values, versions
+from ..functions import names, purl, texts, values, versions
 from ..operators import advisories, coverage, detect, graph, resolve, rules, selectors, support, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,3 +561,25 @@ def staleness(spark, sf):
     by = table(spark, sf, "events").groupBy("user_id").agg(ordered.alias("v"), F.max("ts").alias("last"))
     days = F.datediff(F.lit("2024-06-01").cast("date"), F.col("last").cast("date"))
     return by.select("user_id", F.element_at("v", F.ceil(F.size("v") / 2).cast("int")).alias("lower_median"), days.alias("days_since"), (days > 90).alias("stale"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'cyclonedx' ELSE 'spdx' END AS format, CASE p_partkey % 4 WHEN 0 THEN 'MD5' WHEN 1 THEN 'SHA1' WHEN 2 THEN 'BLAKE3' ELSE 'CRC' END AS algorithm,
+  CASE WHEN p_partkey % 4 = 0 THEN 'registered' WHEN p_partkey % 4 = 1 AND p_size % 2 = 1 THEN 'registered' WHEN p_partkey % 4 = 2 THEN 'unregistered' ELSE 'unknown' END AS outcome FROM part""")
+def hash_vocabulary(spark, sf):
+    """Hash algorithms against the registered names, with three outcomes."""
+    k = F.col("p_partkey") % 4
+    h = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "cyclonedx").otherwise("spdx").alias("format"), F.when(k == 0, "MD5").when(k == 1, "SHA1").when(k == 2, "BLAKE3").otherwise("CRC").alias("algorithm"))
+    return texts.hash_vocabulary(h).select("p_partkey", "format", "algorithm", "outcome")
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE CAST(round(n_chars / 1024.0) AS BIGINT) || ' KB' END AS size, 'Checked ' || lang || ' by {engine}' AS attested FROM documents WHERE n_chars < 1000000""")
+def report_texts(spark, sf):
+    """Sizes for readers, and templates filled."""
+    d = table(spark, sf, "documents").where("n_chars < 1000000")
+    return d.select("doc_id", texts.human_size(F.col("n_chars")).alias("size"), texts.fill(F.lit("Checked {lang} by {engine}"), {"lang": F.col("lang")}).alias("attested"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') AND NOT regexp_matches(url, '[\\s\"<>'']') THEN url END AS logo FROM pages")
+def safe_logo(spark, sf):
+    """Addresses that may stand in a report."""
+    return table(spark, sf, "pages").select("page_id", texts.safe_logo(F.col("url")).alias("logo"))

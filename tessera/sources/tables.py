@@ -150,6 +150,26 @@ def pdf_runs(content: bytes) -> list[tuple[int, float, float, str]]:
     return runs
 
 
+_OBJECT = re.compile(rb"(\d+) \d+ obj\b(.*?)\bendobj", re.S)
+_NAME = re.compile(rb"/(?:UF|F)\s*\(((?:[^()\\]|\\.)*)\)", re.S)
+_EMBEDDED = re.compile(rb"/EF\s*<<[^>]*?/(?:F|UF|DOS)\s+(\d+)\s+\d+\s+R", re.S)
+
+
+def pdf_attachments(content: bytes) -> list[tuple[str, bytes]]:
+    """(name, bytes) of embedded files; the same name with the same length counts once."""
+    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
+    found: dict[tuple[str, int], bytes] = {}
+    for number in sorted(objects):
+        body = objects[number]
+        held = _EMBEDDED.search(body)
+        stream = _STREAM.search(objects.get(int(held[1]), b"")) if held else None
+        if stream:
+            data, name = _inflate(stream[1], stream[2]), _NAME.search(body)
+            label = _literal(name[1]) if name else f"attachment-{len(found) + 1}"
+            found.setdefault((label, len(data)), data)
+    return [(label, data) for (label, _), data in found.items()]
+
+
 def table_of_runs(runs: list[tuple[int, float, float, str]], row_gap: float = 3.0, column_gap: float = 12.0) -> list[list[str]]:
     """Rows by height on the page, columns by the left edges that recur, reading order kept."""
     rows: list[tuple[int, float, list[tuple[float, str]]]] = []

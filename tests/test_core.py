@@ -276,6 +276,30 @@ def test_tables_of_three_kinds(spark, tmp_path):
     assert kinds == {"a.csv": "text", "b.xlsx": "xlsx", "c.pdf": "pdf", "d.pdf": "pdf", "e.xlsx": "xlsx"}
 
 
+def test_pdf_attachments():
+    from tessera.sources import tables
+
+    spec = b"<< /Type /Filespec /F (a.xml) /EF << /F 2 0 R >> >>"
+    pdf = b"%PDF-1.7\n1 0 obj " + spec + b" endobj\n2 0 obj << /Length 5 >>\nstream\nhello\nendstream endobj\n3 0 obj " + spec + b" endobj"
+    assert tables.pdf_attachments(pdf) == [("a.xml", b"hello")]
+
+
+def test_report_functions(spark):
+    from tessera.functions import texts
+    from tessera.shipping import ship
+
+    ship(spark)
+    r = spark.range(1)
+    for n, want in ((5, "5 bytes"), (1024, "1 KB"), (999_999, "977 KB"), (2_540_000, "2.5 MB")):
+        assert one(r.select(texts.human_size(F.lit(n)))) == want
+    assert one(r.select(texts.safe_logo(F.lit(" https://a/b.png ")))) == "https://a/b.png"
+    assert one(r.select(texts.safe_logo(F.lit("javascript:alert(1)")))) is None
+    assert one(r.select(texts.crosswalk_paths(F.lit("$.a; $.b ;")))) == ["$.a", "$.b"] and one(r.select(texts.crosswalk_paths(F.lit("None given")))) == []
+    assert one(r.select(texts.upper_median(F.array(*map(F.lit, (4, 1, 3, 2)))))) == 3
+    assert tuple(one(r.select(texts.json_problem(F.lit('{"a": nope}'))))) == (6, '{"a": nope}')
+    assert one(r.select(texts.json_problem(F.lit("{}"))))["offset"] is None
+
+
 def test_mirror_build_and_open(spark, tmp_path):
     from tessera.sources import mirror
 
