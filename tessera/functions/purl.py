@@ -14,21 +14,38 @@ def percent_decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def purl_parts(purl: Column) -> Column:
-    """struct(type, segments, version, qualifiers); NULL if it is no package URL."""
-    body = F.regexp_replace(F.substr(purl, F.lit(5)), "(?s)#.*$", "")
-    query = F.when(F.instr(body, "?") > 0, F.regexp_replace(body, r"(?s)^[^?]*\?", "")).otherwise("")
-    path = F.regexp_replace(body, r"(?s)\?.*$", "")
-    last = F.element_at(F.split(path, "/"), -1)
-    raw = F.when(F.instr(last, "@") > 0, F.element_at(F.split(last, "@"), -1))
-    base = F.when(raw.isNull(), path).otherwise(F.substr(path, F.lit(1), F.length(path) - F.length(raw) - 1))
-    steps = F.split(base, "/")
-    kind = F.lower(percent_decode(F.element_at(steps, 1)))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _qualifiers(query: Column) -> Column:
+    """The pairs of a query as a map; of equal keys the last."""
     pairs = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0)
     entries = F.transform(pairs, lambda p: F.struct(F.lower(percent_decode(F.substring_index(p, "=", 1))).alias("key"), percent_decode(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
-    last_wins = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
-    made = F.struct(kind.alias("type"), F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), percent_decode).alias("segments"), F.nullif(percent_decode(raw), F.lit("")).alias("version"), last_wins.alias("qualifiers"))
-    return F.when(F.startswith(purl, F.lit("pkg:")) & (kind != "") & (F.size(steps) > 1), made)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.aggregate(entries, none, lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+
+
+def purl_parts(purl: Column) -> Column:
+    """struct(type, segments, version, qualifiers); NULL if it is no package URL."""
+
+    def parts(body: Column) -> Column:
+        path = F.regexp_replace(body, r"(?s)\?.*$", "")
+        query = F.when(F.instr(body, "?") > 0, F.regexp_replace(body, r"(?s)^[^?]*\?", "")).otherwise("")
+        return _let(path, lambda p: _let(F.regexp_extract(p, r"(?s)^.*?@([^@/]*)$", 1), lambda raw: split(p, raw, query)))
+
+    def split(path: Column, raw: Column, query: Column) -> Column:
+        versioned = path.rlike(r"(?s)@[^@/]*$")
+        base = F.when(versioned, F.substr(path, F.lit(1), F.length(path) - F.length(raw) - 1)).otherwise(path)
+
+        def made(steps: Column) -> Column:
+            kind = F.lower(percent_decode(F.get(steps, F.lit(0))))
+            return F.struct(kind.alias("type"), F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), percent_decode).alias("segments"), F.when(versioned, F.nullif(percent_decode(raw), F.lit(""))).alias("version"), _qualifiers(query).alias("qualifiers"))
+
+        return _let(F.split(base, "/"), lambda steps: F.when((F.size(steps) > 1) & (F.get(steps, F.lit(0)) != ""), made(steps)))
+
+    return F.when(F.startswith(purl, F.lit("pkg:")), _let(F.regexp_replace(F.substr(purl, F.lit(5)), "(?s)#.*$", ""), parts))
 
 
 def debian_release(distro: Column) -> Column:
@@ -43,6 +60,10 @@ def debian_release(distro: Column) -> Column:
 
 def purl_key(parts: Column) -> Column:
     """struct(ecosystem, name, version, why): the key of advisories, or why there is none."""
+    return _let(parts, _key)
+
+
+def _key(parts: Column) -> Column:
     s, whole = parts["segments"], F.array_join(parts["segments"], "/")
     count = F.size(s)
     release = debian_release(F.try_element_at(parts["qualifiers"], F.lit("distro")))

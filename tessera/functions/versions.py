@@ -18,29 +18,30 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s ﻿]+|[\s ﻿]+$", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def semver_key(version: Column) -> Column:
     """Sortable struct of a semantic version (a leading v is allowed); NULL if it is none."""
-    v = F.regexp_replace(trim_all(version), "^v", "")
-    part = lambda i: F.regexp_extract(v, _SEMVER, i)
-    number = lambda c: c.try_cast("decimal(38,0)")
     numeric = lambda t: t.rlike(r"^(0|[1-9]\d*)$")
-    pieces = F.when(part(4) == "", F.array().cast("array<string>")).otherwise(F.split(part(4), r"\."))
-    pre = F.transform(
-        pieces,
-        lambda t: F.struct(
-            F.when(numeric(t), 0).otherwise(1).alias("alpha"),
-            F.when(numeric(t), t.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"),
-            F.when(numeric(t), "").otherwise(t).alias("txt"),
-        ),
-    )
-    made = F.struct(number(part(1)).alias("major"), number(part(2)).alias("minor"), number(part(3)).alias("patch"), F.when(part(4) == "", 1).otherwise(0).alias("released"), pre.alias("pre"))
-    return F.when(v.rlike(_SEMVER), made)
+    identifier = lambda t: F.struct(F.when(numeric(t), 0).otherwise(1).alias("alpha"), F.when(numeric(t), t.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"), F.when(numeric(t), "").otherwise(t).alias("txt"))
+
+    def key(v: Column) -> Column:
+        part = lambda i: F.regexp_extract(v, _SEMVER, i)
+        number = lambda i: part(i).try_cast("decimal(38,0)")
+        none = F.array().cast("array<struct<alpha:int,num:decimal(38,0),txt:string>>")
+        made = lambda pre: F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), F.when(pre == "", 1).otherwise(0).alias("released"), F.when(pre == "", none).otherwise(F.transform(F.split(pre, r"\."), identifier)).alias("pre"))
+        return F.when(v.rlike(_SEMVER), _let(part(4), made))
+
+    return _let(F.regexp_replace(trim_all(version), "^v", ""), key)
 
 
 def semver_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1; NULL if either is not a semantic version."""
-    x, y = semver_key(a), semver_key(b)
-    return F.when(x.isNull() | y.isNull(), None).when(x < y, -1).when(x > y, 1).otherwise(0)
+    order = lambda p: F.when(p["x"].isNull() | p["y"].isNull(), None).when(p["x"] < p["y"], -1).when(p["x"] > p["y"], 1).otherwise(0)
+    return _let(F.struct(semver_key(a).alias("x"), semver_key(b).alias("y")), order)
 
 
 def prepare_range(kind: Column, events: Column) -> Column:
@@ -59,10 +60,14 @@ def prepare_range(kind: Column, events: Column) -> Column:
             F.when(e["introduced"].isNotNull(), 0).when(e["fixed"].isNotNull(), 1).when(e["last_affected"].isNotNull(), 2).otherwise(3).alias("what"),
         ),
     )
-    unclear = F.exists(marked, lambda m: (m["what"] == 3) | ((m["after_zero"] == 1) & m["at"].isNull()))
-    opened = F.exists(marked, lambda m: m["what"] == 0)
-    usable = F.coalesce((kind == "SEMVER") & (F.size(events) > 0) & ~unclear & opened, F.lit(False))
-    return F.struct(usable.alias("usable"), F.array_sort(marked).alias("marks"))
+
+    def ready(marks: Column) -> Column:
+        unclear = F.exists(marks, lambda m: (m["what"] == 3) | ((m["after_zero"] == 1) & m["at"].isNull()))
+        opened = F.exists(marks, lambda m: m["what"] == 0)
+        usable = F.coalesce((kind == "SEMVER") & (F.size(marks) > 0) & ~unclear & opened, F.lit(False))
+        return F.struct(usable.alias("usable"), F.array_sort(marks).alias("marks"))
+
+    return _let(marked, ready)
 
 
 def in_range(key: Column, prepared: Column) -> Column:
@@ -78,7 +83,7 @@ def in_range(key: Column, prepared: Column) -> Column:
 
 def affected_by(version: Column, kind: Column, events: Column) -> Column:
     """:func:`in_range` of a version and a range as they are written."""
-    return in_range(semver_key(version), prepare_range(kind, events))
+    return _let(F.struct(semver_key(version).alias("k"), prepare_range(kind, events).alias("r")), lambda p: in_range(p["k"], p["r"]))
 
 
 def dotted(version: Column) -> Column:
