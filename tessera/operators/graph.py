@@ -91,14 +91,20 @@ def _kind(r: Column) -> Column:
     return F.lower(F.coalesce(_said(r, "relationshipType"), F.lit("")))
 
 
-def _package(p: Column, by_id: Column, relations: Column, notes: Column) -> Column:
+def _licences(relations: Column, kind: str, by_id: Column) -> Column:
+    """map of package id to the licence that its relations of a kind state; the last one wins."""
+    mine = F.filter(relations, lambda r: _kind(r) == kind)
+    stated = F.flatten(F.transform(mine, lambda r: F.transform(_list(values.child(r, "to")), lambda t: F.struct(_said(r, "from").alias("id"), _licence(t, by_id).alias("text")))))
+    usable = F.filter(stated, lambda x: x["id"].isNotNull() & x["text"].isNotNull() & (x["text"] != ""))
+    keyed = F.array_sort(F.transform(usable, lambda x, i: F.struct(x["id"].alias("id"), i.alias("at"), x["text"].alias("text"))))
+    last = lambda k: F.filter(k, lambda x, i: ~F.get(k, i + 1)["id"].eqNullSafe(x["id"]))
+    as_map = lambda k: F.map_from_arrays(F.transform(k, lambda x: x["id"]), F.transform(k, lambda x: x["text"]))
+    return values.let(keyed, lambda k: values.let(last(k), as_map))
+
+
+def _package(p: Column, by_id: Column, licences: Column, notes: Column) -> Column:
     me = _identity(p)
 
-    def licence(kind: str) -> Column:
-        mine = F.filter(relations, lambda r: (_kind(r) == kind) & (_said(r, "from") == me))
-        named = F.filter(F.flatten(F.transform(mine, lambda r: F.transform(_list(values.child(r, "to")), lambda t: _licence(t, by_id)))), lambda x: x.isNotNull() & (x != ""))
-        return F.try_element_at(named, F.lit(-1))
-
     def checksum(h: Column) -> Column:
         return values.let(_resolve(h, by_id), lambda x: F.when((element_type(x) == "hash") & (_said(x, "hashValue") != ""), F.struct(F.coalesce(F.regexp_replace(F.upper(_said(x, "algorithm")), "[^A-Z0-9]", ""), F.lit("NOASSERTION")).alias("algorithm"), _said(x, "hashValue").alias("checksumValue"))))
 
@@ -125,8 +131,8 @@ def _package(p: Column, by_id: Column, relations: Column, notes: Column) -> Colu
         F.coalesce(_agent(values.child(p, "originatedBy"), by_id), _agent(values.child(p, "builtBy"), by_id)).alias("originator"),
         _some(known(F.transform(_list(values.child(p, "verifiedUsing")), checksum))).alias("checksums"),
         _some(F.concat(own, known(F.transform(_list(values.child(p, "externalIdentifier")), identifier)))).alias("externalRefs"),
-        licence("hasdeclaredlicense").alias("licenseDeclared"),
-        licence("hasconcludedlicense").alias("licenseConcluded"),
+        F.try_element_at(licences["declared"], me).alias("licenseDeclared"),
+        F.try_element_at(licences["concluded"], me).alias("licenseConcluded"),
         _some(F.transform(about, _note)).alias("annotations"),
         filled("software_downloadLocation").alias("downloadLocation"),
         filled("software_copyrightText").alias("copyrightText"),
@@ -135,7 +141,16 @@ def _package(p: Column, by_id: Column, relations: Column, notes: Column) -> Colu
 
 
 def _view(doc: Column, found: Column, by_id: Column) -> Column:
-    relations, notes, documents = _of(found, RELATIONS), _of(found, ("annotation",)), _of(found, DOCUMENTS)
+    parts = F.struct(_of(found, RELATIONS).alias("relations"), _of(found, ("annotation",)).alias("notes"), _of(found, DOCUMENTS).alias("documents"))
+
+    def with_licences(x: Column) -> Column:
+        both = F.struct(_licences(x["relations"], "hasdeclaredlicense", by_id).alias("declared"), _licences(x["relations"], "hasconcludedlicense", by_id).alias("concluded"))
+        return values.let(both, lambda licences: _assembled(doc, found, by_id, x["relations"], x["notes"], x["documents"], licences))
+
+    return values.let(parts, with_licences)
+
+
+def _assembled(doc: Column, found: Column, by_id: Column, relations: Column, notes: Column, documents: Column, licences: Column) -> Column:
     info, root = F.get(_of(found, ("creationinfo",)), F.lit(0)), F.get(documents, F.lit(0))
     by = F.transform(_list(values.child(info, "createdBy")), lambda r: _agent(r, by_id))
     using = F.transform(F.transform(_list(values.child(info, "createdUsing")), lambda r: _agent(r, by_id)), lambda n: F.when(F.startswith(n, F.lit("Tool: ")), n).otherwise(F.concat(F.lit("Tool: "), n)))
@@ -152,7 +167,7 @@ def _view(doc: Column, found: Column, by_id: Column) -> Column:
         F.nullif(_said(root, "name"), F.lit("")).alias("name"),
         F.nullif(namespace, F.lit("")).alias("documentNamespace"),
         F.when((F.size(creators) > 0) | created.isNotNull() | comment.isNotNull(), F.struct(_some(creators).alias("creators"), created.alias("created"), comment.alias("comment"))).alias("creationInfo"),
-        F.transform(_of(found, PACKAGES), lambda p: _package(p, by_id, relations, notes)).alias("packages"),
+        F.transform(_of(found, PACKAGES), lambda p: _package(p, by_id, licences, notes)).alias("packages"),
         _some(F.transform(structural, edge)).alias("relationships"),
         _some(F.transform(F.filter(imports, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("externalDocumentId"), x.alias("spdxDocument")))).alias("externalDocumentRefs"),
         _some(F.transform(whole, _note)).alias("annotations"),
