@@ -28,12 +28,17 @@ def items(v: Column) -> Column:
     return F.coalesce(listed(v), F.array().cast("array<variant>"))
 
 
+def _shape(v: Column, kind: str) -> Column:
+    """A value as a container of empty structs: tells its kind and size without a copy of what is in it."""
+    return F.try_variant_get(v, "$", kind)
+
+
 def is_list(v: Column) -> Column:
-    return listed(v).isNotNull()
+    return _shape(v, "array<struct<>>").isNotNull()
 
 
 def is_object(v: Column) -> Column:
-    return mapped(v).isNotNull()
+    return _shape(v, "struct<>").isNotNull()
 
 
 def members(v: Column) -> Column:
@@ -75,5 +80,5 @@ def truthy(v: Column) -> Column:
         said = trim_all(F.try_variant_get(x, "$", "string"))
         return let(F.schema_of_variant(x), lambda kind: F.when(kind == "VOID", False).when(kind == "STRING", (said != "") & (F.upper(said) != "NOASSERTION")).otherwise(True))
 
-    whole = lambda x: F.when(x.isNull(), False).when(is_list(x), F.size(listed(x)) > 0).when(is_object(x), F.size(mapped(x)) > 0).otherwise(scalar(x))
+    whole = lambda x: F.when(x.isNull(), False).when(is_list(x), F.size(_shape(x, "array<struct<>>")) > 0).when(is_object(x), F.size(_shape(x, "map<string,struct<>>")) > 0).otherwise(scalar(x))
     return F.coalesce(let(v, whole), F.lit(False))

@@ -103,12 +103,9 @@ SUPPORTED = {"cyclonedx": ("1.2", "1.7"), "spdx": ("2.2", "3.0.1")}
 
 def supported(kind: Column, spec: Column) -> Column:
     """Is this version of this format one that is read? False where it cannot be told."""
-    v = trim_all(F.regexp_replace(spec, "^SPDX-", ""))
-    out = F.lit(False)
-    for name, (low, high) in SUPPORTED.items():
-        inside = (dotted_compare(v, F.lit(low)) >= 0) & (dotted_compare(v, F.lit(high)) <= 0)
-        out = F.when(kind == name, F.coalesce(inside, F.lit(False))).otherwise(out)
-    return out
+    bound = lambda i: F.coalesce(*[F.when(kind == name, ends[i]) for name, ends in SUPPORTED.items()])
+    inside = lambda v: (dotted_compare(v, bound(0)) >= 0) & (dotted_compare(v, bound(1)) <= 0)
+    return F.coalesce(_let(trim_all(F.regexp_replace(spec, "^SPDX-", "")), inside), F.lit(False))
 
 
 def in_cycle(version: Column, cycle: Column) -> Column:

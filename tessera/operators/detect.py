@@ -49,10 +49,10 @@ def detect(doc: Column) -> Column:
     has = lambda k: values.child(doc, k).isNotNull()
 
     def answer(kind: str | None, version: Column, problem: str | None = None) -> Column:
-        return F.struct(F.lit(kind).cast("string").alias("format"), version.alias("spec"), (versions.supported(F.lit(kind), version) if kind else F.lit(False)).alias("supported"), F.lit(problem).cast("string").alias("problem"))
+        return F.struct(F.lit(kind).cast("string").alias("format"), version.alias("spec"), F.lit(problem).cast("string").alias("problem"))
 
     nothing = F.lit(None).cast("string")
-    return (
+    said = (
         F.when(doc.isNull(), answer(None, nothing, "not JSON"))
         .when(~values.is_object(doc), answer(None, nothing, "not an object"))
         .when(stated.isNotNull(), answer("spdx", F.regexp_replace(stated, "^SPDX-", "")))
@@ -61,6 +61,7 @@ def detect(doc: Column) -> Column:
         .when((values.text(values.child(doc, "bomFormat")) == "CycloneDX") | has("components"), answer("cyclonedx", spec))
         .otherwise(answer(None, nothing, "format not detected"))
     )
+    return values.let(said, lambda a: F.struct(a["format"], a["spec"], versions.supported(a["format"], a["spec"]).alias("supported"), a["problem"]))
 
 
 def is_draft(doc: Column) -> Column:

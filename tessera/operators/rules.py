@@ -146,7 +146,9 @@ def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
     from .graph import as_flat
 
     seen = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"))
-    flat = F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(F.col("doc")), as_flat(F.col("doc"))).otherwise(F.col("doc"))
+    flat = F.col("doc")
+    if _selectors(pack, "spdx"):  # a pack without rules for that format never reads the flat view
+        flat = F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(flat), as_flat(flat)).otherwise(flat)
     problem = F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem"))
     seen = seen.select("doc_id", flat.alias("doc"), F.col("__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"))
     results, names = F.array().cast(f"array<struct<rule_id:string,status:string,failures:{NONE}>>"), {}
