@@ -19,8 +19,6 @@ from pyspark.sql.window import Window
 TABLES, WIDTH = 3, 4
 LOAD = 3
 BLOCK_BIT, RETRY_BIT, CHECK_BIT = 8, 40, 48
-#: Sketches of texts whose numbers of paragraphs differ by more than this factor are unlike.
-UNLIKE = 4
 
 
 def _long(n: int) -> Column:
@@ -142,10 +140,9 @@ def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column
 
 
 def likeness(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
-    """Shared digests over all digests, 0 to 1; 1 for two empty texts; 0 for numbers far apart."""
+    """Shared digests over all digests, 0 to 1; 1 for two empty texts."""
     n = F.size(a) + F.size(b)
-    apart = F.greatest(F.size(a), F.size(b)) > UNLIKE * F.least(F.size(a), F.size(b))
-    return F.when(n == 0, 1.0).when(apart, 0.0).otherwise(_let(F.size(difference(a, b, small_a, small_b)), lambda d: (n - d) / (n + d)))
+    return F.when(n == 0, 1.0).otherwise(_let(F.size(difference(a, b, small_a, small_b)), lambda d: (n - d) / (n + d)))
 
 
 def written(small: Column, keys: Column) -> Column:
