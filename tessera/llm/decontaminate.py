@@ -4,7 +4,8 @@ Words are canonicalised: numbers, units after numbers, and names (capitalised wo
 inside a sentence) become typed placeholders.  Windows of template words are hashed;
 the windows of documents and of benchmark items meet in a hash join.  A match counts
 only if the placeholders are filled consistently: one value of the item always stands
-for one value of the document.
+for one value of the document.  An item window with too few plain words for that is
+matched word for word, numbers, units and names as they stand.
 """
 
 from __future__ import annotations
@@ -93,15 +94,17 @@ def canonical(h: np.ndarray, kind: np.ndarray, names: bool) -> np.ndarray:
     return np.where(slot == WORD, h, _PLACE[slot])
 
 
-def windows(templates: Templates, text: str, sizes: list[int]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """(size, offset, form, ...) arrays of a text: with names as placeholders, and literal where that differs."""
+def windows(templates: Templates, text: str, sizes: list[int], literal_sizes: list[int]) -> Iterator[tuple[int, np.ndarray, list[str], np.ndarray]]:
+    """(size, hashes, words, kinds) of a text: with placeholders, with names as they stand, and for ``literal_sizes`` with all words as they stand, where that differs."""
     words, h, kind = templates(text)
-    forms = [canonical(h, kind, True)]
+    forms = [(canonical(h, kind, True), kind, sizes)]
     if (kind == NAME).any():
-        forms.append(canonical(h, kind, False))
-    for size in sizes:
-        for form, values in enumerate(forms):
-            yield size, form, window_hashes(values, size), words, kind
+        forms.append((canonical(h, kind, False), np.where(kind == NAME, WORD, kind), sizes))
+    if literal_sizes and ((kind == NUMBER) | (kind == UNIT)).any():
+        forms.append((h, np.zeros_like(kind), literal_sizes))
+    for values, kept, wanted in forms:
+        for size in wanted:
+            yield size, window_hashes(values, size), words, kept
 
 
 def slots(words: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
@@ -109,14 +112,15 @@ def slots(words: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{k}{w.lower()}" for w, k in zip(words[at : at + size], kind[at : at + size].tolist(), strict=True) if k != WORD]
 
 
-FOUND = "h long, item_id long, offset int, size int, slots array<string>, n_windows int"
+FOUND = "h long, item_id long, offset int, size int, slots array<string>, literal boolean, n_windows int, n_templates int"
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of each distinct item: an item shorter than ``window`` is one window of its own length.
 
-    Windows with fewer than ``LEAST_LITERAL`` plain words say too little and are left
-    out, as are items of fewer words than that; null texts and null ids match nothing.
+    Windows with fewer than ``LEAST_LITERAL`` plain words say too little as templates and
+    are ``literal``: all words as they stand, no placeholders.  Null texts and null ids
+    match nothing.
     """
     import pyarrow as pa
 
@@ -132,26 +136,31 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words, h, kind = made(text)
                 size = min(window, len(words))
-                if size < d.LEAST_LITERAL:
+                if not size:
                     continue
-                seen: dict[int, tuple[int, list[str]]] = {}
+                seen: dict[int, tuple[int, list[str], bool]] = {}
+                plain = d.window_hashes(h, size).tolist()
                 for names in (True, False):
                     values = d.window_hashes(d.canonical(h, kind, names), size)
                     for at, v in enumerate(values.tolist()):
                         part = kind[at : at + size]
                         literal = {w.lower() for w, k in zip(words[at : at + size], part.tolist(), strict=True) if k == d.WORD or (k == d.NAME and not names)}
-                        if len(literal) >= d.LEAST_LITERAL and v not in seen:
-                            kept = part if names else np.where(part == d.NAME, d.WORD, part)
-                            seen[v] = (at, d.slots(words, np.concatenate([kind[:at], kept]), at, size))
-                n = len({at for at, _ in seen.values()})
-                rows += [(v - (1 << 64) if v >> 63 else v, i, at, size, s, n) for v, (at, s) in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()))], names=schema.names)
+                        if len(literal) >= d.LEAST_LITERAL:
+                            if v not in seen:
+                                kept = part if names else np.where(part == d.NAME, d.WORD, part)
+                                seen[v] = (at, d.slots(words, np.concatenate([kind[:at], kept]), at, size), False)
+                        elif not names and plain[at] not in seen:
+                            seen[plain[at]] = (at, [], True)
+                n = len({at for at, *_ in seen.values()})
+                n_templates = len({at for at, _, whole in seen.values() if not whole})
+                rows += [(v - (1 << 64) if v >> 63 else v, i, at, size, s, whole, n, n_templates) for v, (at, s, whole) in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32()))], names=schema.names)
 
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
     return items.mapInArrow(run, schema)
 
 
-def document_windows(docs: DataFrame, sizes: list[int], sieve: np.ndarray) -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[int], literal_sizes: list[int], sieve: np.ndarray) -> DataFrame:
     """Windows of whole documents whose hash passes ``sieve``, a bit table of fixed size without false negatives."""
     import pyarrow as pa
 
@@ -167,14 +176,13 @@ def document_windows(docs: DataFrame, sizes: list[int], sieve: np.ndarray) -> Da
         for b in batches:
             ids, places, hashes, filled = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for size, form, values, words, kind in d.windows(made, text.as_py(), sizes):
+                for size, values, words, kind in d.windows(made, text.as_py(), sizes, literal_sizes):
                     cell = values >> shift
                     for at in np.flatnonzero(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).tolist():
-                        kept = kind[at : at + size] if not form else np.where(kind[at : at + size] == d.NAME, d.WORD, kind[at : at + size])
                         ids.append(i)
                         places.append(at)
                         hashes.append(values[at])
-                        filled.append(d.slots(words[at : at + size], kept, 0, size))
+                        filled.append(d.slots(words, kind, at, size))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64), pa.int64()), pa.array(filled, pa.list_(pa.string()))], names=schema.names)
 
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -195,29 +203,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
     Columns: doc_id, item_id, n_matched (item windows found), n_windows, share, and
     re_parameterised (in every copy a number, name or unit differs).  A pair needs
-    ``least`` windows of one copy, or all of an item that has fewer, filled consistently.  Null ids and null texts
-    match nothing, empty tables give none, repeated rows count once, other columns of
+    ``least`` windows of one copy, or all of an item that has fewer, filled consistently;
+    or as many of its windows with placeholders alone.  Null ids and null texts match nothing, empty tables give none, repeated rows count once, other columns of
     the inputs are not read.
     """
     items = item_windows(benchmark, window).cache()
     try:
         count = items.count()
-        sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]
+        sized = items.select("size", "literal").distinct().collect()
+        sizes = sorted({r[0] for r in sized}) or [window]
+        literal_sizes = sorted(r[0] for r in sized if r[1])
         sieve = build_sieve((r[0] for r in items.select("h").toLocalIterator()), count)
     finally:
         items.unpersist()
     side = F.broadcast(items) if count <= BROADCAST_WINDOWS else items
-    found = document_windows(docs, sizes, sieve).distinct()
+    found = document_windows(docs, sizes, literal_sizes, sieve).distinct()
     met = found.withColumnRenamed("slots", "filled").join(side, "h").where(F.size("filled") == F.size("slots"))
     value = F.explode_outer(F.when(F.size("slots") == 0, F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(F.zip_with("slots", "filled", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"), "offset", "n_windows", value.alias("s"))
-    by_value = pairs.groupBy("doc_id", "item_id", "start", F.col("s.a").alias("a")).agg(F.min("s.b").alias("low"), F.max("s.b").alias("high"), F.collect_set("offset").alias("at"), F.max("n_windows").alias("n_windows"))
+    pairs = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"), "offset", "literal", "n_windows", "n_templates", value.alias("s"))
+    by_value = pairs.groupBy("doc_id", "item_id", "start", "literal", F.col("s.a").alias("a")).agg(F.min("s.b").alias("low"), F.max("s.b").alias("high"), F.collect_set("offset").alias("at"), F.max("n_windows").alias("n_windows"), F.max("n_templates").alias("n_templates"))
+    fits = F.col("a").isNull() | (F.col("low") == F.col("high"))
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(c, F.col("at"))))))
     flat = by_value.groupBy("doc_id", "item_id", "start").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("a").isNull() | (F.col("low") == F.col("high")), F.col("at")))))).alias("n_matched"),
+        places(fits).alias("n_matched"),
+        places(fits & ~F.col("literal")).alias("n_filled"),
         F.max("n_windows").alias("n_windows"),
+        F.max("n_templates").alias("n_templates"),
         F.coalesce(F.bool_or((F.col("a") != F.col("low")) & (F.col("low") == F.col("high"))), F.lit(False)).alias("re_parameterised"),
     )
-    kept = flat.where(F.col("n_matched") >= F.least(F.lit(least), F.col("n_windows")))
+    filled = (F.col("n_templates") > 0) & (F.col("n_filled") >= F.least(F.lit(least), F.col("n_templates")))
+    kept = flat.where(filled | (F.col("n_matched") >= F.least(F.lit(least), F.col("n_windows"))))
     kept = kept.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.bool_and("re_parameterised").alias("re_parameterised"))
     return kept.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("share"), "re_parameterised")
 
