@@ -4,10 +4,12 @@ A text's paragraphs (lines, and in them sentences) are hashed to digests of 48 b
 that carry a check of 16 bits.  Each digest is XORed into one cell in each of three
 tables.  Subtracting the sketches of two versions (XOR) cancels what they share; a
 cell whose check holds has one digest left, and peeling such cells recovers the rest.
-Where the small sketch gets stuck, larger ones follow: blocks of cells, digests dealt
-to blocks by their bits, about ``LOAD`` to a block, and a block that gets stuck is
-done again four and sixteen times as large.  So the work grows with the number of
-digests, and the fingerprint itself stays small.
+
+A sketch for a larger difference has more cells: digests are dealt to blocks of cells
+by their bits.  The number of blocks follows an estimate of the difference, taken from
+the ``SAMPLE`` smallest digests of both texts.  A block that does not peel is made again
+with twice as many blocks, by its digests' next bit, until it peels; once all bits have
+been dealt a block holds one digest, so this ends and never leaves a rest.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TABLES, WIDTH = 3, 4
-LOAD = 3
-BLOCK_BIT, RETRY_BIT, CHECK_BIT = 8, 40, 48
+LOAD = 4
+SAMPLE = 8
+BLOCK_BIT, CHECK_BIT = 8, 48
 
 
 def _long(n: int) -> Column:
@@ -45,19 +48,15 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: _let(_low(F.xxhash64(p)), _checked)))
 
 
-def _cells(keys: Column, start=None) -> list[Column]:
-    """For each cell, table after table, the XOR of the digests that fall into it."""
-
-    def one(t: int, i: int) -> Column:
-        mask, value = _long((WIDTH - 1) << (2 * t)), _long(i << (2 * t))
-        return F.aggregate(keys, start(t, i) if start else _long(0), lambda acc, k: F.when(k.bitwiseAND(mask) == value, acc.bitwiseXOR(k)).otherwise(acc))
-
-    return [one(t, i) for t in range(TABLES) for i in range(WIDTH)]
+def _cell(keys: Column, t: int, i: int, start: Column | None = None) -> Column:
+    """The XOR of the digests that fall into cell ``i`` of table ``t``."""
+    mask, value = _long((WIDTH - 1) << (2 * t)), _long(i << (2 * t))
+    return F.aggregate(keys, _long(0) if start is None else start, lambda acc, k: F.when(k.bitwiseAND(mask) == value, acc.bitwiseXOR(k)).otherwise(acc))
 
 
 def sketch(keys: Column) -> Column:
-    """The cells of an array of digests."""
-    return F.array(*_cells(keys))
+    """The cells of an array of digests, table after table."""
+    return F.array(*[_cell(keys, t, i) for t in range(TABLES) for i in range(WIDTH)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -65,78 +64,101 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def peel(cells: Column, steps: int = 6) -> Column:
-    """struct(found, left): the digests that come out, and the cells after that.
+def without(cells: Column, keys: Column) -> Column:
+    """The cells after digests have been taken out of all tables."""
+    return F.array(*[_cell(keys, t, i, F.element_at(cells, t * WIDTH + i + 1)) for t in range(TABLES) for i in range(WIDTH)])
+
 
-    A step takes the pure cells of one table, where no digest stands twice, and takes
-    their digests out of all tables.  Nothing is left exactly if all cells are 0.
+def peel(cells: Column, steps: int = 4) -> Column:
+    """struct(found, left): the digests that come out, and the nonzero cells that stay.
+
+    A step takes the digests of all pure cells out of all tables.  Every table's cells
+    XOR to that of all digests, so where what was found XORs to a table, nothing is left.
     """
+    none = F.array().cast("array<long>")
+
+    def step(state: Column) -> Column:
+        pure = F.filter(F.array_distinct(state["left"]), lambda c: c == _checked(_low(c)))
 
-    def pure(c: Column) -> Column:
-        return (c != 0) & (c == _checked(_low(c)))
+        def take(p: Column) -> Column:
+            rest = F.aggregate(F.concat(p, F.slice(state["left"], 1, WIDTH)), _long(0), lambda acc, k: acc.bitwiseXOR(k))
+            after = F.when(rest == 0, none).otherwise(without(state["left"], p))
+            return F.when(F.size(p) == 0, state).otherwise(F.struct(F.concat(state["found"], p).alias("found"), after.alias("left")))
 
-    def step(state: Column, r: Column) -> Column:
-        got = F.filter(F.slice(state["left"], r * WIDTH + 1, WIDTH), pure)
-        without = lambda p: F.array(*_cells(p, lambda t, i: F.element_at(state["left"], t * WIDTH + i + 1)))
-        return _let(got, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(F.concat(state["found"], p).alias("found"), without(p).alias("left"))))
+        return _let(pure, take)
 
-    start = F.struct(F.array().cast("array<long>").alias("found"), cells.alias("left"))
-    return F.aggregate(F.array(*[F.lit(r % TABLES) for r in range(steps)]), start, step)
+    start = lambda c: F.struct(none.alias("found"), F.when(F.size(F.array_remove(c, F.lit(0))) == 0, none).otherwise(c).alias("left"))
+    going = lambda state, _: F.when(F.size(state["left"]) == 0, state).otherwise(step(state))
+    return F.aggregate(F.array(*[F.lit(r) for r in range(steps)]), _let(cells, start), going)
 
 
 def _stuck(state: Column) -> Column:
-    return F.exists(state["left"], lambda c: c != 0)
+    return F.size(state["left"]) > 0
+
 
+def _halves(blocks: Column, bit: Column) -> Column:
+    """Every block's digests dealt to two by a bit; a block without digests is none."""
+    mask = F.call_function("shiftleft", _long(1), bit)
+    two = lambda q: F.array(F.filter(q, lambda k: k.bitwiseAND(mask) == 0), F.filter(q, lambda k: k.bitwiseAND(mask) != 0))
+    return F.filter(F.flatten(F.transform(blocks, two)), lambda q: F.size(q) > 0)
 
-def _deal(keys: Column, bits: Column | int, shift: Column | int) -> Column:
-    """Digests dealt into ``2**bits`` arrays by their bits from ``shift`` on."""
-    up = lambda c, by: F.call_function("shiftleft", c, F.lit(by) if isinstance(by, int) else by)
-    step = up(_long(1), shift)
-    mask = up(up(_long(1), bits) - 1, shift)
-    return F.transform(F.sequence(_long(0), mask, step), lambda b: F.filter(keys, lambda k: k.bitwiseAND(mask) == b))
 
+def estimate(a: Column, b: Column) -> Column:
+    """About how many digests two arrays differ by, from the smallest ``SAMPLE`` digests of both."""
+    least = lambda k: F.slice(F.sort_array(k), 1, SAMPLE)
+    n = F.size(a) + F.size(b)
 
-def _pairs(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    def of(u: Column) -> Column:
+        like = F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1))
+        return F.greatest(F.abs(F.size(a) - F.size(b)).cast("double"), n * (1 - like) / (1 + like))
 
+    return _let(least(F.array_union(least(a), least(b))), of)
 
-def _block(x: Column, y: Column, retry: int = 2) -> Column:
-    """The differing digests of a block; sketches four and sixteen times as large on failure.
 
-    As a last resort the digests themselves are compared, which no chance can fail.
-    """
-    plain = F.concat(F.array_except(x, y), F.array_except(y, x))
+def _solve(blocks: Column) -> Column:
+    """struct(found, left): digests that came out of the blocks' differences, and the blocks that did not peel.
 
-    def again(bits: int) -> Column:
-        if bits > 2 * retry:
-            return plain
-        parts = F.transform(_pairs(_deal(x, bits, RETRY_BIT), _deal(y, bits, RETRY_BIT)), lambda q: peel(subtract(sketch(q["x"]), sketch(q["y"]))))
-        return _let(parts, lambda d: F.when(F.exists(d, _stuck), again(bits + 2)).otherwise(F.flatten(F.transform(d, lambda s: s["found"]))))
+    A block holds the digests of both texts; XOR is its own inverse, so the sketch of
+    both together is the difference of their two sketches.
+    """
+    each = F.transform(blocks, lambda q: _let(peel(sketch(q)), lambda s: F.struct(s["found"].alias("found"), _stuck(s).alias("stuck"), q.alias("q"))))
+    return _let(
+        each,
+        lambda e: F.struct(
+            F.flatten(F.transform(F.filter(e, lambda s: ~s["stuck"]), lambda s: s["found"])).alias("found"),
+            F.transform(F.filter(e, lambda s: s["stuck"]), lambda s: s["q"]).alias("left"),
+        ),
+    )
 
-    return _let(peel(subtract(sketch(x), sketch(y))), lambda s: F.when(_stuck(s), again(2)).otherwise(s["found"]))
 
+def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
+    """Digests that one of two texts has and the other has not, all of them peeled from subtracted sketches.
 
-def decode(a: Column, b: Column) -> Column:
-    """The differing digests by a sketch of blocks; dealing goes in three levels of few parts each."""
-    bits = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)) / F.lit(float(LOAD)))).cast("int"))
-    level = F.ceil(bits / 3).cast("int")
+    A small estimate takes the sketches of the fingerprints themselves (``small_a``,
+    ``small_b``); a larger one takes as many blocks as it asks for.  What is stuck is
+    made again with twice the blocks, until it peels.
+    """
+    both = F.concat(a, b)
+    none = F.array().cast("array<long>")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(estimate(a, b) / F.lit(float(LOAD)))).cast("int"))
 
-    def split(q: Column, n: int) -> Column:
-        parts = _pairs(_deal(q["x"], level, level * n + BLOCK_BIT), _deal(q["y"], level, level * n + BLOCK_BIT))
-        if n < 2:
-            return F.flatten(F.transform(parts, lambda p: split(p, n + 1)))
-        return F.flatten(F.transform(parts, lambda p: F.when((F.size(p["x"]) == 0) & (F.size(p["y"]) == 0), F.array().cast("array<long>")).when(F.size(p["x"]) == 0, p["y"]).when(F.size(p["y"]) == 0, p["x"]).otherwise(_block(p["x"], p["y"]))))
+    def bit(r: Column) -> Column:
+        return F.pmod(r + BLOCK_BIT, F.lit(CHECK_BIT)).cast("int")
 
-    return split(F.struct(a.alias("x"), b.alias("y")), 0)
+    def first(n: Column) -> Column:
+        dealt = F.aggregate(F.slice(F.sequence(F.lit(0), n), 1, n), F.array(both), lambda blocks, r: _halves(blocks, bit(r)))
+        small = _let(peel(subtract(small_a, small_b)), lambda s: F.struct(F.when(_stuck(s), none).otherwise(s["found"]).alias("found"), F.when(_stuck(s), F.array(both)).otherwise(F.array().cast("array<array<long>>")).alias("left")))
+        return F.struct(F.when(n == 0, small).otherwise(_solve(dealt)).alias("s"), n.alias("used"))
 
+    def finish(start: Column) -> Column:
+        def again(state: Column, r: Column) -> Column:
+            more = _solve(_halves(state["left"], bit(start["used"] + r)))
+            return F.when(F.size(state["left"]) == 0, state).otherwise(_let(more, lambda m: F.struct(F.concat(state["found"], m["found"]).alias("found"), m["left"].alias("left"))))
 
-def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
-    """Digests that one of two texts has and the other has not, from their sketches.
+        rounds = F.when(F.size(start["s"]["left"]) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.lit(CHECK_BIT - 1)))
+        return F.aggregate(rounds, start["s"], again)["found"]
 
-    First the small sketches that are the fingerprints; on failure larger ones.
-    """
-    hopeless = F.abs(F.size(a) - F.size(b)) > TABLES * WIDTH
-    return F.when(hopeless, decode(a, b)).otherwise(_let(peel(subtract(small_a, small_b)), lambda s: F.when(_stuck(s), decode(a, b)).otherwise(s["found"])))
+    return _let(_let(bits, first), finish)
 
 
 def likeness(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
@@ -151,7 +173,7 @@ def written(small: Column, keys: Column) -> Column:
     return F.concat(pad(F.size(keys), 8), F.array_join(F.transform(small, lambda c: pad(c, 16)), ""))
 
 
-def with_next(docs: DataFrame, carry: tuple[str, ...] = (), rows_per_bucket: int = 4000, most_buckets: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, carry: tuple[str, ...] = (), rows_per_bucket: int = 1000, most_buckets: int = 4096) -> DataFrame:
     """doc_id, text, ``carry``, and next_text and next_... of each: of the next document in descending order of doc_id; after the last, the first.
 
     Ids are cut into ranges at percentiles, each range is ordered on its own, and the

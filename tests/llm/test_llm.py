@@ -284,8 +284,6 @@ def brute_likeness(a, b):
     x, y = units(a), units(b)
     if not x and not y:
         return 1.0
-    if max(len(x), len(y)) > 4 * min(len(x), len(y)):
-        return 0.0
     return len(x & y) / len(x | y)
 
 
@@ -322,12 +320,27 @@ def test_next_document_across_ranges(spark):
     assert fingerprint.edited_fingerprints(docs(spark, [(1, "a", "s")]).limit(0)).count() == 0
 
 
+def test_likeness_comes_from_peeled_sketches(spark, monkeypatch):
+    """Without peeling nothing is recovered, so no likeness below 1 can come from anywhere else."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import fingerprint as f
+
+    rows = [(i, "\n".join(f"line {i * k}" for k in range(1 + i * 7))) for i in range(1, 12)]
+    frame = docs(spark, [(i, t, "s") for i, t in rows])
+    true = [r.near_next for r in f.edited_fingerprints(frame).orderBy("doc_id").collect()]
+    assert max(true) < 0.6
+    none = F.array().cast("array<long>")
+    monkeypatch.setattr(f, "peel", lambda cells, steps=4: F.struct(none.alias("found"), none.alias("left")))
+    assert [r.near_next for r in f.edited_fingerprints(frame).collect()] == [1.0] * len(rows)
+
+
 def test_peeling_recovers_digests(spark):
     from pyspark.sql import functions as F
 
     from tessera.llm import fingerprint as f
 
-    for n in (0, 3, 40, 400):
+    for n in (0, 3, 40, 400, 3000):
         texts = spark.createDataFrame([("\n".join(map(str, range(n + 6))), "\n".join(map(str, range(n, n + 9))))], "a string, b string")
         row = texts.select(f.paragraphs(F.col("a")).alias("a"), f.paragraphs(F.col("b")).alias("b"))
         found = row.select("a", "b", f.difference(F.col("a"), F.col("b"), f.sketch(F.col("a")), f.sketch(F.col("b"))).alias("d")).first()
