@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["crc_mod", "materialise", "pieces", "shared_dir", "ship", "table", "text_or_empty"]
+__all__ = ["crc_mod", "materialise", "pieces", "sampled_ids", "shared_dir", "ship", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and all run in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = Path(tempfile.gettempdir(), "checkpoints", f"tessera-{uuid.uuid4().hex}")
     made.mkdir(parents=True)
     spark.sparkContext.setCheckpointDir(made.as_uri())
@@ -57,3 +59,16 @@ def text_or_empty(col: str | Column = "text") -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def sampled_ids(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """``rows`` (distinct in ``key``) with the ``size`` smallest hashes of it, ties by the key.
+
+    Only rows under a limit that about twice ``size`` rows pass are sorted, so neither
+    the driver nor a task gets more than that, however many rows there are.
+    """
+    n = rows.count()
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    if n > 2 * size:
+        rows = rows.where(h < F.lit(int(2**63 * min(1.0, 2 * size / n))).cast("long"))
+    return rows.orderBy(h, key).limit(size)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, pieces, ship, text_or_empty
+from .common import crc_mod, pieces, sampled_ids, ship, text_or_empty
 
 NAMES = ("log_words", "word_length", "distinct_words", "top_word", "same_as_last", "symbols", "symbol_ends", "capitals", "digits", "bars", "stops", "repeated_lines", "line_words", "repeated_pairs")
 _SYMBOL_END = re.compile(r"[^\w\s.,;:?'\")\]-](?:\s|$)")
@@ -154,14 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, modulus: i
     """Fit on at most ``sample`` labelled rows, those with the smallest hash of the id.
 
     Rows with crc32(doc_id) mod ``modulus`` equal to ``held``, null ids, null labels
-    and null texts never train.  Without rows of both labels the model is the prior.
+    and null texts never train.  An id trains once: of repeated rows the smallest text
+    counts, of labels that differ the smaller.  Without rows of both labels the model is
+    the prior.
     The driver gets ``sample`` rows of ``len(NAMES)`` numbers.
     """
     import pyarrow as pa
 
     ship(docs.sparkSession)
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc_mod("doc_id", modulus) != held).groupBy("doc_id").agg(F.min("quality").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label")
+    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc_mod("doc_id", modulus) != held).groupBy("doc_id").agg(F.min("quality").alias("__label"))
+    chosen = sampled_ids(chosen, sample)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).select("doc_id", "text", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.quality import describe

@@ -2,7 +2,8 @@
 
 Features of a text are sets of hashed indices: words, word stems (the first 4, 5 and
 6 letters, so that an unseen ending still counts), pairs of neighbours and pairs one
-word apart.  Training takes one labelled row at a time with per-coordinate rates and
+word apart; what stands there 2, 4 or 8 times or more has an index of its own for
+each of those levels.  Training takes one labelled row at a time with per-coordinate rates and
 an L1 penalty, which leaves few weights; those are broadcast (at most ``2**bits``).
 """
 
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, pieces, ship, text_or_empty
+from .common import crc_mod, pieces, sampled_ids, ship, text_or_empty
 
 BITS = 20
 MEMO = 200_000
 STEMS = (4, 5, 6)
+LEVELS = (1, 2, 4, 8)
 _WORD = re.compile(r"\w+")
 _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -65,6 +67,17 @@ class Features:
         return np.concatenate([h.ravel(), near * _NEXT, far * _SKIP]) >> self.shift
 
 
+def at_level(at: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """The indices of features that stand ``level`` times or more: a permutation of all indices for each level."""
+    return (at if level == 1 else at * (0x9E3779B1 + 2 * level) + level) & ((1 << bits) - 1)
+
+
+def feature_set(at: np.ndarray, bits: int) -> np.ndarray:
+    """The distinct indices of a text over all levels, from its indices with repeats."""
+    found, n = np.unique(at.astype(np.int64), return_counts=True)
+    return np.unique(np.concatenate([at_level(found[n >= x], x, bits) for x in LEVELS]))
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss over sets of indices."""
 
@@ -78,9 +91,9 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label
+        g = weight * (1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label)
         grown = self.n[at] + g * g
         self.z[at] += g - (np.sqrt(grown) - np.sqrt(self.n[at])) / self.alpha * w
         self.n[at] = grown
@@ -104,22 +117,25 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits: int
 
     Rows with crc32(doc_id) mod ``modulus`` equal to ``held`` are never read for
     training; the sample is the ``sample`` rows with the smallest hash of the id.
-    Null ids, labels that are null, and texts that are null do not train.  One task
+    Null ids, labels that are null, and texts that are null do not train.  An id trains
+    once: of repeated rows the smallest text counts, of labels that differ the larger.  One task
     trains: its input is bounded by ``sample``.  No labelled row gives no weights.
     """
     import pyarrow as pa
 
     ship(docs.sparkSession)
     part = crc_mod("doc_id", modulus)
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(part != held).groupBy("doc_id").agg(F.max("toxic").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label")
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(part != held).groupBy("doc_id").agg(F.max("toxic").alias("__label"))
+    chosen = sampled_ids(chosen, sample)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).select("doc_id", "text", "__label")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.toxicity import features
+        from tessera.llm.toxicity import feature_set, features
 
         made = features(bits)
         for b in pieces(batches):
-            sets = [np.unique(made(x.as_py())).astype(np.int32) for x in b.column(1)]
+            sets = [feature_set(made(x.as_py()), bits).astype(np.int32) for x in b.column(1)]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at], names=["doc_id", "__label", "at"])
@@ -161,11 +177,14 @@ def score(docs: DataFrame, weights: dict[int, float], *, bits: int = BITS, text:
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.toxicity import features
+        from tessera.llm.toxicity import LEVELS, at_level, features
 
         at, values, bias = sent.value
         dense = np.zeros(1 << bits)
         dense[at] = values
+        every = np.arange(1 << bits)
+        tables = np.stack([dense[at_level(every, x, bits)] for x in LEVELS])  # weights by base index, level by level
+        used = (tables != 0).any(0)
         made = features(bits)
         for b in pieces(batches):
             out = []
@@ -173,8 +192,8 @@ def score(docs: DataFrame, weights: dict[int, float], *, bits: int = BITS, text:
                 total = bias or 0.0
                 if s := x.as_py():
                     idx = made(s)
-                    hit = idx[dense[idx] != 0]
-                    total += dense[np.unique(hit)].sum()
+                    hit, n = np.unique(idx[used[idx]], return_counts=True)
+                    total += sum(t[hit[n >= x]].sum() for t, x in zip(tables, LEVELS, strict=True))
                 out.append(0.0 if bias is None else float(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])
 
