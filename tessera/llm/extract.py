@@ -1,9 +1,11 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
-A page becomes tokens: words and tags.  Words score positive and tags negative, words
-inside links or boilerplate elements negative too; the weights are log odds of the
-token kinds inside and outside the main text of labelled pages.  One linear scan finds
-the run with the highest sum, and it is widened to the element that holds it.
+A page becomes tokens: words and tags.  Words score positive and tags negative; words
+inside links or page furniture are kinds of their own and score negative too.  The
+weights are log odds of the token kinds inside and outside the main text of labelled
+pages: those that mark their main text themselves (``article``, ``main``), whose marks
+only label and are no features of the words.  One linear scan finds the run with the
+highest sum, and its blocks, but for furniture, are the text.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from .common import ship
 FURNITURE = frozenset("nav header footer aside form button select option textarea input label script style noscript template iframe svg math canvas object embed audio video dialog menu head title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted popup modal cookie cookies consent notice notices alert newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar side rail menu nav navbar navigation navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar comment comments commentlist disqus reply replies respond response responses feedback discussion widget outbrain taboola skip print hidden copyright legal disclaimer tags toc".split())
-NEGATED = frozenset("has with no without article main content body".split())
+MARKED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted popup modal cookie cookies consent notice notices newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar comment comments commentlist disqus replies respond widget outbrain taboola copyright disclaimer toc".split())
+NEGATED = frozenset("has with no without".split())
 HOLDERS = frozenset({"article", "main"})
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
 MORE = frozenset("p li dd dt td th".split())
@@ -162,31 +165,64 @@ def token_kinds(page: Page) -> list[list[tuple[str, int]]]:
     return out
 
 
-# Labelled pages: main text stands between <!--[--> and <!--]-->.
-LABELLED = (
-    '<body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News desk</a></li></ul></nav><article><!--[--><h1>River levels fall again</h1><p>The river fell for a third week after a dry spring, the water board said on Monday.</p><p>Farmers along the lower valley have been asked to water at night, and two ferries have stopped.</p><!--]--></article><footer>All rights reserved by the valley paper</footer></body>',
-    '<body><div class="menu"><a href="a">Recipes</a> <a href="b">Shop</a> <a href="c">Contact us</a></div><div><!--[--><h2>Bread without kneading</h2><p>Mix flour, water, salt and a little yeast in the evening and leave the bowl on the table.</p><ul><li>Four cups of flour</li><li>Two cups of water</li></ul><p>Bake it in a hot pot the next day until the crust is dark and sounds hollow.</p><!--]--></div><div class="related"><a href="d">More bread</a><a href="e">More cakes</a></div><p class="copyright">Terms and privacy</p></body>',
-    '<body><header><h1>Mountain club</h1></header><div id="ad">Buy boots now</div><main><!--[--><p>We met at the lower hut before dawn and walked up the north side in thick mist.</p><blockquote>The last rope was frozen, and nobody spoke for an hour.</blockquote><p>By noon the sun had come through, and the whole ridge lay before us with fresh snow on it.</p><!--]--></main><aside><p>Next trip on Friday</p></aside><form><label>Mail</label><input><button>Join</button></form></body>',
-    '<table><tr><td><a href="1">One</a></td><td><a href="2">Two</a></td></tr></table><div><!--[--><p>An old page keeps its text in plain paragraphs and has no names for its parts, only breaks and rules.</p><p>Its second paragraph follows directly, as long as the first one, without links of any kind.</p><!--]--></div><hr><div><a href="x">Back</a> | <a href="y">Top</a> | <a href="z">Index</a></div>',
-)
+def labelled_counts(source: str) -> tuple[Counter, Counter]:
+    """Token kinds inside and outside the main text of a page that marks it; empty for a page that does not."""
+    page = Page(source)
+    inside, outside = Counter(), Counter()
+    marked = [any(page.names[i] in HOLDERS for i in path) for path in page.paths]
+    if any(marked):
+        for kinds, held, furniture in zip(token_kinds(page), marked, page.furniture, strict=True):
+            (inside if held and not furniture else outside).update(dict(kinds))
+    return inside, outside
 
 
-def learn(labelled: tuple[str, ...] = LABELLED) -> dict[str, float]:
-    """Weights of token kinds: log odds inside against outside; words stay positive, all else negative."""
-    inside, outside = Counter(), Counter()
-    for source in labelled:
-        a, b = source.index("<!--[-->"), source.index("<!--]-->")
-        for part, count in ((source[:a], outside), (source[a:b], inside), (source[b:], outside)):
-            for kinds in token_kinds(Page(part)):
-                count.update(dict(kinds))
+def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
+    """Weights of token kinds: log odds inside against outside; plain words stay positive, all else negative."""
     total_in, total_out = sum(inside.values()), sum(outside.values())
-    kinds = set(inside) | set(outside)
-    odds = {k: math.log((inside[k] + 0.5) / (total_in + len(kinds))) - math.log((outside[k] + 0.5) / (total_out + len(kinds))) for k in kinds}
-    return {k: max(0.2, min(v, 1.5)) if k == "word" else min(-0.1, max(v, -3.0)) for k, v in odds.items()} | {"furniture": -3.0}
+    kinds = {*inside, *outside, "word", "link word", "furniture"}
+    odds = {k: math.log((inside.get(k, 0) + 0.5) / (total_in + len(kinds))) - math.log((outside.get(k, 0) + 0.5) / (total_out + len(kinds))) for k in kinds}
+    return {k: max(0.5, min(v, 1.5)) if k == "word" else max(-0.5, min(v, -0.1)) if k in ("link word", "furniture") else max(-2.0, min(v, -0.05)) for k, v in odds.items()}
+
+
+#: Weights where no labelled page is at hand; an unknown tag scores ``UNKNOWN``.
+WEIGHTS = {"word": 1.0, "link word": -0.5, "furniture": -0.5}
+UNKNOWN = -0.1
+
+
+def learn(pages: DataFrame, sample: int = 2000) -> dict[str, float]:
+    """Weights from about ``sample`` pages that mark their main text, those with the smallest hash of the url and page_id.
+
+    Executors count; the driver gets two numbers for each token kind.  Element names
+    that are no HTML elements count as one kind, so kinds are bounded.  Without a page
+    that marks its main text the weights are ``WEIGHTS``.
+    """
+    import pyarrow as pa
+
+    ship(pages.sparkSession)
+    pages = pages.where("html IS NOT NULL")
+    n = pages.count()
+    if n > sample:
+        h = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1)
+        pages = pages.where(h < F.lit(int(2**63 * (sample / n))).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm import extract as e
 
+        known = {f"<{x}{name}" for x in ("", "/") for name in (*e.BLOCKS, *e.FURNITURE, *e.VOID, *e.INLINE)}
+        both = Counter(), Counter()
+        for b in batches:
+            for x in b.column(0):
+                for total, one in zip(both, e.labelled_counts(x.as_py()), strict=True):
+                    for kind, k in one.items():
+                        total[kind if kind[0] != "<" or kind in known else "<other"] += k
+        kinds = sorted({*both[0], *both[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array([c[k] for k in kinds], pa.int64()) for c in both)], names=["kind", "n_in", "n_out"])
 
-WEIGHTS = learn()
-UNKNOWN = -1.0
+    counted = pages.select("html").mapInArrow(run, "kind string, n_in long, n_out long")
+    got = counted.groupBy("kind").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out")).collect()
+    if not any(r["n_in"] for r in got):
+        return dict(WEIGHTS)
+    return weights_of({r["kind"]: r["n_in"] for r in got}, {r["kind"]: r["n_out"] for r in got})
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -206,45 +242,20 @@ def main_text(source: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     if not source:
         return ""
     page = Page(source)
-    if not page.texts:
-        return ""
     scores, starts, ends = [], [], []
+    other = weights.get("<other", UNKNOWN)
     for kinds in token_kinds(page):
         for kind, n in kinds:  # equal tokens side by side are one step of the scan
-            scores.append(n * weights.get(kind, UNKNOWN))
+            scores.append(n * weights.get(kind, other))
             if kind[0] != "<":
                 starts.append(len(scores) - 1) if len(starts) == len(ends) else None
         ends.append(len(scores))
     a, b = best_run(scores)
-    run = [i for i, (s, e) in enumerate(zip(starts, ends, strict=True)) if s < b and e > a and not page.furniture[i]]
-    if not run:
-        return ""
-    path = page.paths[run[0]]
-    for i in run:
-        path = tuple(x for x, y in zip(path, page.paths[i], strict=False) if x == y)
-    names = [page.names[i] for i in path]
-    held = next((k for k, n in enumerate(names) if n in HOLDERS), None)
-    if held is None and len(run) == 1 and names[-1] not in ("div", "section"):
-        path, names = path[:-1], names[:-1]
-    if held is None and names and names[-1] in ("#root", "html", "body", "table", "tbody", "tr", "td"):
-        low, high = run[0], run[-1]
-        same = lambda i: not page.furniture[i] and 2 * page.linked[i] < page.words[i] and page.tags[i] and page.paths[i][: len(path)] == path
-        while low and same(low - 1) and page.names[page.paths[low - 1][-1]] in TEXTUAL:
-            low -= 1
-        while high + 1 < len(page.texts) and same(high + 1) and page.names[page.paths[high + 1][-1]] in TEXTUAL:
-            high += 1
-        keep = range(low, high + 1)
-    else:
-        path = path[: held + 1] if held is not None else path
-        keep = [i for i, p in enumerate(page.paths) if p[: len(path)] == path]
-    return "\n\n".join(page.texts[i] for i in keep if not page.furniture[i])
-
-
-TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt b i em strong span code figcaption".split())
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text and n_chars (code points).
+    return "\n\n".join(t for t, s, e, furniture in zip(page.texts, starts, ends, page.furniture, strict=True) if s < b and e > a and not furniture)
+
+
+def extract(pages: DataFrame, weights: dict[str, float] | None = None, sample: int = 2000) -> DataFrame:
+    """Per page: page_id, url, text and n_chars (code points), with ``weights`` or those learned from ``pages``.
 
     A null or empty html gives an empty text and 0; broken markup is read as far as it
     goes; repeated rows stay; an empty table gives none; other columns are not read.
@@ -252,12 +263,14 @@ def extract(pages: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     ship(pages.sparkSession)
+    if weights is None:
+        weights = learn(pages, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.extract import main_text
 
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
+            texts = [main_text(x.as_py(), weights) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

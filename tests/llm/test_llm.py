@@ -414,6 +414,51 @@ def test_extraction_leaves_furniture_out():
     assert best_run([-1, 2, -1, 3, -5, 1]) == (1, 4) and best_run([-1]) == (0, 0)
 
 
+def test_scan_finds_the_best_contiguous_run():
+    import random
+
+    from tessera.llm.extract import best_run
+
+    rng = random.Random(2)
+    for _ in range(400):
+        scores = [rng.choice((-3, -1.5, -0.25, 0.5, 1, 4)) for _ in range(rng.randrange(14))]
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        best = max(sums.values(), default=0)
+        a, b = best_run(scores)
+        assert sum(scores[a:b]) == pytest.approx(max(best, 0))
+
+
+def test_the_scan_decides(spark, monkeypatch):
+    """Learned weights and the scan choose the region: without either the text is another."""
+    from tessera.llm import extract
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = extract.learn(pages)
+    assert weights["word"] > 0 > max(v for k, v in weights.items() if k != "word")
+    words = "Nobody at the depot had seen the second van since the storm, and its driver did not answer."
+    page = f"<body><p>Tip: <i>x</i><i>y</i><i>z</i></p><hr><hr><hr><hr><div><h2>Lost van</h2><p>{words}</p><p>{words}</p></div><hr><hr><hr><hr><p><span>Ok</span><br><img><br><img></p></body>"
+    parted = extract.WEIGHTS | {"<hr": -3.0}
+    want = "\n\n".join(["Lost van", words, words])
+    assert extract.main_text(page, parted) == want != extract.main_text(page)
+    monkeypatch.setattr(extract, "best_run", lambda scores: (0, len(scores)))
+    assert extract.main_text(page, parted) != want
+
+
+@pytest.mark.parametrize("hold", ["article", "main", "div", "section", "td"])
+def test_layouts(spark, hold):
+    """The same text in layouts with and without elements that mark it, by weights learned from the test pages."""
+    from tessera.llm import extract
+
+    weights = extract.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    words = "The council will vote on the new timetable in the second week of March, its speaker said."
+    inner = f"<h1>New timetable</h1><p>{words}</p><div class='advert'>Buy <b>now</b></div><p>{words}</p><ul><li>first point of it<li>second point of it</ul><p>{words}</p>"
+    body = f"<table><tr><td>{inner}</td></tr></table>" if hold == "td" else f"<{hold}>{inner}</{hold}>"
+    page = f"<html><head><title>T</title><script>var x=1</script></head><body class='with-sidebar'><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav><div class='cookie-notice'>We use cookies here.</div>{body}<section class='comments'><p>A reader says hello to the whole town and more</p></section><aside class='sidebar'><p>Most read</p></aside><footer>All rights reserved</footer></body></html>"
+    assert extract.main_text(page, weights) == "\n\n".join(["New timetable", words, words, "first point of it", "second point of it", words])
+    kept = extract.main_text(f"<{hold if hold != 'td' else 'div'}><p>{words}</p><div class='print response'><p>{words}</p></div></{hold if hold != 'td' else 'div'}>", weights)
+    assert kept == f"{words}\n\n{words}"
+
+
 def test_extraction_odd_rows(spark):
     from tessera.llm import extract
 
