@@ -121,29 +121,44 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for what is stored in full).
 
     A null id ranks last; rows that repeat the page_id and payload of a response are
-    responses too.  Only digests that occur twice are joined back.
+    responses too.  Firsts are found over ids and digests alone; payloads are then
+    joined by page_id and digest, so copies of one payload never stand together.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    slim = materialise(pages.select("page_id", F.octet_length(payload).alias("n"), F.unhex(F.sha2(payload, 256)).alias("d")), "digests").where(F.col("n") >= least)
+    firsts = slim.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 AND first IS NOT NULL").select("d", "first")
+    refers = slim.select("page_id", "d").join(firsts, "d").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    refers = refers.select(F.col("page_id").alias("__page"), "d", "first")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    twice = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    joined = rows.join(twice, F.col("digest") == F.col("d"), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    joined = rows.join(refers, (F.unhex("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("__page")), "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
+
+
+def dictionary_sample(pages: DataFrame, sample: int, sample_bytes: int) -> list[bytes]:
+    """Records of the first ``sample_bytes`` of ``sample`` pages with the smallest hash of id, url and length.
+
+    Only rows under a limit that about twice ``sample`` rows pass leave their tasks,
+    repeated ones once, so what the driver gets does not grow with the table.
+    """
+    clipped = pages.where("html IS NOT NULL").select("page_id", "url", F.encode(F.substr("html", F.lit(1), F.lit(sample_bytes)), "UTF-8").alias("body"), F.shiftrightunsigned(F.xxhash64("page_id", "url", F.length("html")), 1).alias("h"))
+    n = pages.where("html IS NOT NULL").count()
+    if n > 2 * sample:
+        clipped = clipped.where(F.col("h") < F.lit(int(2**63 * (2 * sample / n))).cast("long"))
+    once = clipped.groupBy("h").agg(F.min(F.struct("page_id", "url", "body")).alias("r")).orderBy("h").limit(sample).select("r.*")
+    return [build_record(r["page_id"], r["url"], bytes(r["body"]), hashlib.sha256(r["body"]).hexdigest(), None) for r in once.collect()]
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = 100, sample: int = 256, sample_bytes: int = 16 << 10, level: int = 3) -> DataFrame:
     """Write the records of ``pages`` (page_id, url, html); returns (archive, n_records), already written.
 
     One archive a partition, none for an empty one.  The dictionary is built from the
-    first ``sample_bytes`` of ``sample`` pages with the smallest hash: that bounds what
-    the driver gets.  A null html is an empty payload; other columns are not read.
+    first ``sample_bytes`` of ``sample`` pages (:func:`dictionary_sample`).  A null html is an empty payload; other columns are not read.
     """
     import pyarrow as pa
 
     spark = pages.sparkSession
     ship(spark)
-    clipped = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "url").alias("h"), "page_id", "url", F.encode(F.substr("html", F.lit(1), F.lit(sample_bytes)), "UTF-8").alias("body"))
-    picked = clipped.orderBy("h", "page_id", "url").limit(sample).collect()
-    dictionary = train_dictionary([build_record(r["page_id"], r["url"], bytes(r["body"]), hashlib.sha256(r["body"]).hexdigest(), None) for r in picked])
+    dictionary = train_dictionary(dictionary_sample(pages, sample, sample_bytes))
     open_store(folder)[0].create_dir(open_store(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
