@@ -2,8 +2,8 @@
 
 Fingerprints within ``radius`` differing bits share all bits of some choice of
 bands (pigeonhole), so a shard is one choice of bands and their value, and every
-linked pair meets in a shard.  In a shard a BK-tree holds the fingerprints met so far
-and a search follows only edges within the radius.  A shard that is larger than
+linked pair meets in a shard.  In a shard a BK-tree holds the fingerprints met so far,
+and each new one searches it, following only edges within the radius.  A shard that is larger than
 ``shard_limit`` is cut once more, by bands of its remaining bits; what then shares a
 shard agrees in at least 48 of 64 bits, which bounds a tree by 65,536 nodes.  Trees
 stay on the executor that holds the shard: nothing of the corpus reaches the driver.
@@ -91,18 +91,12 @@ class BkTree:
         return found
 
 
-def links_in_shard(members: list[tuple[int, int]], radius: int, hubs: int = 8) -> list[tuple[int, int]]:
+def links_in_shard(members: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among (fingerprint, node): at most one row a member.
 
-    First a few hubs take all members within the radius, which settles groups of many
-    copies in one step each.  A link that is still missing has an end outside the
-    largest part, so only those members search the tree of all.
+    Each member searches the BK-tree of those before it, then joins it.
     """
-    n = len(members)
-    if n < 2:
-        return []
-    parent, size = list(range(n)), [1] * n
-    out = []
+    parent, out, tree = list(range(len(members))), [], BkTree()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -110,36 +104,13 @@ def links_in_shard(members: list[tuple[int, int]], radius: int, hubs: int = 8) -
             i = parent[i]
         return i
 
-    def join(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            if size[a] < size[b]:
-                a, b = b, a
-            parent[b] = a
-            size[a] += size[b]
-            out.append((members[i][1], members[j][1]))
-
-    free = list(range(n))
-    for _ in range(hubs):
-        hub, rest = free[0], []
-        value = members[hub][0]
-        for i in free[1:]:
-            if (members[i][0] ^ value).bit_count() <= radius:
-                join(hub, i)
-            else:
-                rest.append(i)
-        free = rest
-        if not free:
-            break
-    largest = max((root(i) for i in range(n)), key=size.__getitem__)
-    outside = [i for i in range(n) if root(i) != largest]
-    if outside:
-        tree = BkTree()
-        for value, _ in members:
-            tree.add(value)
-        for i in outside:
-            for j in tree.near(members[i][0], radius):
-                join(i, j)
+    for i, (value, node) in enumerate(members):
+        for j in tree.near(value, radius):
+            a, b = root(i), root(j)
+            if a != b:
+                parent[b] = a
+                out.append((node, members[j][1]))
+        tree.add(value)
     return out
 
 
@@ -212,26 +183,43 @@ def links(nodes: DataFrame, radius: int = 2, shard_limit: int = 20_000) -> DataF
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _with_least(both: DataFrame, heavy: DataFrame, light: DataFrame) -> DataFrame:
+    """Rows (hi, lo) of ``both`` with ``m`` of their ``hi``: heavy nodes by a broadcast of bounded size, the others by a join."""
+    heavy = F.broadcast(heavy)
+    return both.join(heavy, "hi").unionByName(both.join(heavy, "hi", "left_anti").join(light, "hi"))
+
+
+def components(edges: DataFrame, most_heavy: int = 1000) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
     Alternating star contraction; each round is written to the shared folder.  It ends
     when every edge points at its component's smallest node, in a number of rounds
-    that grows with the logarithm of the longest chain.
+    that grows with the logarithm of the longest chain.  A node with more than a
+    ``most_heavy``-th of all rows is never the key of a shuffle: at most ``most_heavy``
+    nodes have so many, and what they join to is broadcast; sums over them are taken
+    before the shuffle.
     """
+
+    def least(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        found = materialise(rows.groupBy("hi").agg(F.least("hi", F.min("lo")).alias("m"), F.count("*").alias("n")), "least")
+        return tuple(found.where(test).select("hi", "m") for test in (F.col("n") > n // most_heavy, F.col("n") <= n // most_heavy))
+
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
     edges = materialise(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct(), "edges")
+    was = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("node"), F.least("hi", "m").alias("m"))
-        large = both.join(least, both["hi"] == least["node"]).where("lo > node").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        small_min = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-        small = large.join(small_min, large["hi"] == small_min["node"]).select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-        after = materialise(small.where("hi <> lo").distinct(), "edges")
-        changed = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if changed:
+        large = _with_least(both, *least(both, 2 * was[0])).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        large = materialise(large.where("hi <> lo").distinct(), "edges")
+        small = _with_least(large, *least(large, large.count()))
+        small = small.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        edges = materialise(small.where("hi <> lo").distinct(), "edges")
+        now = state(edges)
+        if now == was:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+        was = now
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
