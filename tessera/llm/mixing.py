@@ -19,19 +19,23 @@ from pyspark.sql.window import Window
 from .common import materialise, text_or_empty
 
 
+#: Signs of scripts without spaces count one each; other letters and digits in runs of at most 16.
+_TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]{1,16}+|[^\s\p{L}\p{M}\p{N}]"
+
+
 def token_weight(text: str = "text") -> Column:
-    """Tokens of a text for budgets: its words, at least 1."""
-    t = F.trim(text_or_empty(text))
-    return (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Tokens of a text for budgets, at least 1: runs of up to 16 letters and digits, signs of unspaced scripts, and other signs."""
+    return F.greatest(F.regexp_count(text_or_empty(text), F.lit(_TOKEN)), F.lit(1)).cast("long")
 
 
-def exponents(sources: DataFrame, budget: int, *, entropy: float | None, repeats: float | None, steps: int = 5, grid: int = 16) -> float:
-    """The exponent, by bisection in ``steps`` jobs of ``grid`` points each over the source table.
+def exponents(sources: DataFrame, budget: int, *, entropy: float | None, repeats: float | None, steps: int = 5, grid: int = 16, most: float = 8.0) -> float:
+    """The exponent from 0 to ``most``, by bisection in ``steps`` jobs of ``grid`` points each over the source table.
 
     ``entropy`` (a share of the largest possible, 0 to 1) asks for weights at least so
-    even: entropy falls as the exponent grows from 0 (even) to 1 (as is), so the largest
-    exponent that meets it is taken.  ``repeats`` limits the passes over any source:
-    passes fall as the exponent grows, so the smallest exponent that keeps within it is
+    even: entropy falls as the exponent grows from 0 (even) over 1 (as is), so the largest
+    exponent that meets it is taken; above 1 it sharpens the natural shares.  ``repeats``
+    limits the passes over any source: up to 1 they fall as the exponent grows, beyond 1
+    they grow again, so the nearest exponent on the same side that keeps within it is
     taken, and it wins over the entropy where both cannot be had.
     """
     total = sources.agg(F.sum("tokens"), F.count("*")).first()
@@ -60,19 +64,21 @@ def exponents(sources: DataFrame, budget: int, *, entropy: float | None, repeats
 
     alpha = 1.0
     if entropy is not None:
-        alpha = bisect(lambda m: m[0] >= entropy * math.log(n) - 1e-9, 0.0, 1.0, True)
+        alpha = bisect(lambda m: m[0] >= entropy * math.log(n) - 1e-9, 0.0, most, True)
     if repeats is not None:
-        alpha = max(alpha, bisect(lambda m: m[1] <= repeats + 1e-9, 0.0, 1.0, False))
+        within = lambda m: m[1] <= repeats + 1e-9
+        alpha = bisect(within, 1.0, alpha, True) if alpha > 1 else max(alpha, bisect(within, 0.0, 1.0, False))
     return alpha
 
 
-def mix(docs: DataFrame, *, entropy: float | None = 0.97, repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, *, entropy: float | None = 0.97, repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 100_000, seed: int = 7, tokens: str | None = None) -> DataFrame:
     """Rows of ``docs``, each as often as the mixture takes it.
 
     Adds ``pass`` (0, 1, ...), ``block`` and ``place``: order by pass, block, place
     within a source.  Columns of ``docs`` with these names are replaced.  ``budget``
-    is in tokens (words), by default as many as ``docs`` holds.  A null source is a
-    source of its own; null and empty texts weigh one token; repeated rows count each
+    is in tokens, by default as many as ``docs`` holds; ``tokens`` names a column of
+    counts (of the token counter, say) to use instead of :func:`token_weight`.  A null
+    source is a source of its own; null and empty texts weigh one token; repeated rows count each
     and go together; a budget edge takes documents until it is reached, so a source
     gets its budget to within one document (and its rows tied by id and text).  An
     empty table gives none.
@@ -80,7 +86,8 @@ def mix(docs: DataFrame, *, entropy: float | None = 0.97, repeats: float | None
     base = docs.drop("pass", "block", "place")
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     key = _positive(F.xxhash64(F.lit(seed), "doc_id", F.length("text")))
-    slim = materialise(base.select(source.alias("s"), token_weight().alias("t"), key.alias("h")), "mix")
+    weight = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(1)), F.lit(1)) if tokens else token_weight()
+    slim = materialise(base.select(source.alias("s"), weight.alias("t"), key.alias("h")), "mix")
     sources = materialise(slim.groupBy("s").agg(F.sum("t").alias("tokens")), "sources")
     plan = materialise(passes(slim, sources, entropy=entropy, repeats=repeats, budget=budget, block_tokens=block_tokens, seed=seed), "plan")
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])  # clashes with no column of the documents
