@@ -10,26 +10,61 @@ from ..functions import values
 ELEMENTS = ("purl", "cpe", "supplier", "version", "license", "hash")
 
 
-def component_tree(docs: DataFrame, depth: int = 64) -> DataFrame:
+#: Levels that a document can have: parsed JSON nests at most 1,000 deep, a level takes two.
+MOST_LEVELS = 500
+
+
+def _children(parent: Column, path: Column, level: Column) -> Column:
+    """array of (level, path, component) of the objects in a component list."""
+    each = F.transform(values.items(values.child(parent, "components")), lambda c, i: F.struct(level.alias("level"), F.concat(path, F.lit(".components["), i.cast("string"), F.lit("]")).alias("path"), c.alias("component")))
+    return F.filter(each, lambda c: values.is_object(c["component"]))
+
+
+def _tree(doc: Column) -> Column:
+    """All components of a document, level by level; the loop is within the row and idle where nothing is nested."""
+
+    def deeper(state: Column, level: Column) -> Column:
+        more = F.flatten(F.transform(state["last"], lambda c: _children(c["component"], c["path"], level)))
+        return F.when(F.size(state["last"]) == 0, state).otherwise(values.let(more, lambda m: F.struct(F.concat(state["all"], m).alias("all"), m.alias("last"))))
+
+    def walk(top: Column) -> Column:
+        nested = F.exists(top, lambda c: values.child(c["component"], "components").isNotNull())
+        levels = F.when(nested, F.sequence(F.lit(1), F.lit(MOST_LEVELS))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(levels, F.struct(top.alias("all"), top.alias("last")), deeper)["all"]
+
+    return values.let(_children(doc, F.lit("$"), F.lit(0)), walk)
+
+
+def component_tree(docs: DataFrame) -> DataFrame:
     """(doc_id, level, path, component VARIANT) of every component, nested ones included.
 
-    A recursive query walks all documents one level at a time, in parallel.
-    ``docs`` has doc_id and doc (VARIANT) of the nested format.
+    ``docs`` has doc_id and doc (VARIANT) of the nested format.  A document is walked in
+    its own row, so the number of components in all has no limit and nothing is shuffled.
+    """
+    return docs.select("doc_id", F.inline(_tree(F.col("doc"))))
+
+
+def components_from(docs: DataFrame) -> DataFrame:
+    """(doc_id, ref, name, version, purl, declared) of every component or package, with the advisories that its document declares for it.
+
+    A document with a component list or a bomFormat is read as nested even if it also
+    has packages; a missing name is empty.
     """
-    spark = docs.sparkSession
-    docs.select("doc_id", "doc").createOrReplaceTempView("__tree_docs")
-    is_object = "try_variant_get(c.value, '$', 'map<string,variant>') IS NOT NULL"
-    return spark.sql(f"""
-        WITH RECURSIVE tree(doc_id, level, path, component) MAX RECURSION LEVEL {depth} AS (
-            SELECT d.doc_id, 0, concat('$.components[', c.pos, ']'), c.value
-            FROM __tree_docs d, LATERAL posexplode(try_variant_get(d.doc, '$.components', 'array<variant>')) c(pos, value)
-            WHERE {is_object}
-            UNION ALL
-            SELECT t.doc_id, t.level + 1, concat(t.path, '.components[', c.pos, ']'), c.value
-            FROM tree t, LATERAL posexplode(try_variant_get(t.component, '$.components', 'array<variant>')) c(pos, value)
-            WHERE {is_object}
-        )
-        SELECT doc_id, level, path, component FROM tree""")
+    from .advisories import declared_by_ref, with_declared
+
+    doc = F.col("doc")
+    nested = F.coalesce(values.child(doc, "components").isNotNull() | values.truthy(values.child(doc, "bomFormat")), F.lit(False))
+    said = lambda v, key: values.text(values.child(v, key))
+    c, p = F.col("component"), F.col("p")
+    tree = component_tree(docs.where(nested)).select("doc_id", said(c, "bom-ref").alias("ref"), said(c, "name").alias("name"), said(c, "version").alias("version"), said(c, "purl").alias("purl"))
+    packages = docs.where(~nested).select("doc_id", F.explode(F.filter(values.items(values.child(doc, "packages")), values.is_object)).alias("p"))
+    located = F.get(F.filter(values.items(values.child(p, "externalRefs")), lambda r: said(r, "referenceType") == "purl"), F.lit(0))
+    flat = packages.select("doc_id", said(p, "SPDXID").alias("ref"), said(p, "name").alias("name"), said(p, "versionInfo").alias("version"), said(located, "referenceLocator").alias("purl"))
+    stated = docs.select("doc_id", F.explode(values.items(values.child(doc, "vulnerabilities"))).alias("v"))
+    v = F.col("v")
+    stated = stated.select("doc_id", said(v, "id").alias("id"), F.transform(values.items(values.child(v, "references")), lambda r: said(r, "id")).alias("references"), F.transform(values.items(values.child(v, "affects")), lambda r: said(r, "ref")).alias("affects"))
+    rows = tree.unionByName(flat).withColumn("name", F.coalesce("name", F.lit("")))
+    return with_declared(rows, declared_by_ref(stated))
 
 
 def _said(v: Column, key: str) -> Column:
@@ -85,6 +120,29 @@ def coverage(docs: DataFrame) -> DataFrame:
     return flags.join(counts, "doc_id", "left").fillna(0, ["total", "top_level", "identified", *ELEMENTS])
 
 
+def distinct_tools(entries: DataFrame) -> DataFrame:
+    """One row: documents in all, those that name the tool that made them, and how many different tools (AGG of non-blank values as written)."""
+    said = F.when(F.trim("tool") != "", F.col("tool"))
+    return entries.agg(F.count("*").alias("documents"), F.count(said).alias("with_tool"), F.count_distinct(said).alias("tools"))
+
+
+def gaps(entries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(field, supplied, declared, silent): is a field there, stated as unknown with a reason in ``<field>Unknown``, or neither?"""
+    there = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    sums = entries.agg(*[F.array(F.count_if(there(f)), F.count_if(~there(f) & there(f"{f}Unknown")), F.count_if(~there(f) & ~there(f"{f}Unknown"))).alias(f) for f in fields])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f)[0].alias("supplied"), F.col(f)[1].alias("declared"), F.col(f)[2].alias("silent")) for f in fields])
+    return sums.select(F.inline(rows))
+
+
+def element_scores(sections: DataFrame) -> DataFrame:
+    """(doc_id, element, required, n, zero): compliance sections of a document by element, how many, and how many scored nothing.
+
+    ``sections``: doc_id, section_id, section_data_field, required, score.
+    """
+    element = F.concat_ws(" ", F.col("section_id").cast("string"), F.col("section_data_field").cast("string"))
+    return sections.groupBy("doc_id", element.alias("element")).agg(F.bool_or("required").alias("required"), F.count("*").alias("n"), F.count_if(F.coalesce("score", F.lit(0)) == 0).alias("zero"))
+
+
 def summary(per_document: DataFrame) -> DataFrame:
     """Totals over all documents, with shares in percent to one decimal."""
     sums = per_document.agg(F.count("*").alias("documents"), F.count_if("dependencies").alias("with_dependencies"), F.count_if("compositions").alias("with_compositions"), *[F.sum(k).alias(k) for k in ("total", "identified", *ELEMENTS)])

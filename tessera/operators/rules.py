@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import values
 from . import assertions, detect, selectors
@@ -139,23 +140,26 @@ def _failing(found: Column, rule: Rule, kind: str, doc: Column) -> Column:
 
 
 def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
-    """``doc_id``, format, spec, problem and results of every document (``doc_id``, ``doc`` VARIANT).
+    """``doc_id``, format, spec, problem and results of every document (``doc_id``, ``doc`` VARIANT, and ``format`` where it is stated).
 
-    A document without a format that is read has its problem and no results.
+    A stated format is taken; a document without one is in the format that is detected.
+
+    A document whose format is not told has its problem and no results.  One of a
+    version that is not read has both: :func:`gated` leaves its results out.
     """
     from .graph import as_flat
 
-    seen = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"))
+    seen = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"), (F.col("format") if "format" in docs.columns else F.lit(None)).cast("string").alias("__format"))
     flat = F.col("doc")
     if _selectors(pack, "spdx"):  # a pack without rules for that format never reads the flat view
         flat = F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(flat), as_flat(flat)).otherwise(flat)
     problem = F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem"))
-    seen = seen.select("doc_id", flat.alias("doc"), F.col("__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"))
+    seen = seen.select("doc_id", flat.alias("doc"), F.coalesce("__format", "__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"))
     results, names = F.array().cast(f"array<struct<rule_id:string,status:string,failures:{NONE}>>"), {}
     for kind in ("cyclonedx", "spdx"):
         for k, s in enumerate(_selectors(pack, kind)):
             names[kind, s] = f"__{kind}_{k}"
-    here = lambda kind: (F.col("format") == kind) & F.col("problem").isNull()
+    here = lambda kind: F.col("format").eqNullSafe(kind)
     seen = seen.select("*", *[F.when(here(kind), selectors.nodes(F.col("doc"), s)).alias(n) for (kind, s), n in names.items()])
     for kind in ("cyclonedx", "spdx"):
         found = {s: F.col(n) for (k, s), n in names.items() if k == kind}
@@ -163,6 +167,11 @@ def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
     return seen.select("doc_id", "format", "spec", "problem", results.alias("results"))
 
 
+def gated(evaluated: DataFrame) -> DataFrame:
+    """:func:`evaluate`'s rows without the results of documents that have a problem."""
+    return evaluated.withColumn("results", F.when(F.col("problem").isNull(), F.col("results")))
+
+
 def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> DataFrame:
     """The pack's rules as rows, with the overrides asked for."""
     asked = overrides or {}
@@ -210,8 +219,34 @@ def gate(runs: DataFrame, at: str = "error") -> DataFrame:
     return runs.groupBy("doc_id").agg(rank.alias("rank"), (rank >= limit).alias("blocked"), ((rank < limit) & (own >= limit)).alias("moved_below"), F.max(F.when(F.col("status") == "ran", severity_rank(F.col("severity")))).alias("reachable")).withColumn("inert_gate", F.coalesce(F.col("reachable") < limit, F.lit(True)))
 
 
-def grouped(found: DataFrame, shown: int = 3) -> DataFrame:
-    """Findings by rule, worst first: how many, the first few, and how many more."""
-    by = found.groupBy("rule_id", "title", "severity").agg(F.count("*").alias("n"), F.min_by("fix", "position").alias("fix"))
-    first = found.where(F.col("position") < shown).groupBy("rule_id", "severity").agg(F.array_sort(F.collect_list(F.struct("doc_id", "position", "path", "component"))).alias("first"))
-    return by.join(first, ["rule_id", "severity"], "left").withColumn("first", F.slice("first", 1, shown)).withColumn("more", F.col("n") - F.size("first")).orderBy(F.desc(severity_rank(F.col("severity"))), "rule_id")
+def grouped(found: DataFrame, shown: int = 3, by_instances: bool = False) -> DataFrame:
+    """Findings by rule: how many, the first few, and how many more.
+
+    Worst first and by rule, or (``by_instances``) worst first and most findings first.
+    The first findings are the least by document and position, kept by an aggregate of
+    ``shown`` entries a rule and task, so a rule's row does not grow with the corpus.
+    """
+    key = F.struct("doc_id", "position", "path", "component")
+    spread = found.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    first = F.row_number().over(Window.partitionBy("rule_id", "severity", "__part").orderBy("doc_id", "position"))
+    few = spread.withColumn("__k", first).where(F.col("__k") <= shown).groupBy("rule_id", "severity").agg(F.slice(F.array_sort(F.collect_list(key)), 1, shown).alias("first"))
+    by = found.groupBy("rule_id", "title", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("files"), F.min_by("fix", F.struct("doc_id", "position")).alias("fix"))
+    order = [F.desc("n"), "rule_id"] if by_instances else ["rule_id"]
+    return by.join(few, ["rule_id", "severity"], "left").withColumn("more", F.col("n") - F.size("first")).orderBy(F.desc(severity_rank(F.col("severity"))), *order)
+
+
+def universal(found: DataFrame, components: DataFrame) -> DataFrame:
+    """(rule_id, n, universal): does a rule fail as often as there are components?"""
+    size = components.agg(F.count("*").alias("__all"))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n")).join(F.broadcast(size)).select("rule_id", "n", (F.col("n") == F.col("__all")).alias("universal"))
+
+
+def pivot(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, a count for each severity, total) of findings, by the ``group`` of their document (doc_id, group)."""
+    p = found.join(groups, "doc_id").groupBy("group").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    return p.withColumn("total", sum(F.col(s) for s in SEVERITIES))
+
+
+def top(found: DataFrame, k: int = 12) -> DataFrame:
+    """The ``k`` rules with most findings, the rule as tie-break (a top-k report)."""
+    return found.groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id").limit(k)

@@ -20,7 +20,7 @@ def stream_documents(spark: SparkSession, folder: str, per_trigger: int = 1000)
 def check_stream(spark: SparkSession, folder: str, pack: Pack, out: str, checkpoint: str) -> StreamingQuery:
     """Check every new document once and append its findings to ``out``; stateless, restarts from ``checkpoint``."""
     table = rules.rule_table(spark, pack)
-    found = rules.findings(rules.rule_runs(rules.evaluate(stream_documents(spark, folder), pack), table))
+    found = rules.findings(rules.rule_runs(rules.gated(rules.evaluate(stream_documents(spark, folder), pack)), table))
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
