@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,24 +78,38 @@ def sniff(content) -> object:
 ENTRY = "path string, entry string, size long, content binary, problem string"
 
 
+#: What a damaged or foreign archive raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError)
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(path, entry, size, content, problem):
+        return pd.DataFrame([(path, entry, size, content, problem)], columns=["path", "entry", "size", "content", "problem"])
+
     for b in batches:
         for path, content in zip(b["path"], b["content"], strict=True):
+            if content is None:
+                yield row(path, None, 0, None, "no content")
+                continue
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    stated = len(z.infolist())
-                    n = 0
-                    for info in z.infolist():
-                        yield pd.DataFrame([(path, info.filename, info.file_size, z.read(info), None)], columns=["path", "entry", "size", "content", "problem"])
-                        n += 1
-                    if n != stated:
-                        raise zipfile.BadZipFile("entries are missing")
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as e:
-                yield pd.DataFrame([(path, None, 0, None, str(e) or "unreadable")], columns=["path", "entry", "size", "content", "problem"])
+                z = zipfile.ZipFile(io.BytesIO(content))
+            except BROKEN as e:
+                yield row(path, None, 0, None, str(e) or "unreadable")
+                continue
+            with z:
+                for info in z.infolist():
+                    try:
+                        yield row(path, info.filename, info.file_size, z.read(info), None)
+                    except BROKEN as e:
+                        yield row(path, info.filename, info.file_size, None, str(e) or "unreadable")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """One row per entry of zip archives (path, content); a broken archive is a row with its problem."""
+    """One row per entry of zip archives (path, content).
+
+    A broken archive, or one without content, is a row with its problem and no entry;
+    a broken entry is a row with its problem beside the entries that can be read.
+    """
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(_unzip, ENTRY)
 

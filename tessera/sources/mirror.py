@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ def compact(entries: DataFrame) -> DataFrame:
 
     ``entries``: source and raw JSON.  Prose is left out at once, entries that name no
     package are none, an id under ``MAL-`` is a malicious-package report, and a key
-    holds an id once however many exports carry it.
+    holds an id once however many exports carry it: that of the first source by name,
+    and there the first by its text.
     """
     read = entries.select("source", F.from_json("raw", ADVISORY).alias("a")).where("a.id IS NOT NULL")
     flat = F.transform("a.affected", lambda x: F.struct(x["package"]["name"].alias("name"), x["package"]["ecosystem"].alias("ecosystem"), x["versions"].alias("versions"), x["ranges"].alias("ranges")))
@@ -27,53 +29,90 @@ def compact(entries: DataFrame) -> DataFrame:
     kind = F.when(F.startswith("a.id", F.lit("MAL-")), "malicious").otherwise("vulnerability")
     rows = read.select("source", kind.alias("kind"), F.col("a.id").alias("id"), F.col("a.aliases").alias("aliases"), F.col("a.summary").alias("summary"), named.alias("affected"))
     each = rows.withColumn("p", F.explode(F.array_distinct(F.transform("affected", lambda x: F.struct(x["ecosystem"].alias("ecosystem"), x["name"].alias("name"))))))
-    return each.select("source", "kind", "p.ecosystem", "p.name", "id", "aliases", "summary", "affected").dropDuplicates(["kind", "ecosystem", "name", "id"])
+    rest = F.struct("source", "aliases", "summary", "affected")
+    keyed = each.select("kind", F.col("p.ecosystem").alias("ecosystem"), F.col("p.name").alias("name"), "id", rest.alias("r"))
+    once = keyed.groupBy("kind", "ecosystem", "name", "id").agg(F.min_by("r", F.struct("r.source", F.to_json("r"))).alias("r"))
+    return once.select("r.source", "kind", "ecosystem", "name", "id", "r.aliases", "r.summary", "r.affected")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(kind, ecosystem, names, advisories) of compacted rows."""
+    return rows.groupBy("kind", "ecosystem").agg(F.count_distinct("name").alias("names"), F.count_distinct("id").alias("advisories"))
 
 
 def build(exports: DataFrame, kev: DataFrame, folder: str, fetched_at: str) -> None:
-    """Write a mirror from zip exports (path, content) and the catalogue of exploited ids.
+    """Write a mirror from zip exports (path, content, and ecosystem where it is known) and the catalogue of exploited ids.
 
-    Shards are partitions by kind and ecosystem; ``sources`` has a row for each export,
-    so an ecosystem without entries is still known to be mirrored.
+    Shards are partitions by kind and ecosystem.  ``sources`` has a row for each export
+    with its counts and its problem, NULL for none.  An export mirrors its ``ecosystem``
+    as given, or else its file's name without the ending, and those that its entries
+    name; so an empty or a broken export is still known as mirrored, and a broken one
+    as not loaded.
     """
     spark = exports.sparkSession
-    entries = read_archives(exports).where("problem IS NULL").where(F.endswith("entry", F.lit(".json")))
-    rows = compact(entries.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.decode("content", "UTF-8").alias("raw")))
-    rows.repartition("kind", "ecosystem").write.mode("overwrite").partitionBy("kind", "ecosystem").parquet(f"{folder}/advisories")
-    written = spark.read.parquet(f"{folder}/advisories")
-    counts = written.groupBy("source").agg(F.count_distinct(F.when(F.col("kind") == "vulnerability", F.col("id"))).alias("vulnerabilities"), F.count_distinct(F.when(F.col("kind") == "malicious", F.col("id"))).alias("malicious"), F.array_sort(F.collect_set("ecosystem")).alias("ecosystems"))
-    files = exports.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.sha2("content", 256).alias("sha256"))
-    out = files.join(counts, "source", "left").withColumn("fetched_at", F.lit(fetched_at)).withColumn("schema_version", F.lit(VERSION)).fillna(0, ["vulnerabilities", "malicious"])
+    name = F.element_at(F.split("path", "/"), -1)
+    stated = F.col("ecosystem") if "ecosystem" in exports.columns else F.regexp_replace(name, r"\.zip$", "")
+    files = exports.select("path", name.alias("source"), stated.alias("stated"), F.sha2("content", 256).alias("sha256"))
+    read = read_archives(exports).withColumn("source", name)
+    problems = read.where("problem IS NOT NULL").groupBy("source").agg(F.min(F.concat_ws(": ", "entry", "problem")).alias("problem"))
+    entries = read.where("problem IS NULL").where(F.endswith("entry", F.lit(".json")))
+    rows = compact(entries.select("source", F.decode("content", "UTF-8").alias("raw")))
+    shards_of = rows.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(16)))
+    shards_of.repartition("kind", "ecosystem", "__part").drop("__part").write.mode("overwrite").partitionBy("kind", "ecosystem").parquet(f"{folder}/advisories")
+    written = spark.read.schema(rows.schema).parquet(f"{folder}/advisories")
+    seen = written.groupBy("source").agg(F.count_distinct(F.when(F.col("kind") == "vulnerability", F.col("id"))).alias("vulnerabilities"), F.count_distinct(F.when(F.col("kind") == "malicious", F.col("id"))).alias("malicious"), F.collect_set("ecosystem").alias("__seen"))
+    out = files.join(seen, "source", "left").join(problems, "source", "left").fillna(0, ["vulnerabilities", "malicious"])
+    held = F.array_sort(F.array_distinct(F.concat(F.coalesce("__seen", F.array().cast("array<string>")), F.array("stated"))))
+    out = out.select("source", "sha256", "vulnerabilities", "malicious", held.alias("ecosystems"), F.col("stated").alias("ecosystem"), "problem", F.lit(fetched_at).alias("fetched_at"), F.lit(VERSION).alias("schema_version"))
     out.write.mode("overwrite").parquet(f"{folder}/sources")
     kev.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/kev")
 
 
-def read_kev(spark: SparkSession, path: str) -> DataFrame:
-    """(id) of every advisory in an exploited-vulnerabilities catalogue file."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("raw"))
-    return raw.select(F.explode(F.from_json("raw", "vulnerabilities array<struct<cveID:string>>")["vulnerabilities"]).alias("v")).select(F.col("v.cveID").alias("id")).distinct()
+def read_kev(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """((id) of every advisory in an exploited-vulnerabilities catalogue file, problem): an absent or unreadable file is a problem, not an error."""
+    none = spark.createDataFrame([], "id string")
+    try:
+        raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("raw"))
+    except AnalysisException:
+        return none, "the catalogue is absent"
+    if raw.where(F.try_parse_json("raw").isNull()).limit(1).count() or raw.isEmpty():
+        return none, "the catalogue is not JSON"
+    ids = raw.select(F.explode(F.from_json("raw", "vulnerabilities array<struct<cveID:string>>")["vulnerabilities"]).alias("v"))
+    return ids.select(F.col("v.cveID").alias("id")).where("id IS NOT NULL").distinct(), None
 
 
 def open_mirror(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(advisories, kev, sources) of a mirror; refuses one of another schema version."""
+    """(advisories, kev, sources) of a mirror; refuses one of another schema version.  A mirror without a catalogue has an empty one."""
     sources = spark.read.parquet(f"{folder}/sources")
     other = sources.where(F.col("schema_version") != VERSION)
     if not other.isEmpty():
         raise ValueError(f"the mirror has another schema version than {VERSION}")
-    return spark.read.parquet(f"{folder}/advisories"), spark.read.parquet(f"{folder}/kev"), sources
+    try:
+        kev = spark.read.schema("id string").parquet(f"{folder}/kev")
+    except AnalysisException:
+        kev = spark.createDataFrame([], "id string")
+    return spark.read.parquet(f"{folder}/advisories"), kev, sources
 
 
 def shards(sources: DataFrame, problems: DataFrame | None = None) -> DataFrame:
     """(ecosystem, loaded): what is mirrored, and whether it could be read.
 
-    ``problems``: (ecosystem, problem) of shards that were found to be broken, known
-    only once they have been asked for; so this is worked out after the run.
+    An export's own problem counts for the ecosystem it states; ``problems`` (ecosystem,
+    problem) adds shards that were found to be broken later.
     """
     held = sources.select(F.explode("ecosystems").alias("ecosystem")).distinct()
-    if problems is None:
-        return held.withColumn("loaded", F.lit(True))
-    bad = problems.where("problem IS NOT NULL").select("ecosystem", F.lit(False).alias("__ok")).distinct()
-    return held.join(bad, "ecosystem", "left").select("ecosystem", F.coalesce("__ok", F.lit(True)).alias("loaded"))
+    bad = sources.where("problem IS NOT NULL").select("ecosystem")
+    if problems is not None:
+        bad = bad.unionByName(problems.where("problem IS NOT NULL").select("ecosystem"))
+    return held.join(bad.distinct().withColumn("__ok", F.lit(False)), "ecosystem", "left").select("ecosystem", F.coalesce("__ok", F.lit(True)).alias("loaded"))
+
+
+def status(sources: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """(ecosystem, loaded, exports, vulnerabilities, malicious, problem): what the mirror holds, by ecosystem."""
+    each = sources.select(F.explode("ecosystems").alias("__e"), "ecosystem", "source", "vulnerabilities", "malicious", "problem")
+    each = each.select(F.col("__e").alias("ecosystem"), "source", "vulnerabilities", "malicious", F.when(F.col("__e") == F.col("ecosystem"), F.col("problem")).alias("problem"))
+    by = each.groupBy("ecosystem").agg(F.count_distinct("source").alias("exports"), F.sum("vulnerabilities").alias("vulnerabilities"), F.sum("malicious").alias("malicious"), F.min("problem").alias("problem"))
+    return shards(sources, problems).join(by, "ecosystem", "left")
 
 
 def read_shard_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,9 +21,9 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 
 
 def csv_rows(content: bytes) -> list[list[str]]:
-    """Rows of a comma separated text: quotes, line breaks inside quotes, a byte order mark."""
-    rows = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
-    return [r for r in rows if any(c.strip() for c in r)]
+    """Rows of a comma separated text, empty ones too: quotes, line breaks inside quotes, a byte order mark, cells of any length."""
+    csv.field_size_limit(2**31 - 1)
+    return list(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")))
 
 
 def column_index(reference: str) -> int:
@@ -69,8 +69,9 @@ def xlsx_rows(content: bytes) -> list[list[str]]:
             elif c.get("t") == "inlineStr":
                 value = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
             cells[at] = value
-        if any(v.strip() for v in cells.values()):
-            out.append([cells.get(i, "") for i in range(max(cells) + 1)])
+        number = int(row.get("r") or len(out) + 1)
+        out += [[]] * (number - 1 - len(out))  # rows that the file leaves out
+        out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
     return out
 
 
@@ -99,7 +100,24 @@ def _inflate(head: bytes, data: bytes) -> bytes:
         data = bytes(out)
     if b"FlateDecode" in head:
         data = zlib.decompressobj().decompress(data)
-    return data
+    stated = {k: int(m[1]) for k in ("Predictor", "Columns", "Colors", "BitsPerComponent") if (m := re.search(rb"/" + k.encode() + rb"\s+(\d+)", head))}
+    return _unpredict(data, stated) if stated.get("Predictor", 1) >= 10 else data
+
+
+def _unpredict(data: bytes, stated: dict[str, int]) -> bytes:
+    """Undo the row filters (none, sub, up, average, Paeth) of a predicted stream."""
+    size = max(1, stated.get("Colors", 1) * stated.get("BitsPerComponent", 8) // 8)
+    width = (stated.get("Columns", 1) * stated.get("Colors", 1) * stated.get("BitsPerComponent", 8) + 7) // 8
+    out, above = bytearray(), bytes(width)
+    for at in range(0, len(data), width + 1):
+        kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
+        for i, x in enumerate(row):
+            left, up, corner = row[i - size] if i >= size else 0, above[i], above[i - size] if i >= size else 0
+            near = min((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner))[2]
+            row[i] = (x + (0, left, up, (left + up) // 2, near)[kind if kind < 5 else 0]) & 255
+        out += row
+        above = bytes(row).ljust(width, b"\0")
+    return bytes(out)
 
 
 def _literal(s: bytes) -> str:
@@ -107,15 +125,17 @@ def _literal(s: bytes) -> str:
     return plain[2:].decode("utf-16-be", "replace") if plain.startswith(b"\xfe\xff") else plain.decode("cp1252", "replace")
 
 
-def pdf_runs(content: bytes) -> list[tuple[int, float, float, str]]:
-    """(page, x, y, text) of every text run with a simple encoding."""
+def pdf_runs(content: bytes, problems: list[str] | None = None) -> list[tuple[int, float, float, str]]:
+    """(page, x, y, text) of every text run with a simple encoding; streams that cannot be read are told in ``problems``."""
     if b"/Encrypt" in content:
         raise PdfError("encrypted")
     runs = []
     for page, m in enumerate(_STREAM.finditer(content)):
         try:
             body = _inflate(m[1], m[2])
-        except (zlib.error, ValueError):
+        except (zlib.error, ValueError) as e:
+            if problems is not None:
+                problems.append(f"stream {page} cannot be read: {e}")
             continue
         if b"BT" not in body:
             continue
@@ -170,8 +190,18 @@ def pdf_attachments(content: bytes) -> list[tuple[str, bytes]]:
     return [(label, data) for (label, _), data in found.items()]
 
 
-def table_of_runs(runs: list[tuple[int, float, float, str]], row_gap: float = 3.0, column_gap: float = 12.0) -> list[list[str]]:
-    """Rows by height on the page, columns by the left edges that recur, reading order kept."""
+def gaps_of(runs: list[tuple[int, float, float, str]]) -> tuple[float, float]:
+    """(row gap, column gap): half of the usual step between lines (the upper median), and as much as a line is high."""
+    placed = sorted({(page, y) for page, _, y, _ in runs})
+    steps = sorted(round(b[1] - a[1], 3) for a, b in zip(placed, placed[1:], strict=False) if a[0] == b[0] and b[1] - a[1] > 1)
+    step = steps[len(steps) // 2] if steps else 12.0
+    return min(max(step / 4, 1.0), 6.0), min(max(step, 6.0), 24.0)
+
+
+def table_of_runs(runs: list[tuple[int, float, float, str]], row_gap: float | None = None, column_gap: float | None = None) -> list[list[str]]:
+    """Rows by height on the page, columns by the left edges that recur, reading order kept; gaps by :func:`gaps_of` unless given."""
+    usual = gaps_of(runs)
+    row_gap, column_gap = usual[0] if row_gap is None else row_gap, usual[1] if column_gap is None else column_gap
     rows: list[tuple[int, float, list[tuple[float, str]]]] = []
     for page, x, y, text in sorted(runs, key=lambda r: (r[0], -r[2], r[1])):
         if rows and rows[-1][0] == page and abs(rows[-1][1] - y) <= row_gap:
@@ -192,30 +222,59 @@ def table_of_runs(runs: list[tuple[int, float, float, str]], row_gap: float = 3.
     return out
 
 
-def rows_of(path: str, content: bytes) -> list[list[str]]:
-    """Rows of a file of any of the three kinds, told apart by its first bytes."""
+def rows_of(content: bytes, problems: list[str]) -> list[list[str]]:
+    """Rows of a file of any of the three kinds, told apart by its first bytes; what could not be read is told in ``problems``."""
     if content[:4] == b"PK\x03\x04":
         return xlsx_rows(content)
     if b"%PDF-" in content[:1024]:
-        return table_of_runs(pdf_runs(content))
+        return table_of_runs(pdf_runs(content, problems))
     return csv_rows(content)
 
 
+#: What a damaged file raises.
+BROKEN = (ValueError, KeyError, IndexError, EOFError, OSError, NotImplementedError, RuntimeError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, csv.Error)
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["path", "row_number", "cells", "ragged", "problem"]
     for b in batches:
         for path, content in zip(b["path"], b["content"], strict=True):
+            problems: list[str] = []
+            made = []
             try:
-                rows = rows_of(path, bytes(content))
-                width = len(rows[0]) if rows else 0
-                made = [(path, i, r, len(r) != width, None) for i, r in enumerate(rows)]
-            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error, IndexError) as e:
-                made = [(path, -1, [], False, str(e) or type(e).__name__)]
-            if made:
-                yield pd.DataFrame(made, columns=names)
+                rows = [] if content is None else rows_of(bytes(content), problems)
+                filled = [(i, r) for i, r in enumerate(rows) if any(c.strip() for c in r)]
+                made = [(path, i - filled[0][0], r, len(r) != len(filled[0][1]), None) for i, r in filled]
+                if not made:
+                    problems.append("no content" if content is None else "no rows")
+            except BROKEN as e:
+                problems.append(str(e) or type(e).__name__)
+            yield pd.DataFrame(made + [(path, -1, [], False, p) for p in problems], columns=names)
 
 
 def read_tables(files: DataFrame) -> DataFrame:
-    """Rows of CSV, XLSX and PDF files (path, content); a file that cannot be read is a row with its problem."""
+    """Rows of CSV, XLSX and PDF files (path, content), the first row with a cell being row 0.
+
+    Rows without a cell are left out but counted in the numbers of those after them.  A
+    file, or a part of one, that cannot be read is a row -1 with its problem; so is a
+    file without rows or without content.
+    """
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(_read, ROWS)
+
+
+def _attached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "name", "content", "problem"]
+    for b in batches:
+        for path, content in zip(b["path"], b["content"], strict=True):
+            try:
+                made = [(path, name, data, None) for name, data in pdf_attachments(bytes(content or b""))]
+            except BROKEN as e:
+                made = [(path, None, None, str(e) or type(e).__name__)]
+            yield pd.DataFrame(made, columns=names)
+
+
+def read_attachments(files: DataFrame) -> DataFrame:
+    """(path, name, content, problem): files embedded in PDF files (path, content)."""
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInPandas(_attached, "path string, name string, content binary, problem string")
