@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ ENDINGS = "jar whl tar.gz tgz tar zip exe dll so gem nupkg crate deb rpm"
 NORM_ENDINGS = "jar whl tar.gz tgz zip exe dll so"
 
 _any = lambda endings: "|".join(re.escape(e) for e in endings.split())
+# The steps of the published normal form, in order.
 _STEPS = ((rf"\.({_any(NORM_ENDINGS)})$", ""), (r"\s*\([^)]*\)\s*$", ""), (r"[_\s]+", "-"), (r"-v?\d[\d.\-_a-z]*$", ""), (r"^-+|-+$", ""))
 
 
@@ -36,41 +37,40 @@ def norm_text(s: str) -> str:
     return out
 
 
-_REVERSALS = tuple((re.compile(p, re.I), by) for p, by in ((rf"\.({_any(ENDINGS)})$", ""), (r"\s*\([^)]*\)\s*$", ""), (r"[-_\s]v?\d[\d.\-_a-z]*$", ""), (r"[_\s]+", "-")))
+def _reversals() -> list[tuple[re.Pattern, str, bool]]:
+    """(pattern, replacement, trim after it) of every shape that is taken back, in the order they are tried."""
+    shapes = [(rf"\.({_any(ENDINGS)})$", "", False), (r"\s*\([^)]*\)\s*$", "", True), (r"[-_\s]v?\d[\d.\-_a-z]*$", "", True), (r"[_\s]+", "-", False)]
+    prefixes = [(rf"^{re.escape(p)}(?=(?s:...))", "", False) for p in PREFIXES]
+    return [(re.compile(pattern, re.I), by, trim) for pattern, by, trim in [*shapes, *prefixes]]
 
 
-def _reversed_once(s: str) -> Iterator[str]:
-    for k, (pattern, by) in enumerate(_REVERSALS):
-        out = pattern.sub(by, s)
-        out = out.strip() if k in (1, 2) else out
-        if out != s:
-            yield out
-    low = s.lower()
-    yield from (s[len(p) :] for p in PREFIXES if low.startswith(p) and len(s) > len(p) + 2)
+REVERSALS = _reversals()
 
 
 def candidate_forms(name: str, limit: int = 64, depth: int = 4) -> list[str]:
-    """Forms of a name worth looking up, those with the least taken away first."""
-    found: dict[str, None] = {}
-
-    def note(s: str) -> None:
-        s = s.strip()
-        if len(s) >= 2:
-            found.update(dict.fromkeys(f for f in (s, s.lower(), norm_text(s)) if len(f) >= 2))
-
-    note(name)
-    level = [name.strip()]
-    for _ in range(depth):
-        if not level or len(found) >= limit:
-            break
-        deeper = []
-        for s in level:
-            for t in _reversed_once(s):
-                if t not in found:
-                    note(t)
-                    deeper.append(t)
-        level = deeper
-    return list(found)[:limit]
+    """Forms of a name worth looking up: a breadth-first search over up to ``depth`` reversals.
+
+    A form stands as written, in lower case and in its normal form, if it has two
+    characters or more; what is known already is not taken apart again.
+    """
+    known: dict[str, None] = {}
+    queue = deque([(name.strip(), 0)])
+
+    def add(form: str) -> None:
+        bare = form.strip()
+        if len(bare) > 1:
+            known.update((f, None) for f in (bare, bare.lower(), norm_text(bare)) if len(f) > 1)
+
+    add(name)
+    while queue and len(known) < limit:
+        form, taken = queue.popleft()
+        for pattern, by, trim in REVERSALS if taken < depth else ():
+            shorter = pattern.sub(by, form)
+            shorter = shorter.strip() if trim else shorter
+            if shorter != form and shorter not in known:
+                add(shorter)
+                queue.append((shorter, taken + 1))
+    return list(known)[:limit]
 
 
 def _candidate_series(names: pd.Series) -> pd.Series:
@@ -96,6 +96,11 @@ def slugify(name: Column) -> Column:
     return F.array_join(F.transform(F.split(F.lower(trim_all(name)), "/"), url_part), "/")
 
 
+def unslug(path: Column) -> Column:
+    """The name that a path gives back: segments decoded, joined by slashes, trimmed."""
+    return trim_all(F.array_join(F.transform(F.split(path, "/"), lambda p: F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))), "/"))
+
+
 def addressable(name: Column) -> Column:
     """Can a path give this name back? No empty, dot or double-dot segment."""
     parts = F.split(F.lower(trim_all(name)), "/")
@@ -129,7 +134,7 @@ def why_no_answer(name: Column) -> Column:
     t = trim_all(name)
     return (
         F.when(F.length(t) < 2, "too short")
-        .when(t.rlike(r"^(sha256:)?[0-9a-fA-F]{12,}$"), "a digest")
+        .when(t.rlike(r"^[0-9a-fA-F]{32,}$"), "a digest")
         .when(~t.rlike("[A-Za-z]"), "no letters")
         .otherwise("not in the dictionary")
     )

@@ -1,7 +1,8 @@
 """Matching components to advisories, with three-valued verdicts.
 
-Advisories are grouped by (ecosystem, name) once; a component meets its group in one
-equi-join and its verdict is worked out in its row.  ``clear`` needs a comparison that
+Advisories are grouped by (ecosystem, name) once; every distinct (ecosystem, name,
+version) meets its group in one equi-join and its verdict is worked out in its row, so
+a popular package is worked out once a version, not once a component.  ``clear`` needs a comparison that
 really ran: whatever could not be looked up or compared makes ``unknown``.
 """
 
@@ -15,14 +16,21 @@ from ..functions import purl, versions
 AFFECTED = "array<struct<name:string,ecosystem:string,versions:array<string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>>>>>"
 
 
+# Ecosystems whose names are paths, so that a parent path can be asked.
+PATHS = ("Go",)
+
+
 def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
     """(ecosystem, name, vulnerabilities, malicious): advisories by the key they are looked up by, ranges prepared.
 
     ``advisories``: kind (vulnerability or malicious), ecosystem, name, id, aliases,
-    summary, affected; an id counts once for each key.  ``kev``: id of every advisory
+    summary, affected; an id counts once for each key, the first by source (where there is
+    one) and text.  ``kev``: id of every advisory
     known to be exploited, matched by id or alias.
     """
-    once = advisories.dropDuplicates(["kind", "ecosystem", "name", "id"])
+    rest = [c for c in advisories.columns if c not in ("kind", "ecosystem", "name", "id")]
+    first = F.struct(*(["source"] if "source" in rest else []), F.to_json(F.struct("aliases", "summary", "affected")))
+    once = advisories.groupBy("kind", "ecosystem", "name", "id").agg(F.min_by(F.struct("aliases", "summary", "affected"), first).alias("__r")).select("kind", "ecosystem", "name", "id", "__r.*")
     ids = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))
     exploited = once.select("id", F.explode(ids).alias("any_id")).join(kev.select(F.col("id").alias("any_id")).distinct(), "any_id", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
     marked = once.join(exploited, "id", "left").withColumn("ids", ids)
@@ -60,34 +68,30 @@ def outcome(affected: Column, ecosystem: Column, name: Column, version: Column,
     return F.element_at(F.transform(F.array(mine), answer), 1)
 
 
+def nearest_module(lookups: DataFrame, modules: DataFrame) -> DataFrame:
+    """``lookups`` (name, ...) that have a parent path among ``modules`` (module, ...), with the nearest such row.
+
+    ``lookups`` must be distinct in their columns; the path itself does not count.
+    """
+    walked = lookups.select(*lookups.columns, F.posexplode(purl.module_candidates(F.col("name"))).alias("__at", "module")).where("__at > 0")
+    rest = [c for c in modules.columns if c != "module"]
+    near = walked.join(modules, "module").groupBy(*lookups.columns).agg(F.min_by(F.struct("module", *rest), "__at").alias("__m"))
+    return near.select(*lookups.columns, "__m.*")
+
+
 def _hit(a: Column, method: Column, name: Column, declared: Column) -> Column:
     return F.struct(a["id"].alias("id"), a["known_exploited"].alias("known_exploited"), method.alias("method"), name.alias("matched_name"), F.arrays_overlap(a["ids"], declared).alias("already_declared"))
 
 
 def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataFrame:
-    """``components`` (component_id unique, name, version, purl, declared) with their verdicts.
+    """``components`` (name, version, purl, declared) with their verdicts.
 
     ``shards`` (ecosystem, loaded) names what the mirror holds and whether it could be
     read.  Adds ecosystem, matched_name, via_module, status, hits, malicious, why.
     """
     keyed = components.withColumn("__k", purl.purl_key(purl.purl_parts(F.col("purl"))))
-    keyed = keyed.withColumn("ecosystem", F.col("__k.ecosystem")).withColumn("matched_name", F.col("__k.name")).withColumn("__v", F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("version", F.lit(""))))
-    keyed = keyed.withColumn("__key", versions.semver_key(F.col("__v")))
+    keyed = keyed.withColumn("ecosystem", F.col("__k.ecosystem")).withColumn("__n", F.col("__k.name")).withColumn("__v", F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("version", F.lit(""))))
     keyed = keyed.join(F.broadcast(shards.select(F.col("ecosystem").alias("__e"), "loaded")), F.col("ecosystem") == F.col("__e"), "left").drop("__e")
-    exact = keyed.join(indexed.withColumnRenamed("name", "matched_name"), ["ecosystem", "matched_name"], "left")
-    none = F.coalesce(F.size("vulnerabilities"), F.lit(0)) <= 0
-    retry = (F.col("ecosystem") == "Go") & none & F.col("__v").isNotNull()
-    walked = exact.where(retry).select("component_id", F.posexplode(purl.module_candidates(F.col("matched_name"))).alias("at", "candidate")).where("at > 0")
-    modules = indexed.where((F.col("ecosystem") == "Go") & (F.size("vulnerabilities") > 0))
-    nearest = walked.join(modules, F.col("candidate") == F.col("name")).groupBy("component_id").agg(F.min("at").alias("at"), F.min_by("candidate", "at").alias("via"), F.min_by(F.struct("vulnerabilities", "malicious"), "at").alias("found"))
-    both = exact.join(nearest.drop("at"), "component_id", "left").withColumn("via_module", F.col("via"))
-    empty = lambda c: F.coalesce(c, F.array().cast(indexed.schema["vulnerabilities"].dataType))
-    both = both.withColumn("matched_name", F.coalesce("via", "matched_name")).withColumn("__a", empty(F.coalesce("found.vulnerabilities", "vulnerabilities"))).withColumn("__m", empty(F.when(F.col("via").isNotNull(), F.col("found.malicious")).otherwise(F.col("malicious"))))
-    declared = F.coalesce("declared", F.array().cast("array<string>"))
-    both = both.withColumn("__o", F.transform("__a", lambda a: F.struct(a.alias("a"), outcome(a["affected"], F.col("ecosystem"), F.col("matched_name"), F.col("__v"), F.col("__key")).alias("o"))))
-    hits = F.transform(F.filter("__o", lambda x: x["o"]["outcome"] == "affected"), lambda x: _hit(x["a"], x["o"]["method"], F.col("matched_name"), declared))
-    malicious = F.transform("__m", lambda a: _hit(a, F.lit("enumerated-version"), F.col("matched_name"), declared))
-    unclear = F.size(F.filter("__o", lambda x: x["o"]["outcome"] == "indeterminate"))
     why = (
         F.when(F.coalesce("purl", F.lit("")) == "", "no package URL")
         .when(F.col("__k.ecosystem").isNull(), F.col("__k.why"))
@@ -95,10 +99,39 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
         .when(F.col("loaded").isNull(), "ecosystem not mirrored")
         .when(~F.col("loaded"), "index did not load")
     )
-    out = both.withColumn("__why", why).withColumn("hits", F.when(F.col("__why").isNull(), hits)).withColumn("malicious", F.when(F.col("__why").isNull(), malicious)).withColumn("__u", unclear)
-    status = F.when(F.col("__why").isNotNull(), "unknown").when(F.size("hits") > 0, "affected").when(F.col("__u") > 0, "unknown").otherwise("clear")
-    out = out.withColumn("status", status).withColumn("why", F.when(F.col("status") == "unknown", F.coalesce("__why", F.concat(F.col("__u").cast("string"), F.lit(" advisories could not be compared")))))
-    return out.select(*components.columns, "ecosystem", "matched_name", "via_module", "status", F.when(F.col("status") == "affected", F.col("hits")).alias("hits"), F.when(F.col("status") != "unknown", F.col("malicious")).alias("malicious"), "why")
+    keyed = keyed.withColumn("__why", why)
+    asked = keyed.where("__why IS NULL").select("ecosystem", F.col("__n").alias("name"), F.col("__v").alias("version")).distinct()
+    answered = verdicts(asked, indexed).select(F.col("ecosystem").alias("__e"), F.col("name").alias("__name"), F.col("version").alias("__version"), "via", "status", "found", "malicious_found", "unclear")
+    both = keyed.join(answered, (F.col("ecosystem") == F.col("__e")) & (F.col("__n") == F.col("__name")) & (F.col("__v") == F.col("__version")), "left")
+    matched, declared = F.coalesce("via", "__n"), F.coalesce("declared", F.array().cast("array<string>"))
+    hits = F.transform("found", lambda x: _hit(x["a"], x["method"], matched, declared))
+    malicious = F.transform("malicious_found", lambda a: _hit(a, F.lit("enumerated-version"), matched, declared))
+    state = F.when(F.col("__why").isNotNull(), "unknown").otherwise(F.col("status"))
+    reason = F.when(state == "unknown", F.coalesce("__why", F.concat(F.col("unclear").cast("string"), F.lit(" advisories could not be compared"))))
+    return both.select(*components.columns, "ecosystem", matched.alias("matched_name"), F.col("via").alias("via_module"), state.alias("status"), F.when(state == "affected", hits).alias("hits"), F.when(state != "unknown", malicious).alias("malicious"), reason.alias("why"))
+
+
+def verdicts(asked: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``asked`` (distinct ecosystem, name, version) with via, status, found, malicious_found and unclear.
+
+    A name without vulnerabilities of its own is asked again by its nearest parent path,
+    for ecosystems whose names are paths (``PATHS``).
+    """
+    exact = asked.join(indexed, ["ecosystem", "name"], "left")
+    none = F.coalesce(F.size("vulnerabilities"), F.lit(0)) <= 0
+    paths = exact.where(F.col("ecosystem").isin(*PATHS) & none).select("name").distinct()
+    modules = indexed.where(F.col("ecosystem").isin(*PATHS) & (F.size("vulnerabilities") > 0)).select(F.col("name").alias("module"), F.col("vulnerabilities").alias("__va"), F.col("malicious").alias("__ma"))
+    near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"), "__va", "__ma")
+    both = exact.withColumn("__path", F.when(F.col("ecosystem").isin(*PATHS) & none, F.col("name"))).join(near, "__path", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(indexed.schema["vulnerabilities"].dataType))
+    matched = F.coalesce("via", "name")
+    slim = lambda a: F.struct(a["id"].alias("id"), a["ids"].alias("ids"), a["known_exploited"].alias("known_exploited"))
+    both = both.select("ecosystem", "name", "version", "via", matched.alias("__m"), empty(F.coalesce("__va", "vulnerabilities")).alias("__a"), F.transform(empty(F.when(F.col("via").isNotNull(), F.col("__ma")).otherwise(F.col("malicious"))), slim).alias("malicious_found"), versions.semver_key(F.col("version")).alias("__key"))
+    both = both.withColumn("__o", F.transform("__a", lambda a: F.struct(slim(a).alias("a"), outcome(a["affected"], F.col("ecosystem"), F.col("__m"), F.col("version"), F.col("__key")).alias("o"))))
+    found = F.transform(F.filter("__o", lambda x: x["o"]["outcome"] == "affected"), lambda x: F.struct(x["a"].alias("a"), x["o"]["method"].alias("method")))
+    unclear = F.size(F.filter("__o", lambda x: x["o"]["outcome"] == "indeterminate"))
+    status = F.when(F.size("found") > 0, "affected").when(F.col("unclear") > 0, "unknown").otherwise("clear")
+    return both.select("ecosystem", "name", "version", "via", "malicious_found", found.alias("found"), unclear.alias("unclear")).withColumn("status", status)
 
 
 def tally(verdicts: DataFrame) -> DataFrame:

@@ -18,7 +18,13 @@ AGENTS = ("agent", "person", "organization", "softwareagent", "tool")
 DOCUMENTS = ("spdxdocument", "sbom", "bom")
 # Types that are reached through others, and the package keys that are read.
 REACHED = ("licenseexpression", "anylicenseinfo", "customlicense", "listedlicense", "noassertionlicense", "nonelicense", "hash", "packageverificationcode", "externalmap", "namespacemap", "positivintegerrange", "")
-READ_KEYS = ("type @type spdxId @id creationInfo name summary description software_packageVersion packageVersion software_packageUrl packageUrl suppliedBy originatedBy builtBy verifiedUsing externalIdentifier externalRef software_additionalPurpose software_primaryPurpose software_downloadLocation software_homePage software_copyrightText comment extension").split()
+READ_KEYS = (
+    "type", "@type", "spdxId", "@id", "creationInfo", "name",
+    "summary", "description", "software_packageVersion", "packageVersion", "software_packageUrl", "packageUrl",
+    "suppliedBy", "originatedBy", "builtBy", "verifiedUsing", "externalIdentifier", "externalRef",
+    "software_additionalPurpose", "software_primaryPurpose", "software_downloadLocation", "software_homePage", "software_copyrightText", "comment",
+    "extension",
+)
 
 
 def _first(options: Column) -> Column:
@@ -40,13 +46,18 @@ def _identity(e: Column) -> Column:
     return _said(e, "spdxId", "@id")
 
 
-def index(found: Column) -> Column:
+def _typed(found: Column) -> Column:
+    """array of (kind, id, e): every element with its type and id, worked out once."""
+    return F.transform(found, lambda e: F.struct(element_type(e).alias("kind"), _identity(e).alias("id"), e.alias("e")))
+
+
+def index(typed: Column) -> Column:
     """map of id to element; of equal ids the last."""
-    keyed = F.array_sort(F.filter(F.transform(found, lambda e, i: F.struct(_identity(e).alias("id"), i.alias("at"))), lambda x: x["id"].isNotNull()))
+    keyed = F.array_sort(F.filter(F.transform(typed, lambda x, i: F.struct(x["id"].alias("id"), i.alias("at"))), lambda x: x["id"].isNotNull()))
 
     def last_only(k: Column) -> Column:
         kept = F.filter(k, lambda x, i: ~F.get(k, i + 1)["id"].eqNullSafe(x["id"]))
-        return F.map_from_arrays(F.transform(kept, lambda x: x["id"]), F.transform(kept, lambda x: F.get(found, x["at"])))
+        return F.map_from_arrays(F.transform(kept, lambda x: x["id"]), F.transform(kept, lambda x: F.get(typed, x["at"])["e"]))
 
     return values.let(keyed, last_only)
 
@@ -83,8 +94,8 @@ def _some(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
-def _of(found: Column, kinds: tuple[str, ...]) -> Column:
-    return F.filter(found, lambda e: element_type(e).isin(*kinds))
+def _of(typed: Column, kinds: tuple[str, ...]) -> Column:
+    return F.transform(F.filter(typed, lambda x: x["kind"].isin(*kinds)), lambda x: x["e"])
 
 
 def _kind(r: Column) -> Column:
@@ -176,7 +187,7 @@ def _assembled(doc: Column, found: Column, by_id: Column, relations: Column, not
 
 def as_flat(doc: Column) -> Column:
     """The flat view of a graph document, as VARIANT; absent facts are absent keys."""
-    return F.parse_json(F.to_json(values.let(elements(doc), lambda found: values.let(index(found), lambda by_id: _view(doc, found, by_id)))))
+    return F.parse_json(F.to_json(values.let(_typed(elements(doc)), lambda found: values.let(index(found), lambda by_id: _view(doc, found, by_id)))))
 
 
 def accounting(doc: Column) -> Column:
@@ -184,9 +195,9 @@ def accounting(doc: Column) -> Column:
 
     def count(found: Column) -> Column:
         known = (*PACKAGES, *RELATIONS, *AGENTS, *DOCUMENTS, *REACHED, "annotation", "creationinfo")
-        other = F.filter(F.transform(found, element_type), lambda t: ~t.isin(*known))
+        other = F.filter(F.transform(found, lambda x: x["kind"]), lambda t: ~t.isin(*known))
         keys = F.flatten(F.transform(_of(found, PACKAGES), lambda p: F.map_keys(F.try_variant_get(p, "$", "map<string,variant>"))))
         structural = F.filter(_of(found, RELATIONS), lambda r: ~_kind(r).isin("hasdeclaredlicense", "hasconcludedlicense"))
         return F.struct(F.size(_of(found, PACKAGES)).alias("packages"), F.size(structural).alias("relationships"), F.size(_of(found, AGENTS)).alias("agents"), F.array_sort(F.array_distinct(other)).alias("unmapped_types"), F.array_sort(F.array_distinct(F.filter(keys, lambda k: ~k.isin(*READ_KEYS)))).alias("unmapped_package_keys"))
 
-    return values.let(elements(doc), count)
+    return values.let(_typed(elements(doc)), count)

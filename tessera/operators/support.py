@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import versions
@@ -25,18 +25,55 @@ def support_state(components: DataFrame, products: DataFrame, cycles: DataFrame,
     return out.select(*components.columns, F.col("__c.cycle").alias("cycle"), F.col("__c.eol_date").alias("end_of_support"), F.when(F.col("__c").isNotNull(), past).alias("past_end"), why.alias("why"))
 
 
-def slug_candidates(name):
-    """Product slugs to try for a component name: as it is, its last part, without a version or a vendor prefix."""
-    low = F.lower(name)
-    last = F.element_at(F.split(low, "[/:]"), -1)
-    bare = F.regexp_replace(last, r"[-_.]?v?\d[\d.]*$", "")
-    return F.array_distinct(F.filter(F.array(low, last, bare, F.regexp_replace(bare, "^(lib|python3?-|node-)", "")), lambda s: s != ""))
+def slug(c: Column) -> Column:
+    """Lower case, everything but letters and digits as single hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def match_products(names: DataFrame, slugs: DataFrame) -> DataFrame:
-    """(name, product): the nearest slug of each distinct name that is a product's."""
+# Vendor prefixes, and endings of parts of a product.
+_PREFIX = "^(lib|python3?-|golang-|node-|ruby-|perl-)"
+_ENDING = r"(-js|-core|-client|-server|-common|-dev|\d+)$"
+
+
+def slug_candidates(name: Column) -> Column:
+    """Product slugs to try for a component name, nearest first: whole, last word, without prefix, without ending, last part of a path."""
+    whole = slug(name)
+    last = F.element_at(F.split(whole, "-"), -1)
+    part = F.when(F.contains(name, F.lit("/")), slug(F.element_at(F.split(name, "/"), -1)))
+    tried = F.array(whole, last, F.regexp_replace(whole, _PREFIX, ""), F.regexp_replace(whole, _ENDING, ""), part)
+    return F.array_distinct(F.filter(tried, lambda s: s.isNotNull() & (s != "")))
+
+
+def match_products(names: DataFrame, products: DataFrame) -> DataFrame:
+    """(name, product): the product of the nearest slug of each distinct name that has one.
+
+    ``products``: product, and slug or none (then the product's own).  Of products with
+    one slug the greatest counts.
+    """
+    own = products if "slug" in products.columns else products.withColumn("slug", slug(F.col("product")))
+    one = own.groupBy("slug").agg(F.max("product").alias("product"))
     tried = names.select("name").distinct().select("name", F.posexplode(slug_candidates(F.col("name"))).alias("at", "slug"))
-    return tried.join(slugs, "slug").groupBy("name").agg(F.min_by("product", "at").alias("product"))
+    return tried.join(one, "slug").groupBy("name").agg(F.min_by("product", "at").alias("product"))
+
+
+def product_coverage(names: DataFrame, products: DataFrame) -> DataFrame:
+    """One row: distinct names and instances in all, and those with a product, with shares in percent."""
+    counted = names.where(F.col("name") != "").groupBy("name").agg(F.count("*").alias("__n")).join(match_products(names, products), "name", "left")
+    has = F.col("product").isNotNull()
+    sums = counted.agg(F.count("*").alias("names"), F.coalesce(F.sum("__n"), F.lit(0)).alias("instances"), F.count_if(has).alias("names_matched"), F.coalesce(F.sum(F.when(has, F.col("__n"))), F.lit(0)).alias("instances_matched"))
+    share = lambda a, b: F.round(F.try_divide(F.col(a) * 100.0, b), 1)
+    return sums.select("*", share("names_matched", "names").alias("names_percent"), share("instances_matched", "instances").alias("instances_percent"))
+
+
+def product_data(names: DataFrame, products: DataFrame, cycles: DataFrame, source: str, captured_at: str) -> DataFrame:
+    """(product, cycles, source, captured_at): the release lines of every product that the names reach, newest first as given.
+
+    ``cycles``: product, position, cycle, eol (a date as text, or true or false), lts, latest.
+    """
+    reached = match_products(names, products).select("product").distinct()
+    line = F.struct("position", "cycle", "eol", F.coalesce("lts", F.lit(False)).alias("lts"), "latest")
+    per = cycles.join(reached, "product", "left_semi").groupBy("product").agg(F.sort_array(F.collect_list(line)).alias("cycles"))
+    return per.select("product", "cycles", F.lit(source).alias("source"), F.lit(captured_at).alias("captured_at"))
 
 
 def freshness(stored: DataFrame, live: DataFrame) -> DataFrame:

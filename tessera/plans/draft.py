@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # Headings, as letters and digits only, by the field they fill.
 HEADINGS = {
-    "name": ("name", "component", "componentname", "package", "packagename", "software", "product", "title"),
-    "version": ("version", "componentversion", "packageversion", "release", "ver"),
-    "supplier": ("supplier", "vendor", "manufacturer", "publisher", "suppliername", "author"),
+    "name": ("name", "component", "componentname", "product", "productname", "library", "package"),
+    "version": ("version", "ver", "componentversion", "productversion", "release"),
+    "supplier": ("supplier", "vendor", "manufacturer", "author", "publisher", "producer", "componentproducer"),
     "purl": ("purl", "packageurl"),
     "cpe": ("cpe", "cpe23"),
-    "license": ("license", "licence", "licenses", "spdxlicense"),
+    "license": ("license", "licence", "licenseid", "licenceid", "spdx", "spdxid"),
     "support": ("supportlevel", "support", "levelofsupport"),
     "end_of_support": ("endofsupport", "endofsupportdate", "eos", "eol", "endoflife"),
 }
@@ -37,6 +37,17 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     return body.select("path", "row_number", "ragged", *[cell(f).alias(f) for f in HEADINGS])
 
 
+def unmapped(rows: DataFrame) -> DataFrame:
+    """(path, columns, n_rows, n_problems): headings of a file that no field takes, as written, and what was read of it."""
+    known = [h for hs in HEADINGS.values() for h in hs]
+    other = F.filter("cells", lambda c: (F.trim(c) != "") & ~_heading(c).isin(*known))
+    return rows.groupBy("path").agg(
+        F.coalesce(F.max(F.when(F.col("row_number") == 0, other)), F.array().cast("array<string>")).alias("columns"),
+        F.count_if(F.col("row_number") > 0).alias("n_rows"),
+        F.count_if(F.col("problem").isNotNull()).alias("n_problems"),
+    )
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """(doc_id, doc VARIANT, n_components, n_ragged, n_unnamed): a draft document for each file.
 

@@ -37,13 +37,37 @@ def dataset(components: DataFrame) -> DataFrame:
     return first.select("input", "r.purl", "r.perturbation")
 
 
+# The prefixes that the prefix-strip baseline takes away, in order.
+STRIPPED = ("lib", "python-", "node-", "golang-", "perl-", "ruby-")
+
+
+def prefix_strip(data: DataFrame, known: DataFrame) -> DataFrame:
+    """The normal form without its first prefix that leaves a known alias (``__k``, got), else as it is."""
+    n = names.norm(F.col("input"))
+    forms = [*(F.when(F.startswith(n, F.lit(p)), names.norm(F.substr(n, F.lit(len(p) + 1)))) for p in STRIPPED), n]
+    tried = data.select("input", F.posexplode(F.array(*forms)).alias("at", "__k")).where("__k IS NOT NULL")
+    met = tried.join(known, "__k").groupBy("input").agg(F.min_by("got", "at").alias("got"))
+    return data.join(met, "input", "left").select(F.lit("prefix-strip").alias("resolver"), "input", "purl", "perturbation", "got")
+
+
 def baselines(data: DataFrame, aliases: DataFrame) -> DataFrame:
     """Predictions (resolver, input, purl, perturbation, got) of the baselines and of the resolver."""
     known = aliases.select(F.col("alias").alias("__k"), F.col("purl_base").alias("got"))
     key = lambda name, c: data.withColumn("__k", c).join(known, "__k", "left").select(F.lit(name).alias("resolver"), "input", "purl", "perturbation", "got")
     none = data.select(F.lit("always-abstain").alias("resolver"), "input", "purl", "perturbation", F.lit(None).cast("string").alias("got"))
     own = resolve.resolve(data, aliases).select(F.lit("tiers").alias("resolver"), "input", "purl", "perturbation", F.col("purl_base").alias("got"))
-    return none.unionByName(key("exact-match", F.col("input"))).unionByName(key("normalised-match", names.norm(F.col("input")))).unionByName(own)
+    return none.unionByName(key("exact-match", F.col("input"))).unionByName(key("normalised-match", names.norm(F.col("input")))).unionByName(prefix_strip(data, known)).unionByName(own)
+
+
+def ordered(data: DataFrame) -> DataFrame:
+    """The rows of a dataset by class (those as observed first), then by input."""
+    return data.orderBy(F.col("perturbation").isNotNull(), "perturbation", "input")
+
+
+def write_predictions(resolved: DataFrame, folder: str) -> None:
+    """One JSON object a line: input, purl (null for abstention) and method (``abstain`` for none)."""
+    rows = resolved.select("input", F.col("purl_base").alias("purl"), F.coalesce("method", F.lit("abstain")).alias("method"))
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
 def benchmark(components: DataFrame, aliases: DataFrame) -> DataFrame:

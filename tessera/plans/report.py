@@ -35,6 +35,11 @@ def corpus_results(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents")).orderBy(F.desc("findings"), "rule_id")
 
 
+def as_json(grouped: DataFrame) -> str:
+    """Grouped findings as stable JSON."""
+    return stable_json([r.asDict(True) for r in grouped.collect()])
+
+
 def as_text(grouped: DataFrame) -> str:
     """Grouped findings as plain text."""
     out = []
