@@ -8,14 +8,23 @@ a full order, since no key of theirs is unique.
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, purl, texts, values, versions
 from ..operators import advisories, coverage, detect, graph, resolve, rules, selectors, support, workspace
+from ..sources import documents as readers
+from ..sources import mirror as mirrors
+from ..sources import tables as readers_of_tables
+from ..storage import shared_dir
+from . import draft, identity, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,7 +115,7 @@ found AS (
 
 
 def _runs(spark: SparkSession, sf: str, overrides: dict | None = None) -> DataFrame:
-    return rules.rule_runs(rules.evaluate(documents(spark, sf), PACK), rules.rule_table(spark, PACK, overrides))
+    return rules.rule_runs(rules.gated(rules.evaluate(documents(spark, sf), PACK)), rules.rule_table(spark, PACK, overrides))
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,32 +196,28 @@ def coverage_summary(spark, sf):
   SELECT rule_id, severity, n, files FROM g ORDER BY CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END DESC, rule_id""")
 def findings_by_rule(spark, sf):
     """Findings by rule, worst severity first."""
-    by = _found(spark, sf).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("files"))
-    return by.orderBy(F.desc(rules.severity_rank(F.col("severity"))), "rule_id")
+    return rules.grouped(_found(spark, sf)).select("rule_id", "severity", "n", "files")
 
 
-@query(f"""WITH {FOUND}, g AS (SELECT rule_id, count(*) AS n FROM found GROUP BY ALL) SELECT rule_id, n FROM g ORDER BY n DESC, rule_id LIMIT 3""")
+@query(f"""WITH {FOUND}, g AS (SELECT rule_id, count(*) AS n FROM found GROUP BY ALL) SELECT rule_id, n FROM g ORDER BY n DESC, rule_id LIMIT 12""")
 def top_rules(spark, sf):
-    """The rules with most findings (a top-3 report)."""
-    return _found(spark, sf).groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id").limit(3)
+    """The rules with most findings (a top-12 report)."""
+    return rules.top(_found(spark, sf))
 
 
 @query(f"""WITH {FOUND} SELECT o_orderpriority AS pack, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info,
   count(*) FILTER (severity = 'advisory') AS advisory, count(*) AS total FROM found JOIN orders ON o_orderkey = doc_id GROUP BY o_orderpriority""")
 def corpus_pivot(spark, sf):
     """Findings per group and severity, with totals."""
-    packs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("pack"))
-    p = _found(spark, sf).join(packs, "doc_id").groupBy("pack").pivot("severity", list(rules.SEVERITIES)).agg(F.count(F.lit(1))).fillna(0)
-    return p.withColumn("total", sum(F.col(s) for s in rules.SEVERITIES))
+    groups = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("group"))
+    return rules.pivot(_found(spark, sf), groups).withColumnRenamed("group", "pack")
 
 
 @query(f"""WITH {FOUND}, sums AS (SELECT rule_id, count(*) AS n FROM found GROUP BY ALL), size AS (SELECT count(*) AS n FROM comp)
   SELECT rule_id, sums.n AS n, sums.n = size.n AS universal FROM sums, size""")
 def universal_rules(spark, sf):
     """Rules that fail on every component."""
-    n = components(spark, sf).agg(F.count("*").alias("all"))
-    by = _found(spark, sf).groupBy("rule_id").agg(F.count("*").alias("n"))
-    return by.join(F.broadcast(n)).select("rule_id", "n", (F.col("n") == F.col("all")).alias("universal"))
+    return rules.universal(_found(spark, sf), components(spark, sf))
 
 
 def mirror(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -227,14 +232,14 @@ def mirror(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     listed = F.when(F.col("p_partkey") % 4 == 0, F.array(F.concat(F.lit("7."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))))
     ranges = F.when(F.col("p_partkey") % 5 == 0, other).otherwise(semver)
     affected = F.array(F.struct("name", F.lit("npm").alias("ecosystem"), listed.alias("versions"), ranges.alias("ranges")))
-    rows = p.where(F.col("p_partkey") % 3 == 0).select(F.when(F.col("p_partkey") % 7 == 0, "malicious").otherwise("vulnerability").alias("kind"), F.lit("npm").alias("ecosystem"), "name", F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.concat(F.lit("CVE-"), (F.col("p_partkey") % 50).cast("string"))).alias("aliases"), F.lit(None).cast("string").alias("summary"), affected.cast(advisories.AFFECTED).alias("affected"))
+    rows = p.where(F.col("p_size") <= 17).select(F.when(F.col("p_partkey") % 7 == 0, "malicious").otherwise("vulnerability").alias("kind"), F.lit("npm").alias("ecosystem"), "name", F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.concat(F.lit("CVE-"), (F.col("p_partkey") % 50).cast("string"))).alias("aliases"), F.lit(None).cast("string").alias("summary"), affected.cast(advisories.AFFECTED).alias("affected"))
     kev = spark.range(0, 50, 9).select(F.concat(F.lit("CVE-"), F.col("id").cast("string")).alias("id"))
     shards = spark.createDataFrame([("npm", True)], "ecosystem string, loaded boolean")
     return rows, kev, shards
 
 
 ADVISED = COMP.strip() + """,
-adv AS (SELECT p_partkey AS pk, replace(p_name, ' ', '-') AS name, p_size, CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind FROM part WHERE p_partkey % 3 = 0),
+adv AS (SELECT p_partkey AS pk, replace(p_name, ' ', '-') AS name, p_size, CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind FROM part WHERE p_size <= 17),
 v AS (SELECT *, replace(name, ' ', '-') AS pname, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM comp),
 met AS (SELECT v.doc_id, v.idx, v.partkey, adv.kind, adv.pk,
           (adv.pk % 4 = 0 AND v.version = '7.' || adv.p_size || '.' || (adv.pk % 10)) OR (adv.pk % 5 <> 0 AND (v.a, v.b, v.c) < (3, adv.p_size, 0)) AS hit,
@@ -277,16 +282,37 @@ def advisory_equi_match(spark, sf):
     return hits.select("doc_id", "idx", F.substr("h.id", F.lit(5)).cast("long").alias("pk"))
 
 
-@query("""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
-  k AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS module FROM c WHERE page_id % 3 = 0)
-  SELECT page_id, path, CASE WHEN EXISTS (SELECT 1 FROM k WHERE module = path) THEN path ELSE (SELECT module FROM k WHERE module = split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) END AS module FROM c""")
+_PATHS = """c AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
+  k AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS module FROM c WHERE split_part(path, '/', 2) IN ('en', 'de'))"""
+
+
+def _paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with the path of their address, and the first two parts of some as modules."""
+    c = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
+    part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
+    return c, c.where(part(2).isin("en", "de")).select(F.concat(part(1), F.lit("/"), part(2)).alias("module")).distinct()
+
+
+@query(f"WITH {_PATHS} SELECT page_id, path, (SELECT module FROM k WHERE module = split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AND module <> path) AS module FROM c")
 def module_fallback(spark, sf):
     """The nearest parent path that is a key of an index."""
-    c = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
-    k = c.where(F.col("page_id") % 3 == 0).select(F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))).alias("module")).distinct()
-    tried = c.select("page_id", F.posexplode(purl.module_candidates(F.col("path"))).alias("at", "module")).join(k, "module")
-    near = tried.groupBy("page_id").agg(F.min_by("module", "at").alias("module"))
-    return c.join(near, "page_id", "left").select("page_id", "path", "module")
+    c, k = _paths(spark, sf)
+    near = advisories.nearest_module(c.select(F.col("path").alias("name")).distinct(), k)
+    return c.join(near.withColumnRenamed("name", "path"), "path", "left").select("page_id", "path", "module")
+
+
+@query(f"""WITH {_PATHS} SELECT page_id, CASE WHEN k.module IS NULL OR k.module = path THEN NULL ELSE k.module END AS via_module, CASE WHEN k.module IS NOT NULL THEN 'affected' ELSE 'clear' END AS status
+  FROM c LEFT JOIN k ON k.module = split_part(path, '/', 1) || '/' || split_part(path, '/', 2)""")
+def go_module_retry(spark, sf):
+    """Verdicts of packages whose advisories stand under a parent module."""
+    c, k = _paths(spark, sf)
+    event = lambda name, value: F.struct(*[(F.lit(value) if n == name else F.lit(None)).cast("string").alias(n) for n in ("introduced", "fixed", "last_affected", "limit")])
+    ranges = F.array(F.struct(F.lit("SEMVER").alias("type"), F.array(event("introduced", "0")).alias("events")))
+    affected = F.array(F.struct(F.col("module").alias("name"), F.lit("Go").alias("ecosystem"), F.lit(None).cast("array<string>").alias("versions"), ranges.alias("ranges")))
+    known = k.select(F.lit("vulnerability").alias("kind"), F.lit("Go").alias("ecosystem"), F.col("module").alias("name"), F.concat(F.lit("GO-"), "module").alias("id"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("summary"), affected.cast(advisories.AFFECTED).alias("affected"))
+    asked = c.select("page_id", F.col("path").alias("name"), F.lit("1.0.0").alias("version"), F.concat(F.lit("pkg:golang/"), "path", F.lit("@v1.0.0")).alias("purl"), F.lit(None).cast("array<string>").alias("declared"))
+    got = advisories.match(asked, advisories.index(known, spark.createDataFrame([], "id string")), spark.createDataFrame([("Go", True)], "ecosystem string, loaded boolean"))
+    return got.select("page_id", "via_module", "status")
 
 
 @query(f"WITH {COMP} SELECT doc_id, idx FROM comp WHERE partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
@@ -459,16 +485,16 @@ def purl_parse(spark, sf):
 @query("SELECT doc_id, sha256(text) AS sha256, substr(sha256(doc_id || chr(0) || source || chr(0) || lang), 1, 16) AS check_id FROM documents")
 def bundle_digest(spark, sf):
     """Digests of files, and check ids over joined fields."""
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.substring(F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), "source", "lang"), 256), 1, 16).alias("check_id"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), texts.check_id(F.col("doc_id"), F.col("source"), F.col("lang")).alias("check_id"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderpriority <> '1-URGENT')
   SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'absent' WHEN b.k IS NULL THEN 'gone' WHEN a.v = b.v THEN 'same' ELSE 'drifted' END AS state FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def full_outer_diff(spark, sf):
     """Stored against live: same, drifted, gone, absent."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("cycle"), F.lit("p").alias("product"), F.col("o_orderstatus").alias("eol"))
-    live = o.where("cycle % 7 <> 0").withColumn("eol", F.when(F.col("cycle") % 3 == 0, "X").otherwise(F.col("eol")))
-    return support.freshness(o.where("cycle % 5 <> 0"), live).select(F.col("cycle").alias("k"), "state")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("cycle"), F.lit("p").alias("product"), F.col("o_orderstatus").alias("eol"), "o_orderpriority")
+    live = o.where("o_orderpriority <> '1-URGENT'").withColumn("eol", F.when(F.col("cycle") % 3 == 0, "X").otherwise(F.col("eol")))
+    return support.freshness(o.where("eol <> 'P'"), live).select(F.col("cycle").alias("k"), "state")
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'cyclonedx' WHEN 1 THEN 'spdx' WHEN 2 THEN 'spdx' WHEN 3 THEN 'spdx' WHEN 4 THEN 'cyclonedx' END AS format,
@@ -502,21 +528,20 @@ def graph_view(spark, sf):
     return d.select("doc_id", get("$.packages[0].name").alias("name"), get("$.packages[0].supplier").alias("supplier"), get("$.packages[0].licenseDeclared").alias("license"), get("$.packages[0].checksums[0].algorithm").alias("algorithm"))
 
 
-@query("""SELECT kind, ecosystem, count(DISTINCT name) AS names, count(DISTINCT id) AS advisories FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, 'npm' AS ecosystem, replace(p_name, ' ', '-') AS name, 'ADV-' || p_partkey AS id FROM part WHERE p_partkey % 3 = 0) GROUP BY ALL""")
+@query("""SELECT kind, ecosystem, count(DISTINCT name) AS names, count(DISTINCT id) AS advisories FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, 'npm' AS ecosystem, replace(p_name, ' ', '-') AS name, 'ADV-' || p_partkey AS id FROM part WHERE p_size <= 17) GROUP BY ALL""")
 def mirror_counts(spark, sf):
     """Advisories and names of each shard of the mirror, doubled rows counted once."""
     rows = mirror(spark, sf)[0]
-    once = rows.unionByName(rows).dropDuplicates(["kind", "ecosystem", "name", "id"])
-    return once.groupBy("kind", "ecosystem").agg(F.count_distinct("name").alias("names"), F.count_distinct("id").alias("advisories"))
+    return mirrors.counts(rows.unionByName(rows))
 
 
-@query(f"""WITH {COMP}, own AS (SELECT doc_id, idx, 'CVE-' || (partkey % 50) AS id FROM comp WHERE partkey % 2 = 0), whole AS (SELECT o_orderkey AS doc_id, 'CVE-X' AS id FROM orders WHERE o_orderkey % 3 = 0)
+@query(f"""WITH {COMP}, own AS (SELECT doc_id, idx, 'CVE-' || (partkey % 50) AS id FROM comp WHERE flag = 'R'), whole AS (SELECT o_orderkey AS doc_id, 'CVE-X' AS id FROM orders WHERE o_orderstatus = 'F')
   SELECT c.doc_id, c.idx, CAST((o.id IS NOT NULL)::INT + (w.id IS NOT NULL)::INT AS BIGINT) AS n_declared FROM comp c LEFT JOIN own o ON o.doc_id = c.doc_id AND o.idx = c.idx LEFT JOIN whole w ON w.doc_id = c.doc_id""")
 def declared_by_ref(spark, sf):
     """Advisories declared for a component or for its whole document."""
-    c = components(spark, sf).select("doc_id", "idx", F.col("idx").cast("string").alias("ref"), "partkey")
-    own = c.where("partkey % 2 = 0").select("doc_id", F.concat(F.lit("CVE-"), (F.col("partkey") % 50).cast("string")).alias("id"), F.lit(None).cast("array<string>").alias("references"), F.array("ref").alias("affects"))
-    whole = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit("CVE-X").alias("id"), F.lit(None).cast("array<string>").alias("references"), F.lit(None).cast("array<string>").alias("affects"))
+    c = components(spark, sf).select("doc_id", "idx", F.col("idx").cast("string").alias("ref"), "partkey", "flag")
+    own = c.where("flag = 'R'").select("doc_id", F.concat(F.lit("CVE-"), (F.col("partkey") % 50).cast("string")).alias("id"), F.lit(None).cast("array<string>").alias("references"), F.array("ref").alias("affects"))
+    whole = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.lit("CVE-X").alias("id"), F.lit(None).cast("array<string>").alias("references"), F.lit(None).cast("array<string>").alias("affects"))
     got = advisories.with_declared(c, advisories.declared_by_ref(own.unionByName(whole)))
     return got.select("doc_id", "idx", F.size("declared").cast("long").alias("n_declared"))
 
@@ -529,11 +554,37 @@ def name_functions(spark, sf):
     return p.select("p_partkey", names.slugify(F.col("p_name")).alias("slug"), names.header_key(F.col("p_type")).alias("header"), names.ecosystem_slug(F.col("p_brand")).alias("shard"), names.html_escape(F.concat(F.lit("<b>"), "p_name", F.lit(" & co</b>"))).alias("escaped"), names.upper_snake(F.lit("dependsOn")).alias("relation"))
 
 
-@query("""WITH d AS (SELECT DISTINCT lower(source) AS name FROM documents), p(slug, product) AS (VALUES ('src0', 'zero'), ('src1', 'one'), ('src', 'any')) SELECT name, CASE name WHEN 'src0' THEN 'zero' WHEN 'src1' THEN 'one' ELSE 'any' END AS product FROM d""")
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+_LADDER = f"""n AS (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN p_name || '-core' WHEN 1 THEN 'lib' || p_name WHEN 2 THEN 'acme/' || p_name WHEN 3 THEN 'Acme ' || split_part(p_name, ' ', 2) ELSE p_name || '7' END AS name FROM part),
+  s AS (SELECT name, {_SLUG.format('name')} AS w FROM n),
+  t AS (SELECT name, 0 AS k, w AS slug FROM s UNION ALL SELECT name, 1, split_part(w, '-', -1) FROM s UNION ALL SELECT name, 2, regexp_replace(w, '^(lib|python3?-|golang-|node-|ruby-|perl-)', '') FROM s
+    UNION ALL SELECT name, 3, regexp_replace(w, '(-js|-core|-client|-server|-common|-dev|[0-9]+)$', '') FROM s UNION ALL SELECT name, 4, {_SLUG.format("split_part(name, '/', -1)")} FROM s WHERE contains(name, '/')),
+  p AS (SELECT DISTINCT p_name AS product FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_name LIKE 's%'),
+  m AS (SELECT t.name, p.product, row_number() OVER (PARTITION BY t.name ORDER BY t.k, p.product DESC) AS r FROM t JOIN p ON {_SLUG.format('p.product')} = t.slug)"""
+
+
+def _slug_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Names in five shapes, and products: whole part names and second words of some."""
+    k, n = F.col("p_size") % 5, F.col("p_name")
+    second = F.split_part(n, F.lit(" "), F.lit(2))
+    shaped = F.when(k == 0, F.concat(n, F.lit("-core"))).when(k == 1, F.concat(F.lit("lib"), n)).when(k == 2, F.concat(F.lit("acme/"), n)).when(k == 3, F.concat(F.lit("Acme "), second)).otherwise(F.concat(n, F.lit("7")))
+    parts = table(spark, sf, "part")
+    products = parts.select(n.alias("product")).union(parts.where(F.startswith(n, F.lit("s"))).select(second)).distinct()
+    return parts.select(shaped.alias("name")), products
+
+
+@query(f"WITH {_LADDER} SELECT name, product FROM m WHERE r = 1")
 def product_slugs(spark, sf):
     """Component names to products by the nearest slug."""
-    slugs = spark.createDataFrame([("src0", "zero"), ("src1", "one"), ("src", "any")], "slug string, product string")
-    return support.match_products(table(spark, sf, "documents").select(F.col("source").alias("name")), slugs)
+    return support.match_products(*_slug_sides(spark, sf))
+
+
+@query(f"""WITH {_LADDER}, i AS (SELECT CASE p_size % 5 WHEN 0 THEN p_name || '-core' WHEN 1 THEN 'lib' || p_name WHEN 2 THEN 'acme/' || p_name WHEN 3 THEN 'Acme ' || split_part(p_name, ' ', 2) ELSE p_name || '7' END AS name FROM part)
+  SELECT count(DISTINCT i.name) AS names, count(*) AS instances, count(DISTINCT m.name) AS names_matched, count(m.name) AS instances_matched,
+    round(100.0 * count(DISTINCT m.name) / count(DISTINCT i.name), 1)::DOUBLE AS names_percent, round(100.0 * count(m.name) / count(*), 1)::DOUBLE AS instances_percent FROM i LEFT JOIN m ON m.name = i.name AND m.r = 1""")
+def product_coverage(spark, sf):
+    """How many names and instances have support data."""
+    return support.product_coverage(*_slug_sides(spark, sf))
 
 
 @query("""WITH e AS (SELECT event_type AS target, CAST(json_extract(props, '$.k') AS INT) % 3 AS fit FROM events) SELECT target, count(*) FILTER (fit = 0) AS exact, count(*) FILTER (fit = 1) AS partial, count(*) FILTER (fit = 2) AS "none", count(*) AS total FROM e GROUP BY target""")
@@ -541,26 +592,25 @@ def crosswalk_tally(spark, sf):
     """Mappings by target and fit, with a total that must add up."""
     fit = F.try_variant_get(F.try_parse_json("props"), "$.k", "int") % 3
     e = table(spark, sf, "events").select(F.col("event_type").alias("target"), F.when(fit == 0, "exact").when(fit == 1, "partial").otherwise("none").alias("fit"))
-    p = e.groupBy("target").pivot("fit", ["exact", "partial", "none"]).agg(F.count(F.lit(1))).fillna(0)
-    return p.withColumn("total", F.col("exact") + F.col("partial") + F.col("none"))
+    return texts.crosswalk_tally(e)
 
 
-@query("""WITH f AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0), g AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0), s AS ((SELECT * FROM f) EXCEPT (SELECT * FROM g)), i AS ((SELECT * FROM f) INTERSECT (SELECT * FROM g)) SELECT 'difference' AS part, count(*) AS n FROM s UNION ALL SELECT 'intersection', count(*) FROM i UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM f UNION SELECT * FROM g)""")
+@query("""WITH f AS (SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')), g AS (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')), s AS ((SELECT * FROM f) EXCEPT (SELECT * FROM g)), i AS ((SELECT * FROM f) INTERSECT (SELECT * FROM g)) SELECT 'difference' AS part, count(*) AS n FROM s UNION ALL SELECT 'intersection', count(*) FROM i UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM f UNION SELECT * FROM g)""")
 def set_operations(spark, sf):
     """Difference, intersection and union of two sets of rows."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    f, g = d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")
+    f, g = d.where("lang IN ('en', 'de')"), d.where("lang IN ('de', 'fr')")
     n = lambda name, x: x.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return n("difference", f.exceptAll(g)).unionByName(n("intersection", f.intersect(g))).unionByName(n("union", f.unionByName(g).distinct()))
 
 
-@query("SELECT user_id, quantile_disc(value, 0.5) AS lower_median, CAST(date_diff('day', max(ts)::DATE, DATE '2024-06-01') AS INT) AS days_since, date_diff('day', max(ts)::DATE, DATE '2024-06-01') > 90 AS stale FROM events GROUP BY user_id")
+@query("SELECT user_id, list_extract(list_sort(list(value)), CAST(floor(count(*) / 2) AS INT) + 1) AS upper_median, CAST(date_diff('day', max(ts)::DATE, DATE '2024-06-01') AS INT) AS days_since, date_diff('day', max(ts)::DATE, DATE '2024-06-01') > 90 AS stale FROM events GROUP BY user_id")
 def staleness(spark, sf):
-    """A median by rank, days since the last event, and is it over ninety?"""
-    ordered = F.sort_array(F.collect_list("value"))
-    by = table(spark, sf, "events").groupBy("user_id").agg(ordered.alias("v"), F.max("ts").alias("last"))
-    days = F.datediff(F.lit("2024-06-01").cast("date"), F.col("last").cast("date"))
-    return by.select("user_id", F.element_at("v", F.ceil(F.size("v") / 2).cast("int")).alias("lower_median"), days.alias("days_since"), (days > 90).alias("stale"))
+    """The upper median by rank, days since the last event, and is it over ninety?"""
+    e = table(spark, sf, "events").select("user_id", "value", "ts")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+    by = last.join(texts.grouped_upper_median(e, "user_id", "value"), "user_id", "left")
+    return by.select("user_id", "upper_median", texts.days_since(F.col("last"), "2024-06-01").alias("days_since"), texts.stale(F.col("last"), "2024-06-01").alias("stale"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'cyclonedx' ELSE 'spdx' END AS format, CASE p_partkey % 4 WHEN 0 THEN 'MD5' WHEN 1 THEN 'SHA1' WHEN 2 THEN 'BLAKE3' ELSE 'CRC' END AS algorithm,
@@ -572,14 +622,217 @@ def hash_vocabulary(spark, sf):
     return texts.hash_vocabulary(h).select("p_partkey", "format", "algorithm", "outcome")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE CAST(round(n_chars / 1024.0) AS BIGINT) || ' KB' END AS size, 'Checked ' || lang || ' by {engine}' AS attested FROM documents WHERE n_chars < 1000000""")
+_SIZE = "CASE WHEN {0} < 1024 THEN {0} || ' bytes' WHEN {0} < 1000000 THEN CAST(round({0} / 1024.0) AS BIGINT) || ' KB' ELSE CAST(round({0} / 1000000.0, 1) AS DECIMAL(20, 1)) || ' MB' END"
+
+
+@query(f"SELECT doc_id, {_SIZE.format('n_chars')} AS size, {_SIZE.format('(n_chars * 1000)')} AS size_of_thousand, 'Checked ' || lang || ' by {{engine}}, {{lang}}' AS attested FROM documents")
 def report_texts(spark, sf):
-    """Sizes for readers, and templates filled."""
-    d = table(spark, sf, "documents").where("n_chars < 1000000")
-    return d.select("doc_id", texts.human_size(F.col("n_chars")).alias("size"), texts.fill(F.lit("Checked {lang} by {engine}"), {"lang": F.col("lang")}).alias("attested"))
+    """Sizes for readers, and templates filled in one pass."""
+    n = F.col("n_chars").cast("long")
+    attested = texts.fill(F.lit("Checked {lang} by {engine}, {quoted}"), {"lang": F.col("lang"), "quoted": F.lit("{lang}")})
+    return table(spark, sf, "documents").select("doc_id", texts.human_size(n).alias("size"), texts.human_size(n * 1000).alias("size_of_thousand"), attested.alias("attested"))
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') AND NOT regexp_matches(url, '[\\s\"<>'']') THEN url END AS logo FROM pages")
 def safe_logo(spark, sf):
     """Addresses that may stand in a report."""
     return table(spark, sf, "pages").select("page_id", texts.safe_logo(F.col("url")).alias("logo"))
+
+
+# Readers and writers over files made from the tables.
+
+
+def _csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): the nations of each region as a comma separated file, one with a blank row, quotes and a ragged row."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", quoted(F.concat("n_name", F.lit(', "N"\nland'))), F.concat(F.lit("1."), F.col("n_nationkey").cast("string")), F.when(F.col("n_nationkey") > 4, F.lit("acme")))
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n\r\n")
+    return n.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("\ufeff\r\nLibrary,Version,Vendor,Colour\r\n"), body, F.lit("\r\n")).cast("binary").alias("content"))
+
+
+_CSV = "r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)"
+
+
+@query(f"""WITH {_CSV} SELECT 'region-' || n_regionkey || '.csv' AS path, CAST(2 * k - 1 AS INT) AS row_number, n_name || ', "N"' || chr(10) || 'land' AS first_cell, CAST(CASE WHEN n_nationkey > 4 THEN 3 ELSE 2 END AS INT) AS n_cells, true AS ragged FROM r
+  UNION ALL SELECT 'region-' || r_regionkey || '.csv', 0, 'Library', 4, false FROM region""")
+def csv_tables(spark, sf):
+    """Cells of comma separated files: quotes, line breaks in cells, blank and ragged rows, a byte order mark."""
+    rows = readers_of_tables.read_tables(_csv_files(spark, sf))
+    return rows.select("path", "row_number", F.col("cells")[0].alias("first_cell"), F.size("cells").alias("n_cells"), "ragged")
+
+
+@query(f"""WITH {_CSV} SELECT 'region-' || n_regionkey || '.csv' AS doc_id, CAST(k - 1 AS BIGINT) AS at, n_name || ', "N"' || chr(10) || 'land' AS name, '1.' || n_nationkey AS version, CASE WHEN n_nationkey > 4 THEN 'acme' END AS publisher, true AS draft FROM r""")
+def draft_documents(spark, sf):
+    """Supplier tables as draft documents."""
+    docs = draft.documents(readers_of_tables.read_tables(_csv_files(spark, sf)))
+    each = coverage.component_tree(docs).join(docs.select("doc_id", detect.is_draft(F.col("doc")).alias("draft")), "doc_id")
+    get = lambda k: F.try_variant_get("component", f"$.{k}", "string").alias(k)
+    return each.select("doc_id", F.regexp_extract("path", r"\[(\d+)\]", 1).cast("long").alias("at"), get("name"), get("version"), get("publisher"), "draft")
+
+
+@query("SELECT 'region-' || n_regionkey || '.csv' AS path, ['Colour'] AS columns, count(*) AS n_rows, 0::BIGINT AS n_problems FROM nation GROUP BY n_regionkey")
+def draft_unmapped(spark, sf):
+    """Headings that no field takes, and rows read, of each supplier table."""
+    return draft.unmapped(readers_of_tables.read_tables(_csv_files(spark, sf)))
+
+
+def _json_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): orders as JSON files, among them damaged, empty, doubled-key and unknown ones."""
+    k, key = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('\ufeff{"bomFormat":"CycloneDX","specVersion":"1.5","components":[{"name":"n'), key, F.lit('"}]}')))
+        .when(k == 1, '{"bomFormat":"CycloneDX","specVersion":"1.5","components":[]}')
+        .when(k == 2, '{"bomFormat":"CycloneDX","specVersion":"0.9","specVersion":"9.9","components":[{"name":"x"}]}')
+        .when(k == 3, F.concat(F.lit('{"bomFormat":"CycloneDX", '), key))
+        .when(k == 4, " ")
+        .when(k == 5, "[1, 2]")
+        .otherwise('{"other":1}')
+    )
+    return table(spark, sf, "orders").select(F.concat(F.lit("in/"), key, F.lit(".json")).alias("path"), raw.cast("binary").alias("content"))
+
+
+@query("""SELECT o_orderkey || '.json' AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN 'checked' WHEN 1 THEN 'no-components' WHEN 2 THEN 'unsupported-version' WHEN 3 THEN 'not-json' WHEN 4 THEN 'empty' WHEN 5 THEN 'not-an-object' ELSE 'unknown-format' END AS outcome FROM orders""")
+def document_outcomes(spark, sf):
+    """What a reader is told of each document file before any rule runs."""
+    return readers.outcome(readers.parse_documents(_json_files(spark, sf)))
+
+
+@query("""SELECT o_orderkey || '.json' AS doc_id, sha256(CASE o_orderkey % 7 WHEN 0 THEN chr(65279) || '{"bomFormat":"CycloneDX","specVersion":"1.5","components":[{"name":"n' || o_orderkey || '"}]}' WHEN 1 THEN '{"bomFormat":"CycloneDX","specVersion":"1.5","components":[]}'
+  WHEN 2 THEN '{"bomFormat":"CycloneDX","specVersion":"0.9","specVersion":"9.9","components":[{"name":"x"}]}' WHEN 3 THEN '{"bomFormat":"CycloneDX", ' || o_orderkey WHEN 4 THEN ' ' WHEN 5 THEN '[1, 2]' ELSE '{"other":1}' END) AS sha256, o_orderkey % 7 NOT IN (3, 4) AS parsed, CASE o_orderkey % 7 WHEN 0 THEN '1.5' WHEN 1 THEN '1.5' WHEN 2 THEN '9.9' END AS spec FROM orders""")
+def document_files(spark, sf):
+    """Document files parsed: byte order marks, doubled keys (the last wins), digests of the bytes."""
+    d = readers.parse_documents(_json_files(spark, sf))
+    return d.select("doc_id", "sha256", F.col("doc").isNotNull().alias("parsed"), F.try_variant_get("doc", "$.specVersion", "string").alias("spec"))
+
+
+@query("SELECT o_orderkey || '.json' AS doc_id, CASE o_orderkey % 7 WHEN 3 THEN CAST(26 + length(CAST(o_orderkey AS VARCHAR)) * 0 AS BIGINT) WHEN 4 THEN 1 END AS offset_of, o_orderkey % 7 IN (3, 4) AS broken FROM orders")
+def json_problems(spark, sf):
+    """The first place where a text is no JSON."""
+    raw = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    f = _json_files(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), texts.json_problem(raw).alias("p"))
+    return f.select("doc_id", F.col("p.offset").alias("offset_of"), F.col("p.offset").isNotNull().alias("broken"))
+
+
+def _zip(lists: pd.Series) -> pd.Series:
+    """Zip archives of lists of (name, text); a NULL list makes a damaged archive."""
+
+    def one(entries):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for e in entries or []:
+                z.writestr(e["name"], e["text"])
+        return out.getvalue() if entries is not None else out.getvalue()[:10]
+
+    return lists.map(one)
+
+
+def _exports(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content, ecosystem): advisories of parts as zip exports by brand, an empty and a damaged one beside them."""
+    p = table(spark, sf, "part").where("p_size <= 17")
+    kind = F.when(F.col("p_partkey") % 7 == 0, "MAL-").otherwise("ADV-")
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    text = F.to_json(F.struct(F.concat(kind, F.col("p_partkey").cast("string")).alias("id"), F.array(F.struct(F.struct(name.alias("name"), F.lower("p_brand").alias("ecosystem")).alias("package"))).alias("affected")))
+    entry = F.struct(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("name"), text.alias("text"))
+    lists = p.groupBy(F.lower("p_brand").alias("ecosystem")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    odd = spark.createDataFrame([("hollow", []), ("broken", None)], "ecosystem string, entries array<struct<name:string,text:string>>")
+    zipped = F.pandas_udf(_zip, "binary")("entries")
+    return lists.unionByName(odd).select(F.concat(F.lit("exports/"), "ecosystem", F.lit(".zip")).alias("path"), zipped.alias("content"), "ecosystem")
+
+
+def _mirror_folder(spark: SparkSession, sf: str) -> str:
+    folder = f"{shared_dir(spark)}/mirror-{uuid.uuid4().hex}"
+    mirrors.build(_exports(spark, sf), spark.createDataFrame([("CVE-1",)], "id string"), folder, "2026-01-01")
+    return folder
+
+
+@query("""SELECT lower(p_brand) AS ecosystem, true AS loaded, 1::BIGINT AS exports, count(*) FILTER (p_partkey % 7 <> 0) AS vulnerabilities, count(*) FILTER (p_partkey % 7 = 0) AS malicious, false AS problem FROM part WHERE p_size <= 17 GROUP BY ALL
+  UNION ALL VALUES ('hollow', true, 1, 0, 0, false), ('broken', false, 1, 0, 0, true)""")
+def mirror_status(spark, sf):
+    """A mirror built from exports: what is held, an empty export and a damaged one told apart."""
+    got = mirrors.status(mirrors.open_mirror(spark, _mirror_folder(spark, sf))[2])
+    return got.select("ecosystem", "loaded", "exports", "vulnerabilities", "malicious", F.col("problem").isNotNull().alias("problem"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, lower(p_brand) AS ecosystem, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 7 = 0 THEN 'MAL-' ELSE 'ADV-' END || p_partkey AS id, lower(p_brand) || '.zip' AS source FROM part WHERE p_size <= 17""")
+def mirror_rows(spark, sf):
+    """The advisories of a mirror, written as shards and read back."""
+    return mirrors.open_mirror(spark, _mirror_folder(spark, sf))[0].select("kind", "ecosystem", "name", "id", "source")
+
+
+@query(f"WITH {FOUND}, f AS (SELECT doc_id, rule_id, count(*) AS m FROM found GROUP BY ALL) SELECT d.doc_id, 'cyclonedx' AS format, r.rule_id, CAST(coalesce(m, 0) AS INT) AS n FROM docs d CROSS JOIN (VALUES ('R1-PURL'), ('R2-SUPPLIER'), ('R3-VERSION'), ('R4-LICENCE'), ('R5-TIME'), ('R6-NAMED')) r(rule_id) LEFT JOIN f ON f.doc_id = d.doc_id AND f.rule_id = r.rule_id")
+def golden_records(spark, sf):
+    """Stable records of a run: every rule that ran, those that pass with an empty list."""
+    g = report.golden(rules.gated(rules.evaluate(documents(spark, sf), PACK)))
+    return g.select("doc_id", "format", F.explode(F.from_json("findings_by_rule", "map<string,array<string>>")).alias("rule_id", "paths")).select("doc_id", "format", "rule_id", F.size("paths").alias("n"))
+
+
+_PREDICTED = """dict AS (SELECT replace(p_name, ' ', '-') AS alias, 'pkg:npm/' || replace(p_name, ' ', '-') AS base FROM part GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_PREDICTED} SELECT DISTINCT replace(p_name, ' ', '-') AS input, base AS purl, CASE WHEN base IS NULL THEN 'abstain' ELSE 'exact' END AS method FROM part LEFT JOIN dict ON alias = replace(p_name, ' ', '-')")
+def predictions(spark, sf):
+    """Predictions of the resolver, written as lines of JSON and read back."""
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    d = table(spark, sf, "part").groupBy(name.alias("alias")).agg(F.count("*").alias("observations")).withColumn("purl_base", F.concat(F.lit("pkg:npm/"), "alias"))
+    folder = f"{shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    identity.write_predictions(resolve.resolve(table(spark, sf, "part").select(name.alias("input")).distinct(), d), folder)
+    return spark.read.schema("input string, purl string, method string").json(folder)
+
+
+@query(f"""WITH {COMP} SELECT doc_id, idx, name, version, purl, CAST(CASE WHEN flag = 'R' THEN 1 ELSE 0 END AS INT) AS n_declared FROM comp""")
+def components_with_declared(spark, sf):
+    """Documents to components with the advisories that the document declares for them."""
+    c = F.struct("idx", F.struct(F.concat(F.lit("c"), F.col("idx").cast("string")).alias("bom-ref"), "name", "version", "purl").alias("c"))
+    stated = F.when(F.col("flag") == "R", F.struct(F.lit("CVE-1").alias("id"), F.array(F.struct(F.concat(F.lit("c"), F.col("idx").cast("string")).alias("ref"))).alias("affects")))
+    made = components(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"]).alias("components"), F.collect_list(stated).alias("vulnerabilities"))
+    docs = made.select("doc_id", F.parse_json(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), "components", "vulnerabilities"))).alias("doc"))
+    got = coverage.components_from(docs)
+    return got.select("doc_id", F.substr("ref", F.lit(2)).cast("long").alias("idx"), "name", "version", "purl", F.size("declared").alias("n_declared"))
+
+
+@query("SELECT count(*) AS documents, count(CASE WHEN trim(c) <> '' THEN 1 END) AS with_tool, count(DISTINCT CASE WHEN trim(c) <> '' THEN c END) AS tools FROM (SELECT CASE o_orderstatus WHEN 'P' THEN ' ' WHEN 'O' THEN o_orderpriority END AS c FROM orders)")
+def tool_counts(spark, sf):
+    """Documents that name their tool, and how many different tools."""
+    status = F.col("o_orderstatus")
+    return coverage.distinct_tools(table(spark, sf, "orders").select(F.when(status == "P", " ").when(status == "O", F.col("o_orderpriority")).alias("tool")))
+
+
+@query("""SELECT 'tool' AS field, count(*) FILTER (o_orderstatus = 'O') AS supplied, count(*) FILTER (o_orderstatus = 'P') AS declared, count(*) FILTER (o_orderstatus NOT IN ('O', 'P')) AS silent FROM orders
+  UNION ALL SELECT 'priority', count(*), 0, 0 FROM orders""")
+def provenance_gaps(spark, sf):
+    """Fields that are there, stated as unknown, or silently missing."""
+    status = F.col("o_orderstatus")
+    e = table(spark, sf, "orders").select(F.when(status == "O", "t").alias("tool"), F.when(status == "P", "not recorded").alias("toolUnknown"), F.col("o_orderpriority").alias("priority"), F.lit(" ").alias("priorityUnknown"))
+    return coverage.gaps(e, ("tool", "priority"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber || ' ' || l_returnflag AS element, bool_or(l_quantity > 10) AS required, count(*) AS n, count(*) FILTER (CAST(floor(l_discount * 10) AS INT) = 0) AS zero FROM lineitem GROUP BY ALL")
+def element_scores(spark, sf):
+    """Sections of a compliance report by element, and those that score nothing."""
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("section_id"), F.col("l_returnflag").alias("section_data_field"), (F.col("l_quantity") > 10).alias("required"), F.floor(F.col("l_discount") * 10).cast("int").alias("score"))
+    return coverage.element_scores(s)
+
+
+@query(f"""WITH {FOUND}, g AS (SELECT rule_id, severity, count(*) AS n FROM found GROUP BY ALL), k AS (SELECT rule_id, severity, doc_id, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, CASE WHEN path LIKE '%[*]%' THEN -1 ELSE CAST(coalesce(nullif(regexp_extract(path, '\\[([0-9]+)\\]', 1), ''), '0') AS INT) END) AS r FROM found)
+  SELECT g.rule_id, g.severity, g.n, list(k.doc_id ORDER BY r) AS first_docs, g.n - count(k.r) AS more FROM g JOIN k ON k.rule_id = g.rule_id AND k.r <= 3 GROUP BY g.rule_id, g.severity, g.n""")
+def findings_grouped(spark, sf):
+    """Findings by rule, most findings first within a severity, with the first three of each."""
+    g = rules.grouped(_found(spark, sf), by_instances=True)
+    return g.select("rule_id", "severity", "n", F.transform("first", lambda x: x["doc_id"]).alias("first_docs"), F.col("more").cast("long").alias("more"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a digest' WHEN 1 THEN 'too short' WHEN 2 THEN 'no letters' ELSE 'not in the dictionary' END AS why, trim(p_name) AS back FROM part""")
+def name_reasons(spark, sf):
+    """Why a name has no answer, and names given back by their paths."""
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    odd = F.when(k == 0, F.sha2(n, 256)).when(k == 1, " x ").when(k == 2, F.concat(F.lit("12-"), F.col("p_size").cast("string"))).otherwise(F.substring(F.sha2(n, 256), 1, 12))
+    return table(spark, sf, "part").select("p_partkey", names.why_no_answer(odd).alias("why"), names.unslug(names.slugify(n)).alias("back"))
+
+
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END || '.' || replace(p_name, ' ', '-') || '-' || p_partkey AS element_id, t.target, CASE t.target WHEN 'cyclonedx' THEN 'exact' ELSE CASE WHEN p_size < 20 THEN 'partial' ELSE 'none' END END AS fit, CASE WHEN t.target = 'cyclonedx' THEN ['$.a', '$.b'] WHEN p_size < 20 THEN ['$.c'] ELSE [] END AS paths FROM part, (VALUES ('cyclonedx'), ('spdx')) t(target)")
+def crosswalk_rows(spark, sf):
+    """Elements and the paths that two formats have for them, long."""
+    small = F.col("p_size") < 20
+    rows = table(spark, sf, "part").select(F.when(F.col("p_size") % 2 == 0, "c1").otherwise("c2").alias("cluster"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("element"), F.lit("$.a; $.b").alias("cyclonedx"), F.lit("Exact").alias("cyclonedx_fit"), F.when(small, "$.c").otherwise("No field").alias("spdx"), F.when(small, "partial").otherwise("none").alias("spdx_fit"))
+    return texts.crosswalk(rows)

@@ -191,6 +191,115 @@ def test_check_reports_problems_and_findings(spark):
     assert {r.state for r in same.collect()} == {"same"}
 
 
+def test_results_stand_beside_the_problem(spark):
+    """A document of a version that is not read is checked all the same; the gate leaves its results out."""
+    from tessera.operators import rules
+    from tessera.plans import packs
+
+    old = '{"bomFormat":"CycloneDX","specVersion":"1.1","components":[{"name":"a"}]}'
+    bare = '{"components":[{"name":"a"}]}'
+    for pack, rule in ((packs.devices_pack(), "FDA-STAT-001"), (packs.elements_pack(), "CISA-MD-004")):
+        rows = variant(spark, [("old", old), ("bare", bare), ("none", "{}"), ("stated", "{}")]).withColumn("format", F.when(F.col("doc_id") == "stated", "spdx"))
+        checked = rules.evaluate(rows, pack)
+        by = {r.doc_id: r for r in checked.collect()}
+        assert by["old"].problem == by["bare"].problem == "version not supported" and not by["none"].results
+        fired = {d: [f.path for x in by[d].results if x.rule_id == rule for f in x.failures] for d in ("old", "bare", "stated")}
+        assert fired == {"old": [], "bare": ["$"], "stated": ["$"]}
+        assert not [x for r in rules.gated(checked).collect() for x in r.results or []]
+
+
+def test_component_trees_have_no_limit(spark):
+    from tessera.operators import coverage
+
+    deep = '{"name":"x"}'
+    for _ in range(120):
+        deep = '{"name":"y","components":[' + deep + "]}"
+    got = coverage.component_tree(variant(spark, [("d", '{"components":[' + deep + "]}"), ("e", "{}"), ("f", "x"), ("g", '{"components":[1,{"components":{}}]}')])).collect()
+    assert max(r.level for r in got) == 120 and len(got) == 122
+    assert {r.path for r in got if r.doc_id == "g"} == {"$.components[1]"}
+    wide = F.concat(F.lit('{"components":['), F.array_join(F.array_repeat(F.lit('{"name":"n","components":[{"name":"m"}]}'), 500), ","), F.lit("]}"))
+    many = spark.range(2000).select(F.col("id").cast("string").alias("doc_id"), F.parse_json(wide).alias("doc"))
+    assert coverage.component_tree(many).count() == 2_000_000
+
+
+def test_components_from_documents(spark):
+    from tessera.operators import coverage
+
+    nested = '{"bomFormat":"CycloneDX","packages":[{"name":"no"}],"components":[{"bom-ref":"r1","name":"a","version":"1","purl":"pkg:npm/a@1","components":[{"bom-ref":"r2"}]}],"vulnerabilities":[{"id":"V1","references":[{"id":"V2"},{}],"affects":[{"ref":"r2"}]},{"id":"V3"}]}'
+    flat = '{"packages":[{"SPDXID":"s","name":"p","versionInfo":"2","externalRefs":[{"referenceType":"cpe","referenceLocator":"c"},{"referenceType":"purl","referenceLocator":"pkg:x/p"}]}]}'
+    got = {(r.doc_id, r.ref): (r.name, r.version, r.purl, sorted(r.declared)) for r in coverage.components_from(variant(spark, [("n", nested), ("f", flat), ("x", "1")])).collect()}
+    assert got == {("n", "r1"): ("a", "1", "pkg:npm/a@1", ["V3"]), ("n", "r2"): ("", None, None, ["V1", "V2", "V3"]), ("f", "s"): ("p", "2", "pkg:x/p", [])}
+
+
+def test_damaged_files_are_problems(spark):
+    from tessera.sources import documents, tables
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.json", "fine " * 50)
+        z.writestr("b.json", "b" * 400)
+    data = bytearray(out.getvalue())
+    at = data.index(b"b.json") + 6
+    data[at : at + 4] = b"\xff\xff\xff\xff"
+    files = spark.createDataFrame([("ok.zip", bytes(data)), ("none.zip", None), ("bad.zip", b"PK")], "path string, content binary")
+    got = {(r.path, r.entry): r.problem is None for r in documents.read_archives(files).collect()}
+    assert got == {("ok.zip", "a.json"): True, ("ok.zip", "b.json"): False, ("none.zip", None): False, ("bad.zip", None): False}
+    long = "x" * 200_000
+    sheets = [("long.csv", f"name,version\n{long},1\n".encode()), ("gap.csv", b"\nname\n\n\na\n"), ("empty.csv", b""), ("null.csv", None), ("bad.pdf", b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >>\nstream\nnot deflate\nendstream\nendobj")]
+    rows = tables.read_tables(spark.createDataFrame(sheets, "path string, content binary")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.path, []).append((r.row_number, r.problem))
+    assert by["long.csv"] == [(0, None), (1, None)] and by["gap.csv"] == [(0, None), (3, None)]
+    assert by["empty.csv"] == [(-1, "no rows")] and by["null.csv"] == [(-1, "no content")]
+    assert len(by["bad.pdf"]) == 2 and all(n == -1 and p for n, p in by["bad.pdf"])
+    assert [r.problem for r in tables.read_attachments(spark.createDataFrame([("x", None)], "path string, content binary")).collect()] == []
+
+
+def test_predicted_streams():
+    import zlib
+
+    from tessera.sources import tables
+
+    raw = bytes([1, 5, 1, 1, 2, 3, 3, 3, 4, 1, 1, 1])
+    head = b"/Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 3 >>"
+    assert list(tables._inflate(head, zlib.compress(raw))) == [5, 6, 7, 8, 9, 10, 9, 10, 11]
+
+
+def test_names_given_back_and_filled_once(spark):
+    from tessera.functions import names, texts
+
+    r = spark.range(1)
+    assert one(r.select(names.unslug(names.slugify(F.lit("a b/c+d%20é"))))) == "a b/c+d%20é"
+    filled = texts.fill(F.lit("{a} {b} {c} {"), {"a": F.lit("{b}"), "b": F.lit("x"), "c": F.lit(None).cast("string")})
+    assert one(r.select(filled)) == "{b} x {c} {"
+    said = texts.attestation(["On {date}: {sha256}", "{engineVersion} {packId} {packVersion} {other}"], *map(F.lit, ("d", "s", "e", "p", "v")))
+    assert one(r.select(said)) == "On d: s\n\ne p v {other}"
+    for logo, safe in (("https://", False), ("https://a b", False), ("HTTPS://a/b", True), ("http://a", False), ("data:image/png;base64,AA+/=", True), ("data:text/html;base64,AA", False), ("data:image/png;base64,", False), ("data:image/svg+xml;base64,A<", False)):
+        assert (one(r.select(texts.safe_logo(F.lit(logo)))) is not None) == safe, logo
+    assert one(r.select(names.why_no_answer(F.lit("ab12" * 3)))) == "not in the dictionary"
+    rows = spark.createDataFrame([("k", float(v)) for v in (4, 1, 3, 2, 2)] + [("l", None), ("m", 5.0)], "k string, v double")
+    assert {x.k: x.upper_median for x in texts.grouped_upper_median(rows, "k", "v").collect()} == {"k": 2.0, "m": 5.0}
+
+
+def test_support_data_and_baselines(spark):
+    from tessera.operators import support
+    from tessera.plans import identity
+
+    names = spark.createDataFrame([(n,) for n in ("Node.js", "libcurl", "acme/redis", "spring-core", "other", "redis", "redis")], "name string")
+    products = spark.createDataFrame([(p,) for p in ("nodejs", "node-js", "curl", "redis", "spring")], "product string")
+    assert {r.name: r["product"] for r in support.match_products(names, products).collect()} == {"Node.js": "node-js", "libcurl": "curl", "acme/redis": "redis", "spring-core": "spring", "redis": "redis"}
+    c = support.product_coverage(names, products).first()
+    assert (c.names, c.instances, c.names_matched, c.instances_matched, c.names_percent) == (6, 7, 5, 6, 83.3)
+    lines = spark.createDataFrame([("redis", 1, "7", "false", None, "7.1"), ("redis", 0, "8", "2030-01-01", True, None), ("mysql", 0, "8", "true", None, None)], "product string, position int, cycle string, eol string, lts boolean, latest string")
+    data = support.product_data(names, products, lines, "s", "2026-01-01").collect()
+    assert [(r["product"], [x.cycle for x in r.cycles]) for r in data] == [("redis", ["8", "7"])]
+    known = spark.createDataFrame([("zig", "pkg:z"), ("libfoo", "pkg:f"), ("foo", "pkg:o")], "__k string, got string")
+    rows = spark.createDataFrame([("libzig",), ("libfoo",), ("node-lib",)], "input string").selectExpr("input", "cast(null as string) purl", "cast(null as string) perturbation")
+    assert {r.input: r.got for r in identity.prefix_strip(rows, known).collect()} == {"libzig": "pkg:z", "libfoo": "pkg:o", "node-lib": None}
+    assert [r.input for r in identity.ordered(rows).collect()] == ["libfoo", "libzig", "node-lib"]
+
+
 def test_graph_view_equals_flat_document(spark):
     from tessera.operators import rules
     from tessera.plans import packs
@@ -318,7 +427,14 @@ def test_mirror_build_and_open(spark, tmp_path):
     assert sources.count() == 3 and kev.count() == 1
     broken = spark.createDataFrame([("npm", "vulnerability", b"{nope")], "ecosystem string, kind string, content binary")
     bad = mirror.read_shard_files(broken)[1]
-    assert [(r.ecosystem, r.loaded) for r in mirror.shards(sources, bad).collect()] == [("npm", False)]
+    assert {(r.ecosystem, r.loaded) for r in mirror.shards(sources, bad).collect()} == {("npm", False), ("again", True), ("bad", False)}
+    assert {r.ecosystem: r.problem is not None for r in mirror.status(sources).collect()} == {"npm": False, "again": False, "bad": True}
+    assert {r.source for r in rows.where("id = 'A' AND name = 'p'").collect()} == {"again.zip"}
+    none, problem = mirror.read_kev(spark, str(tmp_path / "absent.json"))
+    assert none.count() == 0 and problem
+    (tmp_path / "kev.json").write_text('{"vulnerabilities":[{"cveID":"CVE-1"},{"cveID":"CVE-1"}]}')
+    known, problem = mirror.read_kev(spark, str(tmp_path / "kev.json"))
+    assert [r.id for r in known.collect()] == ["CVE-1"] and problem is None
     assert json.loads(mirror.manifest(sources))
 
 
