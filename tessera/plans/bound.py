@@ -720,7 +720,7 @@ def _zip(lists: pd.Series) -> pd.Series:
     def one(entries):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for e in entries or []:
+            for e in [] if entries is None else entries:
                 z.writestr(e["name"], e["text"])
         return out.getvalue() if entries is not None else out.getvalue()[:10]
 
