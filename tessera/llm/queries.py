@@ -16,10 +16,16 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text and its edited text: fingerprints, and likenesses peeled from subtracted sketches.
+
+    A null text counts as empty; repeated rows stay, equal texts have equal fingerprints;
+    ties on the id go by text, a null id comes last; an empty table gives no row.
+    """
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 bytes and tokens of every whole text; a null text has none of either, repeated rows count each, an empty table gives no row."""
     import public_tokenizers
 
     counted = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -27,6 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that a text is labelled as good, for every document; null and empty texts and null ids are scored too, repeated rows each."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -39,28 +46,39 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (document, benchmark item) whose passage the document holds."""
+    """Every (document, benchmark item) whose passage the document holds.
+
+    Null ids and null texts match nothing, repeated rows count once, empty tables give no row.
+    """
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written to the shared folder, then read back from there."""
+    """A record per page, written to the shared folder and read back from there.
+
+    A null html is an empty payload; of equal payloads the smallest page_id is the
+    response (a null id ranks last); rows that repeat it are responses too.
+    """
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero, repeated rows stay, an empty table gives no row."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by weights learned from the pages that mark theirs; a null or empty html has an empty text, repeated rows stay."""
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that a text is labelled as toxic, for every document; null and empty texts and null ids are scored too, repeated rows each."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of :mod:`corpus_pipeline` over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
