@@ -223,10 +223,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     pairs = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"), "offset", "literal", "n_windows", "n_templates", value.alias("s"))
     by_value = pairs.groupBy("doc_id", "item_id", "start", "literal", F.col("s.a").alias("a")).agg(F.min("s.b").alias("low"), F.max("s.b").alias("high"), F.collect_set("offset").alias("at"), F.max("n_windows").alias("n_windows"), F.max("n_templates").alias("n_templates"))
     fits = F.col("a").isNull() | (F.col("low") == F.col("high"))
-    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(c, F.col("at"))))))
+    held = lambda c: F.flatten(F.collect_list(F.when(c, F.col("at"))))
+    places = lambda c: F.size(F.array_except(held(c), held(c & ~fits)))  # noqa: E731  windows of which every slot fits
     flat = by_value.groupBy("doc_id", "item_id", "start").agg(
-        places(fits).alias("n_matched"),
-        places(fits & ~F.col("literal")).alias("n_filled"),
+        places(F.lit(True)).alias("n_matched"),
+        places(~F.col("literal")).alias("n_filled"),
         F.max("n_windows").alias("n_windows"),
         F.max("n_templates").alias("n_templates"),
         F.coalesce(F.bool_or((F.col("a") != F.col("low")) & (F.col("low") == F.col("high"))), F.lit(False)).alias("re_parameterised"),
