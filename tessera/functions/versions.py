@@ -81,6 +81,37 @@ def in_range(key: Column, prepared: Column) -> Column:
     return F.when(prepared["usable"] & key.isNotNull(), F.aggregate(prepared["marks"], F.lit(False), walk))
 
 
+def key_text(key: Column) -> Column:
+    """A :func:`semver_key` as a text whose natural order is the same: numbers with their lengths before them."""
+    number = lambda n: _let(n.cast("string"), lambda t: F.concat(F.lpad(F.length(t).cast("string"), 2, "0"), t))
+    part = lambda p: F.concat(F.lit("\x01"), F.when(p["alpha"] == 0, F.concat(F.lit("0"), number(p["num"]))).otherwise(F.concat(F.lit("1"), p["txt"])))
+    released = F.when(key["released"] == 1, "1").otherwise(F.concat(F.lit("0"), F.array_join(F.transform(key["pre"], part), "")))
+    return F.when(key.isNotNull(), F.concat(number(key["major"]), number(key["minor"]), number(key["patch"]), released))
+
+
+_WINDOWS = "array<struct<low:string,high:string,closed:boolean>>"
+
+
+def windows(prepared: Column) -> Column:
+    """The windows of a prepared range as texts: array of (low, high or NULL, closed), NULL for one that is not usable."""
+    none = F.array().cast(_WINDOWS)
+
+    def step(state: Column, m: Column) -> Column:
+        at = F.when(m["after_zero"] == 0, "").otherwise(key_text(m["at"]))
+        shut = F.struct(F.lit(None).cast("string").alias("low"), F.array_append(state["done"], F.struct(state["low"].alias("low"), at.alias("high"), (m["what"] == 2).alias("closed"))).alias("done"))
+        opened = F.struct(F.coalesce(state["low"], at).alias("low"), state["done"].alias("done"))
+        return F.when(m["what"] == 0, opened).when(state["low"].isNotNull(), shut).otherwise(state)
+
+    start = F.struct(F.lit(None).cast("string").alias("low"), none.alias("done"))
+    last = lambda x: F.when(x["low"].isNull(), x["done"]).otherwise(F.array_append(x["done"], F.struct(x["low"].alias("low"), F.lit(None).cast("string").alias("high"), F.lit(False).alias("closed"))))
+    return F.when(prepared["usable"], F.aggregate(prepared["marks"], start, step, last))
+
+
+def in_windows(text: Column, found: Column) -> Column:
+    """Is a version (its :func:`key_text`) in one of the windows?"""
+    return F.exists(found, lambda w: (w["low"] <= text) & (w["high"].isNull() | (text < w["high"]) | (w["closed"] & (text == w["high"]))))
+
+
 def affected_by(version: Column, kind: Column, events: Column) -> Column:
     """:func:`in_range` of a version and a range as they are written."""
     return _let(F.struct(semver_key(version).alias("k"), prepare_range(kind, events).alias("r")), lambda p: in_range(p["k"], p["r"]))

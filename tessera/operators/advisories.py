@@ -34,38 +34,40 @@ def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
     ids = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))
     exploited = once.select("id", F.explode(ids).alias("any_id")).join(kev.select(F.col("id").alias("any_id")).distinct(), "any_id", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
     marked = once.join(exploited, "id", "left").withColumn("ids", ids)
-    ready = F.transform("affected", lambda a: F.struct(a["name"].alias("name"), a["ecosystem"].alias("ecosystem"), a["versions"].alias("versions"), F.transform(a["ranges"], lambda r: versions.prepare_range(r["type"], r["events"])).alias("ranges")))
-    entry = F.struct("id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), ready.alias("affected"))
+    mine = F.filter("affected", lambda a: (a["ecosystem"] == F.col("ecosystem")) & (a["name"] == F.col("name")))
+    ready = F.transform(mine, _entry)
+    entry = F.struct("id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), ready.alias("entries"))
     pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     return marked.groupBy("ecosystem", "name").agg(pick("vulnerability").alias("vulnerabilities"), pick("malicious").alias("malicious"))
 
 
-def outcome(affected: Column, ecosystem: Column, name: Column, version: Column, key: Column) -> Column:
-    """struct(outcome, method) of one advisory (ranges prepared) for a version and its key: affected, clear or indeterminate.
+def _entry(a: Column) -> Column:
+    """struct(versions, windows, listed, ranged) of what an advisory says of one package: is there a list, is there a range that can be compared?"""
+    ranges = F.transform(a["ranges"], lambda r: versions.windows(versions.prepare_range(r["type"], r["events"])))
+
+    def made(found: Column) -> Column:
+        usable = F.filter(F.coalesce(found, F.array().cast("array<array<struct<low:string,high:string,closed:boolean>>>")), lambda w: w.isNotNull())
+        listed = F.coalesce(F.size(a["versions"]) > 0, F.lit(False))
+        return F.struct(a["versions"].alias("versions"), F.flatten(usable).alias("windows"), listed.alias("listed"), (F.size(usable) > 0).alias("ranged"))
+
+    return F.element_at(F.transform(F.array(ranges), made), 1)
+
+
+def outcome(entries: Column, version: Column, text: Column) -> Column:
+    """``enumerated-version`` or ``semver-range`` where a version (and its key text) is affected, ``clear``, or ``indeterminate``.
 
     A list of versions answers a hit; ranges are asked even where there is a list.  An
     entry that nothing could be compared with cannot clear anything.
     """
+    in_list = lambda e: e["listed"] & F.coalesce(F.array_contains(e["versions"], version), F.lit(False))
+    in_range = lambda e: text.isNotNull() & versions.in_windows(text, e["windows"])
+    how = F.transform(entries, lambda e: F.when(in_list(e), "enumerated-version").when(in_range(e), "semver-range").when(~(e["listed"] | (text.isNotNull() & e["ranged"])), "indeterminate").otherwise("clear"))
 
-    def entry(a: Column) -> Column:
-        none = F.array().cast("array<boolean>")
-        answers = F.coalesce(F.transform(a["ranges"], lambda r: versions.in_range(key, r)), none)
-        listed = F.coalesce(F.size(a["versions"]) > 0, F.lit(False))
-        return F.struct(
-            (listed & F.coalesce(F.array_contains(a["versions"], version), F.lit(False))).alias("in_list"),
-            F.exists(answers, lambda x: F.coalesce(x, F.lit(False))).alias("in_range"),
-            (listed | F.exists(answers, lambda x: x.isNotNull())).alias("compared"),
-        )
-
-    mine = F.transform(F.filter(affected, lambda a: (a["ecosystem"] == ecosystem) & (a["name"] == name)), entry)
-
-    def answer(entries: Column) -> Column:
-        hit = F.get(F.filter(entries, lambda e: e["in_list"] | e["in_range"]), F.lit(0))
-        clear = (F.size(entries) > 0) & F.forall(entries, lambda e: e["compared"])
-        said = F.when(hit.isNotNull(), "affected").when(clear, "clear").otherwise("indeterminate")
-        return F.struct(said.alias("outcome"), F.when(hit["in_list"], "enumerated-version").when(hit["in_range"], "semver-range").alias("method"))
+    def answer(found: Column) -> Column:
+        hit = F.get(F.filter(found, lambda x: x.isin("enumerated-version", "semver-range")), F.lit(0))
+        return F.coalesce(hit, F.when((F.size(found) == 0) | F.array_contains(found, "indeterminate"), "indeterminate").otherwise("clear"))
 
-    return F.element_at(F.transform(F.array(mine), answer), 1)
+    return F.element_at(F.transform(F.array(how), answer), 1)
 
 
 def nearest_module(lookups: DataFrame, modules: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def nearest_module(lookups: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def _hit(a: Column, method: Column, name: Column, declared: Column) -> Column:
-    return F.struct(a["id"].alias("id"), a["known_exploited"].alias("known_exploited"), method.alias("method"), name.alias("matched_name"), F.arrays_overlap(a["ids"], declared).alias("already_declared"))
+    return F.struct(a["id"].alias("id"), a["known_exploited"].alias("known_exploited"), method.alias("method"), name.alias("matched_name"), F.exists(declared, lambda d: F.coalesce(F.array_contains(a["ids"], d), F.lit(False))).alias("already_declared"))
 
 
 def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataFrame:
@@ -124,14 +126,13 @@ def verdicts(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"), "__va", "__ma")
     both = exact.withColumn("__path", F.when(F.col("ecosystem").isin(*PATHS) & none, F.col("name"))).join(near, "__path", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(indexed.schema["vulnerabilities"].dataType))
-    matched = F.coalesce("via", "name")
     slim = lambda a: F.struct(a["id"].alias("id"), a["ids"].alias("ids"), a["known_exploited"].alias("known_exploited"))
-    both = both.select("ecosystem", "name", "version", "via", matched.alias("__m"), empty(F.coalesce("__va", "vulnerabilities")).alias("__a"), F.transform(empty(F.when(F.col("via").isNotNull(), F.col("__ma")).otherwise(F.col("malicious"))), slim).alias("malicious_found"), versions.semver_key(F.col("version")).alias("__key"))
-    both = both.withColumn("__o", F.transform("__a", lambda a: F.struct(slim(a).alias("a"), outcome(a["affected"], F.col("ecosystem"), F.col("__m"), F.col("version"), F.col("__key")).alias("o"))))
-    found = F.transform(F.filter("__o", lambda x: x["o"]["outcome"] == "affected"), lambda x: F.struct(x["a"].alias("a"), x["o"]["method"].alias("method")))
-    unclear = F.size(F.filter("__o", lambda x: x["o"]["outcome"] == "indeterminate"))
+    both = both.select("ecosystem", "name", "version", "via", empty(F.coalesce("__va", "vulnerabilities")).alias("__a"), F.transform(empty(F.when(F.col("via").isNotNull(), F.col("__ma")).otherwise(F.col("malicious"))), slim).alias("malicious_found"), versions.key_text(versions.semver_key(F.col("version"))).alias("__text"))
+    both = both.withColumn("__o", F.transform("__a", lambda a: outcome(a["entries"], F.col("version"), F.col("__text"))))
+    hit = F.filter(F.transform("__a", lambda a, i: F.struct(slim(a).alias("a"), F.get("__o", i).alias("method"))), lambda x: x["method"].isin("enumerated-version", "semver-range"))
+    unclear = F.size(F.filter("__o", lambda x: x == "indeterminate"))
     status = F.when(F.size("found") > 0, "affected").when(F.col("unclear") > 0, "unknown").otherwise("clear")
-    return both.select("ecosystem", "name", "version", "via", "malicious_found", found.alias("found"), unclear.alias("unclear")).withColumn("status", status)
+    return both.select("ecosystem", "name", "version", "via", "malicious_found", hit.alias("found"), unclear.alias("unclear")).withColumn("status", status)
 
 
 def tally(verdicts: DataFrame) -> DataFrame:

@@ -345,6 +345,29 @@ def test_verdicts_never_clear_what_was_not_compared(spark):
     assert got["9"].via_module == "github.com/x/y" and len(got["4"].malicious) == 1 and got["7"].why == "index did not load"
 
 
+def test_windows_answer_as_the_walk_does(spark):
+    """Ranges as windows of texts against the walk over their events, over random ranges and versions."""
+    import random
+
+    from tessera.functions import versions
+
+    rng = random.Random(9)
+    pool = ["0.0.1", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-2", "1.0.0-10", "1.0.0", "1.2.0", "1.10.0", "2.0.0-rc.1", "2.0.0", "10.0.0"]
+    rows = []
+    for _ in range(300):
+        events = [{"introduced": "0"}] if rng.random() < 0.5 else []
+        events += [{rng.choice(("introduced", "fixed", "last_affected")): rng.choice(pool)} for _ in range(rng.randrange(5))]
+        rng.shuffle(events)
+        rows.append((rng.choice([*pool, "x"]), [tuple(e.get(k) for k in ("introduced", "fixed", "last_affected", "limit")) for e in events]))
+    frame = spark.createDataFrame(rows, "version string, events array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>").repartition(2)
+    prepared = versions.prepare_range(F.lit("SEMVER"), F.col("events"))
+    text = versions.key_text(versions.semver_key(F.col("version")))
+    got = frame.select(versions.affected_by(F.col("version"), F.lit("SEMVER"), F.col("events")).alias("walk"), versions.in_windows(text, versions.windows(prepared)).alias("windows")).collect()
+    assert all(r.walk == r.windows for r in got) and len({r.walk for r in got}) == 3
+    order = spark.createDataFrame([(v,) for v in pool], "v string").select("v", versions.key_text(versions.semver_key(F.col("v"))).alias("t")).collect()
+    assert [r.v for r in sorted(order, key=lambda r: r.t.encode())] == ["0.0.1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0", "1.2.0", "1.10.0", "2.0.0-rc.1", "2.0.0", "10.0.0"]
+
+
 def test_resolver_abstains_when_forms_disagree(spark):
     from tessera.operators import resolve
 
