@@ -671,10 +671,10 @@ def draft_documents(spark, sf):
     return each.select("doc_id", F.regexp_extract("path", r"\[(\d+)\]", 1).cast("long").alias("at"), get("name"), get("version"), get("publisher"), "draft")
 
 
-@query("SELECT 'region-' || n_regionkey || '.csv' AS path, ['Colour'] AS columns, count(*) AS n_rows, 0::BIGINT AS n_problems FROM nation GROUP BY n_regionkey")
+@query("SELECT 'region-' || n_regionkey || '.csv' AS path, 'Colour' AS columns, count(*) AS n_rows, 0::BIGINT AS n_problems FROM nation GROUP BY n_regionkey")
 def draft_unmapped(spark, sf):
     """Headings that no field takes, and rows read, of each supplier table."""
-    return draft.unmapped(readers_of_tables.read_tables(_csv_files(spark, sf)))
+    return draft.unmapped(readers_of_tables.read_tables(_csv_files(spark, sf))).withColumn("columns", F.array_join("columns", ","))
 
 
 def _json_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -815,11 +815,11 @@ def element_scores(spark, sf):
 
 
 @query(f"""WITH {FOUND}, g AS (SELECT rule_id, severity, count(*) AS n FROM found GROUP BY ALL), k AS (SELECT rule_id, severity, doc_id, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, CASE WHEN path LIKE '%[*]%' THEN -1 ELSE CAST(coalesce(nullif(regexp_extract(path, '\\[([0-9]+)\\]', 1), ''), '0') AS INT) END) AS r FROM found)
-  SELECT g.rule_id, g.severity, g.n, list(k.doc_id ORDER BY r) AS first_docs, g.n - count(k.r) AS more FROM g JOIN k ON k.rule_id = g.rule_id AND k.r <= 3 GROUP BY g.rule_id, g.severity, g.n""")
+  SELECT g.rule_id, g.severity, g.n, string_agg(CAST(k.doc_id AS VARCHAR), ',' ORDER BY r) AS first_docs, g.n - count(k.r) AS more FROM g JOIN k ON k.rule_id = g.rule_id AND k.r <= 3 GROUP BY g.rule_id, g.severity, g.n""")
 def findings_grouped(spark, sf):
     """Findings by rule, most findings first within a severity, with the first three of each."""
     g = rules.grouped(_found(spark, sf), by_instances=True)
-    return g.select("rule_id", "severity", "n", F.transform("first", lambda x: x["doc_id"]).alias("first_docs"), F.col("more").cast("long").alias("more"))
+    return g.select("rule_id", "severity", "n", F.array_join(F.transform("first", lambda x: x["doc_id"].cast("string")), ",").alias("first_docs"), F.col("more").cast("long").alias("more"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a digest' WHEN 1 THEN 'too short' WHEN 2 THEN 'no letters' ELSE 'not in the dictionary' END AS why, trim(p_name) AS back FROM part""")
@@ -830,9 +830,9 @@ def name_reasons(spark, sf):
     return table(spark, sf, "part").select("p_partkey", names.why_no_answer(odd).alias("why"), names.unslug(names.slugify(n)).alias("back"))
 
 
-@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END || '.' || replace(p_name, ' ', '-') || '-' || p_partkey AS element_id, t.target, CASE t.target WHEN 'cyclonedx' THEN 'exact' ELSE CASE WHEN p_size < 20 THEN 'partial' ELSE 'none' END END AS fit, CASE WHEN t.target = 'cyclonedx' THEN ['$.a', '$.b'] WHEN p_size < 20 THEN ['$.c'] ELSE [] END AS paths FROM part, (VALUES ('cyclonedx'), ('spdx')) t(target)")
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END || '.' || replace(p_name, ' ', '-') || '-' || p_partkey AS element_id, t.target, CASE t.target WHEN 'cyclonedx' THEN 'exact' ELSE CASE WHEN p_size < 20 THEN 'partial' ELSE 'none' END END AS fit, CASE WHEN t.target = 'cyclonedx' THEN '$.a,$.b' WHEN p_size < 20 THEN '$.c' ELSE '' END AS paths FROM part, (VALUES ('cyclonedx'), ('spdx')) t(target)")
 def crosswalk_rows(spark, sf):
     """Elements and the paths that two formats have for them, long."""
     small = F.col("p_size") < 20
     rows = table(spark, sf, "part").select(F.when(F.col("p_size") % 2 == 0, "c1").otherwise("c2").alias("cluster"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("element"), F.lit("$.a; $.b").alias("cyclonedx"), F.lit("Exact").alias("cyclonedx_fit"), F.when(small, "$.c").otherwise("No field").alias("spdx"), F.when(small, "partial").otherwise("none").alias("spdx_fit"))
-    return texts.crosswalk(rows)
+    return texts.crosswalk(rows).withColumn("paths", F.array_join("paths", ","))
