@@ -1,93 +1,127 @@
-"""Assertions on a node, compiled to one boolean expression. True means no finding."""
+"""Assertions on a node, compiled to the SQL of one boolean expression. True means no finding.
+
+SQL text is made on the driver without asking Spark for every part of it, so that a
+pack of many rules is compiled in one call a rule.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
-from ..functions import values
 from . import selectors
+from .selectors import child, items, literal
 
+_names = count()
+
+
+def let(value: str, body) -> str:
+    """``body`` of a value that is worked out once."""
+    x = f"v{next(_names)}"
+    return f"element_at(transform(array({value}), {x} -> {body(x)}), 1)"
+
+
+class Facts:
+    """Boolean facts about the whole document that assertions ask for: worked out where the document is, carried to its nodes."""
+
+    def __init__(self, doc: str = "doc") -> None:
+        self.doc, self.known = doc, {}
+
+    def ask(self, expression: str) -> str:
+        """The column that will hold ``expression``, which is over the document."""
+        return self.known.setdefault(expression, f"__fact_{len(self.known)}")
+
+
+def is_list(v: str) -> str:
+    return f"(try_variant_get({v}, '$', 'array<struct<>>') IS NOT NULL)"
+
+
+def is_object(v: str) -> str:
+    return f"(try_variant_get({v}, '$', 'struct<>') IS NOT NULL)"
 
-def _follow(value: Column, key: str) -> Column:
-    """A key of an object, or the list of that key's values over the objects of a list; NULL if there is none."""
 
-    def step(v: Column) -> Column:
-        spread = F.filter(F.transform(values.items(v), lambda x: values.child(x, key)), lambda x: x.isNotNull())
-        return F.coalesce(values.child(v, key), values.let(spread, lambda s: F.when(F.size(s) > 0, F.to_variant_object(s))))
+def _trimmed(v: str) -> str:
+    return rf"regexp_replace({v}, '^[\\s\\u00a0\\ufeff]+|[\\s\\u00a0\\ufeff]+$', '')"
 
-    return values.let(value, step)
 
+def truthy(v: str) -> str:
+    """Does a value count as present? As :func:`tessera.functions.values.truthy`; ``v`` should be cheap to repeat."""
+    said = _trimmed(f"try_variant_get({v}, '$', 'string')")
+    return (
+        f"(CASE WHEN {v} IS NULL THEN false WHEN {is_list(v)} THEN size(try_variant_get({v}, '$', 'array<struct<>>')) > 0"
+        f" WHEN {is_object(v)} THEN size(try_variant_get({v}, '$', 'map<string,struct<>>')) > 0 WHEN schema_of_variant({v}) = 'VOID' THEN false"
+        f" WHEN schema_of_variant({v}) = 'STRING' THEN {said} NOT IN ('') AND upper({said}) <> 'NOASSERTION' ELSE true END)"
+    )
 
-def exists(node: Column, expression: str) -> Column:
+
+def text(v: str) -> str:
+    """The string of a variant that is a string, else NULL."""
+    return f"(CASE WHEN {v} IS NULL OR {is_list(v)} OR {is_object(v)} THEN NULL WHEN schema_of_variant({v}) = 'STRING' THEN try_variant_get({v}, '$', 'string') END)"
+
+
+def _follow(v: str, key: str) -> str:
+    """A key of an object, or the list of that key's values over the objects of a list; NULL if there is none."""
+    spread = f"filter(transform({items(v)}, x -> {child('x', key)}), x -> x IS NOT NULL)"
+    listed = let(spread, lambda s: f"CASE WHEN size({s}) > 0 THEN to_variant_object({s}) END")
+    return f"coalesce({child(v, key)}, {listed})"
+
+
+def exists(node: str, expression: str) -> str:
     """Is one of the alternatives (``a.b|c``) present with a value that says something?"""
-    out = F.lit(False)
+    out = []
     for alternative in expression.split("|"):
         plain = alternative.replace("$.", "", 1)
-        value = node
-        held = None
+        value, held = node, None
         for key in plain.split("."):
             if "[" in key:
-                held = F.exists(selectors.matches(value, f"$.{plain}"), values.truthy)
+                held = selectors.any_of(value, selectors.parse(f"$.{plain}"), truthy)
                 break
-            value = _follow(value, key)
-        out = out | (values.truthy(value) if held is None else F.coalesce(held, F.lit(False)))
-    return out
+            # The value so far is named once, or its text would double with every key.
+            value = _follow(value, key) if value == node else let(value, lambda x, k=key: _follow(x, k))
+        out.append(held or let(value, truthy))
+    return f"({' OR '.join(out)})"
 
 
-def property_named(node: Column, where: str, suffix: str) -> Column:
+def property_named(node: str, where: str, suffix: str) -> str:
     """Does a list of properties have one whose name ends in ``suffix``, with a value that says something?"""
     value = node
     for key in where.split("."):
-        value = values.child(value, key)
-    return F.exists(values.items(value), lambda p: F.coalesce(F.endswith(values.text(values.child(p, "name")), F.lit(suffix)), F.lit(False)) & values.truthy(values.child(p, "value")))
+        value = child(value, key)
+    name, said = let(child("p", "name"), text), let(child("p", "value"), truthy)
+    return f"exists({items(value)}, p -> coalesce(endswith({name}, {literal(suffix)}), false) AND {said})"
 
 
-def _as_text(v: Column) -> Column:
-    """A value as the text that comparisons see: None for null, otherwise its own text."""
-    return F.when(values.is_null(v), "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+def _equal(node: str, key: str, want: object) -> str:
+    """Is a key's value, as text, that of ``want``, whatever the case? null is None."""
+    wanted = "none" if want is None else str(want).lower()
+    said = let(child(node, key), lambda v: f"CASE WHEN is_variant_null({v}) THEN 'None' ELSE coalesce(try_variant_get({v}, '$', 'string'), to_json({v})) END")
+    return f"lower(coalesce({said}, '')) = {literal(wanted)}"
 
 
-def _literal(v: object) -> str:
-    return "None" if v is None else str(v)
-
-
-def holds(assertion: dict, node: Column, doc: Column) -> Column:
-    """The expression of an assertion tree over ``node`` of ``doc``."""
+def holds(assertion: dict, node: str, facts: Facts) -> str:
+    """The SQL of an assertion tree over ``node``, a column or variable."""
     if parts := assertion.get("allOf"):
-        out = F.lit(True)
-        for p in parts:
-            out = out & holds(p, node, doc)
-        return out
+        return f"({' AND '.join(holds(p, node, facts) for p in parts)})"
     if parts := assertion.get("anyOf"):
-        out = F.lit(False)
-        for p in parts:
-            out = out | holds(p, node, doc)
-        return out
+        return f"({' OR '.join(holds(p, node, facts) for p in parts)})"
     if inner := assertion.get("not"):
-        return ~holds(inner, node, doc)
+        return f"(NOT {holds(inner, node, facts)})"
     if (wanted := assertion.get("exists")) is not None:
         out = exists(node, wanted)
         if wanted.startswith("$"):
-            for alternative in wanted.split("|")[:1]:
-                out = out | F.exists(selectors.matches(doc, alternative), values.truthy)
+            out = f"({out} OR {facts.ask(selectors.any_of(facts.doc, selectors.parse(wanted.split('|')[0]), truthy))})"
         return out
     if named := assertion.get("_property"):
         return property_named(node, *named)
     if (pattern := assertion.get("matches")) is not None:
-        said = F.concat(F.array(values.text(node)), F.transform(values.members(node), values.text))
-        return F.exists(said, lambda s: F.coalesce(F.regexp_like(s, F.lit(pattern)), F.lit(False)))
+        members = f"coalesce(map_values(try_variant_get({node}, '$', 'map<string,variant>')), array())"
+        return f"exists(concat(array({text(node)}), transform({members}, m -> {text('m')})), s -> coalesce(regexp_like(s, {literal(pattern)}), false))"
     if (pairs := assertion.get("equals")) is not None:
-        out = F.lit(False)
-        for key, want in pairs.items():
-            got = F.coalesce(_as_text(values.child(node, key)), F.lit(""))
-            out = out | (F.lower(got) == _literal(want).lower())
-        return out & values.is_object(node)
+        return f"(({' OR '.join(_equal(node, k, w) for k, w in pairs.items()) or 'false'}) AND {is_object(node)})"
     if (rule := assertion.get("minLength")) is not None:
-        out = F.lit(False)
+        out = []
         for alternative in rule.get("field", "").split("|"):
-            path = alternative if alternative.startswith("$") else f"$.{alternative}"
-            first = F.try_element_at(selectors.matches(doc, path), F.lit(1))
-            out = out | F.coalesce(F.size(values.listed(first)) >= rule.get("min", 1), F.lit(False))
-        return out
-    return F.lit(True)
+            steps = selectors.parse(alternative if alternative.startswith("$") else f"$.{alternative}")
+            first = f"try_element_at({selectors.reached(facts.doc, steps)}, 1)"
+            out.append(facts.ask(f"coalesce(size(try_variant_get({first}, '$', 'array<variant>')) >= {int(rule.get('min', 1))}, false)"))
+        return f"({' OR '.join(out)})"
+    return "true"

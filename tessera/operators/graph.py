@@ -1,12 +1,15 @@
-"""Graph documents (SPDX 3) as the flat 2.x shape that rules read, in the document's row.
+"""Graph documents (SPDX 3) as the flat 2.x shape that rules read, by tables of elements and edges.
 
-References are looked up in a map of the document's own elements; the last element of
-an id wins.  What the conversion does not use is counted, not dropped silently.
+Every element of every document is a row, and so is every reference that an element
+makes.  References meet elements in one equi-join by (document, id), where the last
+element of an id wins; licences and annotations reach packages by the same key.  Only
+the finished packages, relations and notes of a document come together in its row.
+What the conversion does not use is counted, not dropped silently.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, values
@@ -27,15 +30,25 @@ READ_KEYS = (
 )
 
 
-def _first(options: Column) -> Column:
-    """The first element that is neither NULL nor empty."""
-    return F.get(F.filter(options, lambda x: x.isNotNull() & (x != "")), F.lit(0))
+
+LICENCES = ("hasdeclaredlicense", "hasconcludedlicense")
+# The keys by which elements refer to others.
+_REFERENCES = {
+    PACKAGES: ("suppliedBy", "originatedBy", "builtBy", "verifiedUsing", "externalIdentifier"),
+    ("creationinfo",): ("createdBy", "createdUsing"),
+    DOCUMENTS: ("namespaceMap", "import"),
+}
+_REF = "array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>"
 
 
 def _said(v: Column, *keys: str) -> Column:
     return F.coalesce(*[values.text(values.child(v, k)) for k in keys])
 
 
+def _filled(v: Column, *keys: str) -> Column:
+    return F.nullif(_said(v, *keys), F.lit(""))
+
+
 def _list(v: Column) -> Column:
     """A list as it is; anything else that is there as a list of one."""
     none = F.array().cast("array<variant>")
@@ -46,158 +59,231 @@ def _identity(e: Column) -> Column:
     return _said(e, "spdxId", "@id")
 
 
-def _typed(found: Column) -> Column:
-    """array of (kind, id, e): every element with its type and id, worked out once."""
-    return F.transform(found, lambda e: F.struct(element_type(e).alias("kind"), _identity(e).alias("id"), e.alias("e")))
+def _facts(e: Column) -> Column:
+    """What others can want to know of an element that they refer to."""
+    return F.struct(
+        element_type(e).alias("kind"),
+        _said(e, "name").alias("name"),
+        _said(e, "simplelicensing_licenseExpression", "licenseExpression", "name").alias("licence"),
+        _said(e, "algorithm").alias("algorithm"),
+        _filled(e, "hashValue").alias("hash"),
+        F.lower(F.coalesce(_said(e, "externalIdentifierType"), F.lit(""))).alias("scheme"),
+        _filled(e, "identifier").alias("identifier"),
+        _said(e, "namespace").alias("namespace"),
+        _filled(e, "externalSpdxId").alias("external"),
+    )
 
 
-def index(typed: Column) -> Column:
-    """map of id to element; of equal ids the last."""
-    keyed = F.array_sort(F.filter(F.transform(typed, lambda x, i: F.struct(x["id"].alias("id"), i.alias("at"))), lambda x: x["id"].isNotNull()))
+def _own(e: Column, kind: Column) -> Column:
+    """What an element says of itself in the flat view."""
+    keys = F.map_keys(F.try_variant_get(e, "$", "map<string,variant>"))
+    return F.struct(
+        _identity(e).alias("id"),
+        _filled(e, "name").alias("name"),
+        _filled(e, "software_packageVersion", "packageVersion").alias("version"),
+        _filled(e, "software_packageUrl", "packageUrl").alias("purl"),
+        _filled(e, "software_downloadLocation").alias("location"),
+        _filled(e, "software_copyrightText").alias("copyright"),
+        _filled(e, "comment").alias("comment"),
+        _filled(e, "created").alias("created"),
+        _said(e, "from").alias("from"),
+        values.text(F.get(_list(values.child(e, "to")), F.lit(0))).alias("to"),
+        _said(e, "relationshipType").alias("type"),
+        F.upper(F.coalesce(_said(e, "annotationType"), F.lit("OTHER"))).alias("note"),
+        F.coalesce(_said(e, "statement", "comment"), F.lit("")).alias("statement"),
+        F.when(kind == "annotation", F.array_distinct(F.transform(_list(values.child(e, "subject")), values.text))).alias("subjects"),
+        F.when(kind.isin(*PACKAGES), F.filter(keys, lambda k: ~k.isin(*READ_KEYS))).alias("unread"),
+    )
 
-    def last_only(k: Column) -> Column:
-        kept = F.filter(k, lambda x, i: ~F.get(k, i + 1)["id"].eqNullSafe(x["id"]))
-        return F.map_from_arrays(F.transform(kept, lambda x: x["id"]), F.transform(kept, lambda x: F.get(typed, x["at"])["e"]))
 
-    return values.let(keyed, last_only)
+def _is_licence(own: Column) -> Column:
+    return F.coalesce(F.lower(own["type"]).isin(*LICENCES), F.lit(False))
 
 
-def _resolve(ref: Column, by_id: Column) -> Column:
-    return values.let(ref, lambda r: F.when(values.is_object(r), r).otherwise(F.try_element_at(by_id, values.text(r))))
+def elements_and_edges(docs: DataFrame) -> DataFrame:
+    """A row for each element (``role`` self) and for each reference that it makes.
 
+    doc_id, at (the element's place), kind, role, pos, ref (the id referred to), facts
+    (of the element itself, or of one that stands where a reference could) and own (of
+    the element itself).  ``docs`` has doc_id, one row each, and doc.
+    """
+    each = docs.select("doc_id", F.posexplode(elements(F.col("doc"))).alias("at", "e")).withColumn("kind", element_type(F.col("e")))
+    e, kind = F.col("e"), F.col("kind")
+    row = lambda role, pos, v: F.struct(F.lit(role).alias("role"), pos.alias("pos"), v.alias("v"))
+    of = lambda key, role: F.transform(_list(values.child(e, key)), lambda v, i: row(role, i, v))
+    none = F.array().cast("array<struct<role:string,pos:int,v:variant>>")
+    made = none
+    for kinds, keys in _REFERENCES.items():
+        made = F.when(kind.isin(*kinds), F.concat(*[of(k, k) for k in keys])).otherwise(made)
+    made = F.when(kind.isin(*RELATIONS) & F.lower(_said(e, "relationshipType")).isin(*LICENCES), of("to", "licence")).otherwise(made)
+    rows = each.select("doc_id", "at", "kind", "e", F.explode(F.concat(F.array(row("self", F.lit(0), e)), made)).alias("r")).select("doc_id", "at", "kind", "e", "r.*")
+    own, whole = F.col("role") == "self", values.is_object(F.col("v"))
+    return rows.select("doc_id", "at", "kind", "role", "pos", F.when(~whole, values.text(F.col("v"))).alias("ref"), F.when(whole, _facts(F.col("v"))).alias("facts"), F.when(own, _own(F.col("e"), F.col("kind"))).alias("own"))
 
-def _agent(ref: Column, by_id: Column) -> Column:
-    """Display name of an agent or of the first named one of a list; an id that leads nowhere stands for itself."""
 
-    def one(r: Column) -> Column:
-        return values.let(
-            _resolve(r, by_id),
-            lambda a: F.when(a.isNull(), values.text(r)).otherwise(F.concat(F.when(element_type(a) == "organization", "Organization: ").when(element_type(a) == "person", "Person: ").when(element_type(a).isin("tool", "softwareagent"), "Tool: ").otherwise(""), _said(a, "name"))),
-        )
+def resolved(rows: DataFrame) -> DataFrame:
+    """The rows with the facts of what they refer to; of equal ids in a document the last element's.
 
-    return _first(F.transform(_list(ref), one))
+    A reference that leads nowhere keeps no facts.
+    """
+    known = rows.where("role = 'self' AND own.id IS NOT NULL").groupBy("doc_id", F.col("own.id").alias("ref")).agg(F.max_by("facts", "at").alias("__facts"))
+    return rows.join(known, ["doc_id", "ref"], "left").withColumn("facts", F.coalesce("facts", "__facts")).drop("__facts")
 
 
-def _licence(ref: Column, by_id: Column) -> Column:
-    return values.let(
-        _resolve(ref, by_id),
-        lambda a: F.when(a.isNull(), values.text(ref)).otherwise(F.coalesce(_said(a, "simplelicensing_licenseExpression", "licenseExpression", "name"), F.when(element_type(a) == "noassertionlicense", "NOASSERTION"), F.when(element_type(a) == "nonelicense", "NONE"))),
-    )
+def _agent(x: Column) -> Column:
+    """Display name of an agent; an id that leads nowhere stands for itself."""
+    kind = x["facts"]["kind"]
+    title = F.when(kind == "organization", "Organization: ").when(kind == "person", "Person: ").when(kind.isin("tool", "softwareagent"), "Tool: ").otherwise("")
+    return F.when(x["facts"].isNull(), x["ref"]).otherwise(F.concat(title, x["facts"]["name"]))
 
 
-def _note(a: Column) -> Column:
-    return F.struct(F.upper(F.coalesce(_said(a, "annotationType"), F.lit("OTHER"))).alias("annotationType"), F.coalesce(_said(a, "statement", "comment"), F.lit("")).alias("comment"))
+def _licence(x: Column) -> Column:
+    f = x["facts"]
+    return F.when(f.isNull(), x["ref"]).otherwise(F.coalesce(f["licence"], F.when(f["kind"] == "noassertionlicense", "NOASSERTION"), F.when(f["kind"] == "nonelicense", "NONE")))
 
 
-def _some(a: Column) -> Column:
-    """A list, or NULL (so that it is left out) if it is empty."""
-    return F.when(F.size(a) > 0, a)
+def _checksum(x: Column) -> Column:
+    f = x["facts"]
+    algorithm = F.coalesce(F.regexp_replace(F.upper(f["algorithm"]), "[^A-Z0-9]", ""), F.lit("NOASSERTION"))
+    return F.when((f["kind"] == "hash") & f["hash"].isNotNull(), F.struct(algorithm.alias("algorithm"), f["hash"].alias("checksumValue")))
 
 
-def _of(typed: Column, kinds: tuple[str, ...]) -> Column:
-    return F.transform(F.filter(typed, lambda x: x["kind"].isin(*kinds)), lambda x: x["e"])
+def _reference(category: Column, kind: Column, locator: Column) -> Column:
+    return F.struct(category.alias("referenceCategory"), kind.alias("referenceType"), locator.alias("referenceLocator"))
 
 
-def _kind(r: Column) -> Column:
-    return F.lower(F.coalesce(_said(r, "relationshipType"), F.lit("")))
+def _identifier(x: Column, purl: Column) -> Column:
+    f = x["facts"]
+    scheme = f["scheme"]
+    kind = F.when(scheme == "packageurl", "purl").when(scheme == "", "other").otherwise(scheme)
+    category = F.when(scheme.isin("cpe22", "cpe23"), "SECURITY").otherwise("OTHER")
+    return F.when(f["identifier"].isNotNull() & ~((scheme == "packageurl") & purl.isNotNull()), _reference(category, kind, f["identifier"]))
 
 
-def _licences(relations: Column, kind: str, by_id: Column) -> Column:
-    """map of package id to the licence that its relations of a kind state; the last one wins."""
-    mine = F.filter(relations, lambda r: _kind(r) == kind)
-    stated = F.flatten(F.transform(mine, lambda r: F.transform(_list(values.child(r, "to")), lambda t: F.struct(_said(r, "from").alias("id"), _licence(t, by_id).alias("text")))))
-    usable = F.filter(stated, lambda x: x["id"].isNotNull() & x["text"].isNotNull() & (x["text"] != ""))
-    keyed = F.array_sort(F.transform(usable, lambda x, i: F.struct(x["id"].alias("id"), i.alias("at"), x["text"].alias("text"))))
-    last = lambda k: F.filter(k, lambda x, i: ~F.get(k, i + 1)["id"].eqNullSafe(x["id"]))
-    as_map = lambda k: F.map_from_arrays(F.transform(k, lambda x: x["id"]), F.transform(k, lambda x: x["text"]))
-    return values.let(keyed, lambda k: values.let(last(k), as_map))
+def _known(a: Column) -> Column:
+    return F.filter(a, lambda x: x.isNotNull())
 
 
-def _package(p: Column, by_id: Column, licences: Column, notes: Column) -> Column:
-    me = _identity(p)
+def _some(a: Column) -> Column:
+    """A list, or NULL (so that it is left out) if it is empty."""
+    return F.when(F.size(a) > 0, a)
 
-    def checksum(h: Column) -> Column:
-        return values.let(_resolve(h, by_id), lambda x: F.when((element_type(x) == "hash") & (_said(x, "hashValue") != ""), F.struct(F.coalesce(F.regexp_replace(F.upper(_said(x, "algorithm")), "[^A-Z0-9]", ""), F.lit("NOASSERTION")).alias("algorithm"), _said(x, "hashValue").alias("checksumValue"))))
 
-    purl = F.nullif(_said(p, "software_packageUrl", "packageUrl"), F.lit(""))
-    ref = lambda category, kind, locator: F.struct(category.alias("referenceCategory"), kind.alias("referenceType"), locator.alias("referenceLocator"))
+def _role(role: str, made) -> Column:
+    """What the references of a role come to, in order."""
+    return _known(F.transform(F.filter("refs", lambda x: x["role"] == role), made))
 
-    def identifier(r: Column) -> Column:
-        def made(x: Column) -> Column:
-            kind, locator = F.lower(F.coalesce(_said(x, "externalIdentifierType"), F.lit(""))), _said(x, "identifier")
-            usable = (locator != "") & ~((kind == "packageurl") & purl.isNotNull())
-            return F.when(usable, ref(F.when(kind.isin("cpe22", "cpe23"), "SECURITY").otherwise("OTHER"), F.when(kind == "packageurl", "purl").when(kind == "", "other").otherwise(kind), locator))
 
-        return values.let(_resolve(r, by_id), made)
+def _first(options: Column) -> Column:
+    """The first element that is neither NULL nor empty."""
+    return F.get(F.filter(options, lambda x: x.isNotNull() & (x != "")), F.lit(0))
 
-    own = F.when(purl.isNotNull(), F.array(ref(F.lit("PACKAGE-MANAGER"), F.lit("purl"), purl))).otherwise(F.array().cast("array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>"))
-    known = lambda a: F.filter(a, lambda x: x.isNotNull())
-    about = F.filter(notes, lambda a: F.exists(_list(values.child(a, "subject")), lambda s: values.text(s) == me))
-    filled = lambda *keys: F.nullif(_said(p, *keys), F.lit(""))
-    return F.struct(
-        me.alias("SPDXID"),
-        filled("name").alias("name"),
-        filled("software_packageVersion", "packageVersion").alias("versionInfo"),
-        _agent(values.child(p, "suppliedBy"), by_id).alias("supplier"),
-        F.coalesce(_agent(values.child(p, "originatedBy"), by_id), _agent(values.child(p, "builtBy"), by_id)).alias("originator"),
-        _some(known(F.transform(_list(values.child(p, "verifiedUsing")), checksum))).alias("checksums"),
-        _some(F.concat(own, known(F.transform(_list(values.child(p, "externalIdentifier")), identifier)))).alias("externalRefs"),
-        F.try_element_at(licences["declared"], me).alias("licenseDeclared"),
-        F.try_element_at(licences["concluded"], me).alias("licenseConcluded"),
-        _some(F.transform(about, _note)).alias("annotations"),
-        filled("software_downloadLocation").alias("downloadLocation"),
-        filled("software_copyrightText").alias("copyrightText"),
-        filled("comment").alias("comment"),
+
+def attached(rows: DataFrame) -> DataFrame:
+    """(doc_id, id, declared, concluded, notes): what relations and annotations say of an element, the last licence of each kind."""
+    stated = rows.where("role = 'licence' OR kind IN ('relationship', 'lifecyclescopedrelationship', 'annotation')")
+    # The relation's own row says whose licence it is; its references say which.
+    of = stated.groupBy("doc_id", "at").agg(
+        F.first("own", ignorenulls=True).alias("own"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "licence", F.struct("pos", _licence(F.struct("facts", "ref")).alias("text"))))).alias("texts"),
     )
+    text = F.element_at(F.filter(F.transform("texts", lambda x: x["text"]), lambda t: t.isNotNull() & (t != "")), -1)
+    text = F.when(F.size(F.filter("texts", lambda x: x["text"] != "")) > 0, text)
+    kind = F.lower(F.col("own.type"))
+    ids = F.coalesce("own.subjects", F.when(_is_licence(F.col("own")), F.array("own.from")), F.array().cast("array<string>"))
+    each = of.select("doc_id", "at", F.explode(ids).alias("id"), kind.alias("kind"), text.alias("text"), F.when(F.col("own.subjects").isNotNull(), F.struct("at", F.col("own.note").alias("annotationType"), F.col("own.statement").alias("comment"))).alias("note"))
+    last = lambda k: F.max_by("text", F.when((F.col("kind") == k) & F.col("text").isNotNull(), F.col("at")))
+    return each.where("id IS NOT NULL").groupBy("doc_id", "id").agg(last(LICENCES[0]).alias("declared"), last(LICENCES[1]).alias("concluded"), F.array_sort(F.collect_list("note")).alias("notes"))
 
 
-def _view(doc: Column, found: Column, by_id: Column) -> Column:
-    parts = F.struct(_of(found, RELATIONS).alias("relations"), _of(found, ("annotation",)).alias("notes"), _of(found, DOCUMENTS).alias("documents"))
+def _note(x: Column) -> Column:
+    return F.struct(x["annotationType"].alias("annotationType"), x["comment"].alias("comment"))
 
-    def with_licences(x: Column) -> Column:
-        both = F.struct(_licences(x["relations"], "hasdeclaredlicense", by_id).alias("declared"), _licences(x["relations"], "hasconcludedlicense", by_id).alias("concluded"))
-        return values.let(both, lambda licences: _assembled(doc, found, by_id, x["relations"], x["notes"], x["documents"], licences))
 
-    return values.let(parts, with_licences)
+def parts(rows: DataFrame) -> DataFrame:
+    """doc_id, at and own of every element, with its references in order (``refs``) and what others say of it."""
+    refs = F.when(F.col("role") != "self", F.struct("role", "pos", "facts", "ref"))
+    whole = rows.groupBy("doc_id", "at").agg(F.first("kind").alias("kind"), F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list(refs)).alias("refs"))
+    return whole.withColumn("id", F.col("own.id")).join(attached(rows), ["doc_id", "id"], "left")
 
 
-def _assembled(doc: Column, found: Column, by_id: Column, relations: Column, notes: Column, documents: Column, licences: Column) -> Column:
-    info, root = F.get(_of(found, ("creationinfo",)), F.lit(0)), F.get(documents, F.lit(0))
-    by = F.transform(_list(values.child(info, "createdBy")), lambda r: _agent(r, by_id))
-    using = F.transform(F.transform(_list(values.child(info, "createdUsing")), lambda r: _agent(r, by_id)), lambda n: F.when(F.startswith(n, F.lit("Tool: ")), n).otherwise(F.concat(F.lit("Tool: "), n)))
-    creators = F.filter(F.concat(by, using), lambda n: n.isNotNull() & (n != ""))
-    created, comment = F.nullif(_said(info, "created"), F.lit("")), F.nullif(_said(info, "comment"), F.lit(""))
-    spaces = F.transform(documents, lambda d: _said(_resolve(values.child(d, "namespaceMap"), by_id), "namespace"))
-    namespace = F.coalesce(_identity(root), _first(spaces))
-    imports = F.flatten(F.transform(documents, lambda d: F.transform(_list(values.child(d, "import")), lambda m: F.nullif(_said(_resolve(m, by_id), "externalSpdxId"), F.lit("")))))
-    structural = F.filter(relations, lambda r: ~_kind(r).isin("hasdeclaredlicense", "hasconcludedlicense"))
-    edge = lambda r: F.struct(F.coalesce(_said(r, "from"), F.lit("")).alias("spdxElementId"), F.coalesce(values.text(F.get(_list(values.child(r, "to")), F.lit(0))), F.lit("")).alias("relatedSpdxElement"), names.upper_snake(F.coalesce(_said(r, "relationshipType"), F.lit("OTHER"))).alias("relationshipType"))
-    whole = F.filter(notes, lambda a: (F.size(_list(values.child(a, "subject"))) == 0) | F.exists(_list(values.child(a, "subject")), lambda s: values.text(s) == namespace))
+def _package() -> Column:
+    purl = F.col("own.purl")
+    own = F.when(purl.isNotNull(), F.array(_reference(F.lit("PACKAGE-MANAGER"), F.lit("purl"), purl))).otherwise(F.array().cast(_REF))
     return F.struct(
-        F.concat(F.lit("SPDX-"), graph_version(doc)).alias("spdxVersion"),
-        F.nullif(_said(root, "name"), F.lit("")).alias("name"),
-        F.nullif(namespace, F.lit("")).alias("documentNamespace"),
-        F.when((F.size(creators) > 0) | created.isNotNull() | comment.isNotNull(), F.struct(_some(creators).alias("creators"), created.alias("created"), comment.alias("comment"))).alias("creationInfo"),
-        F.transform(_of(found, PACKAGES), lambda p: _package(p, by_id, licences, notes)).alias("packages"),
-        _some(F.transform(structural, edge)).alias("relationships"),
-        _some(F.transform(F.filter(imports, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("externalDocumentId"), x.alias("spdxDocument")))).alias("externalDocumentRefs"),
-        _some(F.transform(whole, _note)).alias("annotations"),
+        F.col("own.id").alias("SPDXID"),
+        F.col("own.name").alias("name"),
+        F.col("own.version").alias("versionInfo"),
+        _first(_role("suppliedBy", _agent)).alias("supplier"),
+        F.coalesce(_first(_role("originatedBy", _agent)), _first(_role("builtBy", _agent))).alias("originator"),
+        _some(_role("verifiedUsing", _checksum)).alias("checksums"),
+        _some(F.concat(own, _role("externalIdentifier", lambda x: _identifier(x, purl)))).alias("externalRefs"),
+        F.col("declared").alias("licenseDeclared"),
+        F.col("concluded").alias("licenseConcluded"),
+        _some(F.transform("notes", _note)).alias("annotations"),
+        F.col("own.location").alias("downloadLocation"),
+        F.col("own.copyright").alias("copyrightText"),
+        F.col("own.comment").alias("comment"),
     )
 
 
-def as_flat(doc: Column) -> Column:
-    """The flat view of a graph document, as VARIANT; absent facts are absent keys."""
-    return F.parse_json(F.to_json(values.let(_typed(elements(doc)), lambda found: values.let(index(found), lambda by_id: _view(doc, found, by_id)))))
-
-
-def accounting(doc: Column) -> Column:
-    """struct(packages, relationships, agents, unmapped_types, unmapped_package_keys) of a graph document."""
+def _creators() -> Column:
+    tool = lambda n: F.when(F.startswith(n, F.lit("Tool: ")), n).otherwise(F.concat(F.lit("Tool: "), n))
+    return F.filter(F.concat(_role("createdBy", _agent), F.transform(_role("createdUsing", _agent), tool)), lambda n: n != "")
+
+
+def _gathered(each: DataFrame) -> DataFrame:
+    """One row a document: its parts in order, and the accounting of what was used."""
+    kind, own = F.col("kind"), F.col("own")
+    is_package, is_relation, is_document = kind.isin(*PACKAGES), kind.isin(*RELATIONS) & ~_is_licence(own), kind.isin(*DOCUMENTS)
+    known = (*PACKAGES, *RELATIONS, *AGENTS, *DOCUMENTS, *REACHED, "annotation", "creationinfo")
+    listed = lambda when, value, name: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("at", value.alias("v"))))), lambda x: x["v"]).alias(name)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    relation = F.struct(text(own["from"]).alias("spdxElementId"), text(own["to"]).alias("relatedSpdxElement"), names.upper_snake(F.coalesce(own["type"], F.lit("OTHER"))).alias("relationshipType"))
+    note = F.struct(own["note"].alias("annotationType"), own["statement"].alias("comment"), own["subjects"].alias("subjects"))
+    root = F.struct(own["id"].alias("id"), own["name"].alias("name"), _first(_role("namespaceMap", lambda x: x["facts"]["namespace"])).alias("namespace"), _role("import", lambda x: x["facts"]["external"]).alias("imports"))
+    info = F.struct(_creators().alias("creators"), own["created"].alias("created"), own["comment"].alias("comment"))
+    return each.groupBy("doc_id").agg(
+        listed(is_package, _package(), "packages"),
+        listed(is_relation, relation, "relations"),
+        listed(kind == "annotation", note, "notes"),
+        F.array_sort(F.collect_list(F.when(is_document, F.struct("at", *[root[c].alias(c) for c in ("id", "name", "namespace", "imports")])))).alias("documents"),
+        F.min_by(info, F.when(kind == "creationinfo", F.col("at"))).alias("info"),
+        F.count_if(kind.isin(*AGENTS)).alias("agents"),
+        F.array_sort(F.collect_set(F.when(~kind.isin(*known), kind))).alias("unmapped_types"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("own.unread")))).alias("unmapped_package_keys"),
+    )
 
-    def count(found: Column) -> Column:
-        known = (*PACKAGES, *RELATIONS, *AGENTS, *DOCUMENTS, *REACHED, "annotation", "creationinfo")
-        other = F.filter(F.transform(found, lambda x: x["kind"]), lambda t: ~t.isin(*known))
-        keys = F.flatten(F.transform(_of(found, PACKAGES), lambda p: F.map_keys(F.try_variant_get(p, "$", "map<string,variant>"))))
-        structural = F.filter(_of(found, RELATIONS), lambda r: ~_kind(r).isin("hasdeclaredlicense", "hasconcludedlicense"))
-        return F.struct(F.size(_of(found, PACKAGES)).alias("packages"), F.size(structural).alias("relationships"), F.size(_of(found, AGENTS)).alias("agents"), F.array_sort(F.array_distinct(other)).alias("unmapped_types"), F.array_sort(F.array_distinct(F.filter(keys, lambda k: ~k.isin(*READ_KEYS)))).alias("unmapped_package_keys"))
 
-    return values.let(_typed(elements(doc)), count)
+def flat_view(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (the flat view, VARIANT; absent facts are absent keys) and accounting of graph documents.
+
+    ``docs``: doc_id, one row each, and doc (VARIANT).  A document without elements has a
+    view with its version and no packages.  accounting: packages, relationships, agents,
+    unmapped_types and unmapped_package_keys, which the view leaves out.
+    """
+    found = _gathered(parts(resolved(elements_and_edges(docs))))
+    both = docs.select("doc_id", graph_version(F.col("doc")).alias("__version")).join(found, "doc_id", "left")
+    root = F.get("documents", F.lit(0))
+    spaces = F.transform("documents", lambda d: d["namespace"])
+    namespace = F.coalesce(root["id"], _first(spaces))
+    info = F.col("info")
+    creators = F.coalesce(info["creators"], F.array().cast("array<string>"))
+    imports = F.flatten(F.transform("documents", lambda d: d["imports"]))
+    listed = lambda c: F.coalesce(F.col(c), F.array())
+    both = both.withColumn("__namespace", namespace)
+    whole = F.filter("notes", lambda n: (F.size(n["subjects"]) == 0) | F.exists(n["subjects"], lambda s: F.coalesce(s == F.col("__namespace"), F.lit(False))))
+    view = F.struct(
+        F.concat(F.lit("SPDX-"), "__version").alias("spdxVersion"),
+        root["name"].alias("name"),
+        F.nullif("__namespace", F.lit("")).alias("documentNamespace"),
+        F.when((F.size(creators) > 0) | info["created"].isNotNull() | info["comment"].isNotNull(), F.struct(_some(creators).alias("creators"), info["created"].alias("created"), info["comment"].alias("comment"))).alias("creationInfo"),
+        listed("packages").alias("packages"),
+        _some(F.col("relations")).alias("relationships"),
+        _some(F.transform(imports, lambda x: F.struct(x.alias("externalDocumentId"), x.alias("spdxDocument")))).alias("externalDocumentRefs"),
+        _some(F.transform(whole, _note)).alias("annotations"),
+    )
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias
+    texts = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    accounting = F.struct(size("packages")("packages"), size("relations")("relationships"), F.coalesce("agents", F.lit(0)).cast("long").alias("agents"), texts("unmapped_types"), texts("unmapped_package_keys"))
+    return both.select("doc_id", F.parse_json(F.to_json(view)).alias("doc"), accounting.alias("accounting"))

@@ -1,8 +1,10 @@
 """Rule packs over documents: findings, rule runs, severity overrides, counts, gates.
 
-A pack is compiled on the driver: rules that share a selector share its nodes, and
-every rule adds one boolean expression over them.  All of it is worked out in the row
-of the document; only the findings are exploded.
+A pack is compiled on the driver.  Its selectors are one trie, and documents become a
+table of nodes: a row for the document and one for each element of a list that the trie
+spreads over, tagged with the list.  Every rule is a boolean over the nodes of its tag.
+A document's components are rows, so their number has no limit, and findings need no
+shuffle; counts of findings are sums that start where the nodes are.
 """
 
 from __future__ import annotations
@@ -110,66 +112,98 @@ def label(node: Column) -> Column:
     return F.when(name.isNotNull(), F.concat_ws(" ", name, version))
 
 
-NONE = "array<struct<path:string,component:string>>"
-
-
-def _selectors(pack: Pack, kind: str) -> list[str]:
-    return sorted({r.selector_of(kind) for r in pack.rules if kind in r.applies_to and r.selector_of(kind) and r.assertion_of(kind) is not None})
-
+DOCUMENT = -1
+
+
+def _compiled(pack: Pack) -> tuple[selectors.Trie, assertions.Facts, dict[int, list[str]], dict[str, list[str]], dict[str, list[str]]]:
+    """The trie, the facts asked of documents, failures by tag, statuses by format, and rules that fire on nothing by format."""
+    trie, facts = selectors.Trie(), assertions.Facts()
+    failures: dict[int, list[str]] = {}
+    statuses: dict[str, list[str]] = {"cyclonedx": [], "spdx": []}
+    fired: dict[str, list[str]] = {"cyclonedx": [], "spdx": []}
+    for at, rule in enumerate(pack.rules):
+        for kind in statuses:
+            selector, assertion = rule.selector_of(kind), rule.assertion_of(kind)
+            if kind not in rule.applies_to or not selector or assertion is None:
+                statuses[kind].append("'not-applicable'" if kind not in rule.applies_to else "'no-path'")
+                continue
+            reaches = facts.ask(selectors.any_of(facts.doc, selectors.parse(selector)))
+            statuses[kind].append(f"CASE WHEN {reaches} THEN 'ran' ELSE 'no-path' END" if rule.on_empty == "skip" else "'ran'")
+            if rule.on_empty == "fire":
+                fired[kind].append(f"CASE WHEN NOT {reaches} THEN named_struct('rule_order', {at}, 'path', {selectors.literal(selector)}, 'component', CAST(NULL AS STRING)) END")
+            tag, rest = trie.add(kind, selector)
+            here = f"format <=> '{kind}' AND " if tag == 0 else ""
+            node = selectors.walk("node", rest)
+            found = f"named_struct('rule_order', {at}, 'path', concat(path, {selectors.literal(selectors.suffix(rest))}), 'component', {label('n')})"
+            failing = f"CASE WHEN n IS NOT NULL AND NOT {assertions.holds(assertion, 'n', facts)} THEN {found} END"
+            failures.setdefault(tag, []).append(f"CASE WHEN {here}tag = {tag} THEN {failing} END" if node == "node" else f"CASE WHEN {here}tag = {tag} THEN element_at(transform(array({node}), n -> {failing}), 1) END")
+    return trie, facts, failures, statuses, fired
+
+
+def label(node: str) -> str:
+    """SQL of the name and version of a component or package, as a reader would call it."""
+    said = lambda *keys: f"coalesce({', '.join(assertions.let(selectors.child(node, k), assertions.text) for k in keys)})"
+    return f"(CASE WHEN {said('name', 'packageName')} IS NOT NULL THEN concat_ws(' ', {said('name', 'packageName')}, {said('version', 'versionInfo')}) END)"
+
+
+def seen(docs: DataFrame, pack: Pack) -> DataFrame:
+    """doc_id, doc, format, spec, problem and accounting of documents; a graph document has its flat view as doc.
+
+    ``docs``: ``doc_id``, one row each, ``doc`` VARIANT, and ``format`` where it is stated.
+    """
+    from .graph import flat_view
 
-def _result(rule: Rule, kind: str, doc: Column, found: dict[str, Column]) -> Column:
-    """(rule_id, status, failures) of one rule for a document of one format."""
-    none, selector = F.array().cast(NONE), rule.selector_of(kind)
-    if kind not in rule.applies_to:
-        status, failures = F.lit("not-applicable"), none
-    elif not selector or rule.assertion_of(kind) is None:
-        status, failures = F.lit("no-path"), none
-    else:
-        reached = found[selector]
-        here = F.array(F.struct(F.lit(selector).alias("path"), F.lit(None).cast("string").alias("component")))
-        empty = F.size(reached) == 0
-        status = F.when(empty & F.lit(rule.on_empty == "skip"), "no-path").otherwise("ran")
-        failures = F.when(~empty, _failing(reached, rule, kind, doc)).otherwise(here if rule.on_empty == "fire" else none)
-    return F.struct(F.lit(rule.id).alias("rule_id"), status.alias("status"), failures.alias("failures"))
+    stated = (F.col("format") if "format" in docs.columns else F.lit(None)).cast("string")
+    told = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"), stated.alias("__format"))
+    problem = F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem"))
+    is_graph = F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(F.col("doc"))
+    told = told.select("doc_id", "doc", F.coalesce("__format", "__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"), is_graph.alias("__graph"))
+    if not any("spdx" in r.applies_to and r.selector_of("spdx") for r in pack.rules):  # such a pack never reads the flat view
+        return told.drop("__graph").withColumn("accounting", F.lit(None).cast(ACCOUNTING))
+    flat = told.where("__graph")
+    flat = flat.drop("doc").join(flat_view(flat.select("doc_id", "doc")), "doc_id").drop("__graph")
+    return told.where("NOT __graph").drop("__graph").withColumn("accounting", F.lit(None).cast(ACCOUNTING)).unionByName(flat)
 
 
-def _failing(found: Column, rule: Rule, kind: str, doc: Column) -> Column:
-    assertion = rule.assertion_of(kind)
-    failing = F.filter(found, lambda n: ~assertions.holds(assertion, n["node"], doc))
-    return F.transform(failing, lambda n: F.struct(n["path"].alias("path"), label(n["node"]).alias("component")))
+ACCOUNTING = "struct<packages:bigint,relationships:bigint,agents:bigint,unmapped_types:array<string>,unmapped_package_keys:array<string>>"
+_FOUND = "array<struct<rule_order:int,path:string,component:string>>"
 
 
 def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
-    """``doc_id``, format, spec, problem and results of every document (``doc_id``, ``doc`` VARIANT, and ``format`` where it is stated).
+    """A row for each document (``rule_order`` is ``DOCUMENT``) and one for each node that fails a rule.
 
-    A stated format is taken; a document without one is in the format that is detected.
+    doc_id, format, spec, problem, rule_order, position (the node's place, a list of
+    indices), path, component; on the document's row also ``statuses`` (a text for each
+    rule of the pack, NULL if no format is told) and ``accounting`` of a graph document.
 
+    A stated format is taken; a document without one is in the format that is detected.
     A document whose format is not told has its problem and no results.  One of a
     version that is not read has both: :func:`gated` leaves its results out.
     """
-    from .graph import as_flat
-
-    seen = docs.select("doc_id", "doc", detect.detect(F.col("doc")).alias("__d"), (F.col("format") if "format" in docs.columns else F.lit(None)).cast("string").alias("__format"))
-    flat = F.col("doc")
-    if _selectors(pack, "spdx"):  # a pack without rules for that format never reads the flat view
-        flat = F.when(F.col("__d.format").eqNullSafe("spdx") & detect.is_graph(flat), as_flat(flat)).otherwise(flat)
-    problem = F.when(F.col("__d.format").isNotNull() & ~F.col("__d.supported"), "version not supported").otherwise(F.col("__d.problem"))
-    seen = seen.select("doc_id", flat.alias("doc"), F.coalesce("__format", "__d.format").alias("format"), F.col("__d.spec").alias("spec"), problem.alias("problem"))
-    results, names = F.array().cast(f"array<struct<rule_id:string,status:string,failures:{NONE}>>"), {}
-    for kind in ("cyclonedx", "spdx"):
-        for k, s in enumerate(_selectors(pack, kind)):
-            names[kind, s] = f"__{kind}_{k}"
-    here = lambda kind: F.col("format").eqNullSafe(kind)
-    seen = seen.select("*", *[F.when(here(kind), selectors.nodes(F.col("doc"), s)).alias(n) for (kind, s), n in names.items()])
-    for kind in ("cyclonedx", "spdx"):
-        found = {s: F.col(n) for (k, s), n in names.items() if k == kind}
-        results = F.when(here(kind), F.array(*[_result(r, kind, F.col("doc"), found) for r in pack.rules])).otherwise(results)
-    return seen.select("doc_id", "format", "spec", "problem", results.alias("results"))
+    trie, facts, failures, statuses, fired = _compiled(pack)
+    by_format = lambda made, kind: f"CASE {' '.join(f"WHEN format <=> '{k}' THEN {v}" for k, v in made.items())} ELSE CAST(NULL AS {kind}) END"
+    base = seen(docs, pack).selectExpr("*", *[f"{e} AS {name}" for e, name in facts.known.items()])
+    status = by_format({k: f"array({', '.join(v)})" for k, v in statuses.items()}, "ARRAY<STRING>")
+    empty = by_format({k: f"CAST(array_compact(array({', '.join(v)})) AS {_FOUND})" for k, v in fired.items()}, _FOUND)
+    own = "struct<statuses:array<string>,fired:" + _FOUND + ",accounting:" + ACCOUNTING + ">"
+    carried = ["doc_id", "format", "spec", "problem", *facts.known.values()]
+    base = base.selectExpr(*carried, "doc AS node", "0 AS tag", "CAST(array() AS array<int>) AS position", "'$' AS path", f"named_struct('statuses', {status}, 'fired', {empty}, 'accounting', accounting) AS own")
+    row = "struct<tag:int,position:array<int>,path:string,node:variant,own:" + own + ">"
+    for level in trie.levels():
+        lists = [f"CASE WHEN tag = {s.above}{f" AND format <=> '{s.kind}'" if s.above == 0 else ''} THEN transform({s.rows('node', 'path', 'position')}, r -> named_struct('tag', r.tag, 'position', r.position, 'path', r.path, 'node', r.node, 'own', CAST(NULL AS {own}))) ELSE CAST(array() AS array<{row}>) END" for s in level]
+        base = base.selectExpr(*carried, f"explode(concat(array(named_struct('tag', tag, 'position', position, 'path', path, 'node', node, 'own', own)), {', '.join(lists)})) AS r").selectExpr(*carried, "r.*")
+    nodes = base.selectExpr(*carried, "tag", "position", "path", "node AS n", "node", "own")
+    failed = f"CAST(array_compact(array({', '.join(x for v in failures.values() for x in v)})) AS {_FOUND})"
+    here = f"CASE WHEN tag = 0 THEN concat(array(named_struct('rule_order', {DOCUMENT}, 'path', CAST(NULL AS STRING), 'component', CAST(NULL AS STRING))), coalesce(own.fired, CAST(array() AS {_FOUND}))) ELSE CAST(array() AS {_FOUND}) END"
+    out = nodes.selectExpr("doc_id", "format", "spec", "problem", "position", "own", f"inline(concat({here}, {failed}))")
+    on_document = F.col("rule_order") == DOCUMENT
+    return out.select("doc_id", "format", "spec", "problem", "rule_order", "position", "path", "component", F.when(on_document, F.col("own.statuses")).alias("statuses"), F.when(on_document, F.col("own.accounting")).alias("accounting"))
 
 
 def gated(evaluated: DataFrame) -> DataFrame:
-    """:func:`evaluate`'s rows without the results of documents that have a problem."""
-    return evaluated.withColumn("results", F.when(F.col("problem").isNull(), F.col("results")))
+    """:func:`evaluate`'s rows without the results of documents that have a problem; the documents' own rows stay."""
+    kept = evaluated.where((F.col("rule_order") == DOCUMENT) | F.col("problem").isNull())
+    return kept.withColumn("statuses", F.when(F.col("problem").isNull(), F.col("statuses")))
 
 
 def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> DataFrame:
@@ -179,44 +213,71 @@ def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> D
     return spark.createDataFrame(rows, "rule_order int, rule_id string, title string, pack_severity string, fix string, source string, override_to string, override_reason string")
 
 
-def rule_runs(results: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per document and rule: status, failures, severity in force, and what became of an override."""
-    # The outer form keeps the optimiser from adding a filter that works the results out once more.
-    each = results.select("doc_id", "format", F.inline_outer("results")).join(F.broadcast(rules), "rule_id")
-    n = F.size("failures")
+def _checked(evaluated: DataFrame) -> DataFrame:
+    """The rows of documents that have results."""
+    return evaluated.where((F.col("rule_order") == DOCUMENT) & F.col("statuses").isNotNull())
+
+
+def _failing(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
+    """Failing nodes with their rule and the severity in force: a rule that found something has its override applied, if that changes anything."""
+    applied = F.col("override_to").isNotNull() & (F.col("override_to") != F.col("pack_severity"))
+    each = evaluated.where(F.col("rule_order") != DOCUMENT).join(F.broadcast(rules), "rule_order")
+    return each.withColumns({"overridden": applied, "severity": F.when(applied, F.col("override_to")).otherwise(F.col("pack_severity"))})
+
+
+def rule_runs(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per document and rule: status, failures, severity in force, and what became of an override.
+
+    A pack's rules bound the broadcast.  Failures are counted before they are shuffled;
+    the list of them is one document's and one rule's, for reports that show it.
+    """
+    ran = _checked(evaluated).select("doc_id", "format", F.posexplode("statuses").alias("rule_order", "status"), F.lit(0).alias("found"), F.lit(None).cast("struct<position:array<int>,path:string,component:string>").alias("f"))
+    failing = evaluated.where(F.col("rule_order") != DOCUMENT).select("doc_id", "format", "rule_order", F.lit(None).cast("string").alias("status"), F.lit(1).alias("found"), F.struct("position", "path", "component").alias("f"))
+    each = ran.unionByName(failing).groupBy("doc_id", "format", "rule_order").agg(F.max("status").alias("status"), F.sum("found").alias("n_failures"), F.array_sort(F.collect_list("f")).alias("failures")).where("status IS NOT NULL")
+    each = each.join(F.broadcast(rules), "rule_order")
     inert = (
         F.when(F.col("override_to").isNull(), None)
         .when(F.col("status") == "not-applicable", "the rule does not apply to this format")
         .when(F.col("status") == "no-path", "the rule did not run")
         .when(F.col("override_to") == F.col("pack_severity"), "the pack already assigns this severity")
-        .when(n == 0, "the rule found nothing")
+        .when(F.col("n_failures") == 0, "the rule found nothing")
     )
     applied = F.col("override_to").isNotNull() & inert.isNull()
-    return each.select("doc_id", "rule_id", "rule_order", "title", "fix", "source", "format", "status", "failures", n.alias("n_failures"), "pack_severity", F.when(applied, F.col("override_to")).otherwise(F.col("pack_severity")).alias("severity"), applied.alias("overridden"), inert.alias("why_inert"))
+    return each.select("doc_id", "rule_id", "rule_order", "title", "fix", "source", "format", "status", "failures", "n_failures", "pack_severity", F.when(applied, F.col("override_to")).otherwise(F.col("pack_severity")).alias("severity"), applied.alias("overridden"), inert.alias("why_inert"))
 
 
-def findings(runs: DataFrame) -> DataFrame:
-    """One row per failing node, in rule and document order by (rule_order, position)."""
-    out = runs.select("doc_id", "rule_id", "rule_order", "title", "severity", F.when(F.col("overridden"), F.col("pack_severity")).alias("overridden_from"), "fix", "source", F.posexplode_outer("failures").alias("position", "f")).where("f IS NOT NULL")
-    return out.select("doc_id", "rule_id", "rule_order", "position", "title", "severity", "overridden_from", F.col("f.path").alias("path"), F.col("f.component").alias("component"), "fix", "source", F.concat(F.lit("RULE-"), "rule_id").alias("code"))
+def findings(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per failing node, in rule and document order by (rule_order, position); no shuffle."""
+    out = _failing(evaluated, rules)
+    return out.select("doc_id", "rule_id", "rule_order", "position", "title", "severity", F.when(F.col("overridden"), F.col("pack_severity")).alias("overridden_from"), "path", "component", "fix", "source", F.concat(F.lit("RULE-"), "rule_id").alias("code"))
 
 
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "error", 3).when(severity == "warning", 2).when(severity == "info", 1).otherwise(0)
 
 
-def severity_counts(runs: DataFrame) -> DataFrame:
-    """Findings of each severity per document, zeros kept."""
-    return runs.groupBy("doc_id").agg(*[F.sum(F.when(F.col("severity") == s, F.col("n_failures")).otherwise(0)).alias(s) for s in SEVERITIES])
+def severity_counts(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of each severity per document, zeros kept; a document without results has no row."""
+    none = _checked(evaluated).select("doc_id", F.lit(None).cast("string").alias("severity"))
+    each = _failing(evaluated, rules).select("doc_id", "severity").unionByName(none)
+    return each.groupBy("doc_id").agg(*[F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(s) for s in SEVERITIES])
 
 
-def gate(runs: DataFrame, at: str = "error") -> DataFrame:
-    """Per document: the highest rank found, does it reach ``at``, and would the pack's own severities have."""
-    limit = severity_rank(F.lit(at))
-    found = F.col("n_failures") > 0
-    rank = F.max(F.when(found, severity_rank(F.col("severity"))).otherwise(-1))
-    own = F.max(F.when(found, severity_rank(F.col("pack_severity"))).otherwise(-1))
-    return runs.groupBy("doc_id").agg(rank.alias("rank"), (rank >= limit).alias("blocked"), ((rank < limit) & (own >= limit)).alias("moved_below"), F.max(F.when(F.col("status") == "ran", severity_rank(F.col("severity")))).alias("reachable")).withColumn("inert_gate", F.coalesce(F.col("reachable") < limit, F.lit(True)))
+def gate(evaluated: DataFrame, rules: DataFrame, at: str = "error") -> DataFrame:
+    """Per document: the highest rank found, does it reach ``at``, would the pack's own severities have, and can no rule of the pack reach it?
+
+    An override that is applied changes what its rule can reach; one that is inert does not.
+    """
+    limit = SEVERITIES[::-1].index(at)
+    rank_of = {s: k for k, s in enumerate(SEVERITIES[::-1])}
+    ranks = [(r["rule_order"], rank_of[r["pack_severity"]], rank_of[r["override_to"] or r["pack_severity"]]) for r in rules.select("rule_order", "pack_severity", "override_to").collect()]
+    none = _checked(evaluated).select("doc_id", F.lit(-1).alias("rank"), F.lit(-1).alias("own"), F.lit(None).cast("int").alias("rule_order"))
+    found = _failing(evaluated, rules).select("doc_id", severity_rank(F.col("severity")).alias("rank"), severity_rank(F.col("pack_severity")).alias("own"), "rule_order")
+    by = found.unionByName(none).groupBy("doc_id").agg(F.max("rank").alias("rank"), F.max("own").alias("own"), F.collect_set("rule_order").alias("rules"))
+    moved = [F.when(F.array_contains("rules", k), to).otherwise(own) for k, own, to in ranks if own != to]
+    reachable = F.greatest(F.lit(-1), F.lit(max([own for _, own, to in ranks if own == to], default=-1)), *moved)
+    rank, own = F.col("rank"), F.col("own")
+    return by.select("doc_id", "rank", (rank >= limit).alias("blocked"), ((rank < limit) & (own >= limit)).alias("moved_below"), reachable.alias("reachable"), (reachable < limit).alias("inert_gate"))
 
 
 def grouped(found: DataFrame, shown: int = 3, by_instances: bool = False) -> DataFrame:

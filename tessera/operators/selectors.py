@@ -1,13 +1,14 @@
-"""Path selectors over documents, compiled to array expressions.
+"""Path selectors over documents: as one array expression each, or all of a pack as a trie.
 
-A selector becomes one expression that yields an array of (path, node) in document
-order: no explode, no join and no shuffle, so rules run where the document is read.
+:func:`nodes` yields an array of (path, node) in document order.  :class:`Trie` merges
+selectors by their common steps up to each list that they spread over, so that a list
+is spread once, whatever the number of selectors that go through it.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,3 +76,111 @@ def nodes(doc: Column, selector: str, *, root: str = "$") -> Column:
 def matches(doc: Column, selector: str) -> Column:
     """The nodes alone."""
     return F.transform(nodes(doc, selector), lambda n: n["node"])
+
+
+def literal(s: str) -> str:
+    """A string as SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def child(v: str, key: str) -> str:
+    """SQL of a key's value: NULL if there is none, a null variant if it is null."""
+    quoted = key.replace("'", "\\'")
+    return f"try_variant_get({v}, {literal(f"$['{quoted}']")}, 'variant')"
+
+
+def items(v: str) -> str:
+    """SQL of the elements of a list, else of an empty array."""
+    return f"coalesce(try_variant_get({v}, '$', 'array<variant>'), array())"
+
+
+def _where(v: str, step: Step) -> str:
+    return f"coalesce(try_variant_get({child(v, step.name)}, '$', 'string') = {literal(step.value)}, false)"
+
+
+def walk(v: str, steps: tuple[Step, ...]) -> str:
+    """SQL of the one value that steps without a spread lead to."""
+    for s in steps:
+        v = child(v, s.name) if s.kind == "key" else f"get({items(v)}, {int(s.name)})"
+    return v
+
+
+def suffix(steps: tuple[Step, ...]) -> str:
+    """Steps without a spread, as a path shows them."""
+    return "".join(f".{s.name}" if s.kind == "key" else f"[{s.name}]" for s in steps)
+
+
+def split(steps: tuple[Step, ...]) -> tuple[tuple[Step, ...], Step | None, tuple[Step, ...]]:
+    """The steps before the first spread, the spread, and the steps after it."""
+    for i, s in enumerate(steps):
+        if s.kind in ("every", "where"):
+            return steps[:i], s, steps[i + 1 :]
+    return steps, None, ()
+
+
+def any_of(v: str, steps: tuple[Step, ...], test=lambda x: f"{x} IS NOT NULL", depth: int = 0) -> str:
+    """SQL: does ``test`` hold for one of the values that ``steps`` reach from ``v``?"""
+    before, spread, after = split(steps)
+    here = walk(v, before)
+    x = f"x{depth}"
+    if spread is None:
+        return f"exists(array({here}), {x} -> {x} IS NOT NULL AND {test(x)})"
+    inner = any_of(x, after, test, depth + 1)
+    return f"exists({items(here)}, {x} -> {f'{_where(x, spread)} AND ' if spread.kind == 'where' else ''}{inner})"
+
+
+def reached(v: str, steps: tuple[Step, ...], depth: int = 0) -> str:
+    """SQL of the array of values that ``steps`` reach from ``v``."""
+    before, spread, after = split(steps)
+    here = walk(v, before)
+    if spread is None:
+        return f"array_compact(array({here}))"
+    x = f"y{depth}"
+    found = items(here)
+    if spread.kind == "where":
+        found = f"filter({found}, {x} -> {_where(x, spread)})"
+    return f"flatten(transform({found}, {x} -> {reached(x, after, depth + 1)}))"
+
+
+@dataclass
+class Spread:
+    """A list that selectors spread over: how it is reached from the node above, and its number among all."""
+
+    tag: int
+    kind: str
+    above: int
+    before: tuple[Step, ...]
+    step: Step
+    depth: int
+
+    def rows(self, node: str, path: str, position: str) -> str:
+        """SQL of the array of (tag, position, path, node) of the list's elements."""
+        found = f"transform({items(walk(node, self.before))}, (x, i) -> named_struct('tag', {self.tag}, 'position', concat({position}, array(i)), 'path', concat({path}, {literal(suffix(self.before) + '[')}, i, ']'), 'node', x))"
+        return f"filter({found}, r -> {_where('r.node', self.step)})" if self.step.kind == "where" else found
+
+
+@dataclass
+class Trie:
+    """The selectors of all formats of a pack; tag 0 is the document itself."""
+
+    spreads: list[Spread] = field(default_factory=list)
+    _known: dict = field(default_factory=dict)
+
+    def add(self, kind: str, selector: str) -> tuple[int, tuple[Step, ...]]:
+        """The tag of the list that a selector spreads over last, and its steps from an element of that."""
+        tag, steps, depth = 0, parse(selector), 0
+        while True:
+            before, spread, after = split(steps)
+            if spread is None:
+                return tag, before
+            depth += 1
+            key = (kind, tag, before, spread)
+            if key not in self._known:
+                self._known[key] = len(self.spreads) + 1
+                self.spreads.append(Spread(self._known[key], kind, tag, before, spread, depth))
+            tag, steps = self._known[key], after
+
+    def levels(self) -> list[list[Spread]]:
+        """Lists of the document, lists of their elements, and so on."""
+        deepest = max((s.depth for s in self.spreads), default=0)
+        return [[s for s in self.spreads if s.depth == d] for d in range(1, deepest + 1)]

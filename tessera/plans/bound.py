@@ -114,12 +114,13 @@ found AS (
 """
 
 
-def _runs(spark: SparkSession, sf: str, overrides: dict | None = None) -> DataFrame:
-    return rules.rule_runs(rules.gated(rules.evaluate(documents(spark, sf), PACK)), rules.rule_table(spark, PACK, overrides))
+def _checked(spark: SparkSession, sf: str, overrides: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The evaluated documents and the rule table."""
+    return rules.gated(rules.evaluate(documents(spark, sf), PACK)), rules.rule_table(spark, PACK, overrides)
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.findings(_runs(spark, sf))
+    return rules.findings(*_checked(spark, sf))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS present FROM events")
@@ -147,14 +148,14 @@ def rule_empty_selector(spark, sf):
   count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'advisory') AS advisory FROM docs d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id""")
 def rule_severity_counts(spark, sf):
     """Findings of each severity per document, zeros kept."""
-    return rules.severity_counts(_runs(spark, sf))
+    return rules.severity_counts(*_checked(spark, sf))
 
 
 @query(f"""WITH {FOUND} SELECT d.doc_id, coalesce(max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 WHEN 'advisory' THEN 0 END), -1) AS rank,
   coalesce(bool_or(severity IN ('error', 'warning')), false) AS blocked FROM docs d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id""")
 def rule_gate(spark, sf):
     """Highest severity rank of a document, and does it reach a warning?"""
-    return rules.gate(_runs(spark, sf), "warning").select("doc_id", "rank", "blocked")
+    return rules.gate(*_checked(spark, sf), "warning").select("doc_id", "rank", "blocked")
 
 
 ASKED = [
@@ -173,7 +174,7 @@ ASKED = [
 def override_apply(spark, sf):
     """Severity overrides: applied, or inert with the reason."""
     asked = rules.check_overrides(ASKED, PACK)
-    runs = _runs(spark, sf, asked).where(F.col("rule_id").isin(*asked))
+    runs = rules.rule_runs(*_checked(spark, sf, asked)).where(F.col("rule_id").isin(*asked))
     return runs.select("doc_id", "rule_id", F.col("n_failures").cast("long").alias("n_failures"), "severity", "overridden", "why_inert")
 
 
@@ -515,17 +516,43 @@ def detect_format(spark, sf):
     return d.select("doc_id", "d.format", "d.spec", "d.supported")
 
 
-@query("""SELECT o_orderkey AS doc_id, 'pkg' || o_orderkey AS name, 'Organization: ' || c_name AS supplier, CASE WHEN o_orderkey % 3 = 0 THEN 'MIT' END AS license, 'SHA256' AS algorithm FROM orders JOIN customer ON o_custkey = c_custkey""")
-def graph_view(spark, sf):
-    """Graph documents as flat ones: references resolved to names, licences and checksums."""
+def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and doc: every order as a graph document with its customer, a package, annotations, and elements that no view has."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     key = F.col("o_orderkey").cast("string")
     rel = F.when(F.col("o_orderkey") % 3 == 0, ',{"type":"Relationship","from":"urn:p","to":["urn:l"],"relationshipType":"hasDeclaredLicense"},{"type":"simplelicensing_LicenseExpression","spdxId":"urn:l","simplelicensing_licenseExpression":"MIT"}').otherwise("")
-    raw = q('{"@context":"https://spdx.org/rdf/3.0.1/x","@graph":[{"type":"Organization","spdxId":"urn:o","name":"', F.col("c_name"), '"},{"type":"software_Package","spdxId":"urn:p","name":"pkg', key, '","suppliedBy":"urn:o","verifiedUsing":[{"type":"Hash","algorithm":"sha-256","hashValue":"ab"}]}', rel, "]}")
-    d = o.select(F.col("o_orderkey").alias("doc_id"), graph.as_flat(F.parse_json(raw)).alias("v"))
-    get = lambda p: F.try_variant_get("v", p, "string")
-    return d.select("doc_id", get("$.packages[0].name").alias("name"), get("$.packages[0].supplier").alias("supplier"), get("$.packages[0].licenseDeclared").alias("license"), get("$.packages[0].checksums[0].algorithm").alias("algorithm"))
+    note = F.when(F.col("o_orderstatus") == "F", q(',{"type":"Annotation","subject":"urn:p","annotationType":"review","statement":"', F.col("o_orderpriority"), '"},{"type":"Annotation","statement":"whole"}')).otherwise("")
+    odd = F.when(F.col("o_orderkey") % 5 == 0, ',{"type":"ai_Model"},{"type":"Relationship","from":"urn:p","to":["urn:o","urn:x"],"relationshipType":"dependsOn"}').otherwise("")
+    raw = q('{"@context":"https://spdx.org/rdf/3.0.1/x","@graph":[{"type":"Organization","spdxId":"urn:o","name":"old"},{"type":"Organization","spdxId":"urn:o","name":"', F.col("c_name"), '"},{"type":"software_Package","spdxId":"urn:p","name":"pkg', key, '","weight":1,"suppliedBy":"urn:o","verifiedUsing":[{"type":"Hash","algorithm":"sha-256","hashValue":"ab"}]}', rel, note, odd, "]}")
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.parse_json(raw).alias("doc"))
+
+
+@query("""SELECT o_orderkey AS doc_id, 'pkg' || o_orderkey AS name, 'Organization: ' || c_name AS supplier, CASE WHEN o_orderkey % 3 = 0 THEN 'MIT' END AS license, 'SHA256' AS algorithm,
+  CASE WHEN o_orderstatus = 'F' THEN 'REVIEW' END AS note_type, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS note, CASE WHEN o_orderstatus = 'F' THEN 'whole' END AS document_note, CASE WHEN o_orderkey % 5 = 0 THEN 'DEPENDS_ON' END AS relation FROM orders JOIN customer ON o_custkey = c_custkey""")
+def graph_view(spark, sf):
+    """Graph documents as flat ones: references resolved to names, licences, checksums and annotations."""
+    d = graph.flat_view(graph_documents(spark, sf))
+    get = lambda p: F.try_variant_get("doc", p, "string")
+    return d.select(
+        "doc_id",
+        get("$.packages[0].name").alias("name"),
+        get("$.packages[0].supplier").alias("supplier"),
+        get("$.packages[0].licenseDeclared").alias("license"),
+        get("$.packages[0].checksums[0].algorithm").alias("algorithm"),
+        get("$.packages[0].annotations[0].annotationType").alias("note_type"),
+        get("$.packages[0].annotations[0].comment").alias("note"),
+        get("$.annotations[0].comment").alias("document_note"),
+        get("$.relationships[0].relationshipType").alias("relation"),
+    )
+
+
+@query("""SELECT o_orderkey AS doc_id, 1::BIGINT AS packages, (o_orderkey % 5 = 0)::BIGINT AS relationships, 2::BIGINT AS agents, CASE WHEN o_orderkey % 5 = 0 THEN 'model' ELSE '' END AS unmapped_types, 'weight' AS unmapped_package_keys FROM orders""")
+def graph_accounting(spark, sf):
+    """What the flat view of a graph document has and what it leaves out, as a check of the document reports it."""
+    pack = rules.Pack("graph", "1", "", (rules.Rule("G1", "info", "$.packages[*]", {"exists": "name"}, applies_to=("spdx",)),))
+    a = rules.evaluate(graph_documents(spark, sf), pack).where(F.col("rule_order") == rules.DOCUMENT).select("doc_id", "accounting.*")
+    return a.withColumns({c: F.array_join(c, ",") for c in ("unmapped_types", "unmapped_package_keys")})
 
 
 @query("""SELECT kind, ecosystem, count(DISTINCT name) AS names, count(DISTINCT id) AS advisories FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, 'npm' AS ecosystem, replace(p_name, ' ', '-') AS name, 'ADV-' || p_partkey AS id FROM part WHERE p_size <= 17) GROUP BY ALL""")
@@ -763,7 +790,7 @@ def mirror_rows(spark, sf):
 @query(f"WITH {FOUND}, f AS (SELECT doc_id, rule_id, count(*) AS m FROM found GROUP BY ALL) SELECT d.doc_id, 'cyclonedx' AS format, r.rule_id, CAST(coalesce(m, 0) AS INT) AS n FROM docs d CROSS JOIN (VALUES ('R1-PURL'), ('R2-SUPPLIER'), ('R3-VERSION'), ('R4-LICENCE'), ('R5-TIME'), ('R6-NAMED')) r(rule_id) LEFT JOIN f ON f.doc_id = d.doc_id AND f.rule_id = r.rule_id")
 def golden_records(spark, sf):
     """Stable records of a run: every rule that ran, those that pass with an empty list."""
-    g = report.golden(rules.gated(rules.evaluate(documents(spark, sf), PACK)))
+    g = report.golden(rules.rule_runs(*_checked(spark, sf)))
     return g.select("doc_id", "format", F.explode(F.from_json("findings_by_rule", "map<string,array<string>>")).alias("rule_id", "paths")).select("doc_id", "format", "rule_id", F.size("paths").alias("n"))
 
 

@@ -95,11 +95,11 @@ def verify_bundle(folder: str) -> list[tuple[str, str]]:
     return sorted(state.items())
 
 
-def golden(results: DataFrame) -> DataFrame:
-    """(doc_id, format, findings_by_rule as stable JSON): a rule that passes keeps an empty list."""
-    ran = F.filter("results", lambda r: r["status"] == "ran")
-    entries = F.array_sort(F.transform(ran, lambda r: F.struct(r["rule_id"].alias("key"), F.transform(r["failures"], lambda f: f["path"]).alias("value"))))
-    return results.select("doc_id", "format", F.to_json(F.map_from_entries(entries)).alias("findings_by_rule"))
+def golden(runs: DataFrame) -> DataFrame:
+    """(doc_id, format, findings_by_rule as stable JSON) of rule runs: a rule that passes keeps an empty list."""
+    ran = runs.where("status = 'ran'").select("doc_id", "format", F.struct(F.col("rule_id").alias("key"), F.transform("failures", lambda f: f["path"]).alias("value")).alias("entry"))
+    by = ran.groupBy("doc_id", "format").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    return by.select("doc_id", "format", F.to_json(F.map_from_entries("entries")).alias("findings_by_rule"))
 
 
 def golden_diff(fresh: DataFrame, kept: DataFrame) -> DataFrame:

@@ -18,10 +18,17 @@ def stream_documents(spark: SparkSession, folder: str, per_trigger: int = 1000)
 
 
 def check_stream(spark: SparkSession, folder: str, pack: Pack, out: str, checkpoint: str) -> StreamingQuery:
-    """Check every new document once and append its findings to ``out``; stateless, restarts from ``checkpoint``."""
+    """Check every new document once; its findings are written to ``out``, a folder a batch.
+
+    Restarts from ``checkpoint``; a batch that is tried again overwrites what it wrote.
+    """
     table = rules.rule_table(spark, pack)
-    found = rules.findings(rules.rule_runs(rules.gated(rules.evaluate(stream_documents(spark, folder), pack)), table))
-    return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def check(batch: DataFrame, number: int) -> None:
+        found = rules.findings(rules.gated(rules.evaluate(batch, pack)), table)
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream_documents(spark, folder).writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_only(requests: DataFrame) -> DataFrame:

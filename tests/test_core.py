@@ -1,10 +1,15 @@
 """Operators on small inputs, and the bound queries against SQL."""
 
+import copy
 import io
 import json
 import math
+import numbers
+import os
 import zipfile
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,9 +149,11 @@ def test_selectors(spark):
 def test_assertions(spark, assertion, want):
     from tessera.operators import assertions, selectors
 
-    d = variant(spark, [("1", DOC)])
-    got = d.select(F.transform(selectors.matches(F.col("doc"), "$.components[*]"), lambda n: assertions.holds(assertion, n, F.col("doc"))))
-    assert one(got) == want
+    facts = assertions.Facts()
+    held = assertions.holds(assertion, "n", facts)
+    d = variant(spark, [("1", DOC)]).selectExpr("*", *[f"{e} AS {name}" for e, name in facts.known.items()])
+    got = d.select("*", F.posexplode(selectors.matches(F.col("doc"), "$.components[*]")).alias("i", "n")).selectExpr("i", f"{held} AS held")
+    assert [r.held for r in got.orderBy("i").collect()] == want
 
 
 def test_packs_and_overrides(spark):
@@ -173,24 +180,105 @@ def test_check_reports_problems_and_findings(spark):
     pack = packs.devices_pack()
     docs = variant(spark, [("good", DOC), ("old", '{"bomFormat":"CycloneDX","specVersion":"1.1"}'), ("list", "[1]"), ("none", "nope"), ("empty", '{"spdxVersion":"SPDX-2.3"}')])
     results = rules.evaluate(docs, pack)
-    assert {r.doc_id: r.problem for r in results.collect()} == {"good": None, "old": "version not supported", "list": "not an object", "none": "not JSON", "empty": None}
+    assert {r.doc_id: r.problem for r in results.where(F.col("rule_order") == rules.DOCUMENT).collect()} == {"good": None, "old": "version not supported", "list": "not an object", "none": "not JSON", "empty": None}
     asked = rules.check_overrides([{"ruleId": "FDA-NTIA-003", "to": "info", "reason": "y" * 60}, {"ruleId": "FDA-STAT-002", "to": "info", "reason": "y" * 60}, {"ruleId": "FDA-STAT-001", "to": "info", "reason": "y" * 60}], pack)
-    runs = rules.rule_runs(results, rules.rule_table(spark, pack, asked)).cache()
-    found = rules.findings(runs)
+    table = rules.rule_table(spark, pack, asked)
+    runs, found = rules.rule_runs(results, table), rules.findings(results, table)
     mine = [(r.path, r.component, r.severity, r.overridden_from) for r in found.where("doc_id = 'good' AND rule_id = 'FDA-NTIA-003'").orderBy("position").collect()]
     assert mine == [("$.components[1]", "b", "info", "warning"), ("$.components[2]", "NOASSERTION", "info", "warning")]
     inert = {r.why_inert for r in runs.where("doc_id = 'good' AND rule_id = 'FDA-STAT-002'").collect()}
     assert inert == {"the rule found nothing"}
     assert [r.path for r in found.where("doc_id = 'empty' AND rule_id = 'FDA-NTIA-001'").collect()] == ["$.packages[*]"]
-    gates = {r.doc_id: r for r in rules.gate(runs, "error").collect()}
+    gates = {r.doc_id: r for r in rules.gate(results, table, "error").collect()}
     assert gates["empty"].moved_below and not gates["good"].blocked
+    # Both rules that can reach an error were lowered where they found something; elsewhere the request is inert.
+    assert gates["empty"].inert_gate and not gates["good"].inert_gate
+    counts = {r.doc_id: (r.error, r.warning, r.info, r.advisory) for r in rules.severity_counts(results, table).collect()}
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.doc_id, []).append(r.severity)
+    assert set(counts) == {"good", "old", "empty"} and all(counts[d] == tuple(by.get(d, []).count(s) for s in rules.SEVERITIES) for d in counts)
     grouped = rules.grouped(found)
     text, page = report.as_text(grouped), report.as_html(grouped, "A & B")
     assert "FDA-NTIA-003" in text and "A &amp; B" in page
-    same = report.golden_diff(report.golden(results), report.golden(results))
+    same = report.golden_diff(report.golden(runs), report.golden(runs))
     assert {r.state for r in same.collect()} == {"same"}
 
 
+WHOLE = {
+    "cyclonedx": {
+        "bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "serialNumber": "urn:uuid:1",
+        "metadata": {"timestamp": "2026-01-01T00:00:00Z", "lifecycles": [{"phase": "build"}], "authors": [{"name": "A"}], "tools": [{"name": "T", "version": "1"}], "properties": [{"name": f"x:{p}", "value": "yes"} for p in ("vuln-assessment", "omission-justification", "traceability-ref")], "component": {"name": "device", "version": "2", "externalReferences": [{"type": "bom", "url": "u"}]}},
+        "components": [{"name": "lib", "version": "1", "publisher": "P", "purl": "pkg:npm/lib@1", "hashes": [{"alg": "SHA-256", "content": "00"}], "licenses": [{"license": {"id": "MIT"}}], "properties": [{"name": "x:support-level", "value": "active"}, {"name": "x:end-of-support", "value": "2030"}]}],
+        "dependencies": [{"ref": "a"}], "compositions": [{"aggregate": "complete"}], "vulnerabilities": [{"id": "V"}], "declarations": {"signature": {"value": "s"}},
+    },
+    "spdx": {
+        "spdxVersion": "SPDX-2.3", "documentNamespace": "urn:d", "creationInfo": {"created": "2026", "creators": ["Organization: O", "Tool: t-1"], "comment": "build"},
+        "packages": [{"SPDXID": "p", "name": "lib", "versionInfo": "1", "supplier": "Organization: O", "licenseDeclared": "MIT", "checksums": [{"algorithm": "SHA256", "checksumValue": "00"}], "externalRefs": [{"referenceType": "purl"}], "annotations": [{"comment": "support"}]}],
+        "relationships": [{"spdxElementId": "a"}], "annotations": [{"comment": "c"}], "externalDocumentRefs": [{"spdxDocument": "x"}],
+    },
+}
+
+
+def without(doc, assertion, selector):
+    """A document whose first node of ``selector`` lacks what ``assertion`` asks for."""
+    doc = copy.deepcopy(doc)
+    node = doc
+    for step in [x for x in selector.replace("[*]", ".0").replace("[0]", ".0").split(".")[1:] if x]:
+        node = node[int(step) if step.isdigit() else step]
+
+    def drop(a):
+        for part in a.get("allOf", [])[:1] + a.get("anyOf", []):
+            drop(part)
+        for path in a.get("exists", "").split("|"):
+            (doc if path.startswith("$") else node).pop(path.replace("$.", "").split(".")[0], None)
+        if "_property" in a:
+            where, suffix = a["_property"]
+            held = node
+            for key in where.split(".")[:-1]:
+                held = held.get(key, {})
+            held[where.split(".")[-1]] = [p for p in held.get(where.split(".")[-1], []) if not p["name"].endswith(suffix)]
+
+    drop(assertion)
+    return doc
+
+
+def fired_by(spark, pack, docs):
+    """Rules by document that found something; the format is in the name."""
+    from tessera.operators import rules
+
+    checked = rules.evaluate(variant(spark, docs).withColumn("format", F.regexp_extract("doc_id", "cyclonedx|spdx", 0)), pack)
+    out = {d: set() for d, _ in docs}
+    for r in rules.findings(checked, rules.rule_table(spark, pack)).select("doc_id", "rule_id").distinct().collect():
+        out[r.doc_id].add(r.rule_id)
+    return out
+
+
+def test_every_built_in_rule_passes_and_can_fail(spark):
+    """A whole document of each format fires no rule; one without a rule's fact fires that rule."""
+    from tessera.plans import packs
+
+    for pack in (packs.elements_pack(), packs.devices_pack()):
+        docs = [(f"{kind} whole", json.dumps(doc)) for kind, doc in WHOLE.items()]
+        docs += [(f"{kind} {r.id}", json.dumps(without(doc, r.assertion_of(kind), r.selector_of(kind)))) for kind, doc in WHOLE.items() for r in pack.rules]
+        fired = fired_by(spark, pack, docs)
+        assert not fired["cyclonedx whole"] and not fired["spdx whole"]
+        assert not [d for d, found in fired.items() if not d.endswith("whole") and d.split()[1] not in found]
+
+
+@pytest.mark.skipif("RULE_EXAMPLES" not in os.environ, reason="RULE_EXAMPLES names a folder of example documents: <rule>/{pass,fail}.<format>.json")
+def test_example_documents(spark):
+    from tessera.plans import packs
+
+    files = sorted(Path(os.environ["RULE_EXAMPLES"]).glob("*/*.json"))
+    fired = {}
+    for pack in (packs.elements_pack(), packs.devices_pack()):
+        mine = {r.id for r in pack.rules}
+        fired |= fired_by(spark, pack, [(f"{f.parent.name} {f.name}", f.read_text()) for f in files if f.parent.name in mine])
+    wrong = [d for d, found in fired.items() if (d.split()[0] in found) != d.split()[1].startswith("fail")]
+    assert files and not wrong and len(fired) == len(files)
+
+
 def test_results_stand_beside_the_problem(spark):
     """A document of a version that is not read is checked all the same; the gate leaves its results out."""
     from tessera.operators import rules
@@ -201,11 +289,36 @@ def test_results_stand_beside_the_problem(spark):
     for pack, rule in ((packs.devices_pack(), "FDA-STAT-001"), (packs.elements_pack(), "CISA-MD-004")):
         rows = variant(spark, [("old", old), ("bare", bare), ("none", "{}"), ("stated", "{}")]).withColumn("format", F.when(F.col("doc_id") == "stated", "spdx"))
         checked = rules.evaluate(rows, pack)
-        by = {r.doc_id: r for r in checked.collect()}
-        assert by["old"].problem == by["bare"].problem == "version not supported" and not by["none"].results
-        fired = {d: [f.path for x in by[d].results if x.rule_id == rule for f in x.failures] for d in ("old", "bare", "stated")}
+        docs = {r.doc_id: r for r in checked.where(F.col("rule_order") == rules.DOCUMENT).collect()}
+        assert docs["old"].problem == docs["bare"].problem == "version not supported" and docs["none"].statuses is None
+        at = [r.id for r in pack.rules].index(rule)
+        fired = {d: [r.path for r in checked.where((F.col("doc_id") == d) & (F.col("rule_order") == at)).collect()] for d in ("old", "bare", "stated")}
         assert fired == {"old": [], "bare": ["$"], "stated": ["$"]}
-        assert not [x for r in rules.gated(checked).collect() for x in r.results or []]
+        left = rules.gated(checked).collect()
+        assert sorted(r.doc_id for r in left) == ["bare", "none", "old", "stated"] and not any(r.statuses for r in left)
+
+
+def test_a_document_of_very_many_components(spark):
+    from tessera.operators import rules
+
+    pack = rules.load_pack({"id": "p", "version": "1", "rules": [{"id": i, "severity": "error", "appliesTo": ["cyclonedx"], "selector": s, "assert": a, "onEmptySelector": e} for i, s, a, e in [("A", "$.components[*]", {"exists": "version"}, "fire"), ("B", "$.components[*].hashes[?(@.alg=='x')].content", {"exists": "y"}, "skip"), ("C", "$.components[7]", {"exists": "name"}, "fire"), ("D", "$.services[*]", {"exists": "name"}, "pass"), ("E", "$.components[*].hashes[*]", {"exists": "$.serialNumber"}, "fire")]]})
+    n = 200_000
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit('{"name":"n'), i, F.when(i % 1000 == 0, '","hashes":[{"alg":"x","content":{}},{"alg":"z"}]}').otherwise('","version":"1"}'))), ",")
+    docs = spark.range(1).select(F.lit("big").alias("doc_id"), F.parse_json(F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","components":['), body, F.lit("]}"))).alias("doc"))
+    checked = rules.evaluate(docs, pack)
+    runs = {r.rule_id: (r.status, r.n_failures) for r in rules.rule_runs(checked, rules.rule_table(spark, pack)).collect()}
+    assert runs == {"A": ("ran", n // 1000), "B": ("ran", n // 1000), "C": ("ran", 0), "D": ("ran", 0), "E": ("ran", n // 500)}
+    found = rules.findings(checked, rules.rule_table(spark, pack)).where("rule_id = 'B'").orderBy("position").limit(2).collect()
+    assert [(r.path, r.position) for r in found] == [("$.components[0].hashes[0].content", [0, 0]), ("$.components[1000].hashes[0].content", [1000, 0])]
+
+
+def test_selectors_share_their_lists():
+    from tessera.operators import selectors
+
+    trie = selectors.Trie()
+    tags = [trie.add("spdx", s)[0] for s in ("$", "$.a.b", "$.a[*]", "$.a[*].c[*]", "$.a[*].d", "$.a[*].c[*].e[0]", "$.a[?(@.k=='v')]")]
+    assert tags == [0, 0, 1, 2, 1, 2, 3] and [len(level) for level in trie.levels()] == [2, 1]
+    assert trie.add("cyclonedx", "$.a[*]")[0] == 4
 
 
 def test_component_trees_have_no_limit(spark):
@@ -307,13 +420,52 @@ def test_graph_view_equals_flat_document(spark):
     flat = '{"spdxVersion":"SPDX-3.0.1","documentNamespace":"urn:d","creationInfo":{"creators":["Person: Ann"],"created":"2024"},"packages":[{"SPDXID":"urn:a","name":"foo","versionInfo":"1","supplier":"Organization: O","licenseDeclared":"MIT","checksums":[{"algorithm":"SHA256","checksumValue":"ab"}],"externalRefs":[{"referenceType":"purl","referenceLocator":"pkg:x/y"}]}],"relationships":[{"spdxElementId":"urn:d"}]}'
     graph = '{"@context":"https://spdx.org/rdf/3.0.1/c","@graph":[{"type":"CreationInfo","@id":"_:c","specVersion":"3.0.1","created":"2024","createdBy":["urn:p"]},{"type":"SpdxDocument","spdxId":"urn:d"},{"type":"Person","spdxId":"urn:p","name":"Ann"},{"type":"Organization","spdxId":"urn:o","name":"Other"},{"type":"Organization","spdxId":"urn:o","name":"O"},{"type":"software_Package","spdxId":"urn:a","name":"foo","software_packageVersion":"1","software_packageUrl":"pkg:x/y","suppliedBy":["urn:o"],"verifiedUsing":[{"type":"Hash","algorithm":"sha256","hashValue":"ab"}]},{"type":"Relationship","from":"urn:a","to":["urn:l"],"relationshipType":"hasDeclaredLicense"},{"type":"Relationship","from":"urn:d","to":["urn:a"],"relationshipType":"dependsOn"},{"type":"LicenseExpression","spdxId":"urn:l","licenseExpression":"MIT"}]}'
     for pack in (packs.elements_pack(), packs.devices_pack()):
-        runs = rules.rule_runs(rules.evaluate(variant(spark, [("f", flat), ("g", graph)]), pack), rules.rule_table(spark, pack))
+        checked = rules.evaluate(variant(spark, [("f", flat), ("g", graph)]), pack)
+        runs = rules.rule_runs(checked, rules.rule_table(spark, pack))
         got = {}
         for r in runs.collect():
             got.setdefault(r.doc_id, {})[r.rule_id] = [f.path for f in r.failures]
         assert got["f"] == got["g"]
 
 
+def test_graph_elements_and_edges(spark):
+    """Annotations, what is not used, references of every shape, and a document of very many elements."""
+    from tessera.operators import graph
+
+    rows = {
+        "notes": [{"type": "software_Package", "spdxId": "a", "odd": 1}, {"type": "software_File", "spdxId": "b"}, {"type": "Annotation", "subject": ["a", "a", "d"], "statement": "s1"}, {"type": "Annotation", "subject": "a", "annotationType": "review", "comment": "s0"}, {"type": "Annotation", "statement": "whole"}, {"type": "SpdxDocument", "spdxId": "d", "name": "doc"}, {"type": "Weird"}],
+        "refs": [
+            {"type": "software_Package", "spdxId": "a", "suppliedBy": [{"type": "Person"}, "gone"], "originatedBy": {"type": "Tool", "name": "T"}, "verifiedUsing": ["h", {"type": "Hash", "hashValue": ""}, "gone"], "externalIdentifier": [{"externalIdentifierType": "cpe23", "identifier": "c"}, {"identifier": "i"}, {"externalIdentifierType": "packageUrl", "identifier": "p"}]},
+            {"type": "Hash", "spdxId": "h", "algorithm": "sha-1", "hashValue": "00"},
+            {"type": "Relationship", "from": "a", "to": ["n", "m"], "relationshipType": "hasConcludedLicense"},
+            {"type": "expandedlicensing_NoAssertionLicense", "spdxId": "m"},
+            {"type": "Relationship", "from": "a", "to": "gone", "relationshipType": "HASDECLAREDLICENSE"},
+            {"type": "Relationship", "relationshipType": "dependsOn"},
+            {"type": "CreationInfo", "createdBy": "gone", "createdUsing": [{"type": "Agent", "name": "x"}]},
+            {"type": "Bom", "namespaceMap": {"namespace": "urn:n"}, "import": [{"externalSpdxId": "e"}, {}]},
+        ],
+        "none": [],
+    }
+    docs = variant(spark, [(k, json.dumps({"@context": "https://spdx.org/rdf/3.0.1/c", "@graph": v})) for k, v in rows.items()])
+    got = {r.doc_id: (json.loads(r.j), r.accounting.asDict()) for r in graph.flat_view(docs).select("doc_id", F.to_json("doc").alias("j"), "accounting").collect()}
+    view, counted = got["notes"]
+    assert view["packages"] == [{"SPDXID": "a", "annotations": [{"annotationType": "OTHER", "comment": "s1"}, {"annotationType": "REVIEW", "comment": "s0"}]}, {"SPDXID": "b"}]
+    assert view["annotations"] == [{"annotationType": "OTHER", "comment": "s1"}, {"annotationType": "OTHER", "comment": "whole"}] and view["name"] == "doc"
+    assert counted == {"packages": 2, "relationships": 0, "agents": 0, "unmapped_types": ["weird"], "unmapped_package_keys": ["odd"]}
+    view, counted = got["refs"]
+    p = view["packages"][0]
+    assert (p["supplier"], p["originator"], p["licenseConcluded"], p["licenseDeclared"]) == ("gone", "Tool: T", "NOASSERTION", "gone")
+    assert p["checksums"] == [{"algorithm": "SHA1", "checksumValue": "00"}]
+    assert [(r["referenceCategory"], r["referenceType"], r["referenceLocator"]) for r in p["externalRefs"]] == [("SECURITY", "cpe23", "c"), ("OTHER", "other", "i"), ("OTHER", "purl", "p")]
+    assert view["relationships"] == [{"spdxElementId": "", "relatedSpdxElement": "", "relationshipType": "DEPENDS_ON"}]
+    assert view["creationInfo"] == {"creators": ["gone", "Tool: x"]} and view["documentNamespace"] == "urn:n" and view["externalDocumentRefs"] == [{"externalDocumentId": "e", "spdxDocument": "e"}]
+    assert counted["relationships"] == 1 and got["none"] == ({"spdxVersion": "SPDX-3.0.1", "packages": []}, {"packages": 0, "relationships": 0, "agents": 0, "unmapped_types": [], "unmapped_package_keys": []})
+    n = 50_000
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit('{"type":"software_Package","spdxId":"u'), i, F.lit('","suppliedBy":"u'), n - 1 - i, F.lit('"}'))), ",")
+    big = spark.range(1).select(F.lit("b").alias("doc_id"), F.parse_json(F.concat(F.lit('{"@context":"https://spdx.org/rdf/3.0.1/c","@graph":['), body, F.lit("]}"))).alias("doc"))
+    assert graph.flat_view(big).select("accounting.packages").first().packages == n
+
+
 def test_coverage_counts_nested_components(spark):
     from tessera.operators import coverage
 
@@ -519,7 +671,7 @@ def rows_of(frame):
     out = []
     frame = frame[sorted(frame.columns)]
     for r in frame.itertuples(index=False):
-        out.append(tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r))
+        out.append(tuple(None if pd.isna(x) else float(x) if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)) else str(x) for x in r))
     return sorted(out, key=str)
 
 
