@@ -70,30 +70,35 @@ def without(cells: Column, keys: Column) -> Column:
 
 
 def peel(cells: Column, steps: int = 4) -> Column:
-    """struct(found, left): the digests that come out, and the nonzero cells that stay.
+    """struct(found, left): the digests that come out, and the cells, of which some are nonzero, that stay.
 
-    A step takes the digests of all pure cells out of all tables.  Every table's cells
-    XOR to that of all digests, so where what was found XORs to a table, nothing is left.
+    A step takes the digests of all pure cells out of all tables; only when every cell of
+    every table is zero is nothing left.
     """
     none = F.array().cast("array<long>")
+    rest = lambda c: F.when(F.forall(c, lambda x: x == 0), none).otherwise(c)
 
     def step(state: Column) -> Column:
-        pure = F.filter(F.array_distinct(state["left"]), lambda c: c == _checked(_low(c)))
+        pure = F.filter(F.array_distinct(state["left"]), lambda c: (c != 0) & (c == _checked(_low(c))))
 
         def take(p: Column) -> Column:
-            rest = F.aggregate(F.concat(p, F.slice(state["left"], 1, WIDTH)), _long(0), lambda acc, k: acc.bitwiseXOR(k))
-            after = F.when(rest == 0, none).otherwise(without(state["left"], p))
+            after = _let(without(state["left"], p), rest)
             return F.when(F.size(p) == 0, state).otherwise(F.struct(F.concat(state["found"], p).alias("found"), after.alias("left")))
 
         return _let(pure, take)
 
-    start = lambda c: F.struct(none.alias("found"), F.when(F.size(F.array_remove(c, F.lit(0))) == 0, none).otherwise(c).alias("left"))
+    start = lambda c: F.struct(none.alias("found"), rest(c).alias("left"))
     going = lambda state, _: F.when(F.size(state["left"]) == 0, state).otherwise(step(state))
     return F.aggregate(F.array(*[F.lit(r) for r in range(steps)]), _let(cells, start), going)
 
 
-def _stuck(state: Column) -> Column:
-    return F.size(state["left"]) > 0
+def _stuck(state: Column, keys: Column) -> Column:
+    """Whether a peel is to be made again: cells stay, or what came out is not, each once, of ``keys``.
+
+    Several digests in one cell can look like one; the check cannot rule that out.
+    """
+    found = state["found"]
+    return (F.size(state["left"]) > 0) | (F.size(F.array_intersect(found, keys)) < F.size(found))
 
 
 def _halves(blocks: Column, bit: Column) -> Column:
@@ -121,7 +126,7 @@ def _solve(blocks: Column) -> Column:
     A block holds the digests of both texts; XOR is its own inverse, so the sketch of
     both together is the difference of their two sketches.
     """
-    each = F.transform(blocks, lambda q: _let(peel(sketch(q)), lambda s: F.struct(s["found"].alias("found"), _stuck(s).alias("stuck"), q.alias("q"))))
+    each = F.transform(blocks, lambda q: _let(peel(sketch(q)), lambda s: F.struct(s["found"].alias("found"), _stuck(s, q).alias("stuck"), q.alias("q"))))
     return _let(
         each,
         lambda e: F.struct(
@@ -147,7 +152,7 @@ def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column
 
     def first(n: Column) -> Column:
         dealt = F.aggregate(F.slice(F.sequence(F.lit(0), n), 1, n), F.array(both), lambda blocks, r: _halves(blocks, bit(r)))
-        small = _let(peel(subtract(small_a, small_b)), lambda s: F.struct(F.when(_stuck(s), none).otherwise(s["found"]).alias("found"), F.when(_stuck(s), F.array(both)).otherwise(F.array().cast("array<array<long>>")).alias("left")))
+        small = _let(peel(subtract(small_a, small_b)), lambda s: F.struct(F.when(_stuck(s, both), none).otherwise(s["found"]).alias("found"), F.when(_stuck(s, both), F.array(both)).otherwise(F.array().cast("array<array<long>>")).alias("left")))
         return F.struct(F.when(n == 0, small).otherwise(_solve(dealt)).alias("s"), n.alias("used"))
 
     def finish(start: Column) -> Column:
