@@ -21,15 +21,31 @@ def let(value: str, body) -> str:
 
 
 class Facts:
-    """Boolean facts about the whole document that assertions ask for: worked out where the document is, carried to its nodes."""
+    """What assertions ask for that is worked out before them, each once for all rules.
+
+    ``known``: booleans about the whole document, worked out where the document is and
+    carried to its nodes.  ``keys``: values of a node's keys.
+    """
 
     def __init__(self, doc: str = "doc") -> None:
-        self.doc, self.known = doc, {}
+        self.doc, self.known, self.keys, self._depth = doc, {}, {}, {}
 
     def ask(self, expression: str) -> str:
         """The column that will hold ``expression``, which is over the document."""
         return self.known.setdefault(expression, f"__fact_{len(self.known)}")
 
+    def key(self, node: str, key: str) -> str:
+        """The column that will hold a key's value, over all objects if the node is a list."""
+        if (node, key) not in self.keys:
+            self.keys[node, key] = f"__key_{len(self.keys)}"
+            self._depth[self.keys[node, key]] = self._depth.get(node, 0) + 1
+        return self.keys[node, key]
+
+    def levels(self) -> list[list[tuple[str, str]]]:
+        """(SQL, name) of the keys of nodes, of the keys of those, and so on."""
+        deepest = max(self._depth.values(), default=0)
+        return [[(_follow(*k), name) for k, name in self.keys.items() if self._depth[name] == d] for d in range(1, deepest + 1)]
+
 
 def is_list(v: str) -> str:
     return f"(try_variant_get({v}, '$', 'array<struct<>>') IS NOT NULL)"
@@ -62,22 +78,21 @@ def _follow(v: str, key: str) -> str:
     """A key of an object, or the list of that key's values over the objects of a list; NULL if there is none."""
     spread = f"filter(transform({items(v)}, x -> {child('x', key)}), x -> x IS NOT NULL)"
     listed = let(spread, lambda s: f"CASE WHEN size({s}) > 0 THEN to_variant_object({s}) END")
-    return f"coalesce({child(v, key)}, {listed})"
+    return f"coalesce({child(v, key)}, CASE WHEN {is_list(v)} THEN {listed} END)"
 
 
-def exists(node: str, expression: str) -> str:
+def exists(node: str, expression: str, facts: Facts) -> str:
     """Is one of the alternatives (``a.b|c``) present with a value that says something?"""
     out = []
     for alternative in expression.split("|"):
         plain = alternative.replace("$.", "", 1)
-        value, held = node, None
+        value, held = None, None
         for key in plain.split("."):
             if "[" in key:
-                held = selectors.any_of(value, selectors.parse(f"$.{plain}"), truthy)
+                held = selectors.any_of(value or node, selectors.parse(f"$.{plain}"), truthy)
                 break
-            # The value so far is named once, or its text would double with every key.
-            value = _follow(value, key) if value == node else let(value, lambda x, k=key: _follow(x, k))
-        out.append(held or let(value, truthy))
+            value = facts.key(value or node, key)
+        out.append(held or truthy(value))
     return f"({' OR '.join(out)})"
 
 
@@ -106,7 +121,7 @@ def holds(assertion: dict, node: str, facts: Facts) -> str:
     if inner := assertion.get("not"):
         return f"(NOT {holds(inner, node, facts)})"
     if (wanted := assertion.get("exists")) is not None:
-        out = exists(node, wanted)
+        out = exists(node, wanted, facts)
         if wanted.startswith("$"):
             out = f"({out} OR {facts.ask(selectors.any_of(facts.doc, selectors.parse(wanted.split('|')[0]), truthy))})"
         return out

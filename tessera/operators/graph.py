@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, values
+from ..storage import written
 from .detect import element_type, elements, graph_version
+from .selectors import child
 
 PACKAGES = ("package", "file", "snippet")
 RELATIONS = ("relationship", "lifecyclescopedrelationship")
@@ -41,11 +43,13 @@ _REFERENCES = {
 _REF = "array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>"
 
 
-def _said(v: Column, *keys: str) -> Column:
-    return F.coalesce(*[values.text(values.child(v, k)) for k in keys])
+def _said(v: str, *keys: str) -> Column:
+    """The first of some keys of a column that is a string; as SQL without a lambda, so that all of it is generated code."""
+    one = lambda k: f"CASE WHEN schema_of_variant({child(v, k)}) = 'STRING' THEN {child(v, k, 'string')} END"
+    return F.expr(f"coalesce({', '.join(map(one, keys))})")
 
 
-def _filled(v: Column, *keys: str) -> Column:
+def _filled(v: str, *keys: str) -> Column:
     return F.nullif(_said(v, *keys), F.lit(""))
 
 
@@ -55,14 +59,14 @@ def _list(v: Column) -> Column:
     return values.let(v, lambda x: F.when(x.isNull() | values.is_null(x), none).otherwise(F.coalesce(values.listed(x), F.array(x))))
 
 
-def _identity(e: Column) -> Column:
+def _identity(e: str) -> Column:
     return _said(e, "spdxId", "@id")
 
 
-def _facts(e: Column) -> Column:
+def _facts(e: str, kind: Column) -> Column:
     """What others can want to know of an element that they refer to."""
     return F.struct(
-        element_type(e).alias("kind"),
+        kind.alias("kind"),
         _said(e, "name").alias("name"),
         _said(e, "simplelicensing_licenseExpression", "licenseExpression", "name").alias("licence"),
         _said(e, "algorithm").alias("algorithm"),
@@ -74,9 +78,9 @@ def _facts(e: Column) -> Column:
     )
 
 
-def _own(e: Column, kind: Column) -> Column:
+def _own(e: str, kind: Column) -> Column:
     """What an element says of itself in the flat view."""
-    keys = F.map_keys(F.try_variant_get(e, "$", "map<string,variant>"))
+    keys = F.map_keys(F.try_variant_get(F.col(e), "$", "map<string,variant>"))
     return F.struct(
         _identity(e).alias("id"),
         _filled(e, "name").alias("name"),
@@ -87,11 +91,11 @@ def _own(e: Column, kind: Column) -> Column:
         _filled(e, "comment").alias("comment"),
         _filled(e, "created").alias("created"),
         _said(e, "from").alias("from"),
-        values.text(F.get(_list(values.child(e, "to")), F.lit(0))).alias("to"),
+        values.text(F.get(_list(values.child(F.col(e), "to")), F.lit(0))).alias("to"),
         _said(e, "relationshipType").alias("type"),
         F.upper(F.coalesce(_said(e, "annotationType"), F.lit("OTHER"))).alias("note"),
         F.coalesce(_said(e, "statement", "comment"), F.lit("")).alias("statement"),
-        F.when(kind == "annotation", F.array_distinct(F.transform(_list(values.child(e, "subject")), values.text))).alias("subjects"),
+        F.when(kind == "annotation", F.array_distinct(F.transform(_list(values.child(F.col(e), "subject")), values.text))).alias("subjects"),
         F.when(kind.isin(*PACKAGES), F.filter(keys, lambda k: ~k.isin(*READ_KEYS))).alias("unread"),
     )
 
@@ -115,10 +119,10 @@ def elements_and_edges(docs: DataFrame) -> DataFrame:
     made = none
     for kinds, keys in _REFERENCES.items():
         made = F.when(kind.isin(*kinds), F.concat(*[of(k, k) for k in keys])).otherwise(made)
-    made = F.when(kind.isin(*RELATIONS) & F.lower(_said(e, "relationshipType")).isin(*LICENCES), of("to", "licence")).otherwise(made)
+    made = F.when(kind.isin(*RELATIONS) & F.lower(_said("e", "relationshipType")).isin(*LICENCES), of("to", "licence")).otherwise(made)
     rows = each.select("doc_id", "at", "kind", "e", F.explode(F.concat(F.array(row("self", F.lit(0), e)), made)).alias("r")).select("doc_id", "at", "kind", "e", "r.*")
     own, whole = F.col("role") == "self", values.is_object(F.col("v"))
-    return rows.select("doc_id", "at", "kind", "role", "pos", F.when(~whole, values.text(F.col("v"))).alias("ref"), F.when(whole, _facts(F.col("v"))).alias("facts"), F.when(own, _own(F.col("e"), F.col("kind"))).alias("own"))
+    return rows.select("doc_id", "at", "kind", "role", "pos", F.when(~whole, values.text(F.col("v"))).alias("ref"), F.when(whole, _facts("v", F.when(own, F.col("kind")).otherwise(element_type(F.col("v"))))).alias("facts"), F.when(own, _own("e", F.col("kind"))).alias("own"))
 
 
 def resolved(rows: DataFrame) -> DataFrame:
@@ -258,11 +262,12 @@ def _gathered(each: DataFrame) -> DataFrame:
 def flat_view(docs: DataFrame) -> DataFrame:
     """doc_id, doc (the flat view, VARIANT; absent facts are absent keys) and accounting of graph documents.
 
-    ``docs``: doc_id, one row each, and doc (VARIANT).  A document without elements has a
+    ``docs``: doc_id, one row each, and doc (VARIANT).  The rows of elements and edges are
+    written once, since packages and what is attached to them both come from them.  A document without elements has a
     view with its version and no packages.  accounting: packages, relationships, agents,
     unmapped_types and unmapped_package_keys, which the view leaves out.
     """
-    found = _gathered(parts(resolved(elements_and_edges(docs))))
+    found = _gathered(parts(written(resolved(written(elements_and_edges(docs), "elements")), "resolved")))
     both = docs.select("doc_id", graph_version(F.col("doc")).alias("__version")).join(found, "doc_id", "left")
     root = F.get("documents", F.lit(0))
     spaces = F.transform("documents", lambda d: d["namespace"])

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import values
 from . import assertions, detect, selectors
 
 SEVERITIES = ("error", "warning", "info", "advisory")
@@ -105,44 +104,50 @@ def check_overrides(requests: list, pack: Pack) -> dict[str, dict]:
     return out
 
 
-def label(node: Column) -> Column:
-    """Name and version of a component or package, as a reader would call it."""
-    name = F.coalesce(values.text(values.child(node, "name")), values.text(values.child(node, "packageName")))
-    version = F.coalesce(values.text(values.child(node, "version")), values.text(values.child(node, "versionInfo")))
-    return F.when(name.isNotNull(), F.concat_ws(" ", name, version))
+DOCUMENT = -1
+ACCOUNTING = "struct<packages:bigint,relationships:bigint,agents:bigint,unmapped_types:array<string>,unmapped_package_keys:array<string>>"
 
 
-DOCUMENT = -1
+def _finding(rule_order: int, path: str = "CAST(NULL AS STRING)", component: str = "CAST(NULL AS STRING)", statuses: str = "CAST(NULL AS ARRAY<STRING>)", accounting: str | None = None) -> str:
+    return f"named_struct('rule_order', {rule_order}, 'path', {path}, 'component', {component}, 'statuses', {statuses}, 'accounting', {accounting or f'CAST(NULL AS {ACCOUNTING})'})"
+
 
+@dataclass
+class _Compiled:
+    """A pack as SQL: the trie, facts asked of documents and nodes, nodes that rules look at, and what rows are made of a node."""
 
-def _compiled(pack: Pack) -> tuple[selectors.Trie, assertions.Facts, dict[int, list[str]], dict[str, list[str]], dict[str, list[str]]]:
-    """The trie, the facts asked of documents, failures by tag, statuses by format, and rules that fire on nothing by format."""
-    trie, facts = selectors.Trie(), assertions.Facts()
-    failures: dict[int, list[str]] = {}
+    trie: selectors.Trie = field(default_factory=selectors.Trie)
+    facts: assertions.Facts = field(default_factory=assertions.Facts)
+    nodes: dict[str, str] = field(default_factory=dict)
+    rows: list[str] = field(default_factory=list)
+
+
+def _compiled(pack: Pack) -> _Compiled:
+    c = _Compiled()
     statuses: dict[str, list[str]] = {"cyclonedx": [], "spdx": []}
-    fired: dict[str, list[str]] = {"cyclonedx": [], "spdx": []}
     for at, rule in enumerate(pack.rules):
         for kind in statuses:
             selector, assertion = rule.selector_of(kind), rule.assertion_of(kind)
             if kind not in rule.applies_to or not selector or assertion is None:
                 statuses[kind].append("'not-applicable'" if kind not in rule.applies_to else "'no-path'")
                 continue
-            reaches = facts.ask(selectors.any_of(facts.doc, selectors.parse(selector)))
+            reaches = c.facts.ask(selectors.any_of(c.facts.doc, selectors.parse(selector)))
             statuses[kind].append(f"CASE WHEN {reaches} THEN 'ran' ELSE 'no-path' END" if rule.on_empty == "skip" else "'ran'")
             if rule.on_empty == "fire":
-                fired[kind].append(f"CASE WHEN NOT {reaches} THEN named_struct('rule_order', {at}, 'path', {selectors.literal(selector)}, 'component', CAST(NULL AS STRING)) END")
-            tag, rest = trie.add(kind, selector)
-            here = f"format <=> '{kind}' AND " if tag == 0 else ""
-            node = selectors.walk("node", rest)
-            found = f"named_struct('rule_order', {at}, 'path', concat(path, {selectors.literal(selectors.suffix(rest))}), 'component', {label('n')})"
-            failing = f"CASE WHEN n IS NOT NULL AND NOT {assertions.holds(assertion, 'n', facts)} THEN {found} END"
-            failures.setdefault(tag, []).append(f"CASE WHEN {here}tag = {tag} THEN {failing} END" if node == "node" else f"CASE WHEN {here}tag = {tag} THEN element_at(transform(array({node}), n -> {failing}), 1) END")
-    return trie, facts, failures, statuses, fired
+                c.rows.append(f"CASE WHEN tag = 0 AND format <=> '{kind}' AND NOT {reaches} THEN {_finding(at, selectors.literal(selector))} END")
+            tag, rest = c.trie.add(kind, selector)
+            here = f"tag = {tag}" + (f" AND format <=> '{kind}'" if tag == 0 else "")
+            node = c.nodes.setdefault(f"CASE WHEN {here} THEN {selectors.walk('node', rest)} END", f"__node_{len(c.nodes)}")
+            found = _finding(at, f"concat(path, {selectors.literal(selectors.suffix(rest))})", label(node))
+            c.rows.append(f"CASE WHEN {node} IS NOT NULL AND NOT {assertions.holds(assertion, node, c.facts)} THEN {found} END")
+    stated = " ".join(f"WHEN format <=> '{k}' THEN array({', '.join(v)})" for k, v in statuses.items())
+    c.rows.append(f"CASE WHEN tag = 0 THEN {_finding(DOCUMENT, statuses=f'CASE {stated} ELSE CAST(NULL AS ARRAY<STRING>) END', accounting='accounting')} END")
+    return c
 
 
 def label(node: str) -> str:
     """SQL of the name and version of a component or package, as a reader would call it."""
-    said = lambda *keys: f"coalesce({', '.join(assertions.let(selectors.child(node, k), assertions.text) for k in keys)})"
+    said = lambda *keys: f"coalesce({', '.join(assertions.text(selectors.child(node, k)) for k in keys)})"
     return f"(CASE WHEN {said('name', 'packageName')} IS NOT NULL THEN concat_ws(' ', {said('name', 'packageName')}, {said('version', 'versionInfo')}) END)"
 
 
@@ -165,10 +170,6 @@ def seen(docs: DataFrame, pack: Pack) -> DataFrame:
     return told.where("NOT __graph").drop("__graph").withColumn("accounting", F.lit(None).cast(ACCOUNTING)).unionByName(flat)
 
 
-ACCOUNTING = "struct<packages:bigint,relationships:bigint,agents:bigint,unmapped_types:array<string>,unmapped_package_keys:array<string>>"
-_FOUND = "array<struct<rule_order:int,path:string,component:string>>"
-
-
 def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
     """A row for each document (``rule_order`` is ``DOCUMENT``) and one for each node that fails a rule.
 
@@ -180,24 +181,22 @@ def evaluate(docs: DataFrame, pack: Pack) -> DataFrame:
     A document whose format is not told has its problem and no results.  One of a
     version that is not read has both: :func:`gated` leaves its results out.
     """
-    trie, facts, failures, statuses, fired = _compiled(pack)
-    by_format = lambda made, kind: f"CASE {' '.join(f"WHEN format <=> '{k}' THEN {v}" for k, v in made.items())} ELSE CAST(NULL AS {kind}) END"
-    base = seen(docs, pack).selectExpr("*", *[f"{e} AS {name}" for e, name in facts.known.items()])
-    status = by_format({k: f"array({', '.join(v)})" for k, v in statuses.items()}, "ARRAY<STRING>")
-    empty = by_format({k: f"CAST(array_compact(array({', '.join(v)})) AS {_FOUND})" for k, v in fired.items()}, _FOUND)
-    own = "struct<statuses:array<string>,fired:" + _FOUND + ",accounting:" + ACCOUNTING + ">"
-    carried = ["doc_id", "format", "spec", "problem", *facts.known.values()]
-    base = base.selectExpr(*carried, "doc AS node", "0 AS tag", "CAST(array() AS array<int>) AS position", "'$' AS path", f"named_struct('statuses', {status}, 'fired', {empty}, 'accounting', accounting) AS own")
-    row = "struct<tag:int,position:array<int>,path:string,node:variant,own:" + own + ">"
-    for level in trie.levels():
-        lists = [f"CASE WHEN tag = {s.above}{f" AND format <=> '{s.kind}'" if s.above == 0 else ''} THEN transform({s.rows('node', 'path', 'position')}, r -> named_struct('tag', r.tag, 'position', r.position, 'path', r.path, 'node', r.node, 'own', CAST(NULL AS {own}))) ELSE CAST(array() AS array<{row}>) END" for s in level]
-        base = base.selectExpr(*carried, f"explode(concat(array(named_struct('tag', tag, 'position', position, 'path', path, 'node', node, 'own', own)), {', '.join(lists)})) AS r").selectExpr(*carried, "r.*")
-    nodes = base.selectExpr(*carried, "tag", "position", "path", "node AS n", "node", "own")
-    failed = f"CAST(array_compact(array({', '.join(x for v in failures.values() for x in v)})) AS {_FOUND})"
-    here = f"CASE WHEN tag = 0 THEN concat(array(named_struct('rule_order', {DOCUMENT}, 'path', CAST(NULL AS STRING), 'component', CAST(NULL AS STRING))), coalesce(own.fired, CAST(array() AS {_FOUND}))) ELSE CAST(array() AS {_FOUND}) END"
-    out = nodes.selectExpr("doc_id", "format", "spec", "problem", "position", "own", f"inline(concat({here}, {failed}))")
-    on_document = F.col("rule_order") == DOCUMENT
-    return out.select("doc_id", "format", "spec", "problem", "rule_order", "position", "path", "component", F.when(on_document, F.col("own.statuses")).alias("statuses"), F.when(on_document, F.col("own.accounting")).alias("accounting"))
+    c = _compiled(pack)
+    carried = ["doc_id", "format", "spec", "problem", "accounting", *c.facts.known.values()]
+    rows = seen(docs, pack).selectExpr("*", *[f"{e} AS {name}" for e, name in c.facts.known.items()])
+    rows = rows.selectExpr(*carried, "0 AS tag", "CAST(array() AS array<int>) AS position", "'$' AS path", "doc AS node")
+    node = "struct<tag:int,position:array<int>,path:string,node:variant>"
+    # Lists are made before they are spread, since a generator works its input out without generated code,
+    # and the outer forms keep the optimiser from adding filters that would work them out once more.
+    for level in c.trie.levels():
+        lists = [f"CASE WHEN {s.here()} THEN {s.rows('node', 'path', 'position')} ELSE CAST(array() AS array<{node}>) END" for s in level]
+        rows = rows.selectExpr(*carried, f"concat(array(named_struct('tag', tag, 'position', position, 'path', path, 'node', node)), {', '.join(lists)}) AS __rows")
+        rows = rows.selectExpr(*carried, "inline_outer(__rows)")
+    rows = rows.selectExpr("*", *[f"{e} AS {name}" for e, name in c.nodes.items()])
+    for depth in c.facts.levels():  # keys of nodes, then keys of those
+        rows = rows.selectExpr("*", *[f"{e} AS {name}" for e, name in depth])
+    out = rows.selectExpr("doc_id", "format", "spec", "problem", "position", f"array({', '.join(c.rows)}) AS __found")
+    return out.selectExpr("doc_id", "format", "spec", "problem", "position", "inline_outer(__found)").where("rule_order IS NOT NULL").select("doc_id", "format", "spec", "problem", "rule_order", "position", "path", "component", "statuses", "accounting")
 
 
 def gated(evaluated: DataFrame) -> DataFrame:
@@ -213,27 +212,34 @@ def rule_table(spark, pack: Pack, overrides: dict[str, dict] | None = None) -> D
     return spark.createDataFrame(rows, "rule_order int, rule_id string, title string, pack_severity string, fix string, source string, override_to string, override_reason string")
 
 
-def _checked(evaluated: DataFrame) -> DataFrame:
-    """The rows of documents that have results."""
-    return evaluated.where((F.col("rule_order") == DOCUMENT) & F.col("statuses").isNotNull())
-
+def _with_rules(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows with their rule (a document's own row has none) and the severity in force: a rule that found something has its override applied, if that changes anything.
 
-def _failing(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
-    """Failing nodes with their rule and the severity in force: a rule that found something has its override applied, if that changes anything."""
+    A pack's rules bound the broadcast.
+    """
     applied = F.col("override_to").isNotNull() & (F.col("override_to") != F.col("pack_severity"))
-    each = evaluated.where(F.col("rule_order") != DOCUMENT).join(F.broadcast(rules), "rule_order")
+    each = evaluated.join(F.broadcast(rules), "rule_order", "left")
     return each.withColumns({"overridden": applied, "severity": F.when(applied, F.col("override_to")).otherwise(F.col("pack_severity"))})
 
 
+def _has_results() -> Column:
+    """Of a group of a document's rows: was it checked at all?"""
+    return F.bool_or(F.col("statuses").isNotNull())
+
+
 def rule_runs(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per document and rule: status, failures, severity in force, and what became of an override.
 
-    A pack's rules bound the broadcast.  Failures are counted before they are shuffled;
-    the list of them is one document's and one rule's, for reports that show it.
+    Failures are counted before they are shuffled; the list of them is one document's and
+    one rule's, for reports that show it.
     """
-    ran = _checked(evaluated).select("doc_id", "format", F.posexplode("statuses").alias("rule_order", "status"), F.lit(0).alias("found"), F.lit(None).cast("struct<position:array<int>,path:string,component:string>").alias("f"))
-    failing = evaluated.where(F.col("rule_order") != DOCUMENT).select("doc_id", "format", "rule_order", F.lit(None).cast("string").alias("status"), F.lit(1).alias("found"), F.struct("position", "path", "component").alias("f"))
-    each = ran.unionByName(failing).groupBy("doc_id", "format", "rule_order").agg(F.max("status").alias("status"), F.sum("found").alias("n_failures"), F.array_sort(F.collect_list("f")).alias("failures")).where("status IS NOT NULL")
+    failure = F.struct("position", "path", "component")
+    row = lambda rule, status, found, f: F.struct(rule.alias("rule_order"), status.alias("status"), found.alias("found"), f.alias("f"))
+    none = F.lit(None).cast("struct<position:array<int>,path:string,component:string>")
+    own = F.transform(F.coalesce("statuses", F.array().cast("array<string>")), lambda s, i: row(i, s, F.lit(0), none))
+    here = F.when(F.col("rule_order") == DOCUMENT, own).otherwise(F.array(row(F.col("rule_order"), F.lit(None).cast("string"), F.lit(1), failure)))
+    each = evaluated.select("doc_id", "format", F.inline(here))
+    each = each.groupBy("doc_id", "format", "rule_order").agg(F.max("status").alias("status"), F.sum("found").alias("n_failures"), F.array_sort(F.collect_list("f")).alias("failures")).where("status IS NOT NULL")
     each = each.join(F.broadcast(rules), "rule_order")
     inert = (
         F.when(F.col("override_to").isNull(), None)
@@ -248,7 +254,7 @@ def rule_runs(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
 
 def findings(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per failing node, in rule and document order by (rule_order, position); no shuffle."""
-    out = _failing(evaluated, rules)
+    out = _with_rules(evaluated.where(F.col("rule_order") != DOCUMENT), rules)
     return out.select("doc_id", "rule_id", "rule_order", "position", "title", "severity", F.when(F.col("overridden"), F.col("pack_severity")).alias("overridden_from"), "path", "component", "fix", "source", F.concat(F.lit("RULE-"), "rule_id").alias("code"))
 
 
@@ -258,9 +264,8 @@ def severity_rank(severity: Column) -> Column:
 
 def severity_counts(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of each severity per document, zeros kept; a document without results has no row."""
-    none = _checked(evaluated).select("doc_id", F.lit(None).cast("string").alias("severity"))
-    each = _failing(evaluated, rules).select("doc_id", "severity").unionByName(none)
-    return each.groupBy("doc_id").agg(*[F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(s) for s in SEVERITIES])
+    by = _with_rules(evaluated, rules).groupBy("doc_id").agg(_has_results().alias("checked"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    return by.where("checked").drop("checked")
 
 
 def gate(evaluated: DataFrame, rules: DataFrame, at: str = "error") -> DataFrame:
@@ -271,9 +276,10 @@ def gate(evaluated: DataFrame, rules: DataFrame, at: str = "error") -> DataFrame
     limit = SEVERITIES[::-1].index(at)
     rank_of = {s: k for k, s in enumerate(SEVERITIES[::-1])}
     ranks = [(r["rule_order"], rank_of[r["pack_severity"]], rank_of[r["override_to"] or r["pack_severity"]]) for r in rules.select("rule_order", "pack_severity", "override_to").collect()]
-    none = _checked(evaluated).select("doc_id", F.lit(-1).alias("rank"), F.lit(-1).alias("own"), F.lit(None).cast("int").alias("rule_order"))
-    found = _failing(evaluated, rules).select("doc_id", severity_rank(F.col("severity")).alias("rank"), severity_rank(F.col("pack_severity")).alias("own"), "rule_order")
-    by = found.unionByName(none).groupBy("doc_id").agg(F.max("rank").alias("rank"), F.max("own").alias("own"), F.collect_set("rule_order").alias("rules"))
+    each = _with_rules(evaluated, rules)
+    known = lambda c: F.coalesce(F.max(F.when(F.col(c).isNotNull(), severity_rank(F.col(c)))), F.lit(-1))
+    failing = F.collect_set(F.when(F.col("rule_order") != DOCUMENT, F.col("rule_order")))
+    by = each.groupBy("doc_id").agg(_has_results().alias("checked"), known("severity").alias("rank"), known("pack_severity").alias("own"), failing.alias("rules")).where("checked")
     moved = [F.when(F.array_contains("rules", k), to).otherwise(own) for k, own, to in ranks if own != to]
     reachable = F.greatest(F.lit(-1), F.lit(max([own for _, own, to in ranks if own == to], default=-1)), *moved)
     rank, own = F.col("rank"), F.col("own")

@@ -83,10 +83,10 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def child(v: str, key: str) -> str:
+def child(v: str, key: str, kind: str = "variant") -> str:
     """SQL of a key's value: NULL if there is none, a null variant if it is null."""
     quoted = key.replace("'", "\\'")
-    return f"try_variant_get({v}, {literal(f"$['{quoted}']")}, 'variant')"
+    return f"try_variant_get({v}, {literal(f"$['{quoted}']")}, '{kind}')"
 
 
 def items(v: str) -> str:
@@ -158,6 +158,10 @@ class Spread:
         found = f"transform({items(walk(node, self.before))}, (x, i) -> named_struct('tag', {self.tag}, 'position', concat({position}, array(i)), 'path', concat({path}, {literal(suffix(self.before) + '[')}, i, ']'), 'node', x))"
         return f"filter({found}, r -> {_where('r.node', self.step)})" if self.step.kind == "where" else found
 
+    def here(self) -> str:
+        """SQL: is a row one that this list can hang from?"""
+        return f"tag = {self.above}" + (f" AND format <=> '{self.kind}'" if self.above == 0 else "")
+
 
 @dataclass
 class Trie:

@@ -525,7 +525,8 @@ def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
     note = F.when(F.col("o_orderstatus") == "F", q(',{"type":"Annotation","subject":"urn:p","annotationType":"review","statement":"', F.col("o_orderpriority"), '"},{"type":"Annotation","statement":"whole"}')).otherwise("")
     odd = F.when(F.col("o_orderkey") % 5 == 0, ',{"type":"ai_Model"},{"type":"Relationship","from":"urn:p","to":["urn:o","urn:x"],"relationshipType":"dependsOn"}').otherwise("")
     raw = q('{"@context":"https://spdx.org/rdf/3.0.1/x","@graph":[{"type":"Organization","spdxId":"urn:o","name":"old"},{"type":"Organization","spdxId":"urn:o","name":"', F.col("c_name"), '"},{"type":"software_Package","spdxId":"urn:p","name":"pkg', key, '","weight":1,"suppliedBy":"urn:o","verifiedUsing":[{"type":"Hash","algorithm":"sha-256","hashValue":"ab"}]}', rel, note, odd, "]}")
-    return o.select(F.col("o_orderkey").alias("doc_id"), F.parse_json(raw).alias("doc"))
+    # A document weighs far more than its order, so small files are dealt out before documents are made.
+    return o.repartition("o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.parse_json(raw).alias("doc"))
 
 
 @query("""SELECT o_orderkey AS doc_id, 'pkg' || o_orderkey AS name, 'Organization: ' || c_name AS supplier, CASE WHEN o_orderkey % 3 = 0 THEN 'MIT' END AS license, 'SHA256' AS algorithm,
