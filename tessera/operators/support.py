@@ -17,14 +17,27 @@ def support_state(components: DataFrame, products: DataFrame, cycles: DataFrame,
     """
     v = F.regexp_replace(versions.trim_all(F.col("version")), "(?i)^v", "")
     known = components.join(products, "name", "left").withColumn("__v", v)
-    met = known.join(cycles, "product").where(F.col("__v").rlike(r"^\d") & versions.in_cycle(F.col("__v"), F.col("cycle")))
-    line = met.groupBy("component_id").agg(F.max_by(F.struct("cycle", "eol_date", "eol_flag"), F.length("cycle")).alias("__c"))
-    out = known.join(line, "component_id", "left")
+    asked = known.select("product", "__v").where(F.col("product").isNotNull() & F.col("__v").rlike(r"^\d")).distinct()
+    out = known.join(release_lines(asked, cycles), ["product", "__v"], "left")
     past = F.when(F.col("__c.eol_date").isNotNull(), F.col("__c.eol_date") < F.lit(as_of).cast("date")).otherwise(~F.coalesce("__c.eol_flag", F.lit(True)))
     why = F.when(F.col("product").isNull(), "no data for this component").when(~F.coalesce(F.col("__v").rlike(r"^\d"), F.lit(False)), "not a version").when(F.col("__c").isNull(), "in no release line")
     return out.select(*components.columns, F.col("__c.cycle").alias("cycle"), F.col("__c.eol_date").alias("end_of_support"), F.when(F.col("__c").isNotNull(), past).alias("past_end"), why.alias("why"))
 
 
+def release_lines(asked: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(product, __v, __c): the longest line (cycle, eol_date, eol_flag) that each distinct version of a product falls into.
+
+    A version is cut where no digit is split, at the lengths that lines of its product
+    have, and each piece is looked up: rows grow with those lengths, not with the lines.
+    """
+    lengths = cycles.where("cycle IS NOT NULL").groupBy("product").agg(F.collect_set(F.length("cycle")).alias("__lengths"))
+    whole = lambda n: (n <= F.length("__v")) & versions.in_cycle(F.col("__v"), F.substr("__v", F.lit(1), n))
+    tried = asked.join(lengths, "product").select("product", "__v", F.explode(F.filter("__lengths", whole)).alias("__n"))
+    tried = tried.select("product", "__v", F.substr("__v", F.lit(1), "__n").alias("cycle"))
+    met = tried.join(cycles.select("product", "cycle", "eol_date", "eol_flag"), ["product", "cycle"])
+    return met.groupBy("product", "__v").agg(F.max_by(F.struct("cycle", "eol_date", "eol_flag"), F.length("cycle")).alias("__c"))
+
+
 def slug(c: Column) -> Column:
     """Lower case, everything but letters and digits as single hyphens, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -1,12 +1,17 @@
 """Workspace reports: history, projects, seats, audit, each within one tenant.
 
-Spark has no row-level security to enforce; every report takes the tenant and filters
-by it before anything else, so partitions of other tenants are not read.
+A session claims a tenant in a variable, and guarded views show that tenant's rows alone:
+none at all without a claim.  The filter is part of the view, so it reaches the scan and
+partitions of other tenants are not read.  Spark cannot keep a session that may run any
+SQL from reading the tables under the views; that is for the catalogue's permissions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +20,40 @@ def tenant(table: DataFrame, firm: str | int) -> DataFrame:
     return table.where(F.col("firm_id") == firm)
 
 
+CLAIM = "tenant_claim"
+
+
+def claim(spark: SparkSession, firm: str | int | None) -> None:
+    """Say whose rows this session may see from here on; None withdraws the claim."""
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {CLAIM} STRING DEFAULT NULL")
+    if firm is not None:
+        spark.sql(f"SET VAR {CLAIM} = :firm", args={"firm": str(firm)})
+
+
+def guard(table: DataFrame, name: str) -> DataFrame:
+    """A view ``name`` of a table with firm_id that shows the claimed tenant's rows; read anew at each use.
+
+    Without a claim, or with a null firm_id, no row is seen.  A claim made later holds for
+    every query on the view that is built after it.
+    """
+    if not re.fullmatch(r"[A-Za-z_]\w*", name):
+        raise ValueError(f"{name!r} is no name of a view")
+    spark = table.sparkSession
+    if not _declared(spark):
+        claim(spark, None)
+    table.createOrReplaceTempView(f"{name}__all")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM {name}__all WHERE CAST(firm_id AS STRING) = session.{CLAIM}")
+    return spark.table(name)
+
+
+def _declared(spark: SparkSession) -> bool:
+    try:
+        spark.sql(f"SELECT session.{CLAIM}")
+    except AnalysisException:
+        return False
+    return True
+
+
 def _page(df: DataFrame, limit: int, offset: int, most: int) -> DataFrame:
     """A page of at most ``most`` rows: the report's own feature."""
     return df.offset(max(0, int(offset))).limit(min(max(1, int(limit)), most))

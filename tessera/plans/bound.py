@@ -447,7 +447,10 @@ def seat_usage(spark, sf):
 @query(f"WITH {_CHECKS} SELECT firm_id, id, created_at FROM checks WHERE firm_id = 3")
 def tenant_view(spark, sf):
     """What one firm may see."""
-    return workspace.tenant(_workspace(spark, sf)[1], 3).select("firm_id", "id", "created_at")
+    workspace.claim(spark, 3)
+    seen = workspace.guard(_workspace(spark, sf)[1], "guarded_checks").select("firm_id", "id", "created_at")
+    workspace.claim(spark, None)
+    return seen
 
 
 @query("SELECT event_id AS id, event_type AS action, ts AS occurred_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")

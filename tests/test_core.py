@@ -668,6 +668,28 @@ def test_benchmark_of_resolvers(spark):
     assert "tiers" in {r.resolver for r in resolve.best(scores).collect()}
 
 
+def test_no_row_without_a_claim(spark):
+    from tessera.operators import workspace
+
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "firm_id long, x string")
+    workspace.claim(spark, None)
+    assert workspace.guard(table, "guarded_rows").count() == 0
+    for firm, want in ((2, ["b"]), ("1", ["a"]), ("1 OR true", []), (9, []), (None, [])):
+        workspace.claim(spark, firm)
+        assert [r.x for r in spark.sql("SELECT x FROM guarded_rows").collect()] == want
+    with pytest.raises(ValueError):
+        workspace.guard(table, "x; DROP")
+
+
+def test_the_longest_release_line(spark):
+    from tessera.operators import support
+
+    cycles = spark.createDataFrame([("p", c, None, None) for c in ("1", "1.1", "1.10", "1.1.1k", "2.", None)] + [("q", "1.1.1", None, None)], "product string, cycle string, eol_date date, eol_flag boolean")
+    asked = ["1", "1.1.10", "1.1.1k", "1.1.1kk", "1.10.3", "11", "1.100", "2.x", "1.1.1", "1-" + "9" * 5000]
+    got = {r["__v"]: r["__c"].cycle for r in support.release_lines(spark.createDataFrame([("p", v) for v in asked], "product string, __v string"), cycles).collect()}
+    assert got == {"1": "1", "1.1.10": "1.1", "1.1.1k": "1.1.1k", "1.1.1kk": "1.1.1k", "1.10.3": "1.10", "1.100": "1", "2.x": "2.", "1.1.1": "1.1", "1-" + "9" * 5000: "1"}
+
+
 def rows_of(frame):
     import pandas as pd
 
