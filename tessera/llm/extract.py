@@ -29,6 +29,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted popup modal cookie cookies consent notice notices newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar comment comments commentlist disqus replies respond widget outbrain taboola copyright disclaimer toc".split())
+# Words of layout that class names of furniture are put together with.
+LAYOUT = frozenset("area bar block bottom box button buttons cell col column container content desktop entry field fixed float form frame group head heading icon icons inline inner item items js label layout left link links list main mobile outer panel primary right row secondary section slot small sticky tab tabs text thread title top unit wide wrap wrapper zone".split())
 NEGATED = frozenset("has with no without".split())
 HOLDERS = frozenset({"article", "main"})
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
@@ -48,7 +50,11 @@ _ROOT = ("#root", False, 0)
 
 
 def is_furniture(name: str, attributes: str, inside_holder: bool) -> bool:
-    """Does this element hold page furniture, by its name or by its class, id or role?"""
+    """Does this element hold page furniture, by its name or by its class, id or role?
+
+    Inside the main text a class or id must say nothing else: ``related-work`` is a part
+    of an article, ``related-links`` is not.
+    """
     if name in FURNITURE:
         return not (inside_holder and name == "header")
     if name in ("html", "body", "article", "main") or not attributes:
@@ -62,7 +68,7 @@ def is_furniture(name: str, attributes: str, inside_holder: bool) -> bool:
         if key in ("class", "id"):
             for one in value.split():
                 parts = set(_PART.findall(one))
-                if parts & MARKED and not parts & NEGATED and not (inside_holder and parts & MARKED == {"header"}):
+                if parts & MARKED and not parts & NEGATED and not (inside_holder and (parts & MARKED == {"header"} or not parts <= MARKED | LAYOUT)):
                     return True
     return False
 

@@ -512,3 +512,14 @@ def test_columns_of_any_name_pass_through(spark, tmp_path):
     assert chat.summarise(chat.expand(turns)).count() == 1
     pages = spark.createDataFrame([(1, "u", "<p>x</p>")], PAGES).withColumn("digest", F.lit(1)).withColumn("first", F.lit(1)).withColumn("payload", F.lit(1)).withColumn("text", F.lit(1)).withColumn("h", F.lit(1))
     assert extract.extract(pages).count() == warc.archive(pages, tmp_path.as_uri()).count() == 1
+
+
+def test_class_words_inside_the_main_text():
+    """Parts of an article whose class only has a word of furniture in it stay; furniture inside an article goes."""
+    from tessera.llm.extract import main_text
+
+    words = "The council will vote on the new timetable in the second week of March, its speaker said."
+    for name, kept in (("related-work", True), ("rail-history", True), ("banner-headed-song", True), ("related-links", False), ("ad-slot-top", False), ("comment-list", False), ("newsletter box", False), ("share", False)):
+        page = f"<article><p>{words}</p><section class='{name}'><p>part</p></section><p>{words}</p></article>"
+        assert main_text(page) == "\n\n".join([words, "part", words] if kept else [words, words]), name
+    assert main_text(f"<div class='related-work'><p>part</p></div><article><p>{words}</p></article>") == words
