@@ -52,7 +52,7 @@ comp AS (
   SELECT l_orderkey AS doc_id,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS BIGINT) AS idx,
          p_name AS name, l_linenumber || '.' || p_size || '.' || (l_partkey % 10) AS version,
-         CASE WHEN l_partkey % 19 <> 0 THEN 'pkg:npm/' || replace(p_name, ' ', '-') || '@' || l_linenumber || '.' || p_size || '.' || (l_partkey % 10) END AS purl,
+         CASE WHEN l_partkey % 19 <> 0 THEN 'pkg:npm/' || replace(p_name, ' ', '-') || '-' || lower(replace(p_brand, '#', '-')) || '@' || l_linenumber || '.' || p_size || '.' || (l_partkey % 10) END AS purl,
          CASE WHEN l_suppkey % 7 <> 0 THEN s_name END AS supplier,
          CASE WHEN l_suppkey % 11 = 0 THEN 'NOASSERTION' WHEN l_suppkey % 5 <> 0 THEN p_brand END AS license,
          l_partkey AS partkey, l_suppkey AS suppkey, l_returnflag AS flag
@@ -60,6 +60,11 @@ comp AS (
 """
 
 
+def package_name() -> Column:
+    """A part's name in its registry: name and brand."""
+    return F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
+
+
 def components(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, idx, name, version, purl, supplier, license, partkey, suppkey, flag of every line item."""
     items = table(spark, sf, "lineitem")
@@ -69,7 +74,7 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     version = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("p_size").cast("string"), (F.col("l_partkey") % 10).cast("string"))
     return rows.select(
         F.col("l_orderkey").alias("doc_id"), "idx", F.col("p_name").alias("name"), version.alias("version"),
-        F.when(F.col("l_partkey") % 19 != 0, F.concat(F.lit("pkg:npm/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("@"), version)).alias("purl"),
+        F.when(F.col("l_partkey") % 19 != 0, F.concat(F.lit("pkg:npm/"), package_name(), F.lit("@"), version)).alias("purl"),
         F.when(F.col("l_suppkey") % 7 != 0, F.col("s_name")).alias("supplier"),
         F.when(F.col("l_suppkey") % 11 == 0, "NOASSERTION").when(F.col("l_suppkey") % 5 != 0, F.col("p_brand")).alias("license"),
         F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("flag"),
@@ -223,7 +228,7 @@ def universal_rules(spark, sf):
 
 def mirror(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parts as advisories: (advisories, kev, shards)."""
-    p = table(spark, sf, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"), "p_size")
+    p = table(spark, sf, "part").select("p_partkey", package_name().alias("name"), "p_size")
     bound = lambda **k: F.struct(*[(F.lit(k[n]).cast("string") if not isinstance(k.get(n), Column) else k[n]).alias(n) for n in ("introduced", "fixed", "last_affected", "limit") if n in k], *[F.lit(None).cast("string").alias(n) for n in ("introduced", "fixed", "last_affected", "limit") if n not in k])
     order = ["introduced", "fixed", "last_affected", "limit"]
     ordered = lambda s: F.struct(*[s[n].alias(n) for n in order])
@@ -233,15 +238,15 @@ def mirror(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     listed = F.when(F.col("p_partkey") % 4 == 0, F.array(F.concat(F.lit("7."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))))
     ranges = F.when(F.col("p_partkey") % 5 == 0, other).otherwise(semver)
     affected = F.array(F.struct("name", F.lit("npm").alias("ecosystem"), listed.alias("versions"), ranges.alias("ranges")))
-    rows = p.where(F.col("p_size") <= 17).select(F.when(F.col("p_partkey") % 7 == 0, "malicious").otherwise("vulnerability").alias("kind"), F.lit("npm").alias("ecosystem"), "name", F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.concat(F.lit("CVE-"), (F.col("p_partkey") % 50).cast("string"))).alias("aliases"), F.lit(None).cast("string").alias("summary"), affected.cast(advisories.AFFECTED).alias("affected"))
+    rows = p.select(F.when(F.col("p_partkey") % 7 == 0, "malicious").otherwise("vulnerability").alias("kind"), F.lit("npm").alias("ecosystem"), "name", F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.concat(F.lit("CVE-"), (F.col("p_partkey") % 50).cast("string"))).alias("aliases"), F.lit(None).cast("string").alias("summary"), affected.cast(advisories.AFFECTED).alias("affected"))
     kev = spark.range(0, 50, 9).select(F.concat(F.lit("CVE-"), F.col("id").cast("string")).alias("id"))
     shards = spark.createDataFrame([("npm", True)], "ecosystem string, loaded boolean")
     return rows, kev, shards
 
 
 ADVISED = COMP.strip() + """,
-adv AS (SELECT p_partkey AS pk, replace(p_name, ' ', '-') AS name, p_size, CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind FROM part WHERE p_size <= 17),
-v AS (SELECT *, replace(name, ' ', '-') AS pname, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM comp),
+adv AS (SELECT p_partkey AS pk, replace(p_name, ' ', '-') || '-' || lower(replace(p_brand, '#', '-')) AS name, p_size, CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind FROM part),
+v AS (SELECT *, split_part(split_part(purl, '/', 2), '@', 1) AS pname, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM comp),
 met AS (SELECT v.doc_id, v.idx, v.partkey, adv.kind, adv.pk,
           (adv.pk % 4 = 0 AND v.version = '7.' || adv.p_size || '.' || (adv.pk % 10)) OR (adv.pk % 5 <> 0 AND (v.a, v.b, v.c) < (3, adv.p_size, 0)) AS hit,
           adv.pk % 5 <> 0 OR adv.pk % 4 = 0 AS compared
@@ -559,7 +564,7 @@ def graph_accounting(spark, sf):
     return a.withColumns({c: F.array_join(c, ",") for c in ("unmapped_types", "unmapped_package_keys")})
 
 
-@query("""SELECT kind, ecosystem, count(DISTINCT name) AS names, count(DISTINCT id) AS advisories FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, 'npm' AS ecosystem, replace(p_name, ' ', '-') AS name, 'ADV-' || p_partkey AS id FROM part WHERE p_size <= 17) GROUP BY ALL""")
+@query("""SELECT kind, ecosystem, count(DISTINCT name) AS names, count(DISTINCT id) AS advisories FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, 'npm' AS ecosystem, replace(p_name, ' ', '-') || '-' || lower(replace(p_brand, '#', '-')) AS name, 'ADV-' || p_partkey AS id FROM part) GROUP BY ALL""")
 def mirror_counts(spark, sf):
     """Advisories and names of each shard of the mirror, doubled rows counted once."""
     rows = mirror(spark, sf)[0]
@@ -760,7 +765,7 @@ def _zip(lists: pd.Series) -> pd.Series:
 
 def _exports(spark: SparkSession, sf: str) -> DataFrame:
     """(path, content, ecosystem): advisories of parts as zip exports by brand, an empty and a damaged one beside them."""
-    p = table(spark, sf, "part").where("p_size <= 17")
+    p = table(spark, sf, "part")
     kind = F.when(F.col("p_partkey") % 7 == 0, "MAL-").otherwise("ADV-")
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
     text = F.to_json(F.struct(F.concat(kind, F.col("p_partkey").cast("string")).alias("id"), F.array(F.struct(F.struct(name.alias("name"), F.lower("p_brand").alias("ecosystem")).alias("package"))).alias("affected")))
@@ -777,7 +782,7 @@ def _mirror_folder(spark: SparkSession, sf: str) -> str:
     return folder
 
 
-@query("""SELECT lower(p_brand) AS ecosystem, true AS loaded, 1::BIGINT AS exports, count(*) FILTER (p_partkey % 7 <> 0) AS vulnerabilities, count(*) FILTER (p_partkey % 7 = 0) AS malicious, false AS problem FROM part WHERE p_size <= 17 GROUP BY ALL
+@query("""SELECT lower(p_brand) AS ecosystem, true AS loaded, 1::BIGINT AS exports, count(*) FILTER (p_partkey % 7 <> 0) AS vulnerabilities, count(*) FILTER (p_partkey % 7 = 0) AS malicious, false AS problem FROM part GROUP BY ALL
   UNION ALL VALUES ('hollow', true, 1, 0, 0, false), ('broken', false, 1, 0, 0, true)""")
 def mirror_status(spark, sf):
     """A mirror built from exports: what is held, an empty export and a damaged one told apart."""
@@ -785,7 +790,7 @@ def mirror_status(spark, sf):
     return got.select("ecosystem", "loaded", "exports", "vulnerabilities", "malicious", F.col("problem").isNotNull().alias("problem"))
 
 
-@query("""SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, lower(p_brand) AS ecosystem, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 7 = 0 THEN 'MAL-' ELSE 'ADV-' END || p_partkey AS id, lower(p_brand) || '.zip' AS source FROM part WHERE p_size <= 17""")
+@query("""SELECT CASE WHEN p_partkey % 7 = 0 THEN 'malicious' ELSE 'vulnerability' END AS kind, lower(p_brand) AS ecosystem, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 7 = 0 THEN 'MAL-' ELSE 'ADV-' END || p_partkey AS id, lower(p_brand) || '.zip' AS source FROM part""")
 def mirror_rows(spark, sf):
     """The advisories of a mirror, written as shards and read back."""
     return mirrors.open_mirror(spark, _mirror_folder(spark, sf))[0].select("kind", "ecosystem", "name", "id", "source")
