@@ -1,8 +1,8 @@
 """Matching components to advisories, with three-valued verdicts.
 
-Advisories are grouped by (ecosystem, name) once; every distinct (ecosystem, name,
-version) meets its group in one equi-join and its verdict is worked out in its row, so
-a popular package is worked out once a version, not once a component.  ``clear`` needs a comparison that
+Every distinct (ecosystem, name, version) is asked once, not once a component.  Listed
+versions and the windows of ranges are rows that meet the asked versions of their name;
+what could not be compared is counted for a name and taken off for its hits.  ``clear`` needs a comparison that
 really ran: whatever could not be looked up or compared makes ``unknown``.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import purl, versions
+from ..storage import written
 
 AFFECTED = "array<struct<name:string,ecosystem:string,versions:array<string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>>>>>"
 
@@ -53,23 +54,6 @@ def _entry(a: Column) -> Column:
     return F.element_at(F.transform(F.array(ranges), made), 1)
 
 
-def outcome(entries: Column, version: Column, text: Column) -> Column:
-    """``enumerated-version`` or ``semver-range`` where a version (and its key text) is affected, ``clear``, or ``indeterminate``.
-
-    A list of versions answers a hit; ranges are asked even where there is a list.  An
-    entry that nothing could be compared with cannot clear anything.
-    """
-    in_list = lambda e: e["listed"] & F.coalesce(F.array_contains(e["versions"], version), F.lit(False))
-    in_range = lambda e: text.isNotNull() & versions.in_windows(text, e["windows"])
-    how = F.transform(entries, lambda e: F.when(in_list(e), "enumerated-version").when(in_range(e), "semver-range").when(~(e["listed"] | (text.isNotNull() & e["ranged"])), "indeterminate").otherwise("clear"))
-
-    def answer(found: Column) -> Column:
-        hit = F.get(F.filter(found, lambda x: x.isin("enumerated-version", "semver-range")), F.lit(0))
-        return F.coalesce(hit, F.when((F.size(found) == 0) | F.array_contains(found, "indeterminate"), "indeterminate").otherwise("clear"))
-
-    return F.element_at(F.transform(F.array(how), answer), 1)
-
-
 def nearest_module(lookups: DataFrame, modules: DataFrame) -> DataFrame:
     """``lookups`` (name, ...) that have a parent path among ``modules`` (module, ...), with the nearest such row.
 
@@ -113,26 +97,63 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
     return both.select(*components.columns, "ecosystem", matched.alias("matched_name"), F.col("via").alias("via_module"), state.alias("status"), F.when(state == "affected", hits).alias("hits"), F.when(state != "unknown", malicious).alias("malicious"), reason.alias("why"))
 
 
+def _slim(a: Column) -> Column:
+    return F.struct(a["id"].alias("id"), a["ids"].alias("ids"), a["known_exploited"].alias("known_exploited"))
+
+
+def _blind(entries: Column, with_ranges: bool) -> Column:
+    """Is there an entry that a version cannot be compared with? With ``with_ranges`` a range that can be compared counts, as for a version that has an order."""
+    known = lambda e: e["listed"] | e["ranged"] if with_ranges else e["listed"]
+    return (F.size(entries) == 0) | F.exists(entries, lambda e: ~known(e))
+
+
+def hits_of(points: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(ecosystem, target, version, found, blind_text, blind): the advisories that hold a version, and how many of those have an entry that it cannot be compared with.
+
+    ``points``: distinct ecosystem, target (the name to ask), version, text (its key text
+    or NULL).  A list of versions is an equi-join; windows meet the points of their name
+    as slim rows and are tested while they are joined, so that only hits are kept and a
+    popular name is split by its join.  Of an advisory's entries the first that hits says how.
+    """
+    each = indexed.select("ecosystem", F.col("name").alias("target"), F.explode("vulnerabilities").alias("a"))
+    entries = each.select("ecosystem", "target", _slim(F.col("a")).alias("a"), _blind(F.col("a.entries"), True).alias("blind_text"), _blind(F.col("a.entries"), False).alias("blind"), F.posexplode("a.entries").alias("at", "e"))
+    kept = ["ecosystem", "target", "version", "a", "blind_text", "blind", "at"]
+    listed = entries.select("*", F.explode("e.versions").alias("version")).join(points, ["ecosystem", "target", "version"]).select(*kept, F.lit(0).alias("how"))
+    windows = entries.select(*[c for c in kept if c != "version"], F.inline("e.windows"))
+    inside = (F.col("low") <= F.col("text")) & (F.col("high").isNull() | (F.col("text") < F.col("high")) | (F.col("closed") & (F.col("text") == F.col("high"))))
+    ranged = windows.join(points.where("text IS NOT NULL"), ["ecosystem", "target"]).where(inside).select(*kept, F.lit(1).alias("how"))
+    key = ["ecosystem", "target", "version"]
+    one = listed.unionByName(ranged).groupBy(*key, F.col("a.id").alias("id")).agg(F.min(F.struct("at", "how")).alias("first"), F.first("a").alias("a"), F.first("blind_text").alias("blind_text"), F.first("blind").alias("blind"))
+    method = F.when(F.col("first.how") == 0, "enumerated-version").otherwise("semver-range")
+    by = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", F.struct("a", method.alias("method")).alias("hit")))).alias("found"), F.count_if("blind_text").alias("blind_text"), F.count_if("blind").alias("blind"))
+    return by.withColumn("found", F.transform("found", lambda x: x["hit"]))
+
+
 def verdicts(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     """``asked`` (distinct ecosystem, name, version) with via, status, found, malicious_found and unclear.
 
     A name without vulnerabilities of its own is asked again by its nearest parent path,
     for ecosystems whose names are paths (``PATHS``).
     """
-    exact = asked.join(indexed, ["ecosystem", "name"], "left")
-    none = F.coalesce(F.size("vulnerabilities"), F.lit(0)) <= 0
-    paths = exact.where(F.col("ecosystem").isin(*PATHS) & none).select("name").distinct()
-    modules = indexed.where(F.col("ecosystem").isin(*PATHS) & (F.size("vulnerabilities") > 0)).select(F.col("name").alias("module"), F.col("vulnerabilities").alias("__va"), F.col("malicious").alias("__ma"))
-    near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"), "__va", "__ma")
-    both = exact.withColumn("__path", F.when(F.col("ecosystem").isin(*PATHS) & none, F.col("name"))).join(near, "__path", "left")
-    empty = lambda c: F.coalesce(c, F.array().cast(indexed.schema["vulnerabilities"].dataType))
-    slim = lambda a: F.struct(a["id"].alias("id"), a["ids"].alias("ids"), a["known_exploited"].alias("known_exploited"))
-    both = both.select("ecosystem", "name", "version", "via", empty(F.coalesce("__va", "vulnerabilities")).alias("__a"), F.transform(empty(F.when(F.col("via").isNotNull(), F.col("__ma")).otherwise(F.col("malicious"))), slim).alias("malicious_found"), versions.key_text(versions.semver_key(F.col("version"))).alias("__text"))
-    both = both.withColumn("__o", F.transform("__a", lambda a: outcome(a["entries"], F.col("version"), F.col("__text"))))
-    hit = F.filter(F.transform("__a", lambda a, i: F.struct(slim(a).alias("a"), F.get("__o", i).alias("method"))), lambda x: x["method"].isin("enumerated-version", "semver-range"))
-    unclear = F.size(F.filter("__o", lambda x: x == "indeterminate"))
+    # Both are read several times; telling names from package URLs and preparing ranges are the dear parts.
+    indexed, asked = written(indexed, "advisories"), written(asked, "asked")
+    known = indexed.select("ecosystem", "name", (F.size("vulnerabilities") > 0).alias("__has"))
+    exact = asked.join(known, ["ecosystem", "name"], "left")
+    none = F.col("ecosystem").isin(*PATHS) & ~F.coalesce("__has", F.lit(False))
+    paths = exact.where(none).select("name").distinct()
+    modules = known.where(F.col("ecosystem").isin(*PATHS) & F.col("__has")).select(F.col("name").alias("module"))
+    near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"))
+    both = exact.withColumn("__path", F.when(none, F.col("name"))).join(near, "__path", "left")
+    both = both.select("ecosystem", "name", "version", "via", F.coalesce("via", "name").alias("target"), versions.key_text(versions.semver_key(F.col("version"))).alias("text"))
+    hits = hits_of(both.select("ecosystem", "target", "version", "text").distinct(), indexed)
+    count = lambda ranges: F.size(F.filter("vulnerabilities", lambda a: _blind(a["entries"], ranges)))
+    of_name = indexed.select("ecosystem", F.col("name").alias("target"), count(True).alias("__blind_text"), count(False).alias("__blind"), F.transform("malicious", _slim).alias("malicious_found"))
+    both = both.join(hits, ["ecosystem", "target", "version"], "left").join(of_name, ["ecosystem", "target"], "left")
+    rest = lambda all_of, hit: F.coalesce(F.col(all_of) - F.coalesce(hit, F.lit(0)), F.lit(0))
+    unclear = F.when(F.col("text").isNotNull(), rest("__blind_text", "blind_text")).otherwise(rest("__blind", "blind")).cast("int")
+    empty = lambda c, of: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
     status = F.when(F.size("found") > 0, "affected").when(F.col("unclear") > 0, "unknown").otherwise("clear")
-    return both.select("ecosystem", "name", "version", "via", "malicious_found", hit.alias("found"), unclear.alias("unclear")).withColumn("status", status)
+    return both.select("ecosystem", "name", "version", "via", empty("malicious_found", of_name), empty("found", hits), unclear.alias("unclear")).withColumn("status", status)
 
 
 def tally(verdicts: DataFrame) -> DataFrame:
