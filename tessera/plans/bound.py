@@ -796,6 +796,13 @@ def mirror_rows(spark, sf):
     return mirrors.open_mirror(spark, _mirror_folder(spark, sf))[0].select("kind", "ecosystem", "name", "id", "source")
 
 
+@query("""SELECT lower(p_brand) AS ecosystem, count(*) AS advisories, false AS broken FROM part WHERE p_partkey % 7 = 0 GROUP BY ALL""")
+def mirror_asked_shards(spark, sf):
+    """Malicious packages by ecosystem: of a mirror's shards only those of that kind are read."""
+    rows = mirrors.open_mirror(spark, _mirror_folder(spark, sf))[0].where("kind = 'malicious'")
+    return rows.groupBy("ecosystem").agg(F.count("id").alias("advisories"), F.bool_or(F.col("problem").isNotNull()).alias("broken"))
+
+
 @query(f"WITH {FOUND}, f AS (SELECT doc_id, rule_id, count(*) AS m FROM found GROUP BY ALL) SELECT d.doc_id, 'cyclonedx' AS format, r.rule_id, CAST(coalesce(m, 0) AS INT) AS n FROM docs d CROSS JOIN (VALUES ('R1-PURL'), ('R2-SUPPLIER'), ('R3-VERSION'), ('R4-LICENCE'), ('R5-TIME'), ('R6-NAMED')) r(rule_id) LEFT JOIN f ON f.doc_id = d.doc_id AND f.rule_id = r.rule_id")
 def golden_records(spark, sf):
     """Stable records of a run: every rule that ran, those that pass with an empty list."""

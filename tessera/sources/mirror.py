@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.advisories import AFFECTED
+from . import shards as shard_files
 from .documents import read_archives
 
 VERSION = 1
@@ -43,7 +45,9 @@ def counts(rows: DataFrame) -> DataFrame:
 def build(exports: DataFrame, kev: DataFrame, folder: str, fetched_at: str) -> None:
     """Write a mirror from zip exports (path, content, and ecosystem where it is known) and the catalogue of exploited ids.
 
-    Shards are partitions by kind and ecosystem.  ``sources`` has a row for each export
+    Shards are files by kind and ecosystem, and with the other tables a generation; the
+    manifest that puts it in force comes last, so a run that fails at any point leaves
+    the mirror before it whole.  ``sources`` has a row for each export
     with its counts and its problem, NULL for none.  An export mirrors its ``ecosystem``
     as given, or else its file's name without the ending, and those that its entries
     name; so an empty or a broken export is still known as mirrored, and a broken one
@@ -57,15 +61,20 @@ def build(exports: DataFrame, kev: DataFrame, folder: str, fetched_at: str) -> N
     problems = read.where("problem IS NOT NULL").groupBy("source").agg(F.min(F.concat_ws(": ", "entry", "problem")).alias("problem"))
     entries = read.where("problem IS NULL").where(F.endswith("entry", F.lit(".json")))
     rows = compact(entries.select("source", F.decode("content", "UTF-8").alias("raw")))
-    shards_of = rows.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(16)))
-    shards_of.repartition("kind", "ecosystem", "__part").drop("__part").write.mode("overwrite").partitionBy("kind", "ecosystem").parquet(f"{folder}/advisories")
-    written = spark.read.schema(rows.schema).parquet(f"{folder}/advisories")
+    generation = uuid.uuid4().hex
+    spread = rows.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(16))).repartition("kind", "ecosystem", "__part").sortWithinPartitions("kind", "ecosystem", "name", "id")
+    shard_files.register(spark)
+    shape = spark.createDataFrame([], shard_files.SCHEMA).schema
+    target = {"path": folder, "generation": generation}
+    spread.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape]).write.format(shard_files.FORMAT).options(publish="false", **target).mode("overwrite").save()
+    written = spark.read.format(shard_files.FORMAT).options(**target).load()
     seen = written.groupBy("source").agg(F.count_distinct(F.when(F.col("kind") == "vulnerability", F.col("id"))).alias("vulnerabilities"), F.count_distinct(F.when(F.col("kind") == "malicious", F.col("id"))).alias("malicious"), F.collect_set("ecosystem").alias("__seen"))
     out = files.join(seen, "source", "left").join(problems, "source", "left").fillna(0, ["vulnerabilities", "malicious"])
     held = F.array_sort(F.array_distinct(F.concat(F.coalesce("__seen", F.array().cast("array<string>")), F.array("stated"))))
     out = out.select("source", "sha256", "vulnerabilities", "malicious", held.alias("ecosystems"), F.col("stated").alias("ecosystem"), "problem", F.lit(fetched_at).alias("fetched_at"), F.lit(VERSION).alias("schema_version"))
-    out.write.mode("overwrite").parquet(f"{folder}/sources")
-    kev.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/kev")
+    out.write.parquet(f"{folder}/data/{generation}/sources")
+    kev.select("id").distinct().write.parquet(f"{folder}/data/{generation}/kev")
+    shard_files.publish(folder, generation, {"fetched_at": fetched_at, "schema_version": VERSION})
 
 
 def read_kev(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
@@ -82,16 +91,25 @@ def read_kev(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
 
 
 def open_mirror(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(advisories, kev, sources) of a mirror; refuses one of another schema version.  A mirror without a catalogue has an empty one."""
-    sources = spark.read.parquet(f"{folder}/sources")
-    other = sources.where(F.col("schema_version") != VERSION)
-    if not other.isEmpty():
+    """(advisories, kev, sources) of the mirror in force; refuses one of another schema version.
+
+    ``advisories`` has a row with a ``problem`` for each file that cannot be read, and
+    filters on kind and ecosystem read the shards asked for alone.
+    """
+    held = shard_files.newest(folder)
+    if held is None:
+        raise FileNotFoundError(f"{folder} holds no mirror")
+    if held.get("schema_version") != VERSION:
         raise ValueError(f"the mirror has another schema version than {VERSION}")
-    try:
-        kev = spark.read.schema("id string").parquet(f"{folder}/kev")
-    except AnalysisException:
-        kev = spark.createDataFrame([], "id string")
-    return spark.read.parquet(f"{folder}/advisories"), kev, sources
+    shard_files.register(spark)
+    at = f"{folder}/data/{held['generation']}"
+    rows = spark.read.format(shard_files.FORMAT).options(path=folder, generation=held["generation"]).load()
+    return rows, spark.read.schema("id string").parquet(f"{at}/kev"), spark.read.parquet(f"{at}/sources")
+
+
+def shard_problems(rows: DataFrame) -> DataFrame:
+    """(ecosystem, problem) of shards that could not be read, for :func:`shards` and :func:`status`."""
+    return rows.where("problem IS NOT NULL").select("ecosystem", "problem").distinct()
 
 
 def shards(sources: DataFrame, problems: DataFrame | None = None) -> DataFrame:

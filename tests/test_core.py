@@ -616,6 +616,68 @@ def test_mirror_build_and_open(spark, tmp_path):
     assert json.loads(mirror.manifest(sources))
 
 
+def _shard_rows(spark, n, fails=False):
+    from tessera.sources import shards
+
+    eco = F.concat(F.lit("e"), (F.col("id") % 3).cast("string"))
+    kind = F.when(F.col("id") % 2 == 0, "malicious").otherwise("vulnerability")
+    name = F.concat(F.lit("n"), F.col("id").cast("string"))
+    if fails:
+        name = F.when(F.col("id") == n - 1, F.raise_error(F.lit("lost"))).otherwise(name)
+    rows = spark.range(0, n, 1, 3).select(F.lit("s").alias("source"), kind.alias("kind"), eco.alias("ecosystem"), name.alias("name"), F.col("id").cast("string").alias("id"), F.array(F.lit("A")).alias("aliases"))
+    shape = spark.createDataFrame([], shards.SCHEMA).schema
+    rows = rows.withColumn("summary", F.lit(None)).withColumn("affected", F.lit(None))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape]).sortWithinPartitions("kind", "ecosystem")
+
+
+def test_shards_commit_whole_or_not_at_all(spark, tmp_path):
+    from tessera.sources import shards
+
+    folder = str(tmp_path / "m")
+    shards.register(spark)
+    save = lambda rows: rows.write.format(shards.FORMAT).option("path", folder).mode("overwrite").save()
+    load = lambda: spark.read.format(shards.FORMAT).option("path", folder).load()
+    save(_shard_rows(spark, 60))
+    first = shards.newest(folder)
+    with pytest.raises(Exception, match="lost"):
+        save(_shard_rows(spark, 90, fails=True))
+    assert shards.newest(folder) == first and load().count() == 60
+    assert [p.name for p in (tmp_path / "m" / "data").iterdir()] == [first["generation"]]
+    save(_shard_rows(spark, 90))
+    assert shards.newest(folder)["number"] == 2 and load().count() == 90 and load().where("problem IS NOT NULL").count() == 0
+    with pytest.raises(Exception, match="overwrite"):
+        _shard_rows(spark, 5).write.format(shards.FORMAT).option("path", folder).mode("append").save()
+    save(_shard_rows(spark, 60).limit(0))
+    assert load().count() == 0
+
+
+def test_only_asked_shards_are_read_and_broken_ones_are_rows(spark, tmp_path):
+    from pathlib import Path
+
+    from tessera.sources import mirror, shards
+
+    folder = str(tmp_path / "m")
+    shards.register(spark)
+    _shard_rows(spark, 60).write.format(shards.FORMAT).option("path", folder).mode("overwrite").save()
+    read = spark.read.format(shards.FORMAT).option("path", folder).load()
+    listed = shards.newest(folder)["shards"]
+    assert read.rdd.getNumPartitions() == 1
+    read = spark.read.format(shards.FORMAT).options(path=folder, packBytes="0").load()
+    ask = read.where("ecosystem = 'e1' AND kind IN ('malicious', 'other')")
+    assert ask.rdd.getNumPartitions() == sum(s["ecosystem"] == "e1" and s["kind"] == "malicious" for s in listed) < len(listed)
+    assert sorted(int(r.id) for r in ask.collect()) == [i for i in range(60) if i % 3 == 1 and i % 2 == 0]
+    assert read.where("ecosystem = 'none'").count() == 0
+    assert read.where("name = 'n7' AND ecosystem = 'e1'").count() == 1
+    for s in listed:
+        if s["ecosystem"] == "e0":
+            Path(folder, s["path"]).write_bytes(b"PAR1 no")
+        if s["ecosystem"] == "e2" and s["kind"] == "malicious":
+            Path(folder, s["path"]).unlink()
+    assert {r.ecosystem for r in mirror.shard_problems(read).collect()} == {"e0", "e2"}
+    assert read.where("ecosystem = 'e1' AND problem IS NULL").count() == 20
+    assert {int(r.id) for r in read.where("ecosystem = 'e2' AND id IS NOT NULL").collect()} == {i for i in range(60) if i % 3 == 2 and i % 2 == 1}
+
+
 def test_documents_read_leniently(spark, tmp_path):
     from tessera.sources import documents
 
