@@ -326,12 +326,14 @@ def shingle_prints(docs: DataFrame, words: int, tables: int, rows: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def links_by_jaccard(members: list[tuple[list[int], np.ndarray, int]], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among (keys, shingles, node): a key in common, and exact Jaccard ``similarity`` or more.
+def links_by_jaccard(members: list[tuple[list[int], np.ndarray, int, int | None]], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among (keys, shingles, node, part): a key in common, and exact Jaccard ``similarity`` or more.
 
-    Members that are already in one part are not compared; a pair that has failed is not tried again.
+    Members that are already in one part, or come with the same ``part``, are not
+    compared; a pair that has failed is not tried again.
     """
-    parent = list(range(len(members)))
+    first: dict[int, int] = {}
+    parent = [i if m[3] is None else first.setdefault(m[3], i) for i, m in enumerate(members)]
     out, failed = [], set()
 
     def root(i: int) -> int:
@@ -365,7 +367,7 @@ def links_by_jaccard(members: list[tuple[list[int], np.ndarray, int]], similarit
         return False
 
     holders: dict[int, list[int]] = {}
-    for i, (keys, _, _) in enumerate(members):
+    for i, (keys, *_) in enumerate(members):
         for k in keys:
             holders.setdefault(k, []).append(i)
     for held in holders.values():
@@ -397,36 +399,99 @@ def _verify(shards: DataFrame, keys: list[str], similarity: float) -> DataFrame:
 
         at, members = None, []
         for b in pieces(batches):
-            for *key, node, shared, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *key, node, shared, part, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != at:
                     if len(members) > 1:
                         yield made(members)
                     at, members = key, []
-                members.append((shared, np.frombuffer(shingles, np.uint64), node))
+                members.append((shared, np.frombuffer(shingles, np.uint64), node, part))
         yield made(members)
 
-    return shards.select(*keys, "node", "keys", "shingles").mapInArrow(run, "src long, dst long")
+    together = shards.select(*keys, "node", "keys", "part", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(run, "src long, dst long")
+
+
+def with_totals(rows: DataFrame, by: str, *totals: Column, most_heavy: int = 1000) -> DataFrame:
+    """``rows`` (a written table) with ``totals`` of their group in ``by``.
+
+    Sums are taken before the shuffle; a group with more than a ``most_heavy``-th of all
+    rows is no key of a shuffle: there are fewer than ``most_heavy`` such, and their
+    totals are broadcast.
+    """
+    found = materialise(rows.groupBy(by).agg(*totals, F.count("*").alias("__rows")), "totals")
+    least = (found.agg(F.sum("__rows")).first()[0] or 0) // most_heavy
+    heavy = F.broadcast(found.where(F.col("__rows") > least).drop("__rows"))
+    light = found.where(F.col("__rows") <= least).drop("__rows")
+    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by))
 
 
 def jaccard_links(classes: DataFrame, shingles: DataFrame, similarity: float, shard_limit: int, shingle_limit: int) -> DataFrame:
     """(src, dst): spanning forests of the verified links among classes that share a key.
 
     Classes that hang together by keys are one group, and only groups get their shingles.
-    A group of more than ``shard_limit`` classes or ``shingle_limit`` shingles is cut into
-    blocks, and each pair of blocks is a shard: memory stays bounded and no link is lost.
+    A group of at most ``shard_limit`` classes and ``shingle_limit`` shingles is a shard.
+    A larger one falls apart into the buckets of its keys, and a bucket that is larger
+    still into bands of lengths, since similar texts are of similar lengths; so a class
+    is copied at most twice a key, however large its group.  See :func:`_large_buckets`
+    for what is still too large.
     """
-    dealt = classes.select("node", F.explode("keys").alias("key")).withColumn("least", F.min("node").over(Window.partitionBy("key")))
-    hung = components(dealt.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
+    dealt = materialise(classes.select("node", F.explode("keys").alias("key")), "dealt")
+    met = materialise(with_totals(dealt, "key", F.min("node").alias("least"), F.count("*").alias("__n")).where("__n > 1").select("node", "key", "least"), "met")
+    hung = components(met.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
     hung = hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
-    group = Window.partitionBy("component")
-    members = classes.join(hung, "node").withColumn("__n", F.count("*").over(group)).withColumn("__s", F.sum("n").over(group))
-    blocks = F.least(F.col("__n"), F.greatest(F.ceil(F.col("__n") / shard_limit), F.ceil(F.col("__s") / shingle_limit), F.lit(1))).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    members = materialise(classes.join(hung, "node"), "members")
+    members = materialise(with_totals(members, "component", F.count("*").alias("__n"), F.sum("n").alias("__s")), "members")
     held = shingles.join(members.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "shingles")
-    shards = members.select("node", "digest", "keys", "component", F.inline(pairs)).join(held, "digest")
-    keys = ["component", "i", "j"]
-    return _verify(shards.repartition(*keys).sortWithinPartitions(*keys), keys, similarity)
+    nothing = F.lit(None).cast("long").alias("part")
+    fits = (F.col("__n") <= shard_limit) & (F.col("__s") <= shingle_limit)
+    found = _verify(members.where(fits).select("node", "digest", "keys", "component", nothing).join(held, "digest"), ["component"], similarity)
+    large = members.where(~fits).select("node", "digest", "n")
+    if large.isEmpty():
+        return found
+    found = materialise(found, "links")
+    shared = F.array(F.lit(0).cast("long")).alias("keys")
+    buckets = materialise(met.select("node", "key").join(large, "node"), "buckets")
+    sized = materialise(with_totals(buckets, "key", F.count("*").alias("__n"), F.sum("n").alias("__s")), "buckets")
+    found = found.unionByName(materialise(_verify(sized.where(fits).select("node", "digest", shared, "key", nothing).join(held, "digest"), ["key"], similarity), "links"))
+    over = sized.where(~fits)
+    if over.isEmpty():
+        return found
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("long")
+    banded = over.select("node", "digest", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
+    return _large_buckets(materialise(banded.distinct(), "bands"), held, found, similarity, shard_limit, shingle_limit)
+
+
+def _large_buckets(rows: DataFrame, held: DataFrame, found: DataFrame, similarity: float, shard_limit: int, shingle_limit: int) -> DataFrame:
+    """``found`` and the links within buckets (node, digest, n, key) of any size.
+
+    A bucket is cut into pieces, each with the bucket's smallest node as pivot.  In a
+    bucket of copies every piece hangs on the pivot then, and nothing is left to do.
+    Only members outside the pivot's component are compared with all other pieces:
+    that many rows more, none where all hang together.  No link is lost, for two
+    members of one component need none.
+    """
+    shared = F.array(F.lit(0).cast("long")).alias("keys")
+    sized = materialise(with_totals(rows, "key", F.count("*").alias("__n"), F.sum("n").alias("__s"), F.min("node").alias("pivot")).where("__n > 1"), "sized")
+    cut = F.least(F.col("__n"), F.greatest(F.ceil(F.col("__n") / shard_limit), F.ceil(F.col("__s") / shingle_limit), F.lit(1))).cast("int")
+    sized = sized.withColumn("cuts", cut).withColumn("piece", F.pmod(F.xxhash64("digest"), "cuts").cast("int"))
+    own = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("piece"))
+    pieces_of = sized.select("node", "digest", shared, "key", F.lit(None).cast("long").alias("part"), F.explode(own).alias("piece"))
+    found = found.unionByName(materialise(_verify(pieces_of.join(held, "digest"), ["key", "piece"], similarity), "links"))
+    parts = materialise(components(found), "parts")
+    named = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    joined = materialise(sized.join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "joined")
+    pivot_part = with_totals(joined, "key", F.max(F.when(F.col("node") == F.col("pivot"), F.col("part"))).alias("pivot_part"))
+    apart = materialise(pivot_part.withColumn("apart", (F.col("part") != F.col("pivot_part")).cast("int")), "apart")
+    left = with_totals(apart, "key", F.sum("apart").alias("__u"), F.sum(F.col("apart") * F.col("n")).alias("__us")).where("__u > 0")
+    if left.isEmpty():
+        return found
+    strays = F.least(F.col("__u"), F.greatest(F.ceil(F.col("__u") / shard_limit), F.ceil(F.col("__us") / shingle_limit), F.lit(1))).cast("int")
+    left = left.withColumn("strays", strays).withColumn("stray", F.pmod(F.xxhash64("digest", F.lit(1)), "strays").cast("int"))
+    beside = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("i"), F.col("piece").alias("j")))
+    across = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.col("stray").alias("i"), j.alias("j")))
+    both = F.when(F.col("apart") == 1, F.array_union(beside, across)).otherwise(beside)
+    shards = left.select("node", "digest", shared, "key", "part", F.inline(both))
+    return found.unionByName(_verify(shards.join(held, "digest"), ["key", "i", "j"], similarity))
 
 
 def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tables: int = 32, rows: int = 6, shard_limit: int = 1000, shingle_limit: int = 1_000_000) -> DataFrame:
