@@ -1,8 +1,8 @@
 """Matching components to advisories, with three-valued verdicts.
 
-Every distinct (ecosystem, name, version) is asked once, not once a component.  Listed
-versions and the windows of ranges are rows that meet the asked versions of their name;
-what could not be compared is counted for a name and taken off for its hits.  ``clear`` needs a comparison that
+Every distinct (ecosystem, name, version) is asked once, not once a component.  A name's
+advisories that say the same are one class.  Listed versions and the windows of classes
+are rows that meet the asked versions of their name; what could not be compared is counted for a name and taken off for its hits.  ``clear`` needs a comparison that
 really ran: whatever could not be looked up or compared makes ``unknown``.
 """
 
@@ -73,28 +73,58 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
     """``components`` (name, version, purl, declared) with their verdicts.
 
     ``shards`` (ecosystem, loaded) names what the mirror holds and whether it could be
-    read.  Adds ecosystem, matched_name, via_module, status, hits, malicious, why.
+    read.  Adds ecosystem, matched_name, via_module, status, hits, malicious, why, and the
+    counts n_hits, n_exploited, n_undeclared and n_malicious, which a caller that needs no
+    lists should take: then no list goes through a shuffle.  Lists are made once for each
+    distinct (ecosystem, name, version, declared).
     """
-    keyed = components.withColumn("__k", purl.purl_key(purl.purl_parts(F.col("purl"))))
-    keyed = keyed.withColumn("ecosystem", F.col("__k.ecosystem")).withColumn("__n", F.col("__k.name")).withColumn("__v", F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("version", F.lit(""))))
-    keyed = keyed.join(F.broadcast(shards.select(F.col("ecosystem").alias("__e"), "loaded")), F.col("ecosystem") == F.col("__e"), "left").drop("__e")
+    rows = components.withColumns({"__p": F.coalesce("purl", F.lit("")), "__w": F.coalesce("version", F.lit("")), "__d": F.coalesce("declared", F.array().cast("array<string>"))})
+    raw = ["__p", "__w", "__d"]
+    # Package URLs are parsed once for each distinct one, which is the dear part.
+    keyed = rows.select(*raw).distinct().withColumn("__k", purl.purl_key(purl.purl_parts(F.col("__p"))))
+    keyed = keyed.select(*raw, F.col("__k.ecosystem").alias("ecosystem"), F.col("__k.name").alias("name"), F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("__w", F.lit(""))).alias("__v"), F.col("__k.why").alias("__unread"))
+    keyed = keyed.join(F.broadcast(shards.select("ecosystem", "loaded")), "ecosystem", "left")
     why = (
-        F.when(F.coalesce("purl", F.lit("")) == "", "no package URL")
-        .when(F.col("__k.ecosystem").isNull(), F.col("__k.why"))
+        F.when(F.col("__p") == "", "no package URL")
+        .when(F.col("ecosystem").isNull(), F.col("__unread"))
         .when(F.col("__v").isNull(), "no version")
         .when(F.col("loaded").isNull(), "ecosystem not mirrored")
         .when(~F.col("loaded"), "index did not load")
     )
-    keyed = keyed.withColumn("__why", why)
-    asked = keyed.where("__why IS NULL").select("ecosystem", F.col("__n").alias("name"), F.col("__v").alias("version")).distinct()
-    answered = verdicts(asked, indexed).select(F.col("ecosystem").alias("__e"), F.col("name").alias("__name"), F.col("version").alias("__version"), "via", "status", "found", "malicious_found", "unclear")
-    both = keyed.join(answered, (F.col("ecosystem") == F.col("__e")) & (F.col("__n") == F.col("__name")) & (F.col("__v") == F.col("__version")), "left")
-    matched, declared = F.coalesce("via", "__n"), F.coalesce("declared", F.array().cast("array<string>"))
-    hits = F.transform("found", lambda x: _hit(x["a"], x["method"], matched, declared))
-    malicious = F.transform("malicious_found", lambda a: _hit(a, F.lit("enumerated-version"), matched, declared))
+    keyed = written(keyed.select(*raw, "ecosystem", "name", "__v", why.alias("__why")), "asked")
+    asked = keyed.where("__why IS NULL").select("ecosystem", "name", F.col("__v").alias("version"), F.col("__d").alias("declared")).distinct()
+    classes, malicious = classed(indexed)
+    answered = verdicts(asked.select("ecosystem", "name", "version").distinct(), classes)
+    answered = _with_hits(asked.join(answered, ["ecosystem", "name", "version"]), classes, malicious)
+    answered = answered.select(F.col("ecosystem").alias("__e"), F.col("name").alias("__name"), F.col("version").alias("__version"), F.col("declared").alias("__declared"), "via", "status", "unclear", "hits", "malicious", *COUNTS)
+    told = keyed.join(answered, F.col("__why").isNull() & (F.col("ecosystem") == F.col("__e")) & (F.col("name") == F.col("__name")) & (F.col("__v") == F.col("__version")) & (F.col("__d") == F.col("__declared")), "left")
     state = F.when(F.col("__why").isNotNull(), "unknown").otherwise(F.col("status"))
     reason = F.when(state == "unknown", F.coalesce("__why", F.concat(F.col("unclear").cast("string"), F.lit(" advisories could not be compared"))))
-    return both.select(*components.columns, "ecosystem", matched.alias("matched_name"), F.col("via").alias("via_module"), state.alias("status"), F.when(state == "affected", hits).alias("hits"), F.when(state != "unknown", malicious).alias("malicious"), reason.alias("why"))
+    counts = [F.when((state != "unknown") if c == "n_malicious" else (state == "affected"), F.col(c)).otherwise(0).alias(c) for c in COUNTS]
+    told = told.select(*raw, "ecosystem", F.coalesce("via", "name").alias("matched_name"), F.col("via").alias("via_module"), state.alias("status"), F.when(state == "affected", F.col("hits")).alias("hits"), F.when(state != "unknown", F.col("malicious")).alias("malicious"), reason.alias("why"), *counts)
+    return rows.join(told, raw, "left").select(*components.columns, *[c for c in told.columns if c not in raw])
+
+
+COUNTS = ("n_hits", "n_exploited", "n_undeclared", "n_malicious")
+
+
+def _with_hits(asked: DataFrame, classes: DataFrame, malicious: DataFrame) -> DataFrame:
+    """``asked`` (with target, via, found and declared) and its hits, malicious hits and ``COUNTS``.
+
+    Hits are spread from the classes of their name inside a row, in the order of ids; no
+    pair of a version and an advisory is a row of a shuffle.
+    """
+    of_name = classes.groupBy("ecosystem", "target").agg(F.map_from_entries(F.collect_list(F.struct("class", "members"))).alias("__members"))
+    of_name = of_name.join(malicious, ["ecosystem", "target"], "full")
+    rows = asked.join(of_name, ["ecosystem", "target"], "left")
+    here, declared = F.coalesce("via", "name"), F.col("declared")
+    spread = F.flatten(F.transform("found", lambda x: F.transform(F.element_at("__members", x["class"]), lambda a: _hit(a, x["method"], here, declared))))
+    hits = F.coalesce(F.array_sort(spread), F.array().cast("array<struct<id:string,known_exploited:boolean,method:string,matched_name:string,already_declared:boolean>>"))
+    known = F.flatten(F.transform("found", lambda x: F.transform(F.filter(F.element_at("__members", x["class"]), lambda a: F.arrays_overlap(a["ids"], declared)), lambda a: a["id"])))
+    bad = F.transform(F.coalesce("malicious_found", F.array().cast(malicious.schema["malicious_found"].dataType)), lambda a: _hit(a, F.lit("enumerated-version"), here, declared))
+    total = lambda c: F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + x[c])
+    undeclared = total("n") - F.when(F.size(declared) > 0, F.coalesce(F.size(known), F.lit(0))).otherwise(0)
+    return rows.select(*asked.columns, hits.alias("hits"), bad.alias("malicious"), total("n").alias("n_hits"), total("n_known").alias("n_exploited"), undeclared.alias("n_undeclared"), F.coalesce("__n_malicious", F.lit(0)).cast("long").alias("n_malicious"))
 
 
 def _slim(a: Column) -> Column:
@@ -107,60 +137,73 @@ def _blind(entries: Column, with_ranges: bool) -> Column:
     return (F.size(entries) == 0) | F.exists(entries, lambda e: ~known(e))
 
 
-def hits_of(points: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(ecosystem, target, version, found, blind_text, blind): the advisories that hold a version, and how many of those have an entry that it cannot be compared with.
+def classed(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Advisories of a name that say the same of versions, as one row; and a name's malicious ones.
+
+    (ecosystem, target, class, entries, n, n_known, members) and (ecosystem, target,
+    malicious_found, __n_malicious).  A class is named by its smallest id.  Both are
+    written, since preparing ranges is dear and they are read several times.
+    """
+    indexed = written(indexed, "advisories")
+    each = indexed.select("ecosystem", F.col("name").alias("target"), F.inline("vulnerabilities"))
+    member = F.struct("id", "ids", "known_exploited")
+    classes = each.groupBy("ecosystem", "target", "entries").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.count_if("known_exploited").alias("n_known"), F.array_sort(F.collect_list(member)).alias("members"))
+    malicious = indexed.where(F.size("malicious") > 0).select("ecosystem", F.col("name").alias("target"), F.transform("malicious", _slim).alias("malicious_found"), F.size("malicious").alias("__n_malicious"))
+    return written(classes, "classes"), malicious
+
+
+def hits_of(points: DataFrame, classes: DataFrame) -> DataFrame:
+    """(ecosystem, target, version, found, blind_text, blind): the classes of advisories that hold a version, and how many of their advisories have an entry that it cannot be compared with.
 
     ``points``: distinct ecosystem, target (the name to ask), version, text (its key text
     or NULL).  A list of versions is an equi-join; windows meet the points of their name
     as slim rows and are tested while they are joined, so that only hits are kept and a
-    popular name is split by its join.  Of an advisory's entries the first that hits says how.
+    popular name is split by its join.  A hit is of a class, so its rows do not grow with
+    the advisories that say the same.  Of the entries the first that hits says how.
     """
-    each = indexed.select("ecosystem", F.col("name").alias("target"), F.explode("vulnerabilities").alias("a"))
-    entries = each.select("ecosystem", "target", _slim(F.col("a")).alias("a"), _blind(F.col("a.entries"), True).alias("blind_text"), _blind(F.col("a.entries"), False).alias("blind"), F.posexplode("a.entries").alias("at", "e"))
-    kept = ["ecosystem", "target", "version", "a", "blind_text", "blind", "at"]
+    entries = classes.select("ecosystem", "target", "class", "n", "n_known", _blind(F.col("entries"), True).alias("blind_text"), _blind(F.col("entries"), False).alias("blind"), F.posexplode("entries").alias("at", "e"))
+    kept = ["ecosystem", "target", "version", "class", "n", "n_known", "blind_text", "blind", "at"]
     listed = entries.select("*", F.explode("e.versions").alias("version")).join(points, ["ecosystem", "target", "version"]).select(*kept, F.lit(0).alias("how"))
     windows = entries.select(*[c for c in kept if c != "version"], F.inline("e.windows"))
     inside = (F.col("low") <= F.col("text")) & (F.col("high").isNull() | (F.col("text") < F.col("high")) | (F.col("closed") & (F.col("text") == F.col("high"))))
     ranged = windows.join(points.where("text IS NOT NULL"), ["ecosystem", "target"]).where(inside).select(*kept, F.lit(1).alias("how"))
     key = ["ecosystem", "target", "version"]
-    one = listed.unionByName(ranged).groupBy(*key, F.col("a.id").alias("id")).agg(F.min(F.struct("at", "how")).alias("first"), F.first("a").alias("a"), F.first("blind_text").alias("blind_text"), F.first("blind").alias("blind"))
+    same = [F.first(c).alias(c) for c in ("n", "n_known", "blind_text", "blind")]
+    one = listed.unionByName(ranged).groupBy(*key, "class").agg(F.min(F.struct("at", "how")).alias("first"), *same)
     method = F.when(F.col("first.how") == 0, "enumerated-version").otherwise("semver-range")
-    by = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", F.struct("a", method.alias("method")).alias("hit")))).alias("found"), F.count_if("blind_text").alias("blind_text"), F.count_if("blind").alias("blind"))
-    return by.withColumn("found", F.transform("found", lambda x: x["hit"]))
+    weight = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c)
+    return one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("class", method.alias("method"), "n", "n_known"))).alias("found"), weight("blind_text"), weight("blind"))
 
 
-def verdicts(asked: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``asked`` (distinct ecosystem, name, version) with via, status, found, malicious_found and unclear.
+def verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """``asked`` (distinct ecosystem, name, version) with target, via, status, found and unclear.
 
     A name without vulnerabilities of its own is asked again by its nearest parent path,
     for ecosystems whose names are paths (``PATHS``).
     """
-    # Both are read several times; telling names from package URLs and preparing ranges are the dear parts.
-    indexed, asked = written(indexed, "advisories"), written(asked, "asked")
-    known = indexed.select("ecosystem", "name", (F.size("vulnerabilities") > 0).alias("__has"))
+    count = lambda ranges: F.sum(F.when(_blind(F.col("entries"), ranges), F.col("n")).otherwise(0))
+    of_name = classes.groupBy("ecosystem", "target").agg(count(True).alias("__blind_text"), count(False).alias("__blind"))
+    known = of_name.select("ecosystem", F.col("target").alias("name"), F.lit(True).alias("__has"))
     exact = asked.join(known, ["ecosystem", "name"], "left")
     none = F.col("ecosystem").isin(*PATHS) & ~F.coalesce("__has", F.lit(False))
     paths = exact.where(none).select("name").distinct()
-    modules = known.where(F.col("ecosystem").isin(*PATHS) & F.col("__has")).select(F.col("name").alias("module"))
+    modules = known.where(F.col("ecosystem").isin(*PATHS)).select(F.col("name").alias("module"))
     near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"))
     both = exact.withColumn("__path", F.when(none, F.col("name"))).join(near, "__path", "left")
     both = both.select("ecosystem", "name", "version", "via", F.coalesce("via", "name").alias("target"), versions.key_text(versions.semver_key(F.col("version"))).alias("text"))
-    hits = hits_of(both.select("ecosystem", "target", "version", "text").distinct(), indexed)
-    count = lambda ranges: F.size(F.filter("vulnerabilities", lambda a: _blind(a["entries"], ranges)))
-    of_name = indexed.select("ecosystem", F.col("name").alias("target"), count(True).alias("__blind_text"), count(False).alias("__blind"), F.transform("malicious", _slim).alias("malicious_found"))
+    hits = hits_of(both.select("ecosystem", "target", "version", "text").distinct(), classes)
     both = both.join(hits, ["ecosystem", "target", "version"], "left").join(of_name, ["ecosystem", "target"], "left")
     rest = lambda all_of, hit: F.coalesce(F.col(all_of) - F.coalesce(hit, F.lit(0)), F.lit(0))
-    unclear = F.when(F.col("text").isNotNull(), rest("__blind_text", "blind_text")).otherwise(rest("__blind", "blind")).cast("int")
-    empty = lambda c, of: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
+    unclear = F.when(F.col("text").isNotNull(), rest("__blind_text", "blind_text")).otherwise(rest("__blind", "blind"))
+    found = F.coalesce("found", F.array().cast(hits.schema["found"].dataType)).alias("found")
     status = F.when(F.size("found") > 0, "affected").when(F.col("unclear") > 0, "unknown").otherwise("clear")
-    return both.select("ecosystem", "name", "version", "via", empty("malicious_found", of_name), empty("found", hits), unclear.alias("unclear")).withColumn("status", status)
+    return both.select("ecosystem", "name", "version", "target", "via", found, unclear.alias("unclear")).withColumn("status", status)
 
 
 def tally(verdicts: DataFrame) -> DataFrame:
-    """Six counts over verdicts."""
-    count = lambda test: F.coalesce(F.sum(F.size(F.filter("hits", test))), F.lit(0))
-    only = verdicts.withColumn("hits", F.when(F.col("status") == "affected", F.col("hits")).otherwise(F.array().cast(verdicts.schema["hits"].dataType)))
-    return only.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("affected", "clear", "unknown")], count(lambda h: h["known_exploited"]).alias("known_exploited"), F.coalesce(F.sum(F.when(F.col("status") != "unknown", F.size("malicious"))), F.lit(0)).alias("malicious"), count(lambda h: ~h["already_declared"]).alias("undeclared"))
+    """Six counts over verdicts; no list of hits is read."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return verdicts.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("affected", "clear", "unknown")], total("n_exploited").alias("known_exploited"), total("n_malicious").alias("malicious"), total("n_undeclared").alias("undeclared"))
 
 
 def declared_by_ref(vulnerabilities: DataFrame) -> DataFrame:
