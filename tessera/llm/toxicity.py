@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, pieces, sampled_ids, ship, text_or_empty
+from .common import crc_mod, pieces, sampled_ids, ship
 
 BITS = 20
 MEMO = 200_000
 STEMS = (4, 5, 6)
 LEVELS = (1, 2, 4, 8)
+#: Indices in one row of a training set, so that an Arrow batch of any sets stays small (10,000 rows: 10 MB).
+CHUNK = 256
 _WORD = re.compile(r"\w+")
 _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -130,37 +132,52 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits: int
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).select("doc_id", "text", "__label")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.toxicity import feature_set, features
-
-        made = features(bits)
-        for b in pieces(batches):
-            sets = [feature_set(made(x.as_py()), bits).astype(np.int32) for x in b.column(1)]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at], names=["doc_id", "__label", "at"])
-
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.toxicity import Ftrl
 
-        data = []
+        found: dict = {}
         for b in batches:
-            sets, ends = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
-            data += [(i, int(y), sets[ends[k] : ends[k + 1]].copy()) for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))]
-        data.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], r[1], len(r[2])))
+            values, ends = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            for k, (i, y, c) in enumerate(zip(*(b.column(n).to_pylist() for n in range(3)), strict=True)):
+                found.setdefault((i, int(y)), []).append((c, values[ends[k] : ends[k + 1]]))
+        order = sorted(found, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0]))
+        for chunks in found.values():
+            chunks.sort(key=lambda c: c[0])
         model = Ftrl(bits)
         for _ in range(epochs):
-            for _, y, a in data:
-                model.learn(a, y)
-        if data:
-            w = model.weights()
-            at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w[at].tolist(), model.bias], pa.float64())], names=["at", "weight"])
-
-    sets = rows.mapInArrow(hashed, "doc_id long, __label int, at array<int>")
+            for row in order:  # put together when it is its turn: the batches are held once
+                model.learn(np.concatenate([a for _, a in found[row]]), row[1])
+        if order:
+            at = np.flatnonzero(np.abs(model.z) > model.l1)
+            w = model.weights(at)
+            at, w = at[w != 0], w[w != 0]
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w.tolist(), model.bias], pa.float64())], names=["at", "weight"])
+
+    sets = training_sets(rows, bits)
     return {r["at"]: r["weight"] for r in sets.repartition(1).mapInArrow(fit, MODEL).collect()}
 
 
+def training_sets(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """(doc_id, __label, chunk, at): the feature set of each row of (doc_id, text, __label), ``CHUNK`` indices a row; an empty set is one empty row."""
+    import pyarrow as pa
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.toxicity import CHUNK, feature_set, features
+
+        made = features(bits)
+        for b in pieces(batches):
+            sets = [feature_set(made(x.as_py()), bits).astype(np.int32) for x in b.column(1)]
+            chunks = [max(1, -(-len(s) // CHUNK)) for s in sets]
+            row = np.repeat(np.arange(len(sets)), chunks)
+            chunk = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in chunks]])
+            sizes = [min(CHUNK, len(sets[r]) - CHUNK * c) for r, c in zip(row.tolist(), chunk.tolist(), strict=True)]
+            ends = np.cumsum([0, *sizes], dtype=np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(chunk, pa.int32()), at], names=["doc_id", "__label", "chunk", "at"])
+
+    return rows.mapInArrow(hashed, "doc_id long, __label int, chunk int, at array<int>")
+
+
 def score(docs: DataFrame, weights: dict[int, float], *, bits: int = BITS, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` plus ``name``: the chance of label 1, from the whole text.
 
@@ -215,5 +232,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **ho
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **how: int) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; same columns."""
     weights = train(docs, labels, **how)
-    scored = score(docs.withColumn("__text", text_or_empty()), weights, bits=how.get("bits", BITS), text="__text", name="__score")
-    return scored.where(F.col("__score") < threshold).drop("__score", "__text")
+    scored = score(docs, weights, bits=how.get("bits", BITS), name="__score")
+    return scored.where(F.col("__score") < threshold).drop("__score")
