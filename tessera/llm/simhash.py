@@ -1,5 +1,9 @@
 """SimHash near-duplicates: fingerprints, BK-trees over sharded fingerprints, components.
 
+:func:`near_duplicates` stops there; :func:`keep_one` takes the same components as
+candidates that an exact comparison follows, and adds MinHash for texts that are alike
+although their fingerprints are not.
+
 Fingerprints within ``radius`` differing bits share all bits of some choice of
 bands (pigeonhole), so a shard is one choice of bands and their value, and every
 linked pair meets in a shard.  In a shard a BK-tree holds the fingerprints met so far,
@@ -240,6 +244,13 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, keep: tupl
     return docs.select(*names, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
+def print_components(prints: DataFrame, radius: int, shard_limit: int) -> DataFrame:
+    """(bits, component) of each distinct fingerprint of (bits, node): the smallest node that links of ``radius`` bits reach."""
+    classes = materialise(prints.groupBy("bits").agg(F.min("node").alias("node")), "classes")
+    parts = components(links(classes, radius, shard_limit))
+    return classes.join(parts, "node", "left").select("bits", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, shard_limit: int = 20_000) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -249,10 +260,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, shard_l
     empty table gives none.  Other columns of ``docs`` are not read.
     """
     prints = materialise(fingerprints(docs, words=words), "prints")
-    classes = materialise(prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")), "classes")
-    parts = components(links(classes, radius, shard_limit))
-    named = classes.join(parts, "node", "left").select(F.col("bits").alias("b"), F.coalesce("component", "node").alias("component_id"))
-    joined = prints.join(named, F.col("bits") == F.col("b"), "left")
+    named = print_components(prints.where("doc_id IS NOT NULL").select("bits", F.col("doc_id").alias("node")), radius, shard_limit)
+    joined = prints.join(named.select(F.col("bits").alias("b"), F.col("component").alias("component_id")), F.col("bits") == F.col("b"), "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -305,27 +314,59 @@ class Shingles:
         return np.unique(shingles)
 
 
+def shingle_print(shingles: np.ndarray) -> int:
+    """The SimHash fingerprint of distinct shingle hashes, signed; none have fingerprint 0."""
+    return int.from_bytes(majority(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)), "big", signed=True) if len(shingles) else 0
+
+
 def shingle_prints(docs: DataFrame, words: int, tables: int, rows: int) -> DataFrame:
-    """doc_id, ``digest`` (of the shingles), ``n`` shingles, ``keys`` (``tables`` numbers), ``shingles`` (8 bytes each) of each whole text."""
+    """doc_id, ``digest`` (of the shingles), ``n`` shingles, ``bits`` (their fingerprint) and ``keys`` (``tables`` numbers) of each whole text."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.simhash import Shingles
+        from tessera.llm.simhash import Shingles, shingle_print
 
         made = Shingles(words, tables, rows)
         for b in pieces(batches):
-            got = [made(v.as_py() or "") for v in b.column(1)]
-            keys = pa.array([made.keys(s) for s in got], pa.list_(pa.int64()))
-            digests = pa.array([xxhash.xxh3_128_digest(s) for s in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in got], pa.int64()), keys, pa.array([s.tobytes() for s in got], pa.binary())], names=["doc_id", "digest", "n", "keys", "shingles"])
-
-    fields = [("digest", T.BinaryType()), ("n", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("shingles", T.BinaryType())]
+            found = []
+            for v in b.column(1):
+                s = made(v.as_py() or "")
+                found.append((xxhash.xxh3_128_digest(s), len(s), shingle_print(s), made.keys(s)))
+            digests, sizes, bits, keys = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bits", "keys"])
+
+    fields = [("digest", T.BinaryType()), ("n", T.LongType()), ("bits", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, t) for c, t in fields]])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def with_shingles(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``members`` (node, digest, ...) with ``shingles`` (8 bytes each), made again from the text of the document ``node``.
+
+    They weigh more than the texts, so they are made for the classes that are compared
+    alone, and nothing of them is kept in between.  A repeated id may have other texts,
+    which are left out, and gives a member more than once if it repeats the text.
+    """
+    import pyarrow as pa
+
+    names, digest = members.columns, members.columns.index("digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.simhash import Shingles
+
+        made = Shingles(words)
+        for b in pieces(batches):
+            got = [made(v.as_py() or "") for v in b.column(len(names))]
+            own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(got, b.column(digest).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([s.tobytes() for s in got], pa.binary())], names=[*names, "shingles"]).filter(own)
+
+    schema = T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("__text"))
+    return members.join(texts, "node").select(*names, "__text").mapInArrow(run, schema)
+
+
 def links_by_jaccard(members: list[tuple[list[int], np.ndarray, int, int | None]], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among (keys, shingles, node, part): a key in common, and exact Jaccard ``similarity`` or more.
 
@@ -397,14 +438,16 @@ def _verify(shards: DataFrame, keys: list[str], similarity: float) -> DataFrame:
             links = links_by_jaccard(members, similarity)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["src", "dst"])
 
-        at, members = None, []
+        at, members, seen = None, [], set()
         for b in pieces(batches):
             for *key, node, shared, part, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != at:
                     if len(members) > 1:
                         yield made(members)
-                    at, members = key, []
-                members.append((shared, np.frombuffer(shingles, np.uint64), node, part))
+                    at, members, seen = key, [], set()
+                if (node, shingles) not in seen:  # rows that repeat an id and its text
+                    seen.add((node, shingles))
+                    members.append((shared, np.frombuffer(shingles, np.uint64), node, part))
         yield made(members)
 
     together = shards.select(*keys, "node", "keys", "part", "shingles").repartition(*keys).sortWithinPartitions(*keys)
@@ -425,8 +468,8 @@ def with_totals(rows: DataFrame, by: str, *totals: Column, most_heavy: int = 100
     return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by))
 
 
-def jaccard_links(classes: DataFrame, shingles: DataFrame, similarity: float, shard_limit: int, shingle_limit: int) -> DataFrame:
-    """(src, dst): spanning forests of the verified links among classes that share a key.
+def jaccard_links(classes: DataFrame, docs: DataFrame, words: int, similarity: float, shard_limit: int, shingle_limit: int) -> DataFrame:
+    """(src, dst): spanning forests of the verified links among classes (node, digest, n, keys) that share a key.
 
     Classes that hang together by keys are one group, and only groups get their shingles.
     A group of at most ``shard_limit`` classes and ``shingle_limit`` shingles is a shard.
@@ -441,14 +484,14 @@ def jaccard_links(classes: DataFrame, shingles: DataFrame, similarity: float, sh
     hung = hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
     members = materialise(classes.join(hung, "node"), "members")
     members = materialise(with_totals(members, "component", F.count("*").alias("__n"), F.sum("n").alias("__s")), "members")
-    held = shingles.join(members.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "shingles")
     nothing = F.lit(None).cast("long").alias("part")
     fits = (F.col("__n") <= shard_limit) & (F.col("__s") <= shingle_limit)
-    found = _verify(members.where(fits).select("node", "digest", "keys", "component", nothing).join(held, "digest"), ["component"], similarity)
+    found = _verify(with_shingles(docs, members.where(fits).select("node", "digest", "keys", "component", nothing), words), ["component"], similarity)
     large = members.where(~fits).select("node", "digest", "n")
     if large.isEmpty():
         return found
     found = materialise(found, "links")
+    held = materialise(with_shingles(docs, large.select("node", "digest"), words).dropDuplicates(["digest"]).select("digest", "shingles"), "held")
     shared = F.array(F.lit(0).cast("long")).alias("keys")
     buckets = materialise(met.select("node", "key").join(large, "node"), "buckets")
     sized = materialise(with_totals(buckets, "key", F.count("*").alias("__n"), F.sum("n").alias("__s")), "buckets")
@@ -494,19 +537,26 @@ def _large_buckets(rows: DataFrame, held: DataFrame, found: DataFrame, similarit
     return found.unionByName(_verify(shards.join(held, "digest"), ["key", "i", "j"], similarity))
 
 
-def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tables: int = 32, rows: int = 6, shard_limit: int = 1000, shingle_limit: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, radius: int = 2, tables: int = 32, rows: int = 6, shard_limit: int = 1000, shingle_limit: int = 1_000_000) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that with the smallest doc_id; same columns.
 
     Two texts are linked when the Jaccard similarity of their distinct ``words``-word
-    shingles (64-bit hashes) is ``similarity`` or more, worked out exactly for all that
-    share one of ``tables`` MinHash keys of ``rows`` shingles.  A pair at Jaccard J shares
-    one with a chance of 1 - (1 - J**rows)**tables, whatever the edit: 0.9999 at 0.8.
+    shingles (64-bit hashes) is ``similarity`` or more, worked out exactly for all
+    candidates.  Candidates are first the texts of one component of SimHash
+    fingerprints within ``radius`` bits (:func:`print_components`: BK-trees over shards,
+    star contraction).  Texts that are alike but differ in more bits meet by one of
+    ``tables`` MinHash keys of ``rows`` shingles: a pair at Jaccard J shares one with a
+    chance of 1 - (1 - J**rows)**tables, whatever the edit: 0.9999 at 0.8.  What the
+    fingerprints have joined is not compared by these again.
     Null and empty texts are equal to each other; a text of fewer words is one shingle.
     Rows that repeat an id stay or go together; rows without an id stay.  An empty table
     gives none.
     """
-    prints = materialise(shingle_prints(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), words, tables, rows), "prints")
-    classes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    parts = components(jaccard_links(classes, prints.select("doc_id", "digest", "shingles"), similarity, shard_limit, shingle_limit))
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    prints = materialise(shingle_prints(named, words, tables, rows), "prints")
+    classes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "bits", "keys")]), "classes")
+    alike = print_components(classes.select("bits", "node"), radius, 20_000)
+    keyed = classes.join(alike, "bits").select("node", "digest", "n", F.concat(F.array("component"), "keys").alias("keys"))
+    parts = components(jaccard_links(materialise(keyed, "keyed"), named, words, similarity, shard_limit, shingle_limit))
     stays = classes.join(parts, "node", "left").where("component IS NULL OR component = node").select(F.col("node").alias("__node")).distinct()
     return docs.join(stays, docs["doc_id"] == stays["__node"], "left").where(docs["doc_id"].isNull() | F.col("__node").isNotNull()).select(*[docs[c] for c in docs.columns])
