@@ -82,26 +82,41 @@ ENTRY = "path string, entry string, size long, content binary, problem string"
 BROKEN = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError)
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def row(path, entry, size, content, problem):
-        return pd.DataFrame([(path, entry, size, content, problem)], columns=["path", "entry", "size", "content", "problem"])
+#: Entries leave a task in frames of about this many rows or bytes of content, since a frame of its own costs far more than an entry.
+FRAME = (4096, 16 << 20)
+
+
+def _entries(path: str, content: bytes | None) -> Iterator[tuple]:
+    """(path, entry, size, content, problem) of every entry of an archive."""
+    if content is None:
+        yield path, None, 0, None, "no content"
+        return
+    try:
+        z = zipfile.ZipFile(io.BytesIO(content))
+    except BROKEN as e:
+        yield path, None, 0, None, str(e) or "unreadable"
+        return
+    with z:
+        for info in z.infolist():
+            try:
+                yield path, info.filename, info.file_size, z.read(info), None
+            except BROKEN as e:
+                yield path, info.filename, info.file_size, None, str(e) or "unreadable"
+
 
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows, held = [], 0
+    frame = lambda: pd.DataFrame(rows, columns=["path", "entry", "size", "content", "problem"])
     for b in batches:
         for path, content in zip(b["path"], b["content"], strict=True):
-            if content is None:
-                yield row(path, None, 0, None, "no content")
-                continue
-            try:
-                z = zipfile.ZipFile(io.BytesIO(content))
-            except BROKEN as e:
-                yield row(path, None, 0, None, str(e) or "unreadable")
-                continue
-            with z:
-                for info in z.infolist():
-                    try:
-                        yield row(path, info.filename, info.file_size, z.read(info), None)
-                    except BROKEN as e:
-                        yield row(path, info.filename, info.file_size, None, str(e) or "unreadable")
+            for row in _entries(path, content):
+                rows.append(row)
+                held += len(row[3] or b"")
+                if len(rows) >= FRAME[0] or held >= FRAME[1]:
+                    yield frame()
+                    rows, held = [], 0
+    if rows:
+        yield frame()
 
 
 def read_archives(files: DataFrame) -> DataFrame:

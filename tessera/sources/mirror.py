@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.advisories import AFFECTED
+from ..storage import written
 from . import shards as shard_files
 from .documents import read_archives
 
@@ -57,7 +58,8 @@ def build(exports: DataFrame, kev: DataFrame, folder: str, fetched_at: str) -> N
     name = F.element_at(F.split("path", "/"), -1)
     stated = F.col("ecosystem") if "ecosystem" in exports.columns else F.regexp_replace(name, r"\.zip$", "")
     files = exports.select("path", name.alias("source"), stated.alias("stated"), F.sha2("content", 256).alias("sha256"))
-    read = read_archives(exports).withColumn("source", name)
+    # Archives are opened once; their entries are dealt out anew when they are read.
+    read = written(read_archives(exports).withColumn("source", name), "entries")
     problems = read.where("problem IS NOT NULL").groupBy("source").agg(F.min(F.concat_ws(": ", "entry", "problem")).alias("problem"))
     entries = read.where("problem IS NULL").where(F.endswith("entry", F.lit(".json")))
     rows = compact(entries.select("source", F.decode("content", "UTF-8").alias("raw")))
@@ -67,8 +69,8 @@ def build(exports: DataFrame, kev: DataFrame, folder: str, fetched_at: str) -> N
     shape = spark.createDataFrame([], shard_files.SCHEMA).schema
     target = {"path": folder, "generation": generation}
     spread.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape]).write.format(shard_files.FORMAT).options(publish="false", **target).mode("overwrite").save()
-    written = spark.read.format(shard_files.FORMAT).options(**target).load()
-    seen = written.groupBy("source").agg(F.count_distinct(F.when(F.col("kind") == "vulnerability", F.col("id"))).alias("vulnerabilities"), F.count_distinct(F.when(F.col("kind") == "malicious", F.col("id"))).alias("malicious"), F.collect_set("ecosystem").alias("__seen"))
+    held_rows = spark.read.format(shard_files.FORMAT).options(**target).load()
+    seen = held_rows.groupBy("source").agg(F.count_distinct(F.when(F.col("kind") == "vulnerability", F.col("id"))).alias("vulnerabilities"), F.count_distinct(F.when(F.col("kind") == "malicious", F.col("id"))).alias("malicious"), F.collect_set("ecosystem").alias("__seen"))
     out = files.join(seen, "source", "left").join(problems, "source", "left").fillna(0, ["vulnerabilities", "malicious"])
     held = F.array_sort(F.array_distinct(F.concat(F.coalesce("__seen", F.array().cast("array<string>")), F.array("stated"))))
     out = out.select("source", "sha256", "vulnerabilities", "malicious", held.alias("ecosystems"), F.col("stated").alias("ecosystem"), "problem", F.lit(fetched_at).alias("fetched_at"), F.lit(VERSION).alias("schema_version"))
