@@ -17,7 +17,8 @@ def test_entries_share_frames(monkeypatch):
     whole = list(documents._unzip([given]))
     assert len(whole) == 1 and len(whole[0]) == 102
     assert [tuple(r) for r in whole[0][whole[0]["problem"].notna()][["path", "problem"]].values] == [("b", "no content"), ("c", "File is not a zip file")]
-    for limits in ((20, 1 << 20), (1000, 200)):
+    for limits, most in (((20, 1 << 20), 20), ((1000, 200), 22)):  # problems have no bytes
         monkeypatch.setattr(documents, "FRAME", limits)
         parts = list(documents._unzip([given]))
-        assert max(map(len, parts)) == 20 and pd.concat(parts, ignore_index=True).equals(whole[0])
+        plain = lambda f: f.astype(object).where(f.notna(), None).values.tolist()
+        assert max(map(len, parts)) == most and sum(map(plain, parts), []) == plain(whole[0])
