@@ -85,6 +85,14 @@ def _key(parts: Column) -> Column:
     )
 
 
+def key_of(purl: Column) -> Column:
+    """:func:`purl_key` of a package URL as it is written; a plain one, the usual case, needs one look and no parsing."""
+    plain = purl.rlike(r"^pkg:npm/[A-Za-z0-9._-]+@[A-Za-z0-9._+-]+\z")
+    rest = F.substr(purl, F.lit(9))
+    answer = F.struct(F.lit("npm").alias("ecosystem"), F.substring_index(rest, "@", 1).alias("name"), F.substring_index(rest, "@", -1).alias("version"), F.lit(None).cast("string").alias("why"))
+    return F.when(plain, answer).otherwise(purl_key(purl_parts(purl)))
+
+
 def module_candidates(path: Column) -> Column:
     """Module paths to try, longest first, down to two segments."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

@@ -4,6 +4,8 @@ Every distinct (ecosystem, name, version) is asked once, not once a component.
 advisories that say the same are one class.  Listed versions and the windows of classes
 are rows that meet the asked versions of their name; what could not be compared is counted for a name and taken off for its hits.  ``clear`` needs a comparison that
 really ran: whatever could not be looked up or compared makes ``unknown``.
+
+Who wants pairs and no lists takes :func:`pairs`, which leave their join as rows.
 """
 
 from __future__ import annotations
@@ -21,25 +23,33 @@ AFFECTED = "array<struct<name:string,ecosystem:string,versions:array<string>,ran
 PATHS = ("Go",)
 
 
-def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
-    """(ecosystem, name, vulnerabilities, malicious): advisories by the key they are looked up by, ranges prepared.
+def known(advisories: DataFrame, kev: DataFrame) -> DataFrame:
+    """(kind, ecosystem, name, id, ids, summary, known_exploited, entries): every advisory of a key once, ranges prepared.
 
     ``advisories``: kind (vulnerability or malicious), ecosystem, name, id, aliases,
     summary, affected; an id counts once for each key, the first by source (where there is
     one) and text.  ``kev``: id of every advisory
-    known to be exploited, matched by id or alias.
+    known to be exploited, matched by id or alias.  Ranges are prepared once for each
+    distinct text of them, which is the dear part.
     """
     rest = [c for c in advisories.columns if c not in ("kind", "ecosystem", "name", "id")]
     first = F.struct(*(["source"] if "source" in rest else []), F.to_json(F.struct("aliases", "summary", "affected")))
     once = advisories.groupBy("kind", "ecosystem", "name", "id").agg(F.min_by(F.struct("aliases", "summary", "affected"), first).alias("__r")).select("kind", "ecosystem", "name", "id", "__r.*")
     ids = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))
-    exploited = once.select("id", F.explode(ids).alias("any_id")).join(kev.select(F.col("id").alias("any_id")).distinct(), "any_id", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
-    marked = once.join(exploited, "id", "left").withColumn("ids", ids)
     mine = F.filter("affected", lambda a: (a["ecosystem"] == F.col("ecosystem")) & (a["name"] == F.col("name")))
-    ready = F.transform(mine, _entry)
-    entry = F.struct("id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), ready.alias("entries"))
-    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    return marked.groupBy("ecosystem", "name").agg(pick("vulnerability").alias("vulnerabilities"), pick("malicious").alias("malicious"))
+    said = F.transform(mine, lambda a: F.struct(a["versions"].alias("versions"), a["ranges"].alias("ranges")))
+    once = written(once.select("kind", "ecosystem", "name", "id", ids.alias("ids"), "summary", said.alias("said")), "once")
+    exploited = once.select("id", F.explode("ids").alias("any_id")).join(kev.select(F.col("id").alias("any_id")).distinct(), "any_id", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
+    ready = once.select("said").distinct().select("said", F.transform("said", _entry).alias("entries"))
+    marked = once.join(exploited, "id", "left").join(ready, "said", "left")
+    return marked.select("kind", "ecosystem", "name", "id", "ids", "summary", F.coalesce("known", F.lit(False)).alias("known_exploited"), "entries")
+
+
+def index(advisories: DataFrame, kev: DataFrame) -> DataFrame:
+    """(ecosystem, name, vulnerabilities, malicious): what is :func:`known`, by the key it is looked up by."""
+    entry = F.struct("id", "ids", "summary", "known_exploited", "entries")
+    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias
+    return known(advisories, kev).groupBy("ecosystem", "name").agg(pick("vulnerability")("vulnerabilities"), pick("malicious")("malicious"))
 
 
 def _entry(a: Column) -> Column:
@@ -69,6 +79,29 @@ def _hit(a: Column, method: Column, name: Column, declared: Column) -> Column:
     return F.struct(a["id"].alias("id"), a["known_exploited"].alias("known_exploited"), method.alias("method"), name.alias("matched_name"), F.exists(declared, lambda d: F.coalesce(F.array_contains(a["ids"], d), F.lit(False))).alias("already_declared"))
 
 
+RAW = ("__p", "__w")
+
+
+def _questions(components: DataFrame) -> DataFrame:
+    """``components`` with what is asked of them: package URL, written version and declared ids, none of them NULL."""
+    return components.withColumns({"__p": F.coalesce("purl", F.lit("")), "__w": F.coalesce("version", F.lit("")), "__d": F.coalesce("declared", F.array().cast("array<string>"))})
+
+
+def keyed_by(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """``rows`` (with ``RAW``) and their ecosystem, name, version (``__v``) and why they cannot be looked up (``__why``)."""
+    keyed = rows.withColumn("__k", purl.key_of(F.col("__p")))
+    keyed = keyed.select(*rows.columns, F.col("__k.ecosystem").alias("ecosystem"), F.col("__k.name").alias("name"), F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("__w", F.lit(""))).alias("__v"), F.col("__k.why").alias("__unread"))
+    keyed = keyed.join(F.broadcast(shards.select("ecosystem", "loaded")), "ecosystem", "left")
+    why = (
+        F.when(F.col("__p") == "", "no package URL")
+        .when(F.col("ecosystem").isNull(), F.col("__unread"))
+        .when(F.col("__v").isNull(), "no version")
+        .when(F.col("loaded").isNull(), "ecosystem not mirrored")
+        .when(~F.col("loaded"), "index did not load")
+    )
+    return keyed.select(*rows.columns, "ecosystem", "name", "__v", why.alias("__why"))
+
+
 def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataFrame:
     """``components`` (name, version, purl, declared) with their verdicts.
 
@@ -78,20 +111,10 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
     lists should take: then no list goes through a shuffle.  Lists are made once for each
     distinct (ecosystem, name, version, declared).
     """
-    rows = components.withColumns({"__p": F.coalesce("purl", F.lit("")), "__w": F.coalesce("version", F.lit("")), "__d": F.coalesce("declared", F.array().cast("array<string>"))})
-    raw = ["__p", "__w", "__d"]
+    rows, raw = _questions(components), [*RAW, "__d"]
     # Package URLs are parsed once for each distinct one, which is the dear part.
-    keyed = rows.select(*raw).distinct().withColumn("__k", purl.purl_key(purl.purl_parts(F.col("__p"))))
-    keyed = keyed.select(*raw, F.col("__k.ecosystem").alias("ecosystem"), F.col("__k.name").alias("name"), F.coalesce(F.nullif("__k.version", F.lit("")), F.nullif("__w", F.lit(""))).alias("__v"), F.col("__k.why").alias("__unread"))
-    keyed = keyed.join(F.broadcast(shards.select("ecosystem", "loaded")), "ecosystem", "left")
-    why = (
-        F.when(F.col("__p") == "", "no package URL")
-        .when(F.col("ecosystem").isNull(), F.col("__unread"))
-        .when(F.col("__v").isNull(), "no version")
-        .when(F.col("loaded").isNull(), "ecosystem not mirrored")
-        .when(~F.col("loaded"), "index did not load")
-    )
-    keyed = written(keyed.select(*raw, "ecosystem", "name", "__v", why.alias("__why")), "asked")
+    keyed = keyed_by(rows.select(*raw).distinct(), shards)
+    keyed = written(keyed, "asked")
     asked = keyed.where("__why IS NULL").select("ecosystem", "name", F.col("__v").alias("version"), F.col("__d").alias("declared")).distinct()
     classes, malicious = classed(indexed)
     answered = verdicts(asked.select("ecosystem", "name", "version").distinct(), classes)
@@ -106,6 +129,7 @@ def match(components: DataFrame, indexed: DataFrame, shards: DataFrame) -> DataF
 
 
 COUNTS = ("n_hits", "n_exploited", "n_undeclared", "n_malicious")
+BLIND = ("blind_text", "blind")
 
 
 def _with_hits(asked: DataFrame, classes: DataFrame, malicious: DataFrame) -> DataFrame:
@@ -145,13 +169,34 @@ def classed(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     written, since preparing ranges is dear and they are read several times.
     """
     indexed = written(indexed, "advisories")
-    each = indexed.select("ecosystem", F.col("name").alias("target"), F.inline("vulnerabilities"))
-    member = F.struct("id", "ids", "known_exploited")
-    classes = each.groupBy("ecosystem", "target", "entries").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.count_if("known_exploited").alias("n_known"), F.array_sort(F.collect_list(member)).alias("members"))
+    classes = _classes(indexed.select("ecosystem", F.col("name").alias("target"), F.inline("vulnerabilities")))
     malicious = indexed.where(F.size("malicious") > 0).select("ecosystem", F.col("name").alias("target"), F.transform("malicious", _slim).alias("malicious_found"), F.size("malicious").alias("__n_malicious"))
     return written(classes, "classes"), malicious
 
 
+def _classes(each: DataFrame) -> DataFrame:
+    """(ecosystem, target, class, entries, n, n_known, members) of advisories (ecosystem, target, id, ids, known_exploited, entries)."""
+    member = F.struct("id", "ids", "known_exploited")
+    return each.groupBy("ecosystem", "target", "entries").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.count_if("known_exploited").alias("n_known"), F.array_sort(F.collect_list(member)).alias("members"))
+
+
+def held(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is :func:`known` as (names, classes), for :func:`pairs`; both are written.
+
+    names: ecosystem, target, n, n_malicious, and of how many vulnerabilities an entry
+    cannot be compared with a version that has an order (blind_text) or none (blind).
+    classes: ecosystem, target, n, n_known, blind_text, blind, members, windows (of all
+    entries, none overlapping) and versions (listed and in no window).
+    """
+    bad = F.col("kind") == "vulnerability"
+    names = known.groupBy("ecosystem", F.col("name").alias("target")).agg(F.count_if(bad).alias("n"), F.count_if(F.col("kind") == "malicious").alias("n_malicious"), *[F.count_if(bad & _blind(F.col("entries"), c == "blind_text")).alias(c) for c in BLIND])
+    classes = _classes(known.where(bad).select("ecosystem", F.col("name").alias("target"), "id", "ids", "known_exploited", "entries"))
+    all_of = lambda c: F.flatten(F.filter(F.transform("entries", lambda e: e[c]), lambda x: x.isNotNull()))
+    classes = classes.withColumns({**{c: F.when(_blind(F.col("entries"), c == "blind_text"), F.col("n")).otherwise(0) for c in BLIND}, "windows": versions.merged(all_of("windows")), "versions": F.array_distinct(all_of("versions"))})
+    outside = F.filter("versions", lambda v: v.isNotNull() & ~F.coalesce(versions.affected_in(v, F.col("windows")), F.lit(False)))
+    return written(names, "names"), written(classes.withColumn("versions", outside).drop("entries", "class"), "classes")
+
+
 def hits_of(points: DataFrame, classes: DataFrame) -> DataFrame:
     """(ecosystem, target, version, found, blind_text, blind): the classes of advisories that hold a version, and how many of their advisories have an entry that it cannot be compared with.
 
@@ -175,22 +220,30 @@ def hits_of(points: DataFrame, classes: DataFrame) -> DataFrame:
     return one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("class", method.alias("method"), "n", "n_known"))).alias("found"), weight("blind_text"), weight("blind"))
 
 
-def verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """``asked`` (distinct ecosystem, name, version) with target, via, status, found and unclear.
+def targeted(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``asked`` (ecosystem, name, ...) with target, the name that is looked up, and via, the same where it is a parent path.
 
     A name without vulnerabilities of its own is asked again by its nearest parent path,
-    for ecosystems whose names are paths (``PATHS``).
+    for ecosystems whose names are paths (``PATHS``).  Where ``names`` (ecosystem, target,
+    n) has no such path, no name has a parent and ``asked`` is not read for them.
     """
-    count = lambda ranges: F.sum(F.when(_blind(F.col("entries"), ranges), F.col("n")).otherwise(0))
-    of_name = classes.groupBy("ecosystem", "target").agg(count(True).alias("__blind_text"), count(False).alias("__blind"))
-    known = of_name.select("ecosystem", F.col("target").alias("name"), F.lit(True).alias("__has"))
-    exact = asked.join(known, ["ecosystem", "name"], "left")
+    own = names.where("n > 0").select("ecosystem", F.col("target").alias("name"), F.lit(True).alias("__has"))
+    paths = own.where(F.col("ecosystem").isin(*PATHS))
+    if paths.isEmpty():
+        return asked.withColumns({"via": F.lit(None).cast("string"), "target": F.col("name")})
+    exact = asked.join(own, ["ecosystem", "name"], "left")
     none = F.col("ecosystem").isin(*PATHS) & ~F.coalesce("__has", F.lit(False))
-    paths = exact.where(none).select("name").distinct()
-    modules = known.where(F.col("ecosystem").isin(*PATHS)).select(F.col("name").alias("module"))
-    near = nearest_module(paths, modules).select(F.col("name").alias("__path"), F.col("module").alias("via"))
+    near = nearest_module(exact.where(none).select("name").distinct(), paths.select(F.col("name").alias("module"))).select(F.col("name").alias("__path"), F.col("module").alias("via"))
     both = exact.withColumn("__path", F.when(none, F.col("name"))).join(near, "__path", "left")
-    both = both.select("ecosystem", "name", "version", "via", F.coalesce("via", "name").alias("target"), versions.key_text(versions.semver_key(F.col("version"))).alias("text"))
+    return both.select(*asked.columns, "via", F.coalesce("via", "name").alias("target"))
+
+
+def verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """``asked`` (distinct ecosystem, name, version) with target, via, status, found and unclear."""
+    count = lambda ranges: F.sum(F.when(_blind(F.col("entries"), ranges), F.col("n")).otherwise(0))
+    of_name = classes.groupBy("ecosystem", "target").agg(count(True).alias("__blind_text"), count(False).alias("__blind"))
+    both = targeted(asked, of_name.select("ecosystem", "target", F.lit(1).alias("n")))
+    both = both.select("ecosystem", "name", "version", "via", "target", versions.version_text(F.col("version")).alias("text"))
     hits = hits_of(both.select("ecosystem", "target", "version", "text").distinct(), classes)
     both = both.join(hits, ["ecosystem", "target", "version"], "left").join(of_name, ["ecosystem", "target"], "left")
     rest = lambda all_of, hit: F.coalesce(F.col(all_of) - F.coalesce(hit, F.lit(0)), F.lit(0))
@@ -200,6 +253,37 @@ def verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("ecosystem", "name", "version", "target", "via", found, unclear.alias("unclear")).withColumn("status", status)
 
 
+def _pieces(classes: DataFrame) -> DataFrame:
+    """(ecosystem, target, members, low, high, closed, listed): a class as rows of which one at most holds a version, see ``_holds``."""
+    none = F.array(F.lit(None).cast("struct<low:string,high:string,closed:boolean>"))
+    each = classes.select("ecosystem", "target", "members", "versions", F.posexplode(F.when(F.size("windows") > 0, F.col("windows")).otherwise(none)).alias("__nr", "__w"))
+    listed = F.when((F.col("__nr") == 0) & (F.size("versions") > 0), F.col("versions"))
+    return each.select("ecosystem", "target", "members", "__w.*", listed.alias("listed")).where("low IS NOT NULL OR listed IS NOT NULL")
+
+
+def _holds() -> Column:
+    """Does a piece hold this row's version and text?"""
+    inside = (F.col("low") <= F.col("text")) & (F.col("high").isNull() | (F.col("text") < F.col("high")) | (F.col("closed") & (F.col("text") == F.col("high"))))
+    return inside | F.array_contains("listed", F.col("version"))
+
+
+def pairs(components: DataFrame, names: DataFrame, classes: DataFrame, shards: DataFrame) -> DataFrame:
+    """Every component (name, version, purl, declared, ...) and vulnerability that holds its version, as rows: id, known_exploited, matched_name, via_module, already_declared.
+
+    The same hits as :func:`match` lists.  A component meets the pieces of its name in one
+    join and leaves it as rows; no list of hits, nor a row for a component and a class,
+    goes through a shuffle or is kept.
+    """
+    own = {c: f"__own_{c}" for c in components.columns}
+    asked = keyed_by(_questions(components).withColumnsRenamed(own), shards).where("__why IS NULL").withColumn("version", F.col("__v"))
+    # Keys that cannot be NULL: else Spark works them out once more below the joins, to leave out NULLs.
+    asked = targeted(asked, names).withColumns({**{c: F.coalesce(c, F.lit("")) for c in ("ecosystem", "target")}, "text": versions.version_text(F.col("version"))})
+    met = asked.join(_pieces(classes), ["ecosystem", "target"]).where(_holds())
+    hits = met.select(*own.values(), "ecosystem", F.col("target").alias("matched_name"), F.col("via").alias("via_module"), "__d", F.inline("members"))
+    declared = F.arrays_overlap("ids", F.filter("__d", lambda d: d.isNotNull()))
+    return hits.select(*[F.col(o).alias(c) for c, o in own.items()], "ecosystem", "matched_name", "via_module", "id", "known_exploited", F.coalesce(declared, F.lit(False)).alias("already_declared"))
+
+
 def tally(verdicts: DataFrame) -> DataFrame:
     """Six counts over verdicts; no list of hits is read."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
