@@ -5,13 +5,15 @@ advisories that say the same are one class.  Listed versions and the windows of
 are rows that meet the asked versions of their name; what could not be compared is counted for a name and taken off for its hits.  ``clear`` needs a comparison that
 really ran: whatever could not be looked up or compared makes ``unknown``.
 
-Who wants pairs and no lists takes :func:`pairs`, which leave their join as rows.
+Who wants counts or pairs and no lists takes :func:`tally_of` and :func:`pairs`: counts are
+running sums over the sorted bounds of a name, pairs leave their join as rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import purl, versions
 from ..storage import written
@@ -181,7 +183,7 @@ def _classes(each: DataFrame) -> DataFrame:
 
 
 def held(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is :func:`known` as (names, classes), for :func:`pairs`; both are written.
+    """What is :func:`known` as (names, classes), for :func:`tally_of` and :func:`pairs`; both are written.
 
     names: ecosystem, target, n, n_malicious, and of how many vulnerabilities an entry
     cannot be compared with a version that has an order (blind_text) or none (blind).
@@ -253,6 +255,36 @@ def verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("ecosystem", "name", "version", "target", "via", found, unclear.alias("unclear")).withColumn("status", status)
 
 
+def _at(text: Column, turn: int) -> Column:
+    """Where a version's text (``turn`` 1) or a bound stands in the order of its name: a bound that a version reaches before it (0), one that it passes after it (2)."""
+    return F.concat(F.lit("1"), text, F.lit(f"\x00{turn}"))
+
+
+def counted(asked: DataFrame, names: DataFrame, classes: DataFrame) -> DataFrame:
+    """``asked`` (ecosystem, target, version, text, ...) with n_hits, n_exploited, unclear, n_malicious and status.
+
+    Windows are steps at their bounds: what holds a version is a running sum over the sorted
+    versions and bounds of a name, however many windows there are.  Listed versions are
+    an equi-join.
+    """
+    sums = ["n", "n_known", "blind_text"]
+    each = classes.select("ecosystem", "target", *sums, F.inline("windows"))
+    ends = F.array(F.struct(_at(F.col("low"), 0).alias("at"), F.lit(1).alias("sign")), F.struct(F.when(F.col("closed"), _at(F.col("high"), 2)).otherwise(_at(F.col("high"), 0)).alias("at"), F.lit(-1).alias("sign")))
+    steps = each.select("ecosystem", "target", *sums, F.inline(ends)).where("at IS NOT NULL").groupBy("ecosystem", "target", "at").agg(*[F.sum(F.col(c) * F.col("sign")).alias(f"__{c}") for c in sums])
+    # What has no order stands before every bound.
+    rows = asked.withColumn("at", F.coalesce(_at(F.col("text"), 1), F.concat(F.lit("0"), "version"))).withColumn("__row", F.lit(True))
+    w = Window.partitionBy("ecosystem", "target").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.unionByName(steps, allowMissingColumns=True).withColumns({f"__{c}": F.coalesce(F.sum(f"__{c}").over(w), F.lit(0)) for c in sums}).where("__row").drop("__row", "at")
+    listed = classes.select("ecosystem", "target", "n", "n_known", *BLIND, F.explode("versions").alias("version")).groupBy("ecosystem", "target", "version").agg(*[F.sum(c).alias(f"__l_{c}") for c in ("n", "n_known", *BLIND)])
+    of_name = names.select("ecosystem", "target", "n_malicious", *[F.col(c).alias(f"__all_{c}") for c in BLIND])
+    both = placed.join(listed, ["ecosystem", "target", "version"], "left").join(of_name, ["ecosystem", "target"], "left")
+    plus = lambda c: F.col(f"__{c}") + F.coalesce(f"__l_{c}", F.lit(0))
+    blind_text, blind = F.coalesce("__all_blind_text", F.lit(0)) - plus("blind_text"), F.coalesce("__all_blind", F.lit(0)) - F.coalesce("__l_blind", F.lit(0))
+    unclear = F.when(F.col("text").isNotNull(), blind_text).otherwise(blind)
+    got = both.select(*asked.columns, plus("n").alias("n_hits"), plus("n_known").alias("n_exploited"), unclear.alias("unclear"), F.coalesce("n_malicious", F.lit(0)).alias("n_malicious"))
+    return got.withColumn("status", F.when(F.col("n_hits") > 0, "affected").when(F.col("unclear") > 0, "unknown").otherwise("clear"))
+
+
 def _pieces(classes: DataFrame) -> DataFrame:
     """(ecosystem, target, members, low, high, closed, listed): a class as rows of which one at most holds a version, see ``_holds``."""
     none = F.array(F.lit(None).cast("struct<low:string,high:string,closed:boolean>"))
@@ -284,6 +316,26 @@ def pairs(components: DataFrame, names: DataFrame, classes: DataFrame, shards: D
     return hits.select(*[F.col(o).alias(c) for c, o in own.items()], "ecosystem", "matched_name", "via_module", "id", "known_exploited", F.coalesce(declared, F.lit(False)).alias("already_declared"))
 
 
+def tally_of(components: DataFrame, names: DataFrame, classes: DataFrame, shards: DataFrame) -> DataFrame:
+    """:func:`tally` of what :func:`match` says of ``components``, which are read once: distinct questions are counted and weigh by their numbers."""
+    keyed = keyed_by(_questions(components).groupBy(*RAW, "__d").agg(F.count("*").alias("__weight")), shards)
+    keyed = written(keyed.select("ecosystem", "name", F.col("__v").alias("version"), versions.version_text(F.col("__v")).alias("text"), F.col("__d").alias("declared"), "__weight", "__why"), "asked")
+    asked = targeted(keyed.where("__why IS NULL").drop("__why"), names)
+    told = counted(asked.select("ecosystem", "target", "version", "text", "__weight"), names, classes)
+    told = told.select("status", "__weight", "n_hits", "n_exploited", "n_malicious")
+    never = keyed.where("__why IS NOT NULL").select(F.lit("unknown").alias("status"), "__weight", *[F.lit(0).cast("long").alias(c) for c in ("n_hits", "n_exploited", "n_malicious")])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    weighed = lambda c, when: total(F.when(when, F.col(c) * F.col("__weight")))
+    state, hit = F.col("status"), F.col("status") == "affected"
+    sums = told.unionByName(never).agg(*[total(F.when(state == s, F.col("__weight"))).alias(s) for s in ("affected", "clear", "unknown")], weighed("n_exploited", hit).alias("known_exploited"), weighed("n_malicious", state != "unknown").alias("malicious"), weighed("n_hits", hit).alias("__hits"))
+    # Hits that a question declares: by any of its ids, each once.
+    declared = asked.select("ecosystem", "target", "version", "text", "declared", "__weight", F.explode(F.array_distinct("declared")).alias("any_id"))
+    members = _pieces(classes).select("ecosystem", "target", "low", "high", "closed", "listed", F.inline("members")).withColumn("any_id", F.explode(F.array_distinct("ids")))
+    first = (F.size("declared") == 1) | (F.col("any_id") == F.element_at(F.array_intersect("declared", "ids"), 1))
+    said = declared.join(members, ["ecosystem", "target", "any_id"]).where(_holds() & first).agg(total("__weight").alias("__declared"))
+    return sums.crossJoin(said).select("affected", "clear", "unknown", "known_exploited", "malicious", (F.col("__hits") - F.col("__declared")).alias("undeclared"))
+
+
 def tally(verdicts: DataFrame) -> DataFrame:
     """Six counts over verdicts; no list of hits is read."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

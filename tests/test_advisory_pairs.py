@@ -1,4 +1,4 @@
-"""Pairs of advisories without lists: the same as the lists say, and nothing of a component and a class in a shuffle."""
+"""Pairs and counts of advisories without lists: the same as the lists say, and nothing of a component and a class in a shuffle."""
 
 import pytest
 
@@ -37,7 +37,7 @@ def _inputs(spark):
 
 
 @pytest.mark.parametrize("with_paths", [True, False])
-def test_pairs_are_what_the_lists_say(spark, with_paths):
+def test_pairs_and_counts_are_what_the_lists_say(spark, with_paths):
     advisories, a, kev, shards, frame = _inputs(spark)
     a = a if with_paths else a.where("ecosystem <> 'Go'")
     lists = advisories.match(frame, advisories.index(a, kev), shards).collect()
@@ -46,14 +46,19 @@ def test_pairs_are_what_the_lists_say(spark, with_paths):
     want = sorted((r.component_id, h.id, r.ecosystem, h.matched_name, r.via_module, h.known_exploited, h.already_declared) for r in lists for h in r.hits or [])
     key = lambda rows: [tuple(map(str, x)) for x in rows]
     assert key(got) == key(want) and len(got) > 100
+    by_list = spark.createDataFrame([(r.status, r.n_exploited, r.n_malicious, r.n_undeclared) for r in lists], "status string, n_exploited long, n_malicious long, n_undeclared long")
+    assert advisories.tally_of(frame, *held, shards).collect() == advisories.tally(by_list).collect()
+    assert advisories.tally_of(frame.limit(0), *held, shards).collect() == advisories.tally(by_list.limit(0)).collect()
 
 
-def test_pairs_leave_the_join_as_rows(spark):
+def test_pairs_leave_the_join_as_rows_and_counts_read_components_once(spark):
     from tessera.plans.bound import QUERIES
 
     plan = QUERIES["advisory_equi_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("lineitem.parquet" in line or "l_linenumber" in line and "Relation" in line for line in plan) == 1
     assert not any("Aggregate" in line for line in plan)  # no list is collected beside the components
+    tally = QUERIES["verdict_tally"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in tally and "collect_list" not in tally
 
 
 def test_merged_windows_hold_the_same(spark):
